@@ -1,9 +1,10 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
 from bandloom.llm.byte_bpe import op7_byte_bpe
+from bandloom.llm.jaccard_join import op1_ngram_jaccard_join
 from bandloom.llm.media import op8_media_columns
 from bandloom.llm.secrets_scan import op2_secret_scan
 from bandloom.llm.substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op7_byte_bpe, op8_media_columns, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op7_byte_bpe, op8_media_columns, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
