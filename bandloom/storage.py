@@ -7,7 +7,10 @@ does not.  Where the setting is missing (tests, notebooks) a folder is chosen on
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +26,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/bandloom-{spark.sparkContext.applicationId}"
 
 
+_scope: contextvars.ContextVar[str] = contextvars.ContextVar("scope", default="")
+
+
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables made inside lie in a folder of their own, which ``drop_scope`` removes as a whole."""
+    token = _scope.set(f"{name}/")
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+
+
+def drop_scope(spark: SparkSession, name: str) -> None:
+    remove(spark, f"{shared_dir(spark)}/{name}")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{_scope.get()}{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, name: str, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
