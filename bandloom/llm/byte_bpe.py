@@ -253,5 +253,28 @@ def digests(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFra
     return df.select(df["doc_id"].cast("bigint").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
+def encode_checked(df: DataFrame, carry: list[str], vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``carry``, n_tokens, ids, round_trip: whether decoding gave the text's bytes."""
+    from pyspark.sql import types as T
+
+    vocabulary = vocabulary or default_vocabulary()
+    rows = df.select(df["doc_id"].cast("bigint").alias("doc_id"), df["text"].cast("string").alias("text"), *[df[c].alias(f"_carry{k}") for k, c in enumerate(carry)])
+    names = ["doc_id", *[f"_carry{k}" for k in range(len(carry))], "n_tokens", "ids", "round_trip"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(*vocabulary)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids, offsets = bpe.encode_texts(texts)
+                same = [bpe.decode(ids[a:b]) == t.encode() for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                others = [part.column(k) for k in range(part.num_columns) if k != 1]
+                yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same, pa.bool_())], names)
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return rows.mapInArrow(run, schema).toDF("doc_id", *carry, "n_tokens", "ids", "round_trip")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

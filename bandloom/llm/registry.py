@@ -1,6 +1,7 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
 from bandloom.llm.byte_bpe import op7_byte_bpe
+from bandloom.llm.decontaminate import op5_benchmark_decontamination
 from bandloom.llm.jaccard_join import op1_ngram_jaccard_join
 from bandloom.llm.language_id import op4_language_id
 from bandloom.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -10,5 +11,5 @@ from bandloom.llm.shard_balance import op3_sharding
 from bandloom.llm.substring_dedup import op10_substring_dedup
 from bandloom.llm.token_rollup import OP6_SQL, op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op6_token_counts": OP6_SQL, "op9_line_dedup": OP9_SQL}

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.llm.sampling import by_hash
 from bandloom.llm.textarrays import slices
 
 #: The fixed patterns of the contract.
@@ -96,11 +97,11 @@ def train(secrets: list[str], ordinary: list[str], seed: int = 11) -> MarkovScor
 
 
 def labelled_sample(documents: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
-    """(secret values, ordinary words) of the ``limit`` documents that come first by hash of doc_id.
+    """(secret values, ordinary words) of about ``limit`` documents, drawn by hash of doc_id.
 
     Only documents of at most ``SAMPLE_CHARS`` characters are drawn, so the sample has a fixed size.
     """
-    rows = documents.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    rows = by_hash(documents.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS), limit).collect()
     secrets, ordinary = set(), set()
     for row in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])):
         spans, at, text = base_spans(row["text"]), 0, row["text"]

@@ -68,9 +68,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch.  start, end: byte places; first: index of each text's first word, with a last entry."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATORS):
         self.data, self.offsets = data, offsets
-        inside = ~SEPARATORS[data]
+        inside = ~separators[data]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]
         before[:1] = False
@@ -97,7 +97,10 @@ class Words:
         gaps = np.diff(np.append(self.start, len(self.data)))
         place = np.arange(begin, len(self.data)) - np.repeat(self.start, gaps)
         np.minimum(place, longest, out=place)
-        value = (_LOWER_VALUE if lower else _BYTE_VALUE)[data] * _power_table(longest + 1)[place]
+        place[place >= np.repeat(self.end - self.start, gaps)] = longest  # what follows the word
+        power = _power_table(longest + 1)[: longest + 1].copy()
+        power[longest] = 0
+        value = (_LOWER_VALUE if lower else _BYTE_VALUE)[data] * power[place]
         return mix(np.add.reduceat(value, self.start - begin) + (self.end - self.start).astype(np.uint64))
 
 
