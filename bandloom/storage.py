@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -85,3 +86,13 @@ def list_dirs(spark: SparkSession, path: str) -> list[str]:
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate, for choosing a number of partitions; no job runs."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle files of plans that nothing refers to any more.
+
+    Spark removes a shuffle when the driver's JVM collects its last reference, which may be
+    long after a stage of a job has written its table; executors' disks are free sooner so.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
