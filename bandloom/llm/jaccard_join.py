@@ -4,7 +4,6 @@
    by hash range.  Runs meet by range; an n-gram of two documents is *shared*.
 2. Only shared n-grams can be in an intersection, so a document needs at least
    ceil(t * size) of them, and its shared n-grams are all that verification needs.
-   Texts are read once.
 3. Prefix filter: with unshared n-grams first and the rest in order of their hash, linked
    documents have a common n-gram among the first size - ceil(t * size) + 1.  Documents that
    meet in one are linked to the least of them, which gives candidate clusters.
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from bandloom.graph import connected_components
 from bandloom.llm.runs import pack, unpack
 from bandloom.llm.textarrays import Words, flat, grams, mix, slices
-from bandloom.storage import materialise, plan_bytes
+from bandloom.storage import materialise, plan_bytes, release
 
 FLUSH = 2_000_000
 CELL = 512
@@ -65,8 +64,27 @@ def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
             yield h[:0]
 
 
-def _read(width: int, bits: int):
-    """Rows of documents (bucket null) and sealed runs with settled flags (bucket set)."""
+def _class_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set."""
+    if not len(s):
+        return 0, 0
+    return int(s.sum(dtype=np.uint64)) - (1 << 63), int(mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)) - (1 << 63)
+
+
+def _measure(width: int):
+    """Rows (doc_id, n, k1, k2): size and key of each document's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                rows = [(len(s), *_class_key(s)) for s in shingle_sets(part.column(1), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "n", "k1", "k2"])
+
+    return run
+
+
+def _runs(width: int, bits: int):
+    """Rows (bucket, run, flags): sorted runs of a task's sets, and what is shared within the task."""
 
     def seal(sets: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([s for _, s in sets])
@@ -75,9 +93,8 @@ def _read(width: int, bits: int):
         keys, docs = keys[order], docs[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = keys[1:] != keys[:-1]
-        many = np.zeros(len(keys), bool)
+        many = ~fresh
         many[:-1] |= ~fresh[1:]
-        many |= ~fresh
         edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
             runs, flags = [], []
@@ -86,22 +103,18 @@ def _read(width: int, bits: int):
                 one, m = fresh[s], many[s]
                 runs.append(pack([keys[s][one], docs[s][one], m[one].astype(np.uint8)]))
                 flags.append(pack([keys[s][m], docs[s][m]]) if m.any() else None)
-            yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(runs, pa.binary()), pa.array(flags, pa.binary()), *(pa.nulls(len(group), pa.int64()) for _ in range(4))], NAMES)
+            yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.array(flags, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held = [], set(), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
                 for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
-                    a = int(s.sum(dtype=np.uint64)) if len(s) else 0
-                    b = int(mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)) if len(s) else 0
-                    rows.append((doc_id, len(s), a - (1 << 63), b - (1 << 63)))
-                    if len(s) and doc_id is not None and (a, b) not in seen:
-                        seen.add((a, b))
+                    key = _class_key(s)
+                    if len(s) and key not in seen:
+                        seen.add(key)
                         sets.append((doc_id, s))
                         held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary()), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], NAMES)
                 if held >= FLUSH:
                     yield from seal(sets)
                     sets, seen, held = [], set(), 0
@@ -111,10 +124,6 @@ def _read(width: int, bits: int):
     return run
 
 
-NAMES = ["bucket", "run", "flags", "doc_id", "n", "k1", "k2"]
-READ_SCHEMA = "bucket int, run binary, flags binary, doc_id bigint, n bigint, k1 bigint, k2 bigint"
-
-
 def _spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> pa.Table:
     """Shared n-grams as runs by a hash of the document."""
     home = _home_array(docs, parts)
@@ -145,7 +154,7 @@ def _gather_sets(num: int, den: int):
     """The live documents of one home: size, shared n-grams, and those of the prefix."""
 
     def gather(documents: pa.Table, shared: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"rep": [], "n": [], "grams": [], "prefix": []}
+        out: dict[str, list] = {"doc_id": [], "n": [], "grams": [], "prefix": []}
         if documents.num_rows and shared.num_rows:
             keys, docs = (np.concatenate(c) for c in zip(*(unpack(s) for s in shared.column("shared").to_pylist()), strict=True))
             ids, sizes = documents.column("doc_id").to_numpy(), documents.column("n").to_numpy()
@@ -159,11 +168,11 @@ def _gather_sets(num: int, den: int):
                 own = keys[np.searchsorted(docs, doc_id) : np.searchsorted(docs, doc_id, "right")]
                 need = -(-num * n // den)
                 if len(own) >= need:
-                    out["rep"].append(doc_id)
+                    out["doc_id"].append(doc_id)
                     out["n"].append(n)
                     out["grams"].append(own.tobytes())
                     out["prefix"].append(own[: max(0, n - need + 1 - (n - len(own)))].view(np.int64).tolist())
-        return pa.table({"rep": pa.array(out["rep"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "grams": pa.array(out["grams"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))})
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "grams": pa.array(out["grams"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))})
 
     return gather
 
@@ -256,29 +265,21 @@ def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10
     columns are not read.
     """
     rows = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    size = max(plan_bytes(rows), 1)
-    bits = int(np.clip(np.ceil(np.log2(size / (6 << 20))), 5, 16))
-    homes = 1 << bits
-    read = rows.mapInArrow(_read(width, bits), READ_SCHEMA)
-    read = materialise(read.withColumn("is_run", F.col("bucket").isNotNull()), "jaccard-read", partition_by=["is_run"])
-    docs = read.where("not is_run").select("doc_id", "n", "k1", "k2")
-    runs = read.where("is_run").select("bucket", "run", "flags")
-
+    docs = materialise(rows.mapInArrow(_measure(width), "doc_id bigint, n bigint, k1 bigint, k2 bigint"), "jaccard-documents")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    shared = runs.groupBy("bucket").applyInArrow(_find_shared(homes), "home int, shared binary")
-    reps = docs.where("n > 0 and doc_id is not null").select("doc_id", "n", "k1", "k2").distinct()
-    home_of = _home_column(F.col("doc_id"), homes)
-    # the sealed run names the first document of a class in its task, so all members come here; copies fall together by class below
-    live = reps.withColumn("home", home_of).groupBy("home").cogroup(shared.groupBy("home")).applyInArrow(_gather_sets(num, den), "rep bigint, n bigint, grams binary, prefix array<bigint>")
-    live = live.withColumnRenamed("rep", "doc_id").join(reps.select("doc_id", "k1", "k2"), "doc_id").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
-    live = live.groupBy("rep", "n").agg(F.min_by("grams", "doc_id").alias("grams"), F.min_by("prefix", "doc_id").alias("prefix"))
-    live = materialise(live, "jaccard-live")
-
-    met = live.select("rep", F.explode("prefix").alias("gram"))
+    classes = materialise(classes, "jaccard-classes")
+    live = _live_sets(rows, docs, width, num, den)
+    release(documents.sparkSession)
+
+    # documents of one class have the same shared n-grams, so any of them speaks for it
+    named = docs.where("doc_id is not null").distinct().join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
+    chosen = live.select("doc_id", "n").join(named.select("doc_id", "n", "rep"), ["doc_id", "n"]).groupBy("rep", "n").agg(F.min("doc_id").alias("doc_id"))
+    chosen = materialise(chosen, "jaccard-chosen")
+    met = live.select("doc_id", "n", F.explode("prefix").alias("gram")).join(chosen, ["doc_id", "n"]).select("rep", "gram")
     hubs = met.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("gram", "hub")
     candidates = met.join(hubs, "gram").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
-    members = live.select("rep", "n", "grams").join(clusters, "rep")
+    members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "grams")
     tiles = _tiles(members, num, den)
     links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_link_tiles(num, den), "a bigint, b bigint")
     linked = connected_components(links).select(F.col("id").alias("rep"), F.col("component"))
@@ -297,5 +298,20 @@ def _home_array(docs: np.ndarray, homes: int) -> np.ndarray:
     return docs % 1000003 * 7919 % 65537 % homes
 
 
+def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, grams, prefix) of the documents with enough shared n-grams for a link.
+
+    A sealed run names one document of each class in its task, so a class may come several times.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(plan_bytes(rows), 1) / (6 << 20))), 5, 16))
+    homes = 1 << bits
+    runs = rows.where("doc_id is not null").mapInArrow(_runs(width, bits), "bucket int, run binary, flags binary")
+    shared = runs.groupBy("bucket").applyInArrow(_find_shared(homes), "home int, shared binary")
+    ids = docs.where("n > 0 and doc_id is not null").distinct()
+    homed = ids.select(_home_column(F.col("doc_id"), homes).alias("home"), "doc_id", "n").groupBy("home")
+    live = homed.cogroup(shared.groupBy("home")).applyInArrow(_gather_sets(num, den), "doc_id bigint, n bigint, grams binary, prefix array<bigint>")
+    return materialise(live, "jaccard-live")
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
