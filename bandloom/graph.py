@@ -66,7 +66,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60, small: int = SM
     work = materialise(work, "links")
     before = _fingerprint(work)
     if before[0] <= small:
-        return work.groupBy(F.lit(0)).applyInArrow(_in_one_task, "id bigint, component bigint")
+        return work.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_in_one_task, "id bigint, component bigint")
     for _ in range(max_rounds):
         if not before[0]:
             break
