@@ -32,7 +32,7 @@ from bandloom.llm.runs import pack, unpack
 from bandloom.llm.textarrays import Words, flat, grams, mix, slices
 from bandloom.storage import materialise, plan_bytes, release
 
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 CELL = 512
 
 
