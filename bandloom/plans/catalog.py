@@ -1,4 +1,5 @@
 """All queries of the raster engine and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from bandloom.plans.raster_queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
