@@ -70,13 +70,13 @@ def cut_evenly(labelled: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; the law is ``rows``.
 
-    Equal texts are one group; null texts are a group too (size 1, text_crc32 null).  A null
+    Equal texts are one group; null texts are a group too (no bytes: size 1, text_crc32 0).  A null
     doc_id is a document like others and comes first in its group.  Repeated rows count each;
     an empty table gives no rows; columns other than doc_id and text are not read.
     """
     raw = F.col("text").cast("string").cast("binary")
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint") + 1
-    nodes = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(F.col("text"), F.crc32(raw), size).alias("grp"))
+    nodes = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("bigint").alias("text_crc32"), F.xxhash64(F.col("text"), F.crc32(raw), size).alias("grp"))
     nodes = materialise(nodes, "shard-nodes")
     totals = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("total"))
     placed = cut_evenly(propagate(materialise(nodes.join(totals, "grp"), "shard-nodes"), shards), shards)
