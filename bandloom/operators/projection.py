@@ -10,7 +10,7 @@ import math
 from types import SimpleNamespace
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WGS 84 (fixed values).
@@ -62,21 +62,41 @@ def from_lonlat(crs: str, lon, lat):
     rad = math.pi / 180
     if crs == "EPSG:3857":
         return lon * (HALF_WORLD / 180), m.log(m.tan(lat * (rad / 2) + math.pi / 4)) * A
-    centre, north = _utm_zone(crs)
-    s = _bind(m.sin(lat * rad))
-    t = _bind(m.sinh(m.atanh(s) - m.atanh(s * ECC) * ECC))
-    lam = _bind(lon * rad - centre)
-    xi, eta = _bind(m.atan2(t, m.cos(lam))), _bind(m.asinh(m.sin(lam) / m.sqrt(t * t + m.cos(lam) * m.cos(lam))))
-    x, y = eta, xi
+    _, north = _utm_zone(crs)
+    return _series(*_sphere(crs, lon, lat), north)
+
+
+def _sphere(crs: str, lon, lat):
+    """(xi, eta): the conformal sphere's coordinates."""
+    m, rad = _kit(lon), math.pi / 180
+    s, lam = m.sin(lat * rad), lon * rad - _utm_zone(crs)[0]
+    t = m.sinh(m.atanh(s) - m.atanh(s * ECC) * ECC)
+    return m.atan2(t, m.cos(lam)), m.asinh(m.sin(lam) / m.sqrt(t * t + m.cos(lam) * m.cos(lam)))
+
+
+def _series(xi, eta, north: float):
+    m, x, y = _kit(xi), eta, xi
     for k, a in enumerate(ALPHA, 1):
         x = x + m.cos(xi * (2 * k)) * m.sinh(eta * (2 * k)) * a
         y = y + m.sin(xi * (2 * k)) * m.cosh(eta * (2 * k)) * a
     return x * (0.9996 * RADIUS) + 500_000.0, y * (0.9996 * RADIUS) + north
 
 
-def _bind(x):
-    """A column whose formula is evaluated once where it stands, however often it is used nearby."""
-    return F.get(F.transform(F.array(x), lambda v: v), 0) if isinstance(x, Column) else x
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns whose formulas are not merged into later ones: a generator of one row stands between."""
+    row = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    return df.select("*", row).select(*df.columns, "_settled.*")
+
+
+def add_coordinates(df: DataFrame, crs: str, lon: str, lat: str, x: str, y: str) -> DataFrame:
+    """``df`` with coordinates of ``crs`` in columns x and y; long formulas are computed in steps."""
+    if crs in ("EPSG:4326", "EPSG:3857"):
+        a, b = from_lonlat(crs, F.col(lon), F.col(lat))
+        return df.withColumns({x: a, y: b})
+    xi, eta = _sphere(crs, F.col(lon), F.col(lat))
+    df = settle(df, _xi=xi, _eta=eta)
+    a, b = _series(F.col("_xi"), F.col("_eta"), _utm_zone(crs)[1])
+    return settle(df, **{x: a, y: b}).drop("_xi", "_eta")
 
 
 def to_lonlat(crs: str, x, y):

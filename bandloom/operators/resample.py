@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.model import Affine, Raster
-from bandloom.operators.projection import from_lonlat, to_lonlat
+from bandloom.operators.projection import add_coordinates, to_lonlat
 from bandloom.operators.roi import Bounds
 
 
@@ -44,8 +44,9 @@ def source_places(out: DataFrame, target: Affine, target_crs: str, raster: Raste
     """Fractional source places (_r, _c) of the centres of output pixels."""
     x, y = target.to_geo(F.col("row") + 0.5, F.col("col") + 0.5)
     lon, lat = to_lonlat(target_crs, x, y)
-    r, c = raster.transform.to_pixel(*from_lonlat(raster.crs, lon, lat))
-    return out.withColumn("_r", r).withColumn("_c", c)
+    places = add_coordinates(out.withColumn("_lon", lon).withColumn("_lat", lat), raster.crs, "_lon", "_lat", "_x", "_y")
+    r, c = raster.transform.to_pixel(F.col("_x"), F.col("_y"))
+    return places.withColumn("_r", r).withColumn("_c", c).drop("_lon", "_lat", "_x", "_y")
 
 
 def warp(pixels: DataFrame, raster: Raster, box: Bounds, height: int, width: int, crs: str = "EPSG:4326", bilinear: bool = False) -> DataFrame:
