@@ -33,8 +33,8 @@ def id_filter(ids: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
 
 
 def mark_members(df: DataFrame, table: DataFrame, column: str, flag: str, blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with a boolean ``flag``: false means that the id is certainly not in the table."""
+    """``df`` with a boolean ``flag``: false means that the id is null or certainly not in the table."""
     block, bits = _place(F.col(column).cast("bigint"), blocks)
     joined = df.withColumn("_block", block).withColumn("_want", _mask(bits)).join(F.broadcast(table), "_block", "left")
-    hit = F.coalesce(F.col("_mask").bitwiseAND(F.col("_want")) == F.col("_want"), F.lit(False))
+    hit = F.col(column).isNotNull() & F.coalesce(F.col("_mask").bitwiseAND(F.col("_want")) == F.col("_want"), F.lit(False))
     return joined.withColumn(flag, hit).drop("_block", "_want", "_mask")
