@@ -33,7 +33,10 @@ from bandloom.llm.textarrays import Words, flat, grams, mix, slices
 from bandloom.storage import materialise, plan_bytes, release
 
 FLUSH = 1_000_000
-CELL = 512
+#: N-grams in a cell of a tile, about: 8 MB.
+CELL = 1_000_000
+#: Which pairs of a tile are compared: all, those of different sides, or all but two of side 1.
+ALL, ACROSS, NOT_UPPER = 0, 1, 2
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -188,8 +191,8 @@ class _Forest:
         return k
 
 
-def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int, cross: bool) -> list[tuple[int, int]]:
-    """A spanning forest of the links of one tile; with ``cross`` only pairs of different sides."""
+def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int, pairs: int = ALL) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the wanted pairs of one tile."""
     order = np.lexsort((ids, sizes))
     ids, sizes, side, sets = ids[order], sizes[order], side[order], [sets[k] for k in order]
     bits = 1 << int(np.clip(np.ceil(np.log2(max(int(sizes.max()), 1) * 4)), 8, 14))
@@ -207,8 +210,10 @@ def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[n
         need = least_overlap(sizes[k], sizes[k + 1 : stop], num, den)
         bound = np.minimum(common + pop[k], common + pop[k + 1 : stop])
         may = bound >= need
-        if cross:
+        if pairs == ACROSS:
             may &= side[k + 1 : stop] != side[k]
+        elif pairs == NOT_UPPER and side[k] == 1:
+            may &= side[k + 1 : stop] != 1
         for j in np.flatnonzero(may) + k + 1:
             a, b = forest.root(k), forest.root(int(j))
             if a != b and len(np.intersect1d(sets[k], sets[j], assume_unique=True)) >= need[j - k - 1]:
@@ -219,23 +224,27 @@ def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[n
 
 def _link_tiles(num: int, den: int):
     def link(table: pa.Table) -> pa.Table:
-        cross = table.column("cross")[0].as_py()
+        pairs = table.column("pairs")[0].as_py()
         sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        found = link_tile(table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy(), sets, num, den, cross) if len(sets) > 1 else []
+        found = link_tile(table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy(), sets, num, den, pairs) if len(sets) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return link
 
 
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(tile columns, side, cross, rep, n, grams): each document in the tiles of its cell."""
+    """(tile columns, side, pairs, rep, n, grams): each document in the tiles of its cell.
+
+    A band of one cell is compared within itself in the tile that it shares with the first cell
+    of the next band, so that most documents are in two tiles.
+    """
     top = members.agg(F.max("n")).first()[0] or 1
     bounds = band_bounds(num, den, top)
     n = F.col("n")
     # the band of a size: lower ends grow by a factor, so a short binary search over literals
     band = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= n)) - 1
     members = members.withColumn("band", band)
-    cells = members.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("c"))
+    cells = members.groupBy("cluster", "band").agg(F.sum("n").alias("c"))
     cells = cells.withColumn("m", F.ceil(F.col("c") / CELL).cast("int"))
     whole = cells.groupBy("cluster").agg(F.sum("c").alias("total"))
     near = lambda d, name: cells.select("cluster", (F.col("band") + d).alias("band"), F.col("m").alias(name))
@@ -243,15 +252,18 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     docs = members.join(cells, ["cluster", "band"])
     salt = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
     docs = docs.withColumn("salt", F.when(F.col("total") <= CELL, 0).otherwise(salt))
-    tile = lambda row, a, b, side, cross: F.struct(row.cast("int").alias("row"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"), cross.alias("cross"))
-    s, band = F.col("salt"), F.col("band")
+    tile = lambda row, a, b, side, pairs: F.struct(row.cast("int").alias("row"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"), pairs.cast("int").alias("pairs"))
+    s, band, none = F.col("salt"), F.col("band"), F.array().cast("array<struct<row:int,a:int,b:int,side:int,pairs:int>>")
     upto = lambda m: F.when(F.coalesce(m, F.lit(0)) > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.transform(upto(F.col("m")), lambda t: tile(band * 2, F.least(s, t), F.greatest(s, t), s, s != t))
-    up = F.transform(upto(F.col("m_up")), lambda t: tile(band * 2 + 1, s, t, F.lit(0), F.lit(True)))
-    down = F.transform(upto(F.col("m_down")), lambda t: tile(band * 2 - 1, t, s, F.lit(1), F.lit(True)))
-    single = F.array(tile(F.lit(-2), F.lit(0), F.lit(0), F.lit(0), F.lit(False)))
+    kind = lambda m, t: F.when((m == 1) & (t == 0), NOT_UPPER).otherwise(ACROSS)
+    own = F.transform(upto(F.col("m")), lambda t: tile(band * 2, F.least(s, t), F.greatest(s, t), s, F.when(s == t, ALL).otherwise(ACROSS)))
+    own = F.when(F.col("m") > 1, own).otherwise(none)
+    # the next band may be empty; a single cell still needs its tile
+    up = F.transform(upto(F.when(F.col("m") == 1, F.greatest(F.coalesce("m_up", F.lit(0)), F.lit(1))).otherwise(F.col("m_up"))), lambda t: tile(band * 2 + 1, s, t, F.lit(0), kind(F.col("m"), t)))
+    down = F.transform(upto(F.col("m_down")), lambda t: tile(band * 2 - 1, t, s, F.lit(1), kind(F.col("m_down"), s)))
+    single = F.array(tile(F.lit(-2), F.lit(0), F.lit(0), F.lit(0), F.lit(ALL)))
     docs = docs.withColumn("t", F.explode(F.when(F.col("total") <= CELL, single).otherwise(F.concat(own, up, down))))
-    return docs.select("cluster", "t.row", "t.a", "t.b", "t.side", "t.cross", "rep", "n", "grams")
+    return docs.select("cluster", "t.row", "t.a", "t.b", "t.side", "t.pairs", "rep", "n", "grams")
 
 
 def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -279,6 +291,7 @@ def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10
     hubs = met.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("gram", "hub")
     candidates = met.join(hubs, "gram").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
+    release(documents.sparkSession)
     members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "grams")
     tiles = _tiles(members, num, den)
     links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_link_tiles(num, den), "a bigint, b bigint")

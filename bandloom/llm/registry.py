@@ -1,5 +1,7 @@
 """The queries of this subpackage, one for each operator, and their SQL."""
 
+from functools import wraps
+
 from bandloom.llm.byte_bpe import op7_byte_bpe
 from bandloom.llm.decontaminate import op5_benchmark_decontamination
 from bandloom.llm.jaccard_join import op1_ngram_jaccard_join
@@ -11,5 +13,24 @@ from bandloom.llm.shard_balance import op3_sharding
 from bandloom.llm.substring_dedup import op10_substring_dedup
 from bandloom.llm.token_rollup import OP6_SQL, op6_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
+BATCH_ROWS = 1000
+
+
+def small_batches(spark) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows: Spark counts rows only, and texts may be very long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def _with_small_batches(function):
+    @wraps(function)
+    def run(spark, sf_dir):
+        small_batches(spark)
+        return function(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op6_token_counts": OP6_SQL, "op9_line_dedup": OP9_SQL}

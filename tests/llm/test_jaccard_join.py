@@ -53,7 +53,7 @@ def corpus(seed, near=40):
     return [(k * 7 % 1009, t) for k, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("width", "num", "den", "cell"), [(3, 90, 100, 512), (3, 90, 100, 4), (5, 8, 10, 3)])
+@pytest.mark.parametrize(("width", "num", "den", "cell"), [(3, 90, 100, 1_000_000), (3, 90, 100, 150), (5, 8, 10, 400)])
 def test_against_brute_force(spark, monkeypatch, width, num, den, cell):
     """The last case also takes the rounds of a large graph."""
     if width == 5:
