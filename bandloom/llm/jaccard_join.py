@@ -316,7 +316,7 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
     A sealed run names one document of each class in its task, so a class may come several times.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(plan_bytes(rows), 1) / (6 << 20))), 5, 16))
+    bits = int(np.clip(np.ceil(np.log2(max(plan_bytes(rows), 1) / (2 << 20))), 5, 16))
     homes = 1 << bits
     runs = rows.where("doc_id is not null").mapInArrow(_runs(width, bits), "bucket int, run binary, flags binary")
     shared = runs.groupBy("bucket").applyInArrow(_find_shared(homes), "home int, shared binary")
