@@ -6,6 +6,9 @@ occur once are put aside.  Around the others matches are extended to both sides:
 window of lines that holds the fingerprint is compared by its own 128-bit hash with the
 first place in (doc_id, line) order where the window occurs, and neighbouring windows join
 into runs.  Lines of later runs are deleted.
+
+Runs may also be judged by length: with ``words`` a single line of that many words is a run
+of its own, and so is a document of one line, whatever its length, among such documents.
 """
 
 from __future__ import annotations
@@ -23,44 +26,59 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def winnow(documents: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, pos, fp, k1, k2): each window of ``run`` lines, its fingerprint and its hash."""
-    hashed = documents.where("doc_id is not null and text is not null").select("doc_id", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h"))
-    hashed = hashed.where(F.size("h") >= run)
-
-    def window(i):
-        part = F.slice(F.col("h"), i + 1, run)
-        return F.struct(i.alias("pos"), F.array_min(part).alias("fp"), F.xxhash64(part).alias("k1"), F.xxhash64(part, F.lit(run)).alias("k2"))
-
-    return hashed.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - run), window)).alias("w")).select("doc_id", "w.*")
+def winnow(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, pos, size, fp, k1, k2): each window of ``run`` lines, its fingerprint and its hash.
 
-
-def repeated_windows(documents: DataFrame, run: int = RUN) -> DataFrame:
-    """(doc_id, pos) of the windows that occur earlier in (doc_id, pos) order."""
-    windows = materialise(winnow(documents, run), "line-windows")
+    With ``words``, also each line of that many words, and each document of one line that is not empty.
+    """
+    h, lines = F.col("h"), _lines(F.col("text"))
+    rows = documents.where("doc_id is not null and text is not null").withColumn("h", F.transform(lines, lambda x: F.xxhash64(x)))
+
+    def window(i, size, kind):
+        part = F.slice(h, i + 1, size)
+        return F.struct(i.cast("int").alias("pos"), F.lit(size).alias("size"), F.array_min(part).alias("fp"), F.xxhash64(part).alias("k1"), F.xxhash64(part, F.lit(kind)).alias("k2"))
+
+    none = F.array().cast("array<struct<pos:int,size:int,fp:bigint,k1:bigint,k2:bigint>>")
+    found = F.when(F.size(h) >= run, F.transform(F.sequence(F.lit(0), F.size(h) - run), lambda i: window(i, run, run))).otherwise(none)
+    if words is not None:
+        # a kind of its own keeps the places of single lines apart from those of runs
+        long = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.regexp_count(F.get(lines, i), F.lit(r"\S+")) >= words)
+        whole = F.when((F.size(h) == 1) & (F.col("text") != ""), F.array(window(F.lit(0), 1, -1))).otherwise(none)
+        found = F.concat(found, F.transform(long, lambda i: window(i, 1, 0)), whole)
+    else:
+        rows = rows.where(F.size(h) >= run)
+    return rows.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.*")
+
+
+def repeated_windows(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, pos, size) of the windows that occur earlier in (doc_id, pos) order."""
+    windows = materialise(winnow(documents, run, words), "line-windows")
     place = F.struct("doc_id", "pos")
     prints = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
     near = windows.join(prints, "fp", "left_semi")
     first = near.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
-    return near.join(first, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "pos")
+    return near.join(first, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "pos", "size")
 
 
-def deduplicate(documents: DataFrame, run: int = RUN) -> DataFrame:
+def deduplicate(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """The columns of ``documents`` (doc_id, text, ...) with later repeated runs of lines cut from text.
 
     Adds _lines and _removed, numbers of lines.  A line is what stands between line feeds; an
     empty text is one empty line, a null text none, and stays null.  Rows with a null doc_id
     are kept whole and are no source.  Repeated rows are one document: they lose the same
     lines.  Texts with fewer than ``run`` lines lose none.  An empty table gives no rows.
+
+    With ``words``, later copies of a single line of at least that many words go too, and
+    later copies of a document of one line that is not empty.
     """
-    flagged = materialise(repeated_windows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run), "line-repeats")
-    places = flagged.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_pos"))
+    flagged = materialise(repeated_windows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, words), "line-repeats")
+    places = flagged.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("pos", "size")).alias("_pos"))
     marked = mark_members(documents, id_filter(flagged, "doc_id"), "doc_id", "_maybe")
     count = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
     count = F.when(F.col("text").isNull(), 0).otherwise(count)
     whole = marked.where("not _maybe").withColumn("_lines", count).withColumn("_removed", F.lit(0))
     cut = marked.where("_maybe").join(places, F.col("doc_id") == F.col("_id"), "left").withColumn("_lines", count)
-    gone = F.array_distinct(F.flatten(F.transform(F.col("_pos"), lambda p: F.sequence(p, p + (run - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform(F.col("_pos"), lambda p: F.sequence(p["pos"], p["pos"] + p["size"] - 1))))
     cut = cut.withColumn("_gone", gone)
     kept = F.array_except(F.sequence(F.lit(0), F.col("_lines") - 1), F.col("_gone"))
     cut = cut.withColumn("_all", _lines(F.col("text"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n")))

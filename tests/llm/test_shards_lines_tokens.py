@@ -78,6 +78,37 @@ def test_lines_against_brute_force(spark, run):
     assert deduplicate(df.limit(0), run).collect() == []
 
 
+def brute_single_lines(rows, words):
+    """Positions by document of later long lines and of later documents of one line."""
+    lines, whole, gone = set(), set(), defaultdict(set)
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
+        for p, x in enumerate(t.split("\n")):
+            if len(x.split()) >= words:
+                if x in lines:
+                    gone[i].add(p)
+                lines.add(x)
+        if t and "\n" not in t:
+            if t in whole:
+                gone[i].add(0)
+            whole.add(t)
+    return gone
+
+
+def test_single_lines_by_length(spark):
+    licence = "this text may be used by anyone for any purpose"
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"own {k}\n{licence}\nmore {k}") for k in range(5)]
+    rows += [(10, passage), (11, f"x 11\n{passage}"), (12, passage), (13, "short"), (14, "short"), (15, "short\nown 15"), (16, "y 16\nshort"), (17, ""), (18, ""), (19, None), (None, passage)]
+    rows += [(20, f"{licence}\n{licence}\na 20"), (21, "k 21\ntwo words\nl 21"), (22, "m 22\ntwo words\nn 22")]
+    got = {(r.doc_id, r.text, r._removed) for r in deduplicate(docs(spark, rows), words=5).collect()}
+    gone = brute_single_lines(rows, 5)
+    want = set()
+    for i, t in rows:
+        drop = gone[i] if i is not None else set()
+        want.add((i, t if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in drop), len(drop)))
+    assert got == want and {i for i, _, n in got if n} == {1, 2, 3, 4, 11, 12, 14, 20}
+
+
 def test_ledger(spark, tmp_path):
     schema = "kind string, source string, lang string, tokenizer string, tokens bigint, old_tokens bigint"
     ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
