@@ -10,8 +10,9 @@
 4. A cluster is cut into tiles of two cells; a cell holds documents of one size band, salted
    by hash when the band is large.  Bands are so wide that linked documents lie in the same
    or in neighbouring ones.  In a tile, bit counts of hashed bitmaps bound each overlap from
-   above; what may still link is intersected exactly, unless both already hang together.
-5. Components of the found links give the classes.
+   above; what may still link is intersected exactly, each pair in one tile.
+5. Components of the found links give the classes.  A tile sends a spanning forest of its
+   links and the number of links of each document; ``pairs`` sends the links themselves.
 
 Documents with equal sets are one class from the start; copies are never compared.
 No step drops or samples anything: an n-gram in very many documents leaves a task once.
@@ -191,18 +192,23 @@ class _Forest:
         return k
 
 
-def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int, pairs: int = ALL) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the wanted pairs of one tile."""
+def tile_links(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int, pairs: int = ALL) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, others, overlaps): all links among the wanted pairs of one tile, each once, by place in ``ids``."""
     order = np.lexsort((ids, sizes))
-    ids, sizes, side, sets = ids[order], sizes[order], side[order], [sets[k] for k in order]
+    sizes, side, sets = sizes[order], side[order], [sets[k] for k in order]
     bits = 1 << int(np.clip(np.ceil(np.log2(max(int(sizes.max()), 1) * 4)), 8, 14))
-    maps = np.zeros((len(ids), bits), bool)
+    maps = np.zeros((len(sets), bits // 8), np.uint8)
     for k, s in enumerate(sets):
-        maps[k, (s >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
-    words = np.packbits(maps, axis=1).view(np.uint64)
-    pop = np.array([len(s) for s in sets]) - np.bitwise_count(words).sum(1, dtype=np.int64)  # n-grams that share a bit with another
-    forest, links = _Forest(len(ids)), []
-    for k in range(len(ids) - 1):
+        row = np.zeros(bits, bool)
+        row[(s >> np.uint64(20)).astype(np.int64) & (bits - 1)] = True
+        maps[k] = np.packbits(row)
+    words = maps.view(np.uint64)
+    lengths = np.array([len(s) for s in sets])
+    pop = lengths - np.bitwise_count(words).sum(1, dtype=np.int64)  # n-grams that share a bit with another
+    values, flat_codes = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.append(0, np.cumsum(lengths))
+    mark = np.zeros(len(values), np.uint8)
+    for k in range(len(sets) - 1):
         stop = int(np.searchsorted(sizes, sizes[k] * den // num, "right"))
         if stop <= k + 1:
             continue
@@ -214,26 +220,82 @@ def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[n
             may &= side[k + 1 : stop] != side[k]
         elif pairs == NOT_UPPER and side[k] == 1:
             may &= side[k + 1 : stop] != 1
-        for j in np.flatnonzero(may) + k + 1:
-            a, b = forest.root(k), forest.root(int(j))
-            if a != b and len(np.intersect1d(sets[k], sets[j], assume_unique=True)) >= need[j - k - 1]:
+        others = np.flatnonzero(may) + k + 1
+        if not len(others):
+            continue
+        own = flat_codes[first[k] : first[k + 1]]
+        mark[own] = 1
+        if 2 * len(others) > stop - k - 1:  # most of the range: one pass over it
+            hits = np.append(0, np.cumsum(mark[flat_codes[first[k + 1] : first[stop]]], dtype=np.int64))
+            overlap = hits[first[others + 1] - first[k + 1]] - hits[first[others] - first[k + 1]]
+        else:
+            overlap = np.array([np.count_nonzero(mark[flat_codes[first[j] : first[j + 1]]]) for j in others], np.int64)
+        mark[own] = 0
+        linked = overlap >= need[others - k - 1]
+        if linked.any():
+            yield int(order[k]), order[others[linked]], overlap[linked]
+
+
+def link_tile(ids: np.ndarray, sizes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int, pairs: int = ALL, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the wanted pairs of one tile; all links are added to ``counts`` by weight."""
+    forest, links = _Forest(len(ids)), []
+    for k, others, _ in tile_links(ids, sizes, side, sets, num, den, pairs):
+        if counts is not None:
+            counts[k] += weights[others].sum()
+            counts[others] += weights[k]
+        for j in others.tolist():
+            a, b = forest.root(k), forest.root(j)
+            if a != b:
                 forest.up[max(a, b)] = min(a, b)
                 links.append((int(ids[k]), int(ids[j])))
     return links
 
 
+def _tile_columns(table: pa.Table) -> tuple:
+    sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
+    return table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy(), sets
+
+
 def _link_tiles(num: int, den: int):
+    """Rows (a, b, links): links of a forest, and with a null b the number of rows that link to a."""
+
     def link(table: pa.Table) -> pa.Table:
-        pairs = table.column("pairs")[0].as_py()
-        sets = [np.frombuffer(g, np.uint64) for g in table.column("grams").to_pylist()]
-        found = link_tile(table.column("rep").to_numpy(), table.column("n").to_numpy(), table.column("side").to_numpy(), sets, num, den, pairs) if len(sets) > 1 else []
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+        ids, sizes, side, sets = _tile_columns(table)
+        weights, counts = table.column("class_size").to_numpy(), np.zeros(len(ids), np.int64)
+        found = link_tile(ids, sizes, side, sets, num, den, table.column("pairs")[0].as_py(), weights, counts) if len(sets) > 1 else []
+        some = np.flatnonzero(counts)
+        a, b = [a for a, _ in found] + ids[some].tolist(), [b for _, b in found] + [None] * len(some)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})
+
+    return link
+
+
+def _pair_tiles(num: int, den: int):
+    """Rows (a, b, common): the links themselves, in batches."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, sizes, side, sets = _tile_columns(table)
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            a, b, common = (np.concatenate(c) for c in zip(*held, strict=True))
+            return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b)), "common": pa.array(common)})
+
+        for k, others, overlap in tile_links(ids, sizes, side, sets, num, den, table.column("pairs")[0].as_py()) if len(sets) > 1 else ():
+            held.append((np.full(len(others), ids[k]), ids[others], overlap))
+            size += len(others)
+            if size >= FLUSH:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
     return link
 
 
 def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(tile columns, side, pairs, rep, n, grams): each document in the tiles of its cell.
+    """(tile columns, side, pairs, rep, n, class_size, grams): each document in the tiles of its cell.
 
     A band of one cell is compared within itself in the tile that it shares with the first cell
     of the next band, so that most documents are in two tiles.
@@ -263,7 +325,7 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     down = F.transform(upto(F.col("m_down")), lambda t: tile(band * 2 - 1, t, s, F.lit(1), kind(F.col("m_down"), s)))
     single = F.array(tile(F.lit(-2), F.lit(0), F.lit(0), F.lit(0), F.lit(ALL)))
     docs = docs.withColumn("t", F.explode(F.when(F.col("total") <= CELL, single).otherwise(F.concat(own, up, down))))
-    return docs.select("cluster", "t.row", "t.a", "t.b", "t.side", "t.pairs", "rep", "n", "grams")
+    return docs.select("cluster", "t.row", "t.a", "t.b", "t.side", "t.pairs", "rep", "n", "class_size", "grams")
 
 
 def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -276,6 +338,37 @@ def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10
     document: repeated rows stay, with equal results.  An empty table gives no rows; other
     columns are not read.
     """
+    return linked(documents, width, num, den).select("doc_id", "n_shingles", "component_id", "class_size")
+
+
+def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """The columns of ``components`` and n_links: the number of other rows that link to the row, of its own set or another."""
+    docs, classes, tiles = _candidate_tiles(documents, width, num, den)
+    found = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_link_tiles(num, den), "a bigint, b bigint, links bigint")
+    found = materialise(found, "jaccard-links")
+    joined = connected_components(found.select("a", "b")).select(F.col("id").alias("rep"), F.col("component"))
+    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    named = classes.join(joined.join(counts, "rep"), "rep", "left").select("k1", "k2", "n", "class_size", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
+    out = docs.join(named, ["k1", "k2", "n"], "left")
+    alone = F.col("doc_id").isNull() | F.col("component").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
+
+
+def pairs(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(links, members): a, b, common for each link between different sets, a < b, and doc_id, rep for each document.
+
+    a and b are representatives, the least doc_id of each set; common is the size of the
+    intersection.  Documents with one representative have equal sets.  The links grow with
+    the square of a group of near copies.
+    """
+    docs, classes, tiles = _candidate_tiles(documents, width, num, den)
+    links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_pair_tiles(num, den), "a bigint, b bigint, common bigint")
+    members = docs.where("doc_id is not null").distinct().join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
+    return links, members
+
+
+def _candidate_tiles(documents: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with keys, classes of equal sets, tiles in which all links between classes lie)."""
     rows = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text"))
     docs = materialise(rows.mapInArrow(_measure(width), "doc_id bigint, n bigint, k1 bigint, k2 bigint"), "jaccard-documents")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
@@ -284,22 +377,16 @@ def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10
     release(documents.sparkSession)
 
     # documents of one class have the same shared n-grams, so any of them speaks for it
-    named = docs.where("doc_id is not null").distinct().join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"])
-    chosen = live.select("doc_id", "n").join(named.select("doc_id", "n", "rep"), ["doc_id", "n"]).groupBy("rep", "n").agg(F.min("doc_id").alias("doc_id"))
+    named = docs.where("doc_id is not null").distinct().join(classes, ["k1", "k2", "n"])
+    chosen = live.select("doc_id", "n").join(named.select("doc_id", "n", "rep", "class_size"), ["doc_id", "n"]).groupBy("rep", "n", "class_size").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialise(chosen, "jaccard-chosen")
     met = live.select("doc_id", "n", F.explode("prefix").alias("gram")).join(chosen, ["doc_id", "n"]).select("rep", "gram")
     hubs = met.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("gram", "hub")
     candidates = met.join(hubs, "gram").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     release(documents.sparkSession)
-    members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "grams")
-    tiles = _tiles(members, num, den)
-    links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_link_tiles(num, den), "a bigint, b bigint")
-    linked = connected_components(links).select(F.col("id").alias("rep"), F.col("component"))
-    named = classes.join(linked, "rep", "left").select("k1", "k2", "n", "class_size", F.coalesce("component", "rep").alias("component"))
-    out = docs.join(named, ["k1", "k2", "n"], "left")
-    alone = F.col("doc_id").isNull() | F.col("component").isNull()
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"))
+    members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "class_size", "grams")
+    return docs, classes, _tiles(members, num, den)
 
 
 def _home_column(doc_id: Column, homes: int) -> Column:
@@ -327,4 +414,4 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)

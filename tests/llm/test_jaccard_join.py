@@ -7,7 +7,7 @@ import pytest
 
 from bandloom.graph import connected_components
 from bandloom.llm import jaccard_join
-from bandloom.llm.jaccard_join import components, link_tile
+from bandloom.llm.jaccard_join import components, link_tile, linked, pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,6 +65,21 @@ def test_against_brute_force(spark, monkeypatch, width, num, den, cell):
     assert got == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize("cell", [1_000_000, 150])
+def test_every_link_is_counted_and_listed(spark, monkeypatch, cell):
+    monkeypatch.setattr(jaccard_join, "CELL", cell)
+    rows = corpus(4, near=120)
+    sets = {i: shingles(t, 3) for i, t in rows}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r.doc_id: r.n_links for r in linked(df, 3, 90, 100).collect()}
+    assert got == {i: sum(i in p for p in want) for i in sets} and sum(got.values()) > 4 * len(sets)
+    links, members = (x.collect() for x in pairs(df, 3, 90, 100))
+    rep = {r.doc_id: r.rep for r in members}
+    assert rep == {i: min(j for j in sets if sets[j] == s) for i, s in sets.items() if s}
+    assert sorted(tuple(r) for r in links) == sorted((a, b, len(sets[a] & sets[b])) for a, b in want if rep[a] == a and rep[b] == b and sets[a] != sets[b])
+
+
 def test_nulls_repeats_and_empty(spark):
     assert components(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
     text = "a b c d e f g"
