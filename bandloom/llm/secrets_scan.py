@@ -4,8 +4,8 @@ Two models of characters given the two before them are trained from labelled sam
 random strings (drawn from a seeded generator in several alphabets, plus the values that
 the fixed patterns find in the corpus sample) and ordinary identifiers (the words of the
 same sample outside those matches).  A candidate run becomes a span of kind ``markov``
-when the log-likelihood ratio for each character is over a threshold that is set on
-held-out labelled identifiers.
+when the log-likelihood ratio for each character is over a threshold that is set on a high
+quantile of held-out identifiers: the sample has no labels, so a few keys may be among them.
 """
 
 from __future__ import annotations
@@ -30,7 +30,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 #: What the models look at: runs with at least this many characters of the usual alphabets of keys.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Runs under this length without letters are dates, phone and card numbers, of which identifiers say nothing.
+NUMBER = 20
+#: The share of held-out identifiers below the threshold.
+IDENTIFIERS = 0.995
+RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
+DIGIT = re.compile(r"[0-9]")
+LETTER = re.compile(r"[A-Za-z]")
+WORD = re.compile(r"[A-Za-z_]{5,}")
 SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 10000
 RANDOM_STRINGS = 6000
@@ -85,17 +93,27 @@ class MarkovScorer:
 
 
 def train(secrets: list[str], ordinary: list[str], seed: int = 11) -> MarkovScorer:
-    """Fit both models; the threshold lies above every held-out identifier and below most random strings."""
+    """Fit both models; the threshold lies above nearly all held-out identifiers and below most random strings."""
     rng = np.random.default_rng(seed)
     random = ["".join(rng.choice(list(_ALPHABETS[k % len(_ALPHABETS)]), int(rng.integers(20, 65)))) for k in range(RANDOM_STRINGS)]
     half = len(ordinary) // 2
     scorer = MarkovScorer(_log_model(random[::2] + secrets) - _log_model(ordinary[:half] or ["identifier"]), 0.0)
     held = scorer.scores([s for s in ordinary[half:] if len(s) >= 12] or ["identifier_name_of_a_thing"])
     high = scorer.scores(random[1::2])
-    scorer.threshold = max(float(held.max()) + 0.05, float(np.quantile(high, 0.02)) / 2, 0.5)
+    scorer.threshold = max(float(np.quantile(held, IDENTIFIERS, method="lower")) + 0.05, float(np.quantile(high, 0.02)) / 2, 0.5)
     return scorer
 
 
+def ordinary_words(text: str) -> list[str]:
+    """The words of a text, without the pieces of what may be a key: long runs with digits."""
+    out = []
+    for m in RUN.finditer(text):
+        run = m.group()
+        if len(run) < 12 or not DIGIT.search(run):
+            out += WORD.findall(run)
+    return out
+
+
 def labelled_sample(documents: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
     """(secret values, ordinary words) of about ``limit`` documents, drawn by hash of doc_id.
 
@@ -108,9 +126,9 @@ def labelled_sample(documents: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[lis
         for start, kind, end in spans:
             m = ASSIGN.match(text, start, end) if kind == 0 else None
             secrets.add(m.group(2) if m else text[start:end])
-            ordinary.update(re.findall(r"[A-Za-z_]{5,}", text[at:start]))
+            ordinary.update(ordinary_words(text[at:start]))
             at = max(at, end)
-        ordinary.update(re.findall(r"[A-Za-z_]{5,}", text[at:]))
+        ordinary.update(ordinary_words(text[at:]))
     order = sorted(ordinary, key=lambda s: hashlib.md5(s.encode()).digest())
     return sorted(secrets), order
 
@@ -118,13 +136,14 @@ def labelled_sample(documents: DataFrame, limit: int = SAMPLE_DOCS) -> tuple[lis
 def all_spans(text: str, scorer: MarkovScorer) -> list[tuple[int, int, int]]:
     """Base spans and, outside them, the runs that look random."""
     found = base_spans(text)
-    runs = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        run = m.group()
-        if run.isalpha() and (run.islower() or run.istitle()) or any(a < e and s < b for s, _, e in found):
-            continue
-        runs.append((a, 3, b))
+    runs, at = [], 0
+    for start, end in [*((s, e) for s, _, e in found), (len(text), len(text))]:
+        for m in CANDIDATE.finditer(text, at, max(at, start)):
+            run = m.group()
+            if run.isalpha() and (run.islower() or run.istitle()) or len(run) < NUMBER and not LETTER.search(run):
+                continue
+            runs.append((m.start(), 3, m.end()))
+        at = max(at, end)
     if runs:
         keep = scorer.scores([text[a:b] for a, _, b in runs]) > scorer.threshold
         found = sorted(found + [r for r, k in zip(runs, keep, strict=True) if k])

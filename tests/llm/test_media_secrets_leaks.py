@@ -76,6 +76,25 @@ def test_secrets(spark):
     assert secrets_scan.all_spans("see initialize_connection_pool_responsibilities here", scorer) == []
 
 
+def test_unlabelled_keys_do_not_blind_the_models(spark):
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    word = lambda: "".join(rng.choice(["con", "ter", "na", "li", "ment", "ing", "the", "_"]) for _ in range(rng.randint(2, 8)))
+    texts = [" ".join(word() for _ in range(20)) for _ in range(100)] + [f"see {key(40)} here" for _ in range(20)]
+    secrets, ordinary = secrets_scan.labelled_sample(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert secrets == [] and len(ordinary) > 500
+    # one key of letters only, which no rule can keep out of the ordinary words
+    for scorer in (secrets_scan.train(secrets, ordinary), secrets_scan.train(secrets, [*ordinary, "QzXvKjWqPzGbVxMtRfJy"])):
+        for n in (12, 16, 20, 40):
+            found = [secrets_scan.all_spans(f"a {k} b", scorer) == [(2, 3, 2 + n)] for k in (key(n) for _ in range(50))]
+            assert sum(found) >= 48
+        assert not any(k == 3 for _, k, _ in secrets_scan.all_spans("on 2024-01-15 15:30, +49-30-1234567 or 4111111111111111", scorer))
+        assert sum(len(secrets_scan.all_spans(t, scorer)) for t in texts[:100]) <= 10
+        beside = "deadbeefdeadbeef00/" + "Zk7Qx" + key(30)
+        assert secrets_scan.all_spans(beside, scorer) == [(0, 2, 18), (18, 3, len(beside))]
+
+
 def test_subsequence_against_table():
     rng = np.random.default_rng(1)
     for _ in range(50):
