@@ -1,9 +1,10 @@
-"""A membership filter of fixed size, built and probed with DataFrame functions.
+"""A membership filter of bounded size, built and probed with DataFrame functions.
 
-``id_filter`` sets bits of a table with at most ``blocks`` rows of 64 bits, whatever
-the number of ids, so its broadcast has a proven bound (2**17 rows, a few MB).  A set
-bit may be a false positive, never a false negative: use it to spare a shuffle of rows
-that certainly find no partner, with an exact join for the rest.
+The filter sets bits of a table with at most ``MOST_BLOCKS`` rows of 64 bits, so its
+broadcast has a proven bound (some 20 MB).  A set bit may be a false positive, never a
+false negative: it spares the shuffle of rows that certainly find no partner, and leaves
+an exact join for the rest.  Past ``MOST_IDS`` ids it would let nearly everything through,
+so that all rows go to the exact join.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 1 << 17
+LEAST_BLOCKS, MOST_BLOCKS = 1 << 12, 1 << 19
+MOST_IDS = 8 * MOST_BLOCKS
 
 
 def _place(col: Column, blocks: int) -> tuple[Column, Column]:
@@ -27,14 +29,21 @@ def _mask(bits: Column) -> Column:
     return a.bitwiseOR(b)
 
 
-def id_filter(ids: DataFrame, column: str, blocks: int = BLOCKS) -> DataFrame:
-    block, bits = _place(F.col(column).cast("bigint"), blocks)
-    return ids.where(F.col(column).isNotNull()).select(block.alias("_block"), _mask(bits).alias("_m")).groupBy("_block").agg(F.bit_or("_m").alias("_mask"))
-
-
-def mark_members(df: DataFrame, table: DataFrame, column: str, flag: str, blocks: int = BLOCKS) -> DataFrame:
-    """``df`` with a boolean ``flag``: false means that the id is null or certainly not in the table."""
-    block, bits = _place(F.col(column).cast("bigint"), blocks)
-    joined = df.withColumn("_block", block).withColumn("_want", _mask(bits)).join(F.broadcast(table), "_block", "left")
-    hit = F.col(column).isNotNull() & F.coalesce(F.col("_mask").bitwiseAND(F.col("_want")) == F.col("_want"), F.lit(False))
-    return joined.withColumn(flag, hit).drop("_block", "_want", "_mask")
+def split_by_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose key is null or certainly not among the ids, rows whose key may be).
+
+    ``ids`` has one BIGINT column and is best a stored table: it is counted and read again.  The
+    rows keep their columns, whatever their names.
+    """
+    n = ids.count()
+    if n > MOST_IDS:
+        return df.where(F.col(key).isNull()), df.where(F.col(key).isNotNull())
+    if not n:
+        return df, df.where(F.lit(False))
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (n // 6).bit_length()))
+    block, bits = _place(F.col(ids.columns[0]).cast("bigint"), blocks)
+    table = ids.where(F.col(ids.columns[0]).isNotNull()).select(block.alias("block"), _mask(bits).alias("m")).groupBy("block").agg(F.bit_or("m").alias("mask"))
+    block, bits = _place(F.col(key).cast("bigint"), blocks)
+    joined = df.select(F.struct("*").alias("row"), block.alias("block"), _mask(bits).alias("want")).join(F.broadcast(table), "block", "left")
+    hit = F.col(f"row.{key}").isNotNull() & F.coalesce(F.col("mask").bitwiseAND(F.col("want")) == F.col("want"), F.lit(False))
+    return joined.where(~hit).select("row.*"), joined.where(hit).select("row.*")

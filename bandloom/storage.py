@@ -19,9 +19,12 @@ FALLBACK_DIR = "file:/tmp/bandloom-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; chosen here only where none is set."""
+    """The cluster's shared checkpoint folder.  A local session, as in tests, may leave it unset; a cluster may not."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master or ""
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = FALLBACK_DIR
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/bandloom-{spark.sparkContext.applicationId}"
@@ -88,6 +91,16 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes to expect of a text column: the optimiser's estimate, or a sum where it has none (no files below)."""
+    estimate = plan_bytes(df)
+    if estimate < 1 << 60:
+        return estimate
+    from pyspark.sql import functions as F
+
+    return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of plans that nothing refers to any more.
 

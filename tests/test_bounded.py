@@ -1,12 +1,20 @@
-from bandloom.bounded import id_filter, mark_members
+from bandloom import bounded
+from bandloom.bounded import split_by_ids
 
 
-def test_members_are_never_missed(spark):
+def test_members_are_never_missed(spark, monkeypatch):
     ids = spark.range(0, 20000, 7).selectExpr("id AS k").union(spark.createDataFrame([(None,)], "k bigint"))
-    rows = spark.range(20000).selectExpr("id AS doc_id").union(spark.createDataFrame([(None,)], "doc_id bigint"))
-    table = id_filter(ids, "k", blocks=1 << 10)
-    assert table.count() <= 1 << 10
-    got = mark_members(rows, table, "doc_id", "hit", blocks=1 << 10).collect()
-    assert len(got) == 20001
-    assert all(r.hit for r in got if r.doc_id is not None and r.doc_id % 7 == 0)
-    assert sum(r.hit for r in got) < 8000 and not any(r.hit for r in got if r.doc_id is None)
+    rows = spark.range(20000).selectExpr("id AS doc_id", "id AS block", "'x' AS mask").union(spark.createDataFrame([(None, 1, "x")], "doc_id bigint, block bigint, mask string"))
+    for most in (bounded.MOST_IDS, 100):
+        monkeypatch.setattr(bounded, "MOST_IDS", most)
+        out, maybe = split_by_ids(rows, ids)
+        assert out.columns == maybe.columns == rows.columns
+        out, maybe = out.collect(), maybe.collect()
+        assert len(out) + len(maybe) == 20001 and all(r.doc_id is None or r.doc_id % 7 for r in out)
+        assert {r.doc_id for r in maybe} >= set(range(0, 20000, 7)) and all(r.doc_id is not None for r in maybe)
+        assert most == 100 or len(maybe) < 4000
+
+
+def test_no_ids(spark):
+    out, maybe = split_by_ids(spark.range(5).withColumnRenamed("id", "doc_id"), spark.createDataFrame([], "k bigint"))
+    assert out.count() == 5 and maybe.count() == 0
