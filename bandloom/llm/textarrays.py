@@ -16,14 +16,13 @@ SEPARATORS = np.zeros(256, bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _rng = np.random.default_rng(20240607)
-_BYTE_VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE_VALUE[SEPARATORS] = 0
+_BYTE_VALUE = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE_VALUE[:, SEPARATORS] = 0
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_LOWER_VALUE = _BYTE_VALUE[_LOWER]
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_GRAM = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_FAMILY = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
+_multipliers = np.zeros((2, 0), np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,11 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, 64) * 2 - 1, _BASE)]), dtype=np.uint64)
-    return _powers
+def _place_multipliers(n: int, family: int) -> np.ndarray:
+    """An odd multiplier for each place, one independent of the next (splitmix of the place)."""
+    global _multipliers
+    if _multipliers.shape[1] < n:
+        place = np.arange(max(n, 64) * 2, dtype=np.uint64) * _STEP
+        _multipliers = mix(place[None] + _FAMILY[:, None]) | np.uint64(1)
+    return _multipliers[family, :n]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
@@ -87,8 +88,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word; ``lower`` folds A-Z."""
+    def hashes(self, lower: bool = False, family: int = 0) -> np.ndarray:
+        """64-bit hash of each word; ``lower`` folds A-Z.  The two families are independent of each other.
+
+        A multilinear hash: each byte's random value times a multiplier of its place.  Two words
+        of one length collide with a chance of at most 2**-62, whatever their structure.
+        """
         if not len(self.start):
             return np.zeros(0, np.uint64)
         longest = int((self.end - self.start).max())
@@ -98,21 +103,22 @@ class Words:
         place = np.arange(begin, len(self.data)) - np.repeat(self.start, gaps)
         np.minimum(place, longest, out=place)
         place[place >= np.repeat(self.end - self.start, gaps)] = longest  # what follows the word
-        power = _power_table(longest + 1)[: longest + 1].copy()
-        power[longest] = 0
-        value = (_LOWER_VALUE if lower else _BYTE_VALUE)[data] * power[place]
-        return mix(np.add.reduceat(value, self.start - begin) + (self.end - self.start).astype(np.uint64))
+        times = _place_multipliers(longest + 1, family).copy()
+        times[longest] = 0
+        value = _BYTE_VALUE[family]
+        value = (value[_LOWER] if lower else value)[data] * times[place]
+        return mix(np.add.reduceat(value, self.start - begin) + (self.end - self.start).astype(np.uint64) * _STEP)
 
 
-def grams(hashes: np.ndarray, width: int) -> np.ndarray:
+def grams(hashes: np.ndarray, width: int, family: int = 0) -> np.ndarray:
     """Hash of ``width`` consecutive words from each place; the last width-1 places are missing."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = hashes[:n].copy()
+    times = _place_multipliers(width, family)
+    total = hashes[:n] * times[0]
     for k in range(1, width):
-        total *= _GRAM
-        total += hashes[k : k + n]
+        total += hashes[k : k + n] * times[k]
     return mix(total)
 
 
