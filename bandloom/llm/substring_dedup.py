@@ -1,21 +1,25 @@
 """Substring deduplication with a log-structured fingerprint index.
 
-The index holds sorted immutable runs: for a range of 64-bit window hashes (a bucket)
-the sorted hashes, 16 independent check bits, and the least doc_id in which the window
-starts.  A batch of documents seals one small run for each bucket and task; runs of the
-batch and of the index meet by bucket, are merged in order, and every window whose
-sequence starts in a smaller document is reported.  The check bits come from a second
-hash, so a reported window agrees in 80 bits with its source.  Sealed runs are compacted
-when there are more than ``fanout``.
-
-A window that many documents share leaves a task once, under its least document; the
-others are decided in the task itself.  So no bucket grows with the copies of a window.
+The index holds sorted immutable runs: for a range of 64-bit window hashes (a bucket) the
+sorted hashes with the least document and place where each window starts.  A run is a
+table bucketed by that range, so that runs are merge-joined without a shuffle.
+
+1. Tasks sort the window hashes of a batch and deal them out by bucket; what repeats within
+   a task is settled there, so that a window of very many documents leaves a task once.
+2. A bucket's parts become the batch's run; windows whose hash is in the run under a smaller
+   document are reported, and each older run is merge-joined with the new one.
+3. Reported windows of a document become ranges (place, windows, source, place there).
+   Ranges are verified: digests of the words themselves, cut at every ``BLOCK`` words of the
+   source, are compared with those of the source's text.  Where one differs two windows had
+   one hash, and the documents concerned are decided anew by their windows' words.
+4. Runs of one level are compacted to one of the next level, as in a binary counter.
 """
 
 from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,215 +27,423 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.bounded import id_filter, mark_members
+from bandloom.bounded import split_by_ids
 from bandloom.llm.runs import pack, unpack
 from bandloom.llm.textarrays import Words, flat, gram_places, grams, mix, slices
-from bandloom.storage import list_dirs, materialise, new_path, plan_bytes, remove, rename
+from bandloom.storage import exists, list_dirs, materialise, new_path, release, remove, text_bytes
 
 WINDOW = 13
 FLUSH = 2_000_000
-_CHECK = np.uint64(0xA24BAED4963EE407)
+#: Bytes of text for a bucket, about; so a bucket of a run is some 20 MB, whatever the size of the input.
+BUCKET_BYTES = 6 << 20
+#: A task deals windows out to at most 2**LEVEL buckets; finer ones are reached in more steps.
+LEVEL = 12
+#: Words in a verified piece of a source.
+BLOCK = 64
+#: Batches of a table that comes as a whole: two runs of level 0 are compacted, the third stays.
+BATCHES = 3
 RUN_SCHEMA = "bucket int, run binary, flags binary"
-_NO_POS = -1
-
-
-def _sorted_groups(keys: np.ndarray, check: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, index of each entry's group start in that order); groups are equal windows, least doc first."""
-    order = np.lexsort((docs, keys))
-    k, c = keys[order], check[order]
-    fresh = np.ones(len(k), bool)
-    fresh[1:] = k[1:] != k[:-1]
-    if np.any(~fresh[1:] & (c[1:] != c[:-1])):  # one hash, two windows: the check bits part them
-        order = np.lexsort((docs, check, keys))
-        k, c = keys[order], check[order]
-        fresh[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-    start = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
-    return order, start
-
-
-def _seal(parts: list[tuple], bits: int) -> Iterator[pa.RecordBatch]:
-    """Runs and settled flags of a task's windows, a row for each bucket."""
-    keys, check, docs, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order, start = _sorted_groups(keys, check, docs)
-    keys, check, docs, pos = keys[order], check[order], docs[order], pos[order]
-    repeat = docs > docs[start]
+RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+
+
+def _joined(parts: list, dtypes: tuple) -> list[np.ndarray]:
+    """The columns of packed parts, one after the other."""
+    columns = [unpack(p) for p in parts if p is not None]
+    return [np.concatenate(c) for c in zip(*columns, strict=True)] if columns else [np.zeros(0, t) for t in dtypes]
+
+
+_RUN = (np.uint64, np.int64, np.int32)
+_FLAG = (np.int64, np.int32, np.int64, np.int32)
+
+
+def _in_order(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The columns by (key, doc, pos), and where each entry's key starts."""
+    if np.any(docs[1:] < docs[:-1]) or np.any((docs[1:] == docs[:-1]) & (pos[1:] < pos[:-1])):
+        order = np.lexsort((pos, docs))
+        keys, docs, pos = keys[order], docs[order], pos[order]
+    order = np.argsort(keys, kind="stable")
+    keys, docs, pos = keys[order], docs[order], pos[order]
+    fresh = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    return keys, docs, pos, np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
+
+
+def _by_bucket(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, flags: list[np.ndarray] | None, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, run, flags) of sorted columns; the flags go with the first row."""
     edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
-        runs, flags = [], []
-        for b in group:
-            s = slice(edges[b], edges[b + 1])
-            r, k = repeat[s], ~repeat[s]
-            runs.append(pack([keys[s][k], check[s][k], docs[s][k], pos[s][k]]))
-            flags.append(pack([docs[s][r], pos[s][r]]) if r.any() else None)
-        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.array(flags, pa.binary())})
+    full = [b for b in range(1 << bits) if edges[b] < edges[b + 1]] or ([0] if flags is not None and len(flags[0]) else [])
+    for k, group in enumerate(itertools.batched(full, 64)):
+        cuts = [slice(edges[b], edges[b + 1]) for b in group]
+        first = [pack(flags)] if not k and flags is not None and len(flags[0]) else [None]
+        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array([pack([keys[s], docs[s], pos[s]]) for s in cuts], pa.binary()), "flags": pa.array(first + [None] * (len(group) - 1), pa.binary())})
+
+
+def _settle(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(run, flags): entries of the least document of each hash in order, and the rest as (doc, pos, source, place there)."""
+    keys, docs, pos, start = _in_order(keys, docs, pos)
+    later = docs > docs[start]
+    return [keys[~later], docs[~later], pos[~later]], [docs[later], pos[later], docs[start][later], pos[start][later]]
+
+
+def window_hashes(text: pa.Array, window: int, hash_bits: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text index, place in the text) of every window; only the first ``hash_bits`` of a hash are set."""
+    w = Words(*flat(text))
+    owner, at = gram_places(w.first, window)
+    key = grams(w.hashes(), window)[at] if len(at) else np.zeros(0, np.uint64)
+    return key >> np.uint64(64 - hash_bits) << np.uint64(64 - hash_bits), owner, (at - w.first[:-1][owner]).astype(np.int32)
+
 
+def _sorted_by_doc(flags: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(flags[0], kind="stable")
+    return [f[order] for f in flags]
 
-def window_runs(documents: DataFrame, window: int, bits: int) -> DataFrame:
-    """Sorted runs of all windows of the documents, by bucket."""
+
+def window_runs(documents: DataFrame, window: int, bits: int, hash_bits: int = 64) -> DataFrame:
+    """(bucket, run, flags): sorted runs of all windows of the documents, by bucket."""
+    near = min(bits, LEVEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
+
+        def seal():
+            kept, flags = _settle(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+            return _by_bucket(*kept, _sorted_by_doc(flags), near)
+
         for batch in batches:
             for part in slices(batch, "text"):
-                w = Words(*flat(part.column(1)))
-                h = w.hashes()
-                owner, at = gram_places(w.first, window)
-                if not len(owner):
-                    continue
-                key, check = grams(h, window)[at], (grams(mix(h ^ _CHECK), window)[at] >> np.uint64(48)).astype(np.uint16)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                parts.append((key, check, ids[owner], (at - w.first[:-1][owner]).astype(np.int32)))
-                held += len(key)
+                key, owner, pos = window_hashes(part.column(1), window, hash_bits)
+                if len(key):
+                    parts.append((key, part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[owner], pos))
+                    held += len(key)
                 if held >= FLUSH:
-                    yield from _seal(parts, bits)
+                    yield from seal()
                     parts, held = [], 0
         if parts:
-            yield from _seal(parts, bits)
-
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, RUN_SCHEMA)
-
-
-def _merge(seal: bool):
-    def merge(table: pa.Table) -> pa.Table:
-        """The runs of one bucket: flags of repeated windows and, if asked for, the merged run."""
-        bucket = table.column("bucket")[0].as_py()
-        runs = [unpack(r) for r in table.column("run").to_pylist() if r is not None]
-        docs, pos = [], []
-        for f in table.column("flags").to_pylist():
-            if f is not None:
-                d, p = unpack(f)
-                docs.append(d)
-                pos.append(p)
-        sealed = None
-        if runs:
-            keys, check, d, p = (np.concatenate(c) for c in zip(*runs, strict=True))
-            order, start = _sorted_groups(keys, check, d)
-            keys, check, d, p = keys[order], check[order], d[order], p[order]
-            hit = (d > d[start]) & (p != _NO_POS)
-            docs.append(d[hit])
-            pos.append(p[hit])
-            if seal:
-                lead = np.unique(start)
-                sealed = pack([keys[lead], check[lead], d[lead], np.full(len(lead), _NO_POS, np.int32)])
-        d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        p = np.concatenate(pos) if pos else np.zeros(0, np.int32)
-        order = np.argsort(d, kind="stable")
-        d, p = d[order], p[order].astype("<i4")
-        ids, first = np.unique(d, return_index=True)
-        cuts = np.append(first, len(d))
-        out = {"doc_id": [*ids.tolist()], "pos": [p[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], "bucket": [bucket] * len(ids), "run": [None] * len(ids)}
-        if sealed is not None:
-            out["doc_id"].append(None)
-            out["pos"].append(None)
-            out["bucket"].append(bucket)
-            out["run"].append(sealed)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "pos": pa.array(out["pos"], pa.binary()), "bucket": pa.array(out["bucket"], pa.int32()), "run": pa.array(out["run"], pa.binary())})
-
-    return merge
+            yield from seal()
+
+    def finer(have: int):
+        def run_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            runs, flags, held = [], [], 0
+            for batch in batches:
+                for r, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    runs.append(r)
+                    flags.append(f)
+                    held += len(r) // 8
+                    if held >= FLUSH:
+                        yield from _by_bucket(*_in_order(*_joined(runs, _RUN))[:3], _sorted_by_doc(_joined(flags, _FLAG)), have)
+                        runs, flags, held = [], [], 0
+            if runs:
+                yield from _by_bucket(*_in_order(*_joined(runs, _RUN))[:3], _sorted_by_doc(_joined(flags, _FLAG)), have)
+
+        return run_finer
+
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RUN_SCHEMA)
+    while near < bits:
+        coarse, near = near, min(bits, near + LEVEL)
+        rows = rows.repartition(1 << coarse, "bucket").mapInArrow(finer(near), RUN_SCHEMA)
+    return rows
+
+
+def _merge_batch(table: pa.Table) -> pa.Table:
+    """A bucket's parts as one run, with the flags that the parts had and those that show now."""
+    run, flags = _settle(*_joined(table.column("run").to_pylist(), _RUN))
+    before = _joined(table.column("flags").to_pylist(), _FLAG)
+    flags = _sorted_by_doc([np.concatenate(c) for c in zip(flags, before, strict=True)])
+    return pa.table({"bucket": table.column("bucket")[:1], "run": pa.array([pack(run)], pa.binary()), "flags": pa.array([pack(flags) if len(flags[0]) else None], pa.binary())})
+
+
+def _merge_join(new: pa.Table, old: pa.Table) -> pa.Table:
+    """Flags of a new run's windows that an older run has under a smaller document."""
+    packed = None
+    if new.num_rows and old.num_rows:
+        keys, docs, pos = _joined(new.column("run").to_pylist(), _RUN)
+        old_keys, old_docs, old_pos = _joined(old.column("run").to_pylist(), _RUN)
+        at = np.minimum(np.searchsorted(old_keys, keys), len(old_keys) - 1)
+        hit = (old_keys[at] == keys) & (old_docs[at] < docs)
+        if hit.any():
+            packed = pack(_sorted_by_doc([docs[hit], pos[hit], old_docs[at][hit], old_pos[at][hit]]))
+    return pa.table({"flags": pa.array([packed], pa.binary())})
+
+
+def _compact(a: pa.Table, b: pa.Table) -> pa.Table:
+    """Two runs as one, with the first place of each window."""
+    parts = [r for t in (a, b) for r in t.column("run").to_pylist()]
+    keys, docs, pos, start = _in_order(*_joined(parts, _RUN))
+    lead = np.flatnonzero(start == np.arange(len(start)))
+    bucket = (a if a.num_rows else b).column("bucket")[:1]
+    return pa.table({"bucket": bucket, "run": pa.array([pack([keys[lead], docs[lead], pos[lead]])], pa.binary()), "flags": pa.nulls(1, pa.binary())})
+
+
+def _homes(bits: int):
+    """Rows (home, flags): flags dealt out by a hash of their document."""
+    bits = min(bits, LEVEL)
+
+    def deal(flags: list[np.ndarray]) -> pa.RecordBatch:
+        home = (mix(flags[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+        order = np.lexsort((flags[1], flags[0], home))
+        home, flags = home[order], [f[order] for f in flags]
+        full, start = np.unique(home, return_index=True)
+        ends = np.append(start, len(home))
+        return pa.record_batch({"home": pa.array(full, pa.int32()), "flags": pa.array([pack([f[a:b] for f in flags]) for a, b in itertools.pairwise(ends.tolist())], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                held.append(unpack(packed))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield deal([np.concatenate(c) for c in zip(*held, strict=True)])
+                    held, size = [], 0
+        if held:
+            yield deal([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return run
+
+
+def _to_ranges(table: pa.Table) -> pa.Table:
+    """(doc_id, ranges) of one home: windows next to each other whose sources are so too."""
+    docs, pos, src, at = _joined(table.column("flags").to_pylist(), _FLAG)
+    order = np.lexsort((at, src, pos, docs))
+    docs, pos, src, at = docs[order], pos[order], src[order], at[order]
+    new = np.append(True, (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1]))  # the least source of a place
+    docs, pos, src, at = docs[new], pos[new], src[new], at[new]
+    cut = np.append(True, (docs[1:] != docs[:-1]) | (pos[1:] != pos[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1))
+    start = np.flatnonzero(cut)
+    size = np.diff(np.append(start, len(docs))).astype(np.int32)
+    ids, first = np.unique(docs[start], return_index=True)
+    ends = np.append(first, len(start))
+    ranges = [pack([pos[start[a:b]], size[a:b], src[start[a:b]], at[start[a:b]]]) for a, b in itertools.pairwise(ends.tolist())]
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ranges": pa.array(ranges, pa.binary())})
 
 
 class FingerprintIndex:
-    """Sorted runs of historical window hashes in ``path``, one folder for each sealed run.
+    """Runs of historical window hashes: folders ``run-<number>-<level>`` in ``path``, each a bucketed table.
 
-    ``bits`` fixes the number of buckets (2**bits) for the life of the index; choose it so
-    that a bucket's runs (about 10 bytes a window) fit in a worker's memory.
+    ``bits`` fixes the number of buckets (2**bits) for the life of the index: about ``BUCKET_BYTES``
+    of the text that is to be expected for each.  ``hash_bits`` shortens the hashes: smaller runs, but
+    more documents whose ranges fail verification and are decided by their words.  A folder counts when its writing job has
+    committed it (``_SUCCESS``); others, of jobs that failed, are passed over.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, bits: int = 6, fanout: int = 4):
-        self.spark, self.path, self.window, self.bits, self.fanout = spark, path, window, bits, fanout
+    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, bits: int = 5, hash_bits: int = 64):
+        self.spark, self.path, self.window, self.bits, self.hash_bits = spark, path, window, bits, hash_bits
+        self.files = 1 << max(0, bits - 2)
+        self.name = f"runs_{uuid.uuid4().hex[:12]}"
 
     def runs(self) -> list[str]:
-        return [d for d in list_dirs(self.spark, self.path) if d.startswith("run-")]
+        return [d for d in list_dirs(self.spark, self.path) if d.startswith("run-") and exists(self.spark, f"{self.path}/{d}/_SUCCESS")]
 
-    def history(self) -> DataFrame | None:
-        paths = [f"{self.path}/{r}" for r in self.runs()]
-        if not paths:
-            return None
-        return self.spark.read.schema("bucket int, run binary").parquet(*paths).select("bucket", "run", F.lit(None).cast("binary").alias("flags"))
+    def _table(self, run: str) -> DataFrame:
+        table = f"{self.name}_{run.replace('-', '_')}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({RUN_SCHEMA}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.read.table(table)
 
-    def merge_batch(self, documents: DataFrame, seal: bool = True) -> DataFrame:
-        """(doc_id, pos): places of the batch's windows that start in a smaller doc_id, here or in the index.
+    def _write(self, rows: DataFrame, level: int) -> str:
+        number = 1 + max([0, *(int(d.split("-")[1]) for d in list_dirs(self.spark, self.path) if d.startswith("run-"))])
+        run = f"run-{number:06d}-{level}"
+        rows.write.format("parquet").bucketBy(self.files, "bucket").option("path", f"{self.path}/{run}").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
+        return run
 
-        With ``seal`` the batch becomes a run of the index (its folder appears by one rename).
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
+        remove(self.spark, f"{self.path}/{run}")
+
+    def merge_batch(self, documents: DataFrame) -> DataFrame:
+        """(doc_id, ranges): windows of the batch whose hash starts in a smaller doc_id, in the batch or the index.
+
+        The batch becomes a run of the index.  Documents of earlier batches are not judged again, so
+        batches should come in the order of doc_id.  Ranges are by hash; ``remove_repeats`` verifies.
         """
-        rows = window_runs(documents, self.window, self.bits)
-        history = self.history()
-        if history is not None:
-            rows = rows.union(history)
-        merged = rows.groupBy("bucket").applyInArrow(_merge(seal), "doc_id bigint, pos binary, bucket int, run binary")
-        if not seal:
-            return merged.select("doc_id", "pos")
-        merged = materialise(merged, "substring-batch")
-        self._add(merged.where("run is not null").select("bucket", "run"))
-        if len(self.runs()) > self.fanout:
-            self.compact()
-        return merged.where("doc_id is not null").select("doc_id", "pos")
-
-    def _add(self, run: DataFrame, replaces: list[str] = ()) -> None:
-        number = 1 + max([0, *(int(r[4:]) for r in self.runs())])
-        draft, final = f"{self.path}/draft-{number:06d}", f"{self.path}/run-{number:06d}"
-        run.write.mode("overwrite").parquet(draft)
-        if not rename(self.spark, draft, final):
-            raise RuntimeError(f"{final} could not be put in place")
-        for old in replaces:
-            remove(self.spark, f"{self.path}/{old}")
+        older = self.runs()
+        rows = window_runs(documents, self.window, self.bits, self.hash_bits).repartition(self.files, "bucket")
+        new = self._write(rows.groupBy("bucket").applyInArrow(_merge_batch, RUN_SCHEMA), 0)
+        release(self.spark)
+        own = self._table(new)
+        flags = own.select("flags")
+        for run in older:
+            flags = flags.union(own.select("bucket", "run").groupBy("bucket").cogroup(self._table(run).select("bucket", "run").groupBy("bucket")).applyInArrow(_merge_join, "flags binary"))
+        homes = flags.where("flags is not null").mapInArrow(_homes(self.bits), "home int, flags binary")
+        ranges = materialise(homes.groupBy("home").applyInArrow(_to_ranges, "doc_id bigint, ranges binary"), "substring-ranges")
+        release(self.spark)
+        self.compact()
+        return ranges
 
     def compact(self) -> None:
-        """All runs become one; a reader sees the old runs until the new one is in place."""
-        old = self.runs()
-        if len(old) > 1:
-            merged = self.history().groupBy("bucket").applyInArrow(_merge(True), "doc_id bigint, pos binary, bucket int, run binary")
-            self._add(merged.where("run is not null").select("bucket", "run"), old)
+        """Two runs of one level become a run of the next, until there are no two."""
+        while True:
+            by_level: dict[int, list[str]] = {}
+            for run in self.runs():
+                by_level.setdefault(int(run.split("-")[2]), []).append(run)
+            pair = next(((level, runs[:2]) for level, runs in sorted(by_level.items()) if len(runs) > 1), None)
+            if pair is None:
+                return
+            level, (a, b) = pair
+            sides = [self._table(r).select("bucket", "run").groupBy("bucket") for r in (a, b)]
+            self._write(sides[0].cogroup(sides[1]).applyInArrow(_compact, RUN_SCHEMA), level + 1)
+            self._drop(a)
+            self._drop(b)
+
+    def drop(self) -> None:
+        """Forget all runs."""
+        for run in self.runs():
+            self._drop(run)
+
+
+def _kept(words: list[bytes], pos: np.ndarray, size: np.ndarray, window: int) -> list[bytes]:
+    """The words outside windows ``pos`` to ``pos + size - 1``."""
+    edge = np.zeros(len(words) + 1, np.int32)
+    np.add.at(edge, pos, 1)
+    np.add.at(edge, pos + size - 1 + window, -1)
+    return list(itertools.compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
+
+
+def _result(words: list[bytes], left: list[bytes]) -> tuple[int, int, str]:
+    return len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()
+
+
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+CLAIMED = f"{RESULT}, src bigint, lo int, hi int, digest binary"
+_CLAIM_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
 
 def _apply(window: int):
+    """For (doc_id, text, ranges): a result row, and rows that claim words lo to hi of a source by digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, gone, digest, kept = [], [], [], []
-            flagged = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
-            for text, pos in zip(batch.column(1).to_pylist(), flagged, strict=True):
+            for part in slices(batch, "text"):
+                rows = []
+                for doc_id, text, ranges in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    words = (text or "").encode().split()
+                    if ranges is None:
+                        rows.append((doc_id, *_result(words, words), None, None, None, None))
+                        continue
+                    pos, size, src, at = unpack(ranges)
+                    rows.append((doc_id, *_result(words, _kept(words, pos, size, window)), None, None, None, None))
+                    for p, n, s, a in zip(pos.tolist(), size.tolist(), src.tolist(), at.tolist(), strict=True):
+                        end = a + n - 1 + window
+                        for k in range(a // BLOCK, (end - 1) // BLOCK + 1):
+                            lo, hi = max(a, k * BLOCK), min(end, (k + 1) * BLOCK)
+                            rows.append((doc_id, None, None, None, s, lo, hi, digest(words[p + lo - a : p + hi - a])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _CLAIM_TYPES, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "src", "lo", "hi", "digest"])
+
+    return run
+
+
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For (src, text, claims): whether each claim holds."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            rows = []
+            for src, text, claims in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 words = (text or "").encode().split()
-                left = words
-                if pos:
-                    at = np.concatenate([np.frombuffer(p, "<i4") for p in pos])
-                    edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    left = list(itertools.compress(words, (np.cumsum(edge[:-1]) == 0).tolist()))
-                out = b" ".join(left)
-                n.append(len(words))
-                gone.append(len(words) - len(left))
-                digest.append(hashlib.sha256(out).hexdigest())
-            yield pa.record_batch({"doc_id": batch.column(0), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digest, pa.string())})
+                rows += [(src, c["lo"], c["hi"], c["digest"], text is not None and digest(words[c["lo"] : c["hi"]]) == c["digest"]) for c in claims]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["src", "lo", "hi", "digest", "holds"])
+
+
+def refuted_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """The claims (src, lo, hi, digest) that no text of their source bears out.
+
+    Claims are made distinct before they meet, so that a source has a bounded number for each of
+    its words, however many documents copy it.
+    """
+    one = claims.groupBy("src", "lo", "hi", "digest").count().drop("count")
+    by_source = one.groupBy("src").agg(F.collect_list(F.struct("lo", "hi", "digest")).alias("claims"))
+    by_source = materialise(by_source, "substring-claims")
+    _, near = split_by_ids(sources.select("doc_id", "text"), by_source.select("src"))
+    met = by_source.join(near, F.col("src") == F.col("doc_id"), "left").select("src", "text", "claims")
+    checked = met.mapInArrow(_check, "src bigint, lo int, hi int, digest binary, holds boolean")
+    return checked.groupBy("src", "lo", "hi", "digest").agg(F.max("holds").alias("holds")).where("not holds").drop("holds")
+
+
+def _spell(window: int):
+    """(key, doc_id, pos, words) of every window, the words joined by a space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part = batch.slice(k, 1)
+                key, _, pos = window_hashes(part.column(1), window)
+                words = (part.column(1)[0].as_py() or "").encode().split()
+                for lo in range(0, len(key), 10_000):
+                    some = slice(lo, min(len(key), lo + 10_000))
+                    yield pa.record_batch({"key": pa.array(key[some].view(np.int64)), "doc_id": pa.array([part.column(0)[0].as_py()] * (some.stop - lo), pa.int64()), "pos": pa.array(pos[some]), "words": pa.array([b" ".join(words[p : p + window]) for p in pos[some].tolist()], pa.binary())})
 
     return run
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None, history_share: float = 0.1) -> DataFrame:
+def exact_ranges(some: DataFrame, everything: DataFrame, window: int) -> DataFrame:
+    """(doc_id, ranges) of the documents ``some``, by the words of their windows; for the few whose hashes deceive."""
+    kinds = "key bigint, doc_id bigint, pos int, words binary"
+    own = materialise(some.select("doc_id", "text").mapInArrow(_spell(window), kinds), "substring-spelled")
+    keys = materialise(own.select("key").distinct(), "substring-keys")
+    near = split_by_ids(everything.where("doc_id is not null").select("doc_id", "text").mapInArrow(_spell(window), kinds), keys, "key")[1]
+    first = near.join(keys, "key", "left_semi").groupBy("words").agg(F.min("doc_id").alias("first"))
+    hits = own.join(first, "words").where("doc_id > first").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for pos in batch.column(1).to_pylist():
+                one = np.array(pos, np.int32)
+                packed.append(pack([one, np.ones_like(one), np.zeros(len(one), np.int64), one]))
+            yield pa.record_batch({"doc_id": batch.column(0), "ranges": pa.array(packed, pa.binary())})
+
+    return hits.mapInArrow(ranges, "doc_id bigint, ranges binary")
+
+
+def _resolve(rows: DataFrame, ranges: DataFrame, sources: DataFrame, window: int) -> DataFrame:
+    """The results of ``rows`` (doc_id, text) with their ranges, each verified on the sources' words."""
+    ranges = ranges.select(F.col("doc_id").alias("id"), "ranges")
+    without, near = split_by_ids(rows, ranges.select("id"))
+    plain = without.select("doc_id", "text", F.lit(None).cast("binary").alias("ranges")).mapInArrow(_apply(window), CLAIMED)
+    near = near.join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "ranges")
+    done = materialise(near.mapInArrow(_apply(window), CLAIMED), "substring-applied")
+    release(rows.sparkSession)
+    claims = done.where("src is not null").select("doc_id", "src", "lo", "hi", "digest")
+    refuted = materialise(refuted_claims(claims, sources), "substring-refuted")
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    results = done.where("src is null").select(*names)
+    if not refuted.isEmpty():
+        doubtful = materialise(claims.join(refuted, ["src", "lo", "hi", "digest"], "left_semi").select("doc_id").distinct(), "substring-doubtful")
+        some = rows.join(doubtful, "doc_id", "left_semi")
+        exact = exact_ranges(some, sources, window).withColumnRenamed("doc_id", "id")
+        again = some.join(exact, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "ranges")
+        results = results.join(doubtful, "doc_id", "left_anti").union(again.mapInArrow(_apply(window), CLAIMED).where("src is null").select(*names))
+    return plain.select(*names).union(results)
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW, index: FingerprintIndex | None = None, history: DataFrame | None = None, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``documents``.
 
-    The first ``history_share`` of the range of doc_id becomes the index's history, the rest
-    is the batch that is merged with it; the result doesn't depend on the share.  Null text
-    has no words.  Rows with a null doc_id are returned whole and are no source for others.
-    A doc_id names one text: repeated rows are one document, and their results are equal.
-    An empty table gives no rows; columns other than doc_id and text are not read.
+    A word goes when a window of ``window`` words over it also starts in a smaller doc_id.  The
+    rows come to the index in ``batches`` batches by doc_id; the result doesn't depend on their
+    number.  An ``index`` of earlier documents goes with ``history``, their (doc_id, text), on which
+    ranges are verified.  Null text has no words.  Rows with a null doc_id are returned whole and
+    are no source for others.  A doc_id names one text: repeated rows are one document, and their
+    results are equal.  An empty table gives no rows; other columns are not read.
     """
     spark = documents.sparkSession
-    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(plan_bytes(documents), 1) / (6 << 20))), 5, 16))
-    index = index or FingerprintIndex(spark, new_path(spark, "substring-index"), window, bits)
-    ends = documents.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
-    cut = (ends["a"] or 0) + int(((ends["b"] or 0) - (ends["a"] or 0)) * history_share)
-    old = index.merge_batch(documents.where(F.col("doc_id") < cut), seal=True)
-    flags = old.union(index.merge_batch(documents.where(F.col("doc_id") >= cut), seal=False))
-    flags = materialise(flags, "substring-flags")
-    marked = mark_members(documents, id_filter(flags, "doc_id"), "doc_id", "_maybe")
-    places = flags.groupBy("doc_id").agg(F.collect_list("pos").alias("pos"))
-    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
-    whole = marked.where("not _maybe").select("doc_id", "text").mapInArrow(_apply(window), schema)
-    cleaned = marked.where("_maybe").select("doc_id", "text").join(places, "doc_id", "left").select("doc_id", "text", "pos").mapInArrow(_apply(window), schema)
-    return whole.union(cleaned)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bits = max(5, (text_bytes(rows) // BUCKET_BYTES).bit_length())
+    own = index or FingerprintIndex(spark, new_path(spark, "substring-index"), window, bits)
+    cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else None
+    edges = [None, *sorted(set(cuts or [])), None]
+    found = []
+    for lo, hi in itertools.pairwise(edges):
+        part = rows.where(F.lit(True) if lo is None else F.col("doc_id") >= lo).where(F.lit(True) if hi is None else F.col("doc_id") < hi)
+        found.append(own.merge_batch(part))
+    ranges = found[0]
+    for more in found[1:]:
+        ranges = ranges.union(more)
+    known = rows if history is None else rows.union(history.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    out = _resolve(rows, ranges, known, own.window)
+    if index is None:
+        own.drop()
+    return out
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
 import random
 
-from bandloom.llm.substring_dedup import FingerprintIndex, remove_repeats
+import pytest
+
+from bandloom.llm import substring_dedup
+from bandloom.llm.substring_dedup import FingerprintIndex, op10_substring_dedup, remove_repeats
 
 
 def brute(rows, window=13):
@@ -42,15 +45,15 @@ def test_against_brute_force(spark):
     assert sum(r[2] for r in got) > 0
 
 
-def test_share_of_history_does_not_matter(spark):
+def test_number_of_batches_does_not_matter(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert all({tuple(r) for r in remove_repeats(df, history_share=s).collect()} == brute(rows) for s in (0.0, 0.5, 1.0))
+    assert all({tuple(r) for r in remove_repeats(df, batches=s).collect()} == brute(rows) for s in (1, 2, 5))
 
 
 def test_index_batches_and_compaction(spark, tmp_path):
     rows = corpus(3)
-    index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=2, fanout=2)
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=2)
     flagged = set()
     for k in range(0, len(rows), 16):
         part = spark.createDataFrame(rows[k : k + 16], "doc_id bigint, text string")
@@ -66,3 +69,50 @@ def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, text)], "doc_id bigint, text string")
     got = sorted(tuple(r)[:3] for r in remove_repeats(df).collect() if r["doc_id"] is not None)
     assert got == [(1, 20, 0), (1, 20, 0), (2, 20, 20)]
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_do_not_collide(spark, n):
+    tail = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{thue_morse(n)} {tail}"), (2, f"{thue_morse(n, 'ba')} {tail}"), (3, f"{thue_morse(n)} {tail} more")]
+    got = {tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), batches=1).collect()}
+    assert got == brute(rows) and [r[2] for r in sorted(got)] == [0, 0, 13]
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_colliding_hashes_are_found_out(spark, tmp_path, batches):
+    """Hashes of 10 bits: nearly every document has windows that meet others' hashes."""
+    rows = corpus(5)
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=3, hash_bits=10)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {tuple(r) for r in remove_repeats(df, index=index, batches=batches).collect()} == brute(rows)
+
+
+def test_levels_of_buckets_and_history(spark, tmp_path, monkeypatch):
+    """2**5 buckets in steps of 2**2, and an index of earlier documents."""
+    monkeypatch.setattr(substring_dedup, "LEVEL", 2)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    old, new = df.where("doc_id < 90"), df.where("doc_id >= 90")
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=5)
+    index.merge_batch(old)
+    got = {tuple(r) for r in remove_repeats(new, index=index, history=old, batches=1).collect()}
+    assert got == {r for r in brute(rows) if r[0] >= 90}
+
+
+def test_merge_join_without_shuffle(spark, tmp_path):
+    index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=4)
+    df = spark.createDataFrame(corpus(7), "doc_id bigint, text string")
+    index.merge_batch(df.where("doc_id < 60"))
+    a = index._table(index.runs()[0])
+    joined = a.groupBy("bucket").cogroup(a.groupBy("bucket")).applyInArrow(substring_dedup._compact, substring_dedup.RUN_SCHEMA)
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert {tuple(r) for r in op10_substring_dedup(spark, sf_dir).collect()} == brute(rows)
