@@ -1,14 +1,18 @@
 """Line deduplication by winnowing over line hashes, with DataFrame functions only.
 
-Lines are hashed; of every window of ``run`` lines the least hash is selected, so any
-repeated run of that many lines has a selected fingerprint in common.  Fingerprints that
-occur once are put aside.  Around the others matches are extended to both sides: every
-window of lines that holds the fingerprint is compared by its own 128-bit hash with the
-first place in (doc_id, line) order where the window occurs, and neighbouring windows join
-into runs.  Lines of later runs are deleted.
-
-Runs may also be judged by length: with ``words`` a single line of that many words is a run
-of its own, and so is a document of one line, whatever its length, among such documents.
+1. Lines get two independent 64-bit hashes.  Of every window of ``run`` lines the least first
+   hash is selected (the rightmost of equal ones), so that any repeated run of that many lines
+   has a selected fingerprint in common.  A line that is a run by its length is one itself.
+2. Positions of fingerprints meet by hash; those of hashes that stand at one place are put
+   aside, by a filter of bounded size.
+3. Around each position left the match is extended to both sides: every window of lines that
+   has the fingerprint as its minimum is compared, by the 128 bits of its lines' hashes, with
+   the first place in (doc_id, line) order where it stands.  Windows next to each other join
+   into longer runs.
+4. The lines of later runs are deleted.
+
+With ``words`` a single line of that many words is a run of its own, and so is a document of
+one line, whatever its length, among such documents.
 """
 
 from __future__ import annotations
@@ -16,100 +20,149 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.bounded import id_filter, mark_members
+from bandloom.bounded import split_by_ids
 from bandloom.storage import materialise
 
 RUN = 2
+#: Words of a line that counts as a run by itself, in the query and the pipeline.
+WORDS = 5
+WORD = r"[^\x20\x09-\x0D]+"
+#: A window with more than this share of the rows meets its first place in a broadcast; there are fewer than 4096 such.
+HOT_SHARE = 1 / 4096
+SINGLE, WHOLE = 0, -1
+_AROUND = "array<struct<kind:int,pos:int,k1:bigint,k2:bigint>>"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def winnow(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, pos, size, fp, k1, k2): each window of ``run`` lines, its fingerprint and its hash.
+def _second(x: Column) -> Column:
+    """A hash that doesn't depend on ``xxhash64`` of the same value: the salt comes first and seeds it."""
+    return F.xxhash64(F.lit("second"), x)
 
-    With ``words``, also each line of that many words, and each document of one line that is not empty.
-    """
-    h, lines = F.col("h"), _lines(F.col("text"))
-    rows = documents.where("doc_id is not null and text is not null").withColumn("h", F.transform(lines, lambda x: F.xxhash64(x)))
 
-    def window(i, size, kind):
-        part = F.slice(h, i + 1, size)
-        return F.struct(i.cast("int").alias("pos"), F.lit(size).alias("size"), F.array_min(part).alias("fp"), F.xxhash64(part).alias("k1"), F.xxhash64(part, F.lit(kind)).alias("k2"))
+def fingerprints(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, pos, fp, around): the selected lines of each document and the windows of which they are the minimum.
 
-    none = F.array().cast("array<struct<pos:int,size:int,fp:bigint,k1:bigint,k2:bigint>>")
-    found = F.when(F.size(h) >= run, F.transform(F.sequence(F.lit(0), F.size(h) - run), lambda i: window(i, run, run))).otherwise(none)
+    around: (kind, pos, k1, k2) with the window's size, ``SINGLE`` or ``WHOLE`` as kind, its first
+    line and the 128 bits of its lines.
+    """
+    h, g, n = F.col("h"), F.col("g"), F.size("h")
+    lines = _lines(F.col("text"))
+    rows = documents.where("doc_id is not null and text is not null")
+    if words is None:
+        rows = rows.where(F.size(lines) >= run)
+    rows = rows.select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, _second).alias("g"), *([F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= words).alias("long"), (F.col("text") != "").alias("filled")] if words is not None else []))
+    none = F.array().cast("array<int>")
+
+    def lowest(start: Column) -> Column:
+        part = F.slice(h, start + 1, run)
+        return (start + run - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
+
+    def window(kind: int, start: Column, size: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("pos"), F.xxhash64(F.slice(h, start + 1, size)).alias("k1"), _second(F.slice(g, start + 1, size)).alias("k2"))
+
+    starts = F.when(n >= run, F.sequence(F.lit(0), n - run)).otherwise(none)
+    rows = rows.withColumn("low", F.transform(starts, lowest))
+    picked = F.col("low")
     if words is not None:
-        # a kind of its own keeps the places of single lines apart from those of runs
-        long = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.regexp_count(F.get(lines, i), F.lit(r"\S+")) >= words)
-        whole = F.when((F.size(h) == 1) & (F.col("text") != ""), F.array(window(F.lit(0), 1, -1))).otherwise(none)
-        found = F.concat(found, F.transform(long, lambda i: window(i, 1, 0)), whole)
-    else:
-        rows = rows.where(F.size(h) >= run)
-    return rows.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.*")
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("long"), i) | (n == 1) & F.col("filled"))
+        picked = F.concat(picked, alone)
+    # rows of one place each: the windows around it come later, for those that are left
+    first = lambda i: F.greatest(F.lit(0), i - run + 1)
+    last = lambda i: F.least(i, n - run)
+
+    def around(i: Column) -> Column:
+        own = F.when(last(i) >= first(i), F.filter(F.sequence(first(i), last(i)), lambda s: F.get(F.col("low"), s) == i)).otherwise(none)
+        found = F.transform(own, lambda s: window(run, s, run)).cast(_AROUND)
+        if words is None:
+            return found
+        single = F.when(F.get(F.col("long"), i), F.array(window(SINGLE, i, 1))).otherwise(F.array().cast(_AROUND))
+        whole = F.when((n == 1) & F.col("filled"), F.array(window(WHOLE, i, 1))).otherwise(F.array().cast(_AROUND))
+        return F.concat(found, single.cast(_AROUND), whole.cast(_AROUND))
+
+    rows = rows.withColumn("picked", F.array_distinct(picked))
+    each = F.transform(F.col("picked"), lambda i: F.struct(i.alias("pos"), F.get(h, i).alias("fp"), around(i).alias("around")))
+    return rows.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
 
 
 def repeated_windows(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc_id, pos, size) of the windows that occur earlier in (doc_id, pos) order."""
-    windows = materialise(winnow(documents, run, words), "line-windows")
     place = F.struct("doc_id", "pos")
-    prints = windows.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    near = windows.join(prints, "fp", "left_semi")
-    first = near.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("k1", "k2", "first")
-    return near.join(first, ["k1", "k2"]).where(place != F.col("first")).select("doc_id", "pos", "size")
+    marks = fingerprints(documents, run, words)
+    several = marks.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
+    several = materialise(several, "line-fingerprints")
+    _, met = split_by_ids(marks, several, "fp")
+    windows = materialise(met.select("doc_id", F.explode("around").alias("w")).select("doc_id", "w.*"), "line-windows")
+    keys = ["kind", "k1", "k2"]
+    first = windows.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialise(first, "line-first-places")
+    hot = F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
+    near = windows.join(F.broadcast(first.where(hot).select(*keys, F.col("first").alias("known"))), keys, "left")
+    later = near.where(F.col("known").isNotNull() & (place != F.col("known")))
+    rest = near.where("known is null").join(first.where(~hot).select(*keys, "first"), keys).where(place != F.col("first"))
+    return later.select("doc_id", "pos", "kind").union(rest.select("doc_id", "pos", "kind")).select("doc_id", "pos", F.greatest(F.col("kind"), F.lit(1)).alias("size"))
 
 
 def deduplicate(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """The columns of ``documents`` (doc_id, text, ...) with later repeated runs of lines cut from text.
 
-    Adds _lines and _removed, numbers of lines.  A line is what stands between line feeds; an
-    empty text is one empty line, a null text none, and stays null.  Rows with a null doc_id
-    are kept whole and are no source.  Repeated rows are one document: they lose the same
-    lines.  Texts with fewer than ``run`` lines lose none.  An empty table gives no rows.
+    Adds _lines and _removed, numbers of lines (columns of these names are replaced).  A line is
+    what stands between line feeds; an empty text is one empty line, a null text none, and stays
+    null.  Rows with a null doc_id are kept whole and are no source.  Repeated rows are one
+    document: they lose the same lines.  Texts with fewer than ``run`` lines lose none.  An empty
+    table gives no rows.
 
     With ``words``, later copies of a single line of at least that many words go too, and
     later copies of a document of one line that is not empty.
     """
-    flagged = materialise(repeated_windows(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), run, words), "line-repeats")
-    places = flagged.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("pos", "size")).alias("_pos"))
-    marked = mark_members(documents, id_filter(flagged, "doc_id"), "doc_id", "_maybe")
-    count = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
-    count = F.when(F.col("text").isNull(), 0).otherwise(count)
-    whole = marked.where("not _maybe").withColumn("_lines", count).withColumn("_removed", F.lit(0))
-    cut = marked.where("_maybe").join(places, F.col("doc_id") == F.col("_id"), "left").withColumn("_lines", count)
-    gone = F.array_distinct(F.flatten(F.transform(F.col("_pos"), lambda p: F.sequence(p["pos"], p["pos"] + p["size"] - 1))))
-    cut = cut.withColumn("_gone", gone)
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_lines") - 1), F.col("_gone"))
-    cut = cut.withColumn("_all", _lines(F.col("text"))).withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n")))
-    cut = cut.withColumn("_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    names = [*documents.columns, "_lines", "_removed"]
-    return whole.select(*names).unionByName(cut.select(*names))
+    base = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    flagged = repeated_windows(base, run, words)
+    places = materialise(flagged.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "size")).alias("at")), "line-repeats")
+    plain = [c for c in documents.columns if c not in ("_lines", "_removed")]
+    whole, cut = split_by_ids(documents.select(*plain), places.select("doc_id"))
+    count = lambda text: F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(_lines(text)), F.lit(0)))
+    whole = whole.withColumn("_lines", count(F.col("text"))).withColumn("_removed", F.lit(0))
+    places = places.select(F.col("doc_id").alias("id"), "at")
+    met = cut.select(F.struct("*").alias("row")).join(places, F.col("row.doc_id").cast("bigint") == F.col("id"), "left")
+    text = F.col("row.text").cast("string")
+    gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["pos"], p["pos"] + p["size"] - 1))))
+    met = met.select("row", count(text).alias("n"), gone.alias("gone"), _lines(text).alias("all"))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    met = met.select(*[left.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in plain], F.col("n").alias("_lines"), removed.alias("_removed"))
+    return whole.unionByName(met)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = deduplicate(documents)
+    out = deduplicate(documents, words=WORDS)
     return out.select("doc_id", F.col("_lines").cast("bigint").alias("n_lines"), F.col("_removed").cast("bigint").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP9_SQL = """
+OP9_SQL = r"""
 WITH l AS (
-  SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL
 ), w AS (
   SELECT doc_id, a, unnest(range(0, len(a) - 1)) AS pos FROM l WHERE len(a) >= 2
+), x AS (
+  SELECT doc_id, len(a) AS n, unnest(a) AS line, unnest(range(0, len(a))) AS pos FROM l
 ), k AS (
-  SELECT doc_id, pos, md5(a[pos + 1] || chr(10) || a[pos + 2]) AS key FROM w
+  SELECT doc_id, pos, 2 AS size, 'run' AS kind, md5(a[pos + 1] || chr(10) || a[pos + 2]) AS key FROM w
+  UNION ALL
+  SELECT doc_id, pos, 1, 'single', md5(line) FROM x WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 5
+  UNION ALL
+  SELECT doc_id, pos, 1, 'whole', md5(line) FROM x WHERE n = 1 AND line <> ''
 ), f AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY key ORDER BY doc_id, pos) AS nth FROM k
+  SELECT doc_id, pos, size, row_number() OVER (PARTITION BY kind, key ORDER BY doc_id, pos) AS nth FROM k
 ), g AS (
-  SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM f WHERE nth > 1
-), e AS (
-  SELECT doc_id, unnest(a) AS line, unnest(range(0, len(a))) AS pos, len(a) AS n FROM l
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM f WHERE nth > 1
 ), s AS (
-  SELECT e.doc_id, any_value(e.n) AS n_lines, count(g.pos) AS n_removed,
-         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN e.line END, chr(10) ORDER BY e.pos), '') AS kept
-  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+  SELECT x.doc_id, any_value(x.n) AS n_lines, count(g.pos) AS n_removed,
+         coalesce(string_agg(CASE WHEN g.pos IS NULL THEN x.line END, chr(10) ORDER BY x.pos), '') AS kept
+  FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.pos = g.pos GROUP BY x.doc_id
 )
 SELECT d.doc_id, coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_removed, 0) AS n_removed,
        sha256(coalesce(s.kept, '')) AS kept_sha256

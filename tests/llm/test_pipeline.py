@@ -6,7 +6,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from test_jaccard_join import brute  # noqa: E402
-from test_shards_lines_tokens import brute_lines  # noqa: E402
+from test_shards_lines_tokens import brute_lines_and_single  # noqa: E402
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -29,7 +29,7 @@ def test_stages_against_brute_force(spark, sf_dir):
     assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r, bad in zip(before, rejected, strict=True) if not bad)
 
     before, after = steps["line_dedup"]
-    cut = brute_lines([(r.doc_id, r.text) for r in before], 2)
+    cut = brute_lines_and_single([(r.doc_id, r.text) for r in before], 2, 5)
     whole = {r.doc_id: r.text for r in before}
     want = {(i, t) for i, t in cut if t or not whole[i]}
     got = {(r.doc_id, r.text) for r in after}

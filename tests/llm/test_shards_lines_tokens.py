@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.llm.line_dedup import deduplicate
+from bandloom.llm.line_dedup import deduplicate, fingerprints
 from bandloom.llm.shard_balance import shard
 from bandloom.llm.token_rollup import TokenLedger
 
@@ -109,6 +109,39 @@ def test_single_lines_by_length(spark):
     assert got == want and {i for i, _, n in got if n} == {1, 2, 3, 4, 11, 12, 14, 20}
 
 
+def brute_lines_and_single(rows, run, words):
+    """Both rules on the same input: Counter of (doc_id, text)."""
+    gone = brute_single_lines(rows, words)
+    seen = {}
+    known = sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0])
+    for i, t in known:
+        lines = t.split("\n")
+        for p in range(len(lines) - run + 1):
+            if seen.setdefault(tuple(lines[p : p + run]), (i, p)) != (i, p):
+                gone[i].update(range(p, p + run))
+    return Counter((i, t if t is None or i is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows)
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "a\nb", 1, 2, 3, 4, 5), (2, "a\nb\nc", 1, 2, 3, 4, 5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _pos int, _block int, row int, _removed int, n int")
+    out = deduplicate(df)
+    assert out.columns == ["doc_id", "text", "_pos", "_block", "row", "n", "_lines", "_removed"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a\nb", 1, 2, 3, 5, 2, 0), (2, "c", 1, 2, 3, 5, 3, 2)]
+
+
+def test_fingerprints_are_fewer_than_lines(spark):
+    """Winnowed: about two of three lines for runs of two, two of six for runs of five."""
+    import random
+
+    rng = random.Random(1)
+    df = docs(spark, [(k, "\n".join(str(rng.random()) for _ in range(300))) for k in range(10)])
+    for run, most in ((2, 0.72), (5, 0.38)):
+        rows = fingerprints(df, run).collect()
+        assert len(rows) < most * 3000
+        assert Counter((r.doc_id, w.pos) for r in rows for w in r.around) == Counter((d, p) for d in range(10) for p in range(300 - run + 1))
+
+
 def test_ledger(spark, tmp_path):
     schema = "kind string, source string, lang string, tokenizer string, tokens bigint, old_tokens bigint"
     ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
