@@ -1,86 +1,160 @@
 """Sharding by balanced label propagation, with DataFrame functions only.
 
-Documents are linked through groups (here: equal texts).  Every round joins memberships
-with labels, counts each group's documents by shard, and moves documents towards the
-shard that holds most of their group, as far as the shard's quota allows.  The last step
-puts documents in order of (shard, group) and cuts this order into equal parts, so counts
-are at most one apart and only groups at a cut, or larger than a shard, are divided.
-
-Groups are only ever counted, never gathered.  Ranks come from a histogram of bounded
-size and a row number within each small bucket; buckets of hot groups are divided.
+Documents are linked through groups: equal texts, and further groups if given.  Labels
+start at random.  Every round joins memberships with labels, counts each group's documents
+by shard, and sums the counts of a document's groups; a document wants to the shard with
+most of its neighbours, among those with room.  Moves are accepted bucket by bucket until
+the room of the shard is used up, so that linked documents never fill a shard beyond its
+quota, all rows / shards.  The labels of the last round stand.  Documents without links
+fill what is left: of a shard that holds too many rows only the surplus moves, documents
+without links first, so that counts are at most one apart.
+
+Groups are only ever counted.  The counts of a group with more than ``HOT_SHARE`` of all
+memberships come by a broadcast of fewer than 4096 rows; ranks come from a histogram of
+bounded size and a row number within each small bucket.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bandloom.storage import materialise
 
 SHARDS = 8
-ROUNDS = 3
-SLICES = 512
-HOT_SLICES = 64
-#: A group with more than this share of all rows has divided buckets; so there are at most 4096 of them.
+ROUNDS = 4
 HOT_SHARE = 1 / 4096
-
-
-def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """``nodes`` (id columns..., grp, total) -> the same with ``label`` INT.
-
-    ``grp`` names the group of linked documents and total its number of documents.  Labels
-    start at random, so that shards are even.  A move is decided for all of a group's
-    documents in one shard together, with the chance that fills the quota.
-    """
-    cells = nodes.where("total > 1").withColumn("label", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int")).groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"))
-    everything = nodes.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    quota = everything / shards
-    for turn in range(rounds):
-        best = cells.groupBy("grp").agg(F.max_by("label", F.struct("c", F.xxhash64("grp", "label"))).alias("target"))
-        cells = materialise(cells.join(best, "grp"), "shard-cells")
-        load = {r["label"]: (r["stay"], 0) for r in cells.where("label = target").groupBy("label").agg(F.sum("c").alias("stay")).collect()}
-        for r in cells.where("label <> target").groupBy("target").agg(F.sum("c").alias("come")).collect():
-            load[r["target"]] = (load.get(r["target"], (0, 0))[0], r["come"])
-        chance = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, float(min(1.0, max(0.0, quota - load.get(s, (0, 0))[0]) / max(1, load.get(s, (0, 0))[1]))))])
-        draw = F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(1_000_003)) / 1_000_003.0
-        label = F.when(draw < chance[F.col("target")], F.col("target")).otherwise(F.col("label"))
-        cells = cells.select("grp", label.alias("label"), "c").groupBy("grp", "label").agg(F.sum("c").alias("c"))
-    home = cells.groupBy("grp").agg(F.max_by("label", F.struct("c", F.xxhash64("grp", "label"))).alias("home"))
-    return nodes.join(home, "grp", "left").withColumn("label", F.coalesce("home", F.pmod(F.xxhash64("doc_id", "grp"), F.lit(shards)).cast("int"))).drop("home")
-
-
-def cut_evenly(labelled: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Adds shard and slot: equal parts of the order (label, group, doc_id)."""
-    n = labelled.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    hot = F.col("total") > max(1, n * HOT_SHARE)
-    part = F.shiftrightunsigned("grp", 64 - (SLICES - 1).bit_length()).cast("int")
-    ranked = labelled.withColumn("_slice", part).withColumn("_hot", F.when(hot, F.col("grp"))).withColumn("_sub", F.when(hot, F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SLICES))).otherwise(F.lit(0)).cast("int"))
-    keys = ["label", "_slice", "_hot", "_sub"]
-    sizes = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # a table of bounded size: shards * SLICES, and HOT_SLICES for each of at most 4096 hot groups
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("label", "_slice", F.col("_hot").asc_nulls_first(), "_sub")) - F.col("_n")).drop("_n")
-    joined = ranked.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy("grp", "doc_id"))).alias("r").join(F.broadcast(before).alias("b"), [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-    rank = F.col("b._before") + F.col("r._row") - 1
-    out = joined.select("r.*", rank.alias("_rank")).withColumn("shard", F.floor(F.col("_rank") * shards / F.lit(max(n, 1))).cast("int"))
-    first = F.ceil(F.col("shard") * F.lit(n) / shards).cast("bigint")
-    return out.withColumn("slot", F.col("_rank") - first).drop("_slice", "_hot", "_sub", "_row", "_rank")
-
-
-def shard(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+#: Buckets in which moves are accepted as a whole.
+MOVES = 1024
+#: Rows in a bucket of the last ranking, about, and the greatest number of buckets of a class.
+BUCKET_ROWS, MOST_BUCKETS = 50_000, 1 << 14
+#: The order in which a shard keeps its rows.
+HOT, LINKED, ALONE = 0, 1, 2
+
+
+def _start(shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("start"), "uid"), F.lit(shards)).cast("int")
+
+
+def _met(memberships: DataFrame, groups: DataFrame) -> DataFrame:
+    """Memberships (uid, grp, hot) with the columns of their group; hot groups don't meet in one task."""
+    hot = memberships.where("hot").join(F.broadcast(groups.where("hot").drop("hot")), "grp")
+    return hot.unionByName(memberships.where("not hot").join(groups.where("not hot").drop("hot"), "grp"))
+
+
+def memberships(nodes: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """(uid, grp, hot) of documents in groups of two or more: those of ``nodes`` (uid, doc_id, grp), and of ``links`` (doc_id, grp)."""
+    every = nodes.select("uid", "grp")
+    if links is not None:
+        more = links.where("doc_id is not null and grp is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.lit("link"), "grp").alias("grp")).distinct()
+        every = every.union(nodes.select("uid", "doc_id").join(more, "doc_id").select("uid", "grp"))
+    totals = materialise(every.groupBy("grp").agg(F.count(F.lit(1)).alias("total")).where("total > 1"), "shard-groups")
+    rows = totals.agg(F.sum("total").alias("n")).first()["n"] or 0
+    is_hot = F.col("total") > rows * HOT_SHARE
+    marked = every.join(F.broadcast(totals.where(is_hot).select("grp", F.lit(True).alias("hot"))), "grp", "left")
+    cold = marked.where("hot is null").select("uid", "grp").join(totals.where(~is_hot).select("grp"), "grp")
+    return materialise(marked.where("hot").select("uid", "grp", "hot").union(cold.select("uid", "grp", F.lit(False).alias("hot"))), "shard-links")
+
+
+def group_counts(member: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+    """(grp, hot, c0, c1, ...): each group's documents by shard."""
+    return member.join(labels.select("uid", "label"), "uid").groupBy("grp", "hot").agg(*[F.count_if(F.col("label") == s).alias(f"c{s}") for s in range(shards)])
+
+
+def cut_links(member: DataFrame, labels: DataFrame, shards: int = SHARDS) -> int:
+    """Pairs of documents of one group in different shards."""
+    n = sum((F.col(f"c{s}") for s in range(shards)), F.lit(0))
+    pairs = lambda c: c * (c - 1) / 2
+    cut = pairs(n) - sum((pairs(F.col(f"c{s}")) for s in range(shards)), F.lit(0))
+    return int(group_counts(member, labels, shards).agg(F.sum(cut)).first()[0] or 0)
+
+
+def start_labels(member: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(uid, g, hot, label) of the linked documents: a random label, and the group that they move with."""
+    own = member.groupBy("uid").agg(F.min("grp").alias("g"), F.max("hot").alias("hot"))
+    return materialise(own.withColumn("label", _start(shards)), "shard-labels")
+
+
+def one_round(member: DataFrame, labels: DataFrame, quota: int, shards: int = SHARDS) -> tuple[DataFrame, int]:
+    """(labels after a round, number of moves).  No move enters a shard that has ``quota`` linked documents."""
+    held = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    room = [max(0, quota - held.get(s, 0)) for s in range(shards)]
+    counts = materialise(group_counts(member, labels, shards), "shard-counts")
+    near = _met(member, counts).groupBy("uid").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(shards)])
+    met = near.join(labels, "uid")
+    turn = lambda s: F.pmod(F.xxhash64("g") + s, F.lit(shards))  # noqa: E731  # ties go the same way for a whole group
+    seats = [F.when(F.lit(room[s] > 0) | (F.col("label") == s), F.struct(F.col(f"c{s}").alias("c"), turn(s).alias("t"), F.lit(s).alias("s"))) for s in range(shards)]
+    part = F.pmod(F.xxhash64("g", F.when(F.col("hot"), F.col("uid"))), F.lit(MOVES)).cast("int")
+    wanted = materialise(met.select("uid", "g", "hot", "label", F.greatest(*seats)["s"].alias("target"), part.alias("part")), "shard-moves")
+    come = wanted.where("target <> label").groupBy("target", "part").agg(F.count(F.lit(1)).alias("n"))
+    # at most shards * MOVES rows
+    upto = come.withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("part")))
+    rooms = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, room[s])])
+    accepted = upto.where(F.col("upto") <= rooms[F.col("target")]).select("target", "part", "n")
+    moved = accepted.agg(F.sum("n")).first()[0] or 0
+    taken = wanted.join(F.broadcast(accepted.select("target", "part", F.lit(True).alias("ok"))), ["target", "part"], "left")
+    label = F.when(F.col("ok") & (F.col("target") != F.col("label")), F.col("target")).otherwise(F.col("label"))
+    return materialise(taken.select("uid", "g", "hot", label.alias("label")), "shard-labels"), int(moved)
+
+
+def propagate(member: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+    """(uid, g, hot, label) of linked documents after at most ``rounds`` rounds, fewer if nothing moves."""
+    labels = start_labels(member, shards)
+    for _ in range(rounds):
+        labels, moved = one_round(member, labels, rows // shards, shards)
+        if not moved:
+            break
+    return labels
+
+
+def settle(nodes: DataFrame, labels: DataFrame, rows: int, shards: int = SHARDS) -> DataFrame:
+    """``nodes`` (uid, ...) with shard and slot: every shard keeps its quota of rows, the surplus fills the others."""
+    buckets = min(MOST_BUCKETS, max(16, 1 << (rows // (shards * BUCKET_ROWS)).bit_length()))
+    met = nodes.join(labels, "uid", "left").withColumn("label", F.coalesce("label", _start(shards)))
+    kind = F.when(F.col("g").isNull(), ALONE).when(F.col("hot"), HOT).otherwise(LINKED)
+    part = F.pmod(F.when(kind == LINKED, F.xxhash64("g")).otherwise(F.xxhash64("uid")), F.lit(buckets)).cast("int")
+    met = materialise(met.select(*nodes.columns, "label", "g", kind.alias("kind"), part.alias("part")), "shard-ranks")
+    keys = ["label", "kind", "part"]
+    # at most shards * 3 * MOST_BUCKETS rows
+    sizes = materialise(met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
+    before = sizes.select(*keys, (F.sum("n").over(Window.partitionBy("label").orderBy("kind", "part")) - F.col("n")).alias("before"))
+    held = {r["label"]: r["n"] for r in sizes.groupBy("label").agg(F.sum("n").alias("n")).collect()}
+    ranked = met.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy("g", "uid"))).join(F.broadcast(before), keys)
+    rank = F.col("before") + F.col("row") - 1
+    quota = [rows // shards + (s < rows % shards) for s in range(shards)]
+    lead, start, home, first = 0, [], F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for s in range(shards):  # where each shard's surplus begins in the order of all surplus rows
+        start.append(lead)
+        lead += max(0, held.get(s, 0) - quota[s])
+    lead = 0
+    places = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, start[s] - quota[s])])
+    index = rank + places[F.col("label")]
+    for s in range(shards):
+        empty = max(0, quota[s] - held.get(s, 0))
+        inside = (index >= lead) & (index < lead + empty)
+        home = F.when(inside, s).otherwise(home)
+        first = F.when(inside, index - lead + held.get(s, 0)).otherwise(first)
+        lead += empty
+    stays = rank < F.create_map(*[F.lit(x) for s in range(shards) for x in (s, quota[s])])[F.col("label")]
+    return ranked.select(*nodes.columns, F.when(stays, F.col("label")).otherwise(home).alias("shard"), F.when(stays, rank).otherwise(first).alias("slot"))
+
+
+def shard(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, links: DataFrame | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row; the law is ``rows``.
 
-    Equal texts are one group; null texts are a group too (no bytes: size 1, text_crc32 0).  A null
-    doc_id is a document like others and comes first in its group.  Repeated rows count each;
-    an empty table gives no rows; columns other than doc_id and text are not read.
+    Equal texts are one group; null texts are a group too (no bytes: size 1, text_crc32 0), and
+    ``links`` (doc_id, grp) may add others.  A null doc_id is a document like others.  Repeated
+    rows count each; an empty table gives no rows; columns other than doc_id and text are not read.
     """
     raw = F.col("text").cast("string").cast("binary")
     size = F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint") + 1
-    nodes = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("bigint").alias("text_crc32"), F.xxhash64(F.col("text"), F.crc32(raw), size).alias("grp"))
-    nodes = materialise(nodes, "shard-nodes")
-    totals = nodes.groupBy("grp").agg(F.count(F.lit(1)).alias("total"))
-    placed = cut_evenly(propagate(materialise(nodes.join(totals, "grp"), "shard-nodes"), shards), shards)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    nodes = documents.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("bigint").alias("text_crc32"), F.xxhash64(F.col("text"), F.crc32(raw), size).alias("grp"))
+    nodes = materialise(nodes, "shard-nodes")  # numbers of rows stay what they are from here on
+    rows = nodes.count()
+    labels = propagate(memberships(nodes, links), rows, shards, rounds)
+    placed = settle(nodes.drop("grp"), labels, rows, shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
