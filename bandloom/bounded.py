@@ -47,3 +47,20 @@ def split_by_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[Da
     joined = df.select(F.struct("*").alias("row"), block.alias("block"), _mask(bits).alias("want")).join(F.broadcast(table), "block", "left")
     hit = F.col(f"row.{key}").isNotNull() & F.coalesce(F.col("mask").bitwiseAND(F.col("want")) == F.col("want"), F.lit(False))
     return joined.where(~hit).select("row.*"), joined.where(hit).select("row.*")
+
+
+#: A group with more than this share of all rows is hot; there are fewer than 4096 such groups.
+HOT_SHARE = 1 / 4096
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has a row for each group and its number of rows in ``size``.
+
+    The hot groups meet their rows in a broadcast of fewer than 4096 rows, the others in a
+    shuffle, so that no task gets a large part of the rows.  ``groups`` is best a stored table.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > total * HOT_SHARE
+    few = F.broadcast(groups.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~hot), keys)
+    return rows.join(few, keys).unionByName(rest)

@@ -72,6 +72,11 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def make_dirs(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> bool:
     """Atomic on file systems with an atomic directory rename."""
     a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))

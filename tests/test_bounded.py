@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
 from bandloom import bounded
-from bandloom.bounded import split_by_ids
+from bandloom.bounded import join_groups, split_by_ids
 
 
 def test_members_are_never_missed(spark, monkeypatch):
@@ -18,3 +20,10 @@ def test_members_are_never_missed(spark, monkeypatch):
 def test_no_ids(spark):
     out, maybe = split_by_ids(spark.range(5).withColumnRenamed("id", "doc_id"), spark.createDataFrame([], "k bigint"))
     assert out.count() == 5 and maybe.count() == 0
+
+
+def test_hot_groups_join_like_others(spark):
+    rows = spark.range(9000).selectExpr("CASE WHEN id < 3000 THEN 'hot' WHEN id < 8999 THEN 'k' || id END AS k", "id")
+    groups = rows.where("k is not null").groupBy("k").agg(F.min("id").alias("first"), F.count("id").alias("n"))
+    got = join_groups(rows, groups, ["k"], "n").collect()
+    assert len(got) == 8999 and all(r["first"] == (0 if r.k == "hot" else r.id) and r.n == (3000 if r.k == "hot" else 1) for r in got)
