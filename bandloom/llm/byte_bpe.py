@@ -276,5 +276,24 @@ def encode_checked(df: DataFrame, carry: list[str], vocabulary: tuple[str, str]
     return rows.mapInArrow(run, schema).toDF("doc_id", *carry, "n_tokens", "ids", "round_trip")
 
 
+def token_counts(df: DataFrame, carry: list[str], vocabulary: tuple[str, str] | None = None) -> DataFrame:
+    """doc_id, the columns of ``carry`` and n_tokens of each row's text; a null text has none."""
+    from pyspark.sql import types as T
+
+    vocabulary = vocabulary or default_vocabulary()
+    rows = df.select(df["doc_id"].cast("bigint").alias("doc_id"), df["text"].cast("string").alias("text"), *[df[c].alias(f"_carry{k}") for k, c in enumerate(carry)])
+    names = ["doc_id", *[f"_carry{k}" for k in range(len(carry))], "n_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(*vocabulary)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, offsets = bpe.encode_texts([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(np.diff(offsets), pa.int64())], names)
+
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_tokens", T.LongType())])
+    return rows.mapInArrow(run, schema).toDF("doc_id", *carry, "n_tokens")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

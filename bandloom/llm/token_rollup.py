@@ -1,32 +1,45 @@
 """Token counts as rollups kept up to date by signed changes.
 
 A batch of changes (inserts, deletes, revised counts) is summed to a delta for each
-(source, lang, tokenizer) and becomes part of the ledger by one rename; a batch id that
-is there already is left alone, so a batch may be sent again after a failure.  Totals are
-a version of the sums together with the ids it holds; the next version adds the deltas
-of batches that the last one lacks.
+(source, lang, tokenizer).  Its folder gets its place by one rename, under a name of its own
+below the batch's id; a reader takes one folder for each id, so a batch that is sent again,
+or twice at the same time, counts once.  Totals are a version of the sums together with the
+ids that it holds; the next version adds the deltas of batches that the last one lacks.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.storage import exists, list_dirs, materialise, new_path, remove, rename
+from bandloom.bounded import join_groups
+from bandloom.llm.byte_bpe import token_counts
+from bandloom.storage import list_dirs, make_dirs, materialise, new_path, rename
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 class TokenLedger:
-    """Folders ``batch-<id>`` with deltas and ``totals-<number>`` with sums and the ids in them."""
+    """Folders ``batch-<id>/<attempt>`` with deltas, and ``totals-<number>-<attempt>`` with sums and the ids in them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _batches(self) -> dict[str, str]:
+        """Batch id -> the folder that counts for it: of several attempts the first by name."""
+        found = {}
+        for name in list_dirs(self.spark, self.path):
+            if name.startswith("batch-"):
+                tries = list_dirs(self.spark, f"{self.path}/{name}")
+                if tries:
+                    found[name[6:]] = f"{self.path}/{name}/{tries[0]}"
+        return found
+
     def batches(self) -> list[str]:
-        return [d[6:] for d in list_dirs(self.spark, self.path) if d.startswith("batch-")]
+        return list(self._batches())
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Add a batch of rows (kind, source, lang, tokenizer, tokens, old_tokens) once.
@@ -34,10 +47,10 @@ class TokenLedger:
         kind: insert adds tokens, delete takes them away, revise puts tokens in the place of
         old_tokens.  Null tokens count as 0; other kinds, or none, are an error when the batch
         is summed.  Null source, lang or tokenizer is a key of its own.  False: the id was
-        there, and nothing happened.
+        there, and nothing happened.  An id names one content: of two different ones sent under
+        it at the same time, one counts.
         """
-        final = f"{self.path}/batch-{batch_id}"
-        if exists(self.spark, final):
+        if batch_id in self.batches():
             return False
         kind, tokens, old = F.col("kind"), F.coalesce(F.col("tokens"), F.lit(0)), F.coalesce(F.col("old_tokens"), F.lit(0))
         wrong = F.raise_error(F.concat(F.lit("no such kind of change: "), F.coalesce(kind, F.lit("null")))).cast("bigint")
@@ -46,84 +59,88 @@ class TokenLedger:
         delta = changes.groupBy(*KEYS).agg(F.sum(docs).cast("bigint").alias("n_docs"), F.sum(signed).cast("bigint").alias("n_tokens"))
         draft = new_path(self.spark, f"draft-{batch_id}")
         delta.write.parquet(draft)
-        self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(self.spark._jvm.org.apache.hadoop.fs.Path(self.path))
-        if exists(self.spark, final) or not rename(self.spark, draft, final):
-            remove(self.spark, draft)
-            return False
+        self._place(draft, f"batch-{batch_id}", uuid.uuid4().hex)
         return True
 
-    def _versions(self) -> list[str]:
-        return [d for d in list_dirs(self.spark, self.path) if d.startswith("totals-")]
+    def _place(self, draft: str, folder: str, name: str) -> None:
+        make_dirs(self.spark, f"{self.path}/{folder}")
+        if not rename(self.spark, draft, f"{self.path}/{folder}/{name}"):
+            raise RuntimeError(f"{draft} could not be put in place")
 
     def totals(self) -> DataFrame:
         """The sums of all committed batches; those the last version lacks are added on the fly."""
+        return self._sums(self._batches())
+
+    def _sums(self, batches: dict[str, str]) -> DataFrame:
         done, parts = self._last()
-        fresh = [b for b in self.batches() if b not in done]
+        fresh = [folder for b, folder in batches.items() if b not in done]
         if fresh:
-            parts.append(self.spark.read.schema(SUMS).parquet(*[f"{self.path}/batch-{b}" for b in fresh]))
+            parts.append(self.spark.read.schema(SUMS).parquet(*fresh))
         if not parts:
             return self.spark.createDataFrame([], SUMS)
         rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
+    def _versions(self) -> list[str]:
+        found = [d for d in list_dirs(self.spark, f"{self.path}/totals")]
+        return sorted(found, key=lambda d: (-int(d.split("-")[0]), d))
+
     def _last(self) -> tuple[set[str], list[DataFrame]]:
         versions = self._versions()
         if not versions:
             return set(), []
-        top = f"{self.path}/{versions[-1]}"
+        top = f"{self.path}/totals/{versions[0]}"
         done = {r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{top}/ids").collect()}
         return done, [self.spark.read.schema(SUMS).parquet(f"{top}/sums")]
 
     def refresh(self) -> None:
-        """Write the next version of the totals."""
-        number = 1 + int(self._versions()[-1][7:]) if self._versions() else 1
+        """Write the next version of the totals: of the batches that are there now, and of no later one."""
+        versions = self._versions()
+        number = 1 + int(versions[0].split("-")[0]) if versions else 1
+        batches = self._batches() | dict.fromkeys(self._last()[0], "")
         draft = new_path(self.spark, "draft-totals")
-        ids = self.batches()
-        self.totals().write.parquet(f"{draft}/sums")
-        self.spark.createDataFrame([(b,) for b in ids], "batch_id string").coalesce(1).write.parquet(f"{draft}/ids")
-        rename(self.spark, draft, f"{self.path}/totals-{number:06d}")
+        self._sums(batches).write.parquet(f"{draft}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch_id string").coalesce(1).write.parquet(f"{draft}/ids")
+        self._place(draft, "totals", f"{number:09d}-{uuid.uuid4().hex}")
 
 
 def counts(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, grp, words, utf8, chars) of each row; null text counts nothing."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select("doc_id", "source", "lang", F.sha2(F.col("text"), 256).alias("grp"), F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("words"), F.octet_length(text).cast("bigint").alias("utf8"), F.char_length(text).cast("bigint").alias("chars"))
+    """(doc_id, source, lang, grp, utf8, n_tokens) of each row; a null text has no tokens and no bytes."""
+    text = F.col("text").cast("string")
+    rows = documents.select("doc_id", "text", "source", "lang", F.sha2(text, 256).alias("grp"), F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("utf8"))
+    return token_counts(rows, carry=["source", "lang", "grp", "utf8"])
 
 
-def _changes(rows: DataFrame, kind: str, tokenizers: dict[str, tuple[Column, Column]]) -> DataFrame:
+def changes(rows: DataFrame, kind: str, tokenizers: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows for ``TokenLedger.commit``: for each tokenizer its new and its old count."""
     each = F.explode(F.array(*[F.struct(F.lit(t).alias("tokenizer"), new.alias("tokens"), old.alias("old_tokens")) for t, (new, old) in tokenizers.items()]))
     return rows.select("source", "lang", each.alias("e")).select(F.lit(kind).alias("kind"), "source", "lang", "e.tokenizer", "e.tokens", "e.old_tokens")
 
 
+BPE, BYTES = "byte_bpe_multi_50k", "utf8_bytes"
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: all documents, the unit of ``units-1`` revised from bytes to
-    characters, later copies of a text deleted, and the second batch sent again (no effect)."""
+    """source, lang, tokenizer, n_docs, n_tokens after four commits of changes.
+
+    All documents are inserted with their byte-level BPE tokens and their bytes; BPE counts are
+    revised by the end-of-text token of each document; later copies of a text are deleted; and
+    the second batch is sent again, without effect.  Of rows with equal texts the one with the
+    least doc_id stays, and all that share it; a copy with a null doc_id stays too.  Null texts
+    are no copies and count no bytes and one token; null source and lang are keys of their own.
+    An empty table gives no rows.
+    """
     rows = materialise(counts(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-counts")
     ledger = TokenLedger(spark, new_path(spark, "token-ledger"))
     none = F.lit(0).cast("bigint")
-    words, utf8, chars = F.col("words"), F.col("utf8"), F.col("chars")
-    ledger.commit("0001-load", _changes(rows, "insert", {"words-1": (words, none), "units-1": (utf8, none)}))
+    tokens, utf8 = F.col("n_tokens"), F.col("utf8")
+    ledger.commit("0001-load", changes(rows, "insert", {BPE: (tokens, none), BYTES: (utf8, none)}))
     ledger.refresh()
-    revision = _changes(rows, "revise", {"units-1": (chars, utf8)})
-    ledger.commit("0002-characters", revision)
-    first = rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"))
-    copies = rows.join(first, "grp").where("doc_id > first")
-    ledger.commit("0003-copies", _changes(copies, "delete", {"words-1": (words, none), "units-1": (chars, none)}))
+    revision = changes(rows, "revise", {BPE: (tokens + 1, tokens)})
+    ledger.commit("0002-end-of-text", revision)
+    first = rows.where("grp is not null").groupBy("grp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = join_groups(rows, materialise(first, "token-groups"), ["grp"], "n").where("doc_id > first")
+    ledger.commit("0003-copies", changes(copies, "delete", {BPE: (tokens + 1, none), BYTES: (utf8, none)}))
     ledger.refresh()
-    ledger.commit("0002-characters", revision)
+    ledger.commit("0002-end-of-text", revision)
     return ledger.totals()
-
-
-OP6_SQL = r"""
-WITH c AS (
-  SELECT source, lang, text IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY text) AS gone,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS words, coalesce(length(text), 0) AS chars
-  FROM documents
-), t AS (
-  SELECT source, lang, 'words-1' AS tokenizer, gone, words AS n FROM c
-  UNION ALL SELECT source, lang, 'units-1', gone, chars FROM c
-)
-SELECT source, lang, tokenizer, CAST(sum(CASE WHEN coalesce(gone, false) THEN 0 ELSE 1 END) AS BIGINT) AS n_docs,
-       CAST(sum(CASE WHEN coalesce(gone, false) THEN 0 ELSE n END) AS BIGINT) AS n_tokens
-FROM t GROUP BY source, lang, tokenizer
-"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bandloom.llm.line_dedup import deduplicate, fingerprints
 from bandloom.llm import shard_balance
 from bandloom.llm.shard_balance import cut_links, one_round, op3_sharding, shard, start_labels
-from bandloom.llm.token_rollup import TokenLedger
+from bandloom.llm.token_rollup import TokenLedger, op6_token_counts
 
 
 def docs(spark, rows):
@@ -202,3 +202,61 @@ def test_ledger(spark, tmp_path):
     with pytest.raises(Exception, match="no such kind"):
         ledger.commit("4", one.withColumn("kind", F.lit("upsert")))
     assert "4" not in ledger.batches()
+
+
+CHANGES = "kind string, source string, lang string, tokenizer string, tokens bigint, old_tokens bigint"
+
+
+def test_a_commit_during_a_refresh_counts_once(spark, tmp_path):
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    insert = spark.createDataFrame([("insert", "s", "en", "t", 10, None)], CHANGES)
+    ledger.commit("1", insert)
+    plain = ledger._batches
+
+    def slow():
+        found = plain()
+        ledger._batches = plain
+        ledger.commit("2", insert)  # after the ids are fixed, before the sums are written
+        return found
+
+    ledger._batches = slow
+    ledger.refresh()
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(2, 20)]
+    ledger.refresh()
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(2, 20)]
+
+
+def test_one_batch_sent_twice_at_once(spark, tmp_path):
+    ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
+    insert = spark.createDataFrame([("insert", "s", "en", "t", 10, None)], CHANGES)
+    ledger.commit("1", insert)
+    ledger.batches = lambda: []  # the second sender saw no batch
+    assert ledger.commit("1", insert)
+    del ledger.batches
+    assert ledger.batches() == ["1"] and [tuple(r)[3:] for r in ledger.totals().collect()] == [(1, 10)]
+    ledger.refresh()
+    assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(1, 10)]
+
+
+def test_token_counts_against_tiktoken(spark, tmp_path, sf_dir):
+    import tiktoken
+
+    from bandloom.llm.byte_bpe import coder, default_vocabulary
+
+    rank_file, pattern = default_vocabulary()
+    reference = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder(rank_file, pattern).ranks, special_tokens={})
+    rows = [(r.doc_id, r.text, r.source, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(9000, None, None, "en"), (9001, "", "s", None), (9002, "", "s", None), (None, rows[3][1], "s", "en"), (9003, rows[5][1], None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string").write.parquet(f"file://{tmp_path}/t/documents.parquet")
+    first, want = {}, defaultdict(lambda: [0, 0])
+    for i, t, _, _ in rows:
+        if i is not None and t is not None:
+            first[t] = min(first.get(t, i), i)
+    for i, t, s, lang in rows:
+        if i is None or t is None or first[t] == i:
+            for name, n in (("byte_bpe_multi_50k", len(reference.encode_ordinary(t or "")) + 1), ("utf8_bytes", len((t or "").encode()))):
+                want[s, lang, name][0] += 1
+                want[s, lang, name][1] += n
+        else:
+            want[s, lang, "byte_bpe_multi_50k"], want[s, lang, "utf8_bytes"]
+    assert {tuple(r)[:3]: list(r)[3:] for r in op6_token_counts(spark, f"file://{tmp_path}/t").collect()} == dict(want)
