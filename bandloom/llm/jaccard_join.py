@@ -14,7 +14,8 @@
 5. Components of the found links give the classes.  A tile sends a spanning forest of its
    links and the number of links of each document; ``pairs`` sends the links themselves.
 
-Documents with equal sets are one class from the start; copies are never compared.
+Documents with equal sets (128 bits of two independent hashes) are one class from the start;
+copies are never compared.
 No step drops or samples anything: an n-gram in very many documents leaves a task once.
 """
 
@@ -28,14 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.bounded import join_groups
 from bandloom.graph import connected_components
 from bandloom.llm.runs import pack, unpack
 from bandloom.llm.textarrays import Words, flat, grams, mix, slices
-from bandloom.storage import materialise, plan_bytes, release
+from bandloom.storage import materialise, release, text_bytes
 
 FLUSH = 1_000_000
-#: N-grams in a cell of a tile, about: 8 MB.
+#: N-grams and documents in a cell of a tile, about: 8 MB, and some two million pairs.
 CELL = 1_000_000
+CELL_DOCS = 2048
+#: Bytes of stored text for a bucket, about, and the most buckets (2**LEVEL) that a task deals out to at once.
+BUCKET_BYTES = 2 << 20
+LEVEL = 13
 #: Which pairs of a tile are compared: all, those of different sides, or all but two of side 1.
 ALL, ACROSS, NOT_UPPER = 0, 1, 2
 
@@ -53,26 +59,26 @@ def band_bounds(num: int, den: int, top: int) -> np.ndarray:
     return np.array(bounds, np.int64)
 
 
-def shingle_sets(text: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct n-gram hashes of each text, A-Z folded; a shorter text is one n-gram."""
+def shingle_sets(text: pa.Array, width: int) -> Iterator[tuple[np.ndarray, tuple[int, int]]]:
+    """(sorted distinct n-gram hashes, key) of each text, A-Z folded; a shorter text is one n-gram.
+
+    The key is 128 bits that stand for a set: a sum over each of two independent families of hashes.
+    """
     w = Words(*flat(text))
-    h = w.hashes(lower=True)
-    g = grams(h, width)
+    first, second = (w.hashes(lower=True, family=k) for k in (0, 1))
+    g, g2 = grams(first, width, 0), grams(second, width, 1)
     for a, b in itertools.pairwise(w.first.tolist()):
         if b - a >= width:
-            yield np.unique(g[a : b - width + 1])
-        elif b > a:
-            whole = h[a:b].copy()
-            yield grams(whole, b - a) ^ np.uint64(b - a)
+            s, at = np.unique(g[a : b - width + 1], return_index=True)
+            other = g2[a : b - width + 1][at]
         else:
-            yield h[:0]
+            n = np.uint64(b - a)
+            s, other = (grams(h[a:b], b - a, k) ^ n if b > a else h[:0] for k, h in enumerate((first, second)))
+        yield s, (_signed(s.sum(dtype=np.uint64)), _signed(mix(other).sum(dtype=np.uint64)))
 
 
-def _class_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a set."""
-    if not len(s):
-        return 0, 0
-    return int(s.sum(dtype=np.uint64)) - (1 << 63), int(mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)) - (1 << 63)
+def _signed(x: np.uint64) -> int:
+    return int(x) - (1 << 63)
 
 
 def _measure(width: int):
@@ -81,40 +87,53 @@ def _measure(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = [(len(s), *_class_key(s)) for s in shingle_sets(part.column(1), width)]
+                rows = [(len(s), *key) for s, key in shingle_sets(part.column(1), width)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "n", "k1", "k2"])
 
     return run
 
 
+def _joined(parts: list, dtypes: tuple) -> list[np.ndarray]:
+    columns = [unpack(p) for p in parts if p is not None]
+    return [np.concatenate(c) for c in zip(*columns, strict=True)] if columns else [np.zeros(0, t) for t in dtypes]
+
+
+_RUN, _PLACES = (np.uint64, np.int64, np.uint8), (np.uint64, np.int64)
+
+
+def _by_bucket(run: list[np.ndarray], flags: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, run, flags) of columns sorted by hash."""
+    ends = np.arange((1 << bits) + 1, dtype=np.uint64)
+    edges, marks = (np.searchsorted(c[0] >> np.uint64(64 - bits), ends) for c in (run, flags))
+    for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
+        runs = [pack([c[edges[b] : edges[b + 1]] for c in run]) for b in group]
+        known = [pack([c[marks[b] : marks[b + 1]] for c in flags]) if marks[b] < marks[b + 1] else None for b in group]
+        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.array(known, pa.binary())})
+
+
+def _in_order(columns: list[np.ndarray]) -> list[np.ndarray]:
+    order = np.argsort(columns[0], kind="stable")
+    return [c[order] for c in columns]
+
+
 def _runs(width: int, bits: int):
     """Rows (bucket, run, flags): sorted runs of a task's sets, and what is shared within the task."""
 
     def seal(sets: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([s for _, s in sets])
         docs = np.repeat(np.array([d for d, _ in sets], np.int64), [len(s) for _, s in sets])
-        order = np.argsort(keys, kind="stable")
-        keys, docs = keys[order], docs[order]
+        keys, docs = _in_order([keys, docs])
         fresh = np.ones(len(keys), bool)
         fresh[1:] = keys[1:] != keys[:-1]
         many = ~fresh
         many[:-1] |= ~fresh[1:]
-        edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
-            runs, flags = [], []
-            for b in group:
-                s = slice(edges[b], edges[b + 1])
-                one, m = fresh[s], many[s]
-                runs.append(pack([keys[s][one], docs[s][one], m[one].astype(np.uint8)]))
-                flags.append(pack([keys[s][m], docs[s][m]]) if m.any() else None)
-            yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.array(flags, pa.binary())})
+        yield from _by_bucket([keys[fresh], docs[fresh], many[fresh].astype(np.uint8)], [keys[many], docs[many]], bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, held = [], set(), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc_id, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
-                    key = _class_key(s)
+                for doc_id, (s, key) in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), width), strict=True):
                     if len(s) and key not in seen:
                         seen.add(key)
                         sets.append((doc_id, s))
@@ -128,30 +147,65 @@ def _runs(width: int, bits: int):
     return run
 
 
-def _spread(keys: np.ndarray, docs: np.ndarray, parts: int) -> pa.Table:
-    """Shared n-grams as runs by a hash of the document."""
-    home = _home_array(docs, parts)
-    order = np.lexsort((keys, home))
-    keys, docs, home = keys[order], docs[order], home[order]
-    edges = np.searchsorted(home, np.arange(parts + 1))
-    full = [p for p in range(parts) if edges[p] < edges[p + 1]]
-    return pa.table({"home": pa.array(full, pa.int32()), "shared": pa.array([pack([keys[edges[p] : edges[p + 1]], docs[edges[p] : edges[p + 1]]]) for p in full], pa.binary())})
+def _finer(bits: int):
+    """Runs of a task dealt out to 2**bits buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for r, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held.append((r, f))
+                size += len(r) // 8
+                if size >= FLUSH:
+                    yield from deal(held)
+                    held, size = [], 0
+        if held:
+            yield from deal(held)
 
-def _find_shared(parts: int):
-    def find(table: pa.Table) -> pa.Table:
-        runs = [unpack(r) for r in table.column("run").to_pylist()]
-        flags = [unpack(f) for f in table.column("flags").to_pylist() if f is not None]
-        keys, docs, many = (np.concatenate(c) for c in zip(*runs, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, docs, many = keys[order], docs[order], many[order]
-        meet = np.zeros(len(keys), bool)
-        meet[1:] = keys[1:] == keys[:-1]
-        meet[:-1] |= meet[1:].copy()
-        hit = meet & (many == 0)
-        return _spread(np.concatenate([keys[hit], *(f[0] for f in flags)]), np.concatenate([docs[hit], *(f[1] for f in flags)]), parts)
+    def deal(held: list) -> Iterator[pa.RecordBatch]:
+        runs, flags = zip(*held, strict=True)
+        return _by_bucket(_in_order(_joined(runs, _RUN)), _in_order(_joined(flags, _PLACES)), bits)
 
-    return find
+    return run
+
+
+def _find_shared(table: pa.Table) -> pa.Table:
+    """A row (shared) with the (n-gram, document) places of a bucket whose n-gram is in several documents."""
+    keys, docs, many = _in_order(_joined(table.column("run").to_pylist(), _RUN))
+    known = _joined(table.column("flags").to_pylist(), _PLACES)
+    meet = np.zeros(len(keys), bool)
+    meet[1:] = keys[1:] == keys[:-1]
+    meet[:-1] |= meet[1:].copy()
+    hit = meet & (many == 0)
+    out = [np.concatenate(c) for c in zip((keys[hit], docs[hit]), known, strict=True)]
+    return pa.table({"shared": pa.array([pack(_in_order(out))] if len(out[0]) else [], pa.binary())})
+
+
+def _to_homes(homes: int):
+    """Rows (home, shared): places dealt out by their document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                held.append(unpack(packed))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    yield deal(held)
+                    held, size = [], 0
+        if held:
+            yield deal(held)
+
+    def deal(held: list) -> pa.RecordBatch:
+        keys, docs = (np.concatenate(c) for c in zip(*held, strict=True))
+        home = _home_array(docs, homes)
+        order = np.lexsort((keys, home))
+        keys, docs, home = keys[order], docs[order], home[order]
+        full, first = np.unique(home, return_index=True)
+        ends = np.append(first, len(home)).tolist()
+        return pa.record_batch({"home": pa.array(full, pa.int32()), "shared": pa.array([pack([keys[a:b], docs[a:b]]) for a, b in itertools.pairwise(ends)], pa.binary())})
+
+    return run
 
 
 def _gather_sets(num: int, den: int):
@@ -294,26 +348,26 @@ def _pair_tiles(num: int, den: int):
     return link
 
 
-def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
+def _tiles(members: DataFrame, top: int, num: int, den: int) -> DataFrame:
     """(tile columns, side, pairs, rep, n, class_size, grams): each document in the tiles of its cell.
 
     A band of one cell is compared within itself in the tile that it shares with the first cell
-    of the next band, so that most documents are in two tiles.
+    of the next band, so that most documents are in two tiles.  ``top`` is the greatest n.
     """
-    top = members.agg(F.max("n")).first()[0] or 1
     bounds = band_bounds(num, den, top)
     n = F.col("n")
     # the band of a size: lower ends grow by a factor, so a short binary search over literals
     band = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= n)) - 1
     members = members.withColumn("band", band)
-    cells = members.groupBy("cluster", "band").agg(F.sum("n").alias("c"))
-    cells = cells.withColumn("m", F.ceil(F.col("c") / CELL).cast("int"))
-    whole = cells.groupBy("cluster").agg(F.sum("c").alias("total"))
+    cells = members.groupBy("cluster", "band").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("docs"))
+    cells = cells.withColumn("m", F.ceil(F.greatest(F.col("c") / CELL, F.col("docs") / CELL_DOCS)).cast("int"))
+    small = (F.sum("c") <= CELL) & (F.sum("docs") <= CELL_DOCS)
+    whole = cells.groupBy("cluster").agg(small.alias("small"))
     near = lambda d, name: cells.select("cluster", (F.col("band") + d).alias("band"), F.col("m").alias(name))
     cells = cells.join(near(-1, "m_up"), ["cluster", "band"], "left").join(near(1, "m_down"), ["cluster", "band"], "left").join(whole, "cluster")
     docs = members.join(cells, ["cluster", "band"])
     salt = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
-    docs = docs.withColumn("salt", F.when(F.col("total") <= CELL, 0).otherwise(salt))
+    docs = docs.withColumn("salt", F.when(F.col("small"), 0).otherwise(salt))
     tile = lambda row, a, b, side, pairs: F.struct(row.cast("int").alias("row"), a.cast("int").alias("a"), b.cast("int").alias("b"), side.cast("int").alias("side"), pairs.cast("int").alias("pairs"))
     s, band, none = F.col("salt"), F.col("band"), F.array().cast("array<struct<row:int,a:int,b:int,side:int,pairs:int>>")
     upto = lambda m: F.when(F.coalesce(m, F.lit(0)) > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
@@ -324,7 +378,7 @@ def _tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     up = F.transform(upto(F.when(F.col("m") == 1, F.greatest(F.coalesce("m_up", F.lit(0)), F.lit(1))).otherwise(F.col("m_up"))), lambda t: tile(band * 2 + 1, s, t, F.lit(0), kind(F.col("m"), t)))
     down = F.transform(upto(F.col("m_down")), lambda t: tile(band * 2 - 1, t, s, F.lit(1), kind(F.col("m_down"), s)))
     single = F.array(tile(F.lit(-2), F.lit(0), F.lit(0), F.lit(0), F.lit(ALL)))
-    docs = docs.withColumn("t", F.explode(F.when(F.col("total") <= CELL, single).otherwise(F.concat(own, up, down))))
+    docs = docs.withColumn("t", F.explode(F.when(F.col("small"), single).otherwise(F.concat(own, up, down))))
     return docs.select("cluster", "t.row", "t.a", "t.b", "t.side", "t.pairs", "rep", "n", "class_size", "grams")
 
 
@@ -349,7 +403,10 @@ def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     joined = connected_components(found.select("a", "b")).select(F.col("id").alias("rep"), F.col("component"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     named = classes.join(joined.join(counts, "rep"), "rep", "left").select("k1", "k2", "n", "class_size", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
-    out = docs.join(named, ["k1", "k2", "n"], "left")
+    named = materialise(named, "jaccard-named")
+    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    none = F.lit(None).cast("bigint")
+    out = docs.where(~linkable).select("k1", "k2", "n", "doc_id", none.alias("class_size"), none.alias("component"), none.alias("n_links")).unionByName(join_groups(docs.where(linkable), named, ["k1", "k2", "n"], "class_size"))
     alone = F.col("doc_id").isNull() | F.col("component").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), F.when(alone, F.lit(0)).otherwise(F.col("n_links")).alias("n_links"))
 
@@ -363,7 +420,7 @@ def pairs(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     """
     docs, classes, tiles = _candidate_tiles(documents, width, num, den)
     links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_pair_tiles(num, den), "a bigint, b bigint, common bigint")
-    members = docs.where("doc_id is not null").distinct().join(classes, ["k1", "k2", "n"]).select("doc_id", "rep")
+    members = join_groups(docs.where("doc_id is not null").distinct(), classes, ["k1", "k2", "n"], "class_size").select("doc_id", "rep")
     return links, members
 
 
@@ -377,7 +434,7 @@ def _candidate_tiles(documents: DataFrame, width: int, num: int, den: int) -> tu
     release(documents.sparkSession)
 
     # documents of one class have the same shared n-grams, so any of them speaks for it
-    named = docs.where("doc_id is not null").distinct().join(classes, ["k1", "k2", "n"])
+    named = join_groups(docs.where("doc_id is not null").distinct(), classes, ["k1", "k2", "n"], "class_size")
     chosen = live.select("doc_id", "n").join(named.select("doc_id", "n", "rep", "class_size"), ["doc_id", "n"]).groupBy("rep", "n", "class_size").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialise(chosen, "jaccard-chosen")
     met = live.select("doc_id", "n", F.explode("prefix").alias("gram")).join(chosen, ["doc_id", "n"]).select("rep", "gram")
@@ -386,16 +443,17 @@ def _candidate_tiles(documents: DataFrame, width: int, num: int, den: int) -> tu
     clusters = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     release(documents.sparkSession)
     members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "class_size", "grams")
-    return docs, classes, _tiles(members, num, den)
+    return docs, classes, _tiles(members, classes.agg(F.max("n")).first()[0] or 1, num, den)
 
 
 def _home_column(doc_id: Column, homes: int) -> Column:
     """The same place as ``_home_array``, in Spark."""
-    return F.pmod(F.pmod(F.pmod(doc_id, F.lit(1000003)) * 7919, F.lit(65537)), F.lit(homes)).cast("int")
+    part = lambda p, a, q: F.pmod(F.pmod(doc_id, F.lit(p)) * a, F.lit(q))
+    return F.pmod(part(1000003, 7919, 65537) + part(999983, 104729, 65521) * 65537, F.lit(homes)).cast("int")
 
 
 def _home_array(docs: np.ndarray, homes: int) -> np.ndarray:
-    return docs % 1000003 * 7919 % 65537 % homes
+    return (docs % 1000003 * 7919 % 65537 + docs % 999983 * 104729 % 65521 * 65537) % homes
 
 
 def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -403,10 +461,13 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
     A sealed run names one document of each class in its task, so a class may come several times.
     """
-    bits = int(np.clip(np.ceil(np.log2(max(plan_bytes(rows), 1) / (2 << 20))), 5, 16))
-    homes = 1 << bits
-    runs = rows.where("doc_id is not null").mapInArrow(_runs(width, bits), "bucket int, run binary, flags binary")
-    shared = runs.groupBy("bucket").applyInArrow(_find_shared(homes), "home int, shared binary")
+    bits = max(2, (text_bytes(rows) // BUCKET_BYTES).bit_length())
+    homes, near = 1 << bits, min(bits, LEVEL)
+    runs = rows.where("doc_id is not null").mapInArrow(_runs(width, near), "bucket int, run binary, flags binary")
+    while near < bits:
+        coarse, near = near, min(bits, near + LEVEL)
+        runs = runs.repartition(1 << coarse, "bucket").mapInArrow(_finer(near), "bucket int, run binary, flags binary")
+    shared = runs.groupBy("bucket").applyInArrow(_find_shared, "shared binary").mapInArrow(_to_homes(homes), "home int, shared binary")
     ids = docs.where("n > 0 and doc_id is not null").distinct()
     homed = ids.select(_home_column(F.col("doc_id"), homes).alias("home"), "doc_id", "n").groupBy("home")
     live = homed.cogroup(shared.groupBy("home")).applyInArrow(_gather_sets(num, den), "doc_id bigint, n bigint, grams binary, prefix array<bigint>")

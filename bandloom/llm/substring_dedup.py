@@ -430,7 +430,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, index: Fingerprin
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bits = max(5, (text_bytes(rows) // BUCKET_BYTES).bit_length())
+    bits = max(2, (text_bytes(rows) // BUCKET_BYTES).bit_length())
     own = index or FingerprintIndex(spark, new_path(spark, "substring-index"), window, bits)
     cuts = rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000).alias("q")).first()["q"] if batches > 1 else None
     edges = [None, *sorted(set(cuts or [])), None]

@@ -65,6 +65,31 @@ def test_against_brute_force(spark, monkeypatch, width, num, den, cell):
     assert got == brute(rows, width, num, den)
 
 
+@pytest.mark.parametrize(("docs", "level"), [(8, 2), (3, 1)])
+def test_few_documents_in_a_cell_and_levels_of_buckets(spark, monkeypatch, docs, level):
+    monkeypatch.setattr(jaccard_join, "CELL_DOCS", docs)
+    monkeypatch.setattr(jaccard_join, "LEVEL", level)
+    monkeypatch.setattr(jaccard_join, "BUCKET_BYTES", 800)
+    rows = corpus(docs, near=60)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in components(df, 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_structured_words_do_not_collide(spark, n):
+    a, b = ("".join(x[k.bit_count() % 2] for k in range(n)) for x in ("ab", "ba"))
+    tail = " ".join(f"w{k}" for k in range(8))
+    rows = [(1, f"{a} {tail} {a}"), (2, f"{b} {tail} {b}"), (3, a), (4, b), (5, a.upper())]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100).collect()}
+    assert got == brute(rows, 3, 90, 100) and {c for _, _, c in got} == {1, 2, 3, 4}
+
+
+def test_query_against_brute_force(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op1_ngram_jaccard_join(spark, sf_dir).collect()} == brute(rows, 3, 90, 100)
+
+
 @pytest.mark.parametrize("cell", [1_000_000, 150])
 def test_every_link_is_counted_and_listed(spark, monkeypatch, cell):
     monkeypatch.setattr(jaccard_join, "CELL", cell)
