@@ -39,8 +39,8 @@ FLUSH = 1_000_000
 #: N-grams and documents in a cell of a tile, about: 8 MB, and some two million pairs.
 CELL = 1_000_000
 CELL_DOCS = 2048
-#: Bytes of stored text for a bucket, about, and the most buckets (2**LEVEL) that a task deals out to at once.
-BUCKET_BYTES = 2 << 20
+#: Bytes of text for a bucket at most, and the most buckets (2**LEVEL) that a task deals out to at once.
+BUCKET_BYTES = 4 << 20
 LEVEL = 13
 #: Which pairs of a tile are compared: all, those of different sides, or all but two of side 1.
 ALL, ACROSS, NOT_UPPER = 0, 1, 2

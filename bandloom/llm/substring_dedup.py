@@ -33,13 +33,13 @@ from bandloom.llm.textarrays import Words, flat, gram_places, grams, mix, slices
 from bandloom.storage import exists, list_dirs, materialise, new_path, release, remove, text_bytes
 
 WINDOW = 13
-FLUSH = 1_000_000
-#: Bytes of stored text for a bucket, about; so a bucket of all runs is some 15 MB, whatever the size of the input.
-BUCKET_BYTES = 4 << 20
+FLUSH = 700_000
+#: Bytes of text for a bucket at most; so a bucket has a million windows, whatever the size of the input.
+BUCKET_BYTES = 6 << 20
 #: Parquet's writer holds a row group, so that it should be small.
 BLOCK_BYTES = 16 << 20
 #: A task deals windows out to at most 2**LEVEL buckets; finer ones are reached in more steps.
-LEVEL = 13
+LEVEL = 14
 #: Words in a verified piece of a source.
 BLOCK = 64
 #: Batches of a table that comes as a whole: two runs of level 0 are compacted, the third stays.
@@ -229,7 +229,7 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, bits: int = 5, hash_bits: int = 64):
         self.spark, self.path, self.window, self.bits, self.hash_bits = spark, path, window, bits, hash_bits
-        self.files = 1 << bits  # Spark's reader holds a batch of rows, here a whole file: so a file has one bucket
+        self.files = 1 << max(0, bits - 2)  # Spark's reader holds a batch of rows, here a whole file of four buckets
         self.name = f"runs_{uuid.uuid4().hex[:12]}"
 
     def runs(self) -> list[str]:
