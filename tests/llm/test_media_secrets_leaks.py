@@ -137,3 +137,23 @@ def test_leaks(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i or -1 for i, _ in rows if i is None or i not in {d for d, _ in want})
     assert leaks(docs.limit(0), bench).collect() == [] and leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_recall_with_more_items_than_directions(spark):
+    """2,000 items and a basis of 256: planted copies, changed, shortened or with their answer only."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "in", "at", "es", "re", "ou"]) for _ in range(rng.randint(1, 4)))
+    common = [word() for _ in range(40)]
+    sentence = lambda n: [rng.choice(common) if rng.random() < 0.5 else word() for _ in range(n)]
+    items, rows = [sentence(rng.choice([13, 16, 20, 30, 45, 60, 90])) for _ in range(2000)], []
+    for k, item in enumerate(items):
+        leak, m = list(item), len(item)
+        for _ in range(int(m * (0.18 if k % 4 in (1, 2) else 0.36 if k % 4 == 3 else 0))):
+            at = rng.randrange(len(leak) - max(3, -(-m // 5)))
+            leak[at : at + 1] = [] if k % 4 == 2 else [rng.choice(common)]
+        body = sentence(rng.randint(0, 120))
+        at = rng.randint(0, len(body))
+        rows.append((k, " ".join([*body[:at], *leak, *body[at:]])))
+    docs = spark.createDataFrame(rows + [(5000 + k, " ".join(sentence(100))) for k in range(300)], "doc_id bigint, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, spark.createDataFrame(list(enumerate(map(" ".join, items))), "item_id bigint, text string")).collect()}
+    assert sum((k, k) in got for k in range(2000)) >= 1980 and not any(d >= 5000 for d, _ in got)
