@@ -2,10 +2,12 @@
 
 Two models of characters given the two before them are trained from labelled samples:
 random strings (drawn from a seeded generator in several alphabets, plus the values that
-the fixed patterns find in the corpus sample) and ordinary identifiers (the words of the
-same sample outside those matches).  A candidate run becomes a span of kind ``markov``
-when the log-likelihood ratio for each character is over a threshold that is set on a high
-quantile of held-out identifiers: the sample has no labels, so a few keys may be among them.
+the fixed patterns find in the corpus sample) and ordinary identifiers: the words of the
+same sample outside those matches, and what programs make of words (camel and snake case,
+paths, numbered names, versions, times, UUIDs).  A candidate run becomes a span of kind
+``markov`` when the log-likelihood ratio for each character is over a threshold that is set
+on a high quantile of held-out identifiers: words have no labels, so a few keys may be among
+them.
 """
 
 from __future__ import annotations
@@ -42,7 +44,28 @@ WORD = re.compile(r"[A-Za-z_]{5,}")
 SAMPLE_DOCS = 4000
 SAMPLE_CHARS = 10000
 RANDOM_STRINGS = 6000
-_ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.digits + "abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_")
+IDENTIFIERS_MADE, SHAPED_WORDS = 24_000, 2000
+#: Hexadecimal strings are left to the fixed pattern: shorter ones are parts of hashes and UUIDs.
+_ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "-_")
+#: Words of which identifiers are made, beside those of the corpus.
+IDENTIFIER_WORDS = """
+abstract access account action address admin agent array async backup balance base batch bean binary block body bool
+boot buffer build byte cache call char check class client cloud code column command commit common config connection
+context control convert cookie core count create cursor data date debug default delete deploy detail device document
+domain double download driver edit element email empty enable encode entity error event example exception export factory
+field file filter first flag float folder format frame from function gateway generate get global graph group handler
+header helper host html http icon image impl import index info init input insert instance integer interface item java
+json kernel key label language last layer length level library limit line linux link list listener load local location
+lock login long lookup main manager map master max memory message meta method min mobile model module monitor name native
+network node null number object offset online option order output package page parameter parent parse password path
+pattern pending plugin point policy pool port post prefix print process product profile project property protocol
+provider proxy public query queue random range read record reference register release remote render report request
+resource response result return root route sample scan schema scope script search select send server service session set
+setting share shell simple single size socket sort source stack start state static status step stop storage store stream
+string style submit sync system table target task temp template test text theme thread time title token tool total trace
+track transaction transform tree type unit update upload user util valid value variable version view virtual wait web
+widget window word work world write
+""".split()
 _SIZE = 64 + 4  # letters, digits, +/-_= and the rest share the codes
 _CODE = np.full(256, _SIZE - 1, np.int64)
 for _k, _c in enumerate((string.ascii_letters + string.digits + "+/_=-").encode()):
@@ -92,13 +115,50 @@ class MarkovScorer:
         return np.bincount(owner, weights=self.ratio[grams], minlength=len(strings)) / np.maximum(n, 1)
 
 
+def identifiers(words: list[str], n: int, seed: int) -> list[str]:
+    """``n`` identifiers of the usual shapes, made of the words."""
+    rng = np.random.default_rng(seed)
+    number = lambda: str(int(rng.integers(0, 10 ** int(rng.integers(1, 5)))))
+    hexed = lambda k: "".join(rng.choice(list("0123456789abcdef"), k))
+    out = []
+    for k in range(n):
+        some = [words[j] for j in rng.integers(0, len(words), int(rng.integers(2, 5)))]
+        low, high = [w.lower() for w in some], [w.capitalize() for w in some]
+        tail = number() if rng.random() < 0.3 else ""
+        shape = k % 12
+        if shape == 11:
+            text = "-".join(hexed(m) for m in (8, 4, 4, 4, 12))
+            text = text.upper() if rng.random() < 0.2 else text
+        elif shape == 10:
+            text = f"20{rng.integers(10, 40)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}-{rng.integers(0, 60):02d}Z"
+        elif shape == 9:
+            text = "-".join([*low[:2], number(), number(), number()])
+        elif shape >= 7:
+            text = "/" * int(shape == 7) + "/".join(rng.choice([a, b]) for a, b in zip(low, high, strict=True)) + tail
+        elif shape == 6:
+            text = "-".join(low) + ("-" + tail if tail else "")
+        elif shape == 5:
+            text = "_".join(low).upper() + ("_" + tail if tail else "")
+        elif shape >= 3:
+            text = "_".join(low) + ("_" + tail if tail else "")
+        elif shape == 2:
+            text = "".join(low) + tail
+        else:
+            text = "".join(high if shape else [low[0], *high[1:]]) + tail
+        out.append(text)
+    return out
+
+
 def train(secrets: list[str], ordinary: list[str], seed: int = 11) -> MarkovScorer:
     """Fit both models; the threshold lies above nearly all held-out identifiers and below most random strings."""
     rng = np.random.default_rng(seed)
     random = ["".join(rng.choice(list(_ALPHABETS[k % len(_ALPHABETS)]), int(rng.integers(20, 65)))) for k in range(RANDOM_STRINGS)]
     half = len(ordinary) // 2
-    scorer = MarkovScorer(_log_model(random[::2] + secrets) - _log_model(ordinary[:half] or ["identifier"]), 0.0)
-    held = scorer.scores([s for s in ordinary[half:] if len(s) >= 12] or ["identifier_name_of_a_thing"])
+    # the held-out half knows other words, so that its identifiers are new as well
+    learnt = ordinary[:half] + identifiers([*ordinary[:half][:SHAPED_WORDS], *IDENTIFIER_WORDS[::2]], IDENTIFIERS_MADE, seed)
+    new = ordinary[half:] + identifiers([*ordinary[half:][:SHAPED_WORDS], *IDENTIFIER_WORDS[1::2]], IDENTIFIERS_MADE // 4, seed + 1)
+    scorer = MarkovScorer(_log_model(random[::2] + secrets) - _log_model(learnt), 0.0)
+    held = scorer.scores([s for s in new if len(s) >= 12])
     high = scorer.scores(random[1::2])
     scorer.threshold = max(float(np.quantile(held, IDENTIFIERS, method="lower")) + 0.05, float(np.quantile(high, 0.02)) / 2, 0.5)
     return scorer

@@ -157,3 +157,28 @@ def test_recall_with_more_items_than_directions(spark):
     docs = spark.createDataFrame(rows + [(5000 + k, " ".join(sentence(100))) for k in range(300)], "doc_id bigint, text string").repartition(4)
     got = {(r.doc_id, r.item_id) for r in leaks(docs, spark.createDataFrame(list(enumerate(map(" ".join, items))), "item_id bigint, text string")).collect()}
     assert sum((k, k) in got for k in range(2000)) >= 1980 and not any(d >= 5000 for d, _ in got)
+
+
+KNOWN_IDENTIFIERS = """
+AbstractSingletonProxyFactoryBean Donaudampfschifffahrtsgesellschaft1234 123e4567-e89b-12d3-a456-426614174000
+getUserAccountBalanceById2 /usr/local/share/applications/firefox com/example/project/ServiceImplementationTest
+initialize_connection_pool_size MAX_RETRY_COUNT_PER_SECOND my-awesome-project-12 Rechtsschutzversicherung
+kubernetes-dashboard-head internationalization responsabilidades_compartidas windows-2019-datacenter
+TransactionAwareDataSourceProxy test_user_can_not_login_twice 2023-11-05T10-22Z node_modules/react-dom/index
+HashMapIteratorImplementation libc6-dev-amd64-cross org/apache/spark/sql/catalyst content_type_application
+""".split()
+
+
+def test_held_out_precision_and_recall(spark):
+    """On random strings of new seeds, on identifiers made of unseen words, and on known ones."""
+    rng = random.Random(8)
+    words = [w for w in "versicherung gesellschaft dampf schiff fahrt responsable contenu ouvrage informe people little house river mountain window garden thought country because another question between through".split()]
+    scorer = secrets_scan.train([], words * 20)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    caught = lambda s: any(k == 3 for _, k, _ in secrets_scan.all_spans(f"x {s} y", scorer))
+    for alphabet, least in ((letters, 0.98), (letters + "+/", 0.98), (letters[:26] + letters[52:], 0.9), (letters[26:], 0.9)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(20, 40))) for _ in range(200)]
+        assert sum(map(caught, keys)) >= least * 200, (alphabet, sum(map(caught, keys)))
+    assert [s for s in KNOWN_IDENTIFIERS if caught(s)] == []
+    unseen = secrets_scan.identifiers("mercury voltage harbour lantern bottle quarter silver monkey february leaflet".split(), 600, 77)
+    assert sum(map(caught, unseen)) <= 18  # 3 %
