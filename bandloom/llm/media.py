@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,92 +90,208 @@ def write_movie(payload: bytes, sample: int = SAMPLE) -> bytes:
 
 @dataclass
 class Track:
+    """What the boxes say of a track.  ``sizes`` holds the samples' sizes, or ``(size, n)`` if all are equal."""
+
+    number: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    sizes: list[int] = field(default_factory=list)
+    sizes: np.ndarray | tuple[int, int] = (0, 0)
     deltas: list[tuple[int, int]] = field(default_factory=list)
     runs: list[tuple[int, int, int]] = field(default_factory=list)
-    chunks: list[int] = field(default_factory=list)
-    keys: list[int] | None = None
+    chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    keys: np.ndarray | None = None
+    length: int = 0  # bytes of the container
+    fragments: list[tuple[int, int, int, bool]] = field(default_factory=list)  # (offset, size, duration, keyframe) of samples in fragments
+
+    def samples(self) -> int:
+        return (self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)) + len(self.fragments)
+
+    def seconds(self) -> float | None:
+        total = self.duration or sum(f[2] for f in self.fragments)
+        return total / self.timescale if self.timescale else None
+
+    def _places(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, size) of the samples in chunks that lie in the container: chunks by stsc, then sizes in turn."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if isinstance(self.sizes, tuple):
+            each, n = self.sizes
+            sizes = np.full(min(n, self.length // each) if each else 0, each, np.int64)
+        else:
+            sizes = self.sizes
+        runs = [r for r in self.runs if r[0] >= 1 and r[1] >= 1]
+        if not len(sizes) or not runs or not len(self.chunks):
+            return none
+        first = np.array([r[0] for r in runs]) - 1
+        at = np.searchsorted(first, np.arange(len(self.chunks)), "right") - 1
+        each_chunk = np.where(at >= 0, np.minimum(np.array([r[1] for r in runs])[at], len(sizes)), 0)
+        ends = np.cumsum(each_chunk)
+        chunk = np.searchsorted(ends, np.arange(len(sizes)), "right")
+        inside = chunk < len(self.chunks)
+        sample, chunk = np.flatnonzero(inside), chunk[inside]
+        before = np.append(0, np.cumsum(sizes))
+        offset = self.chunks[chunk] + before[sample] - before[(ends - each_chunk)[chunk]]
+        size = sizes[sample]
+        stop = int(np.argmax(np.append((offset < 0) | (offset + size > self.length), True)))
+        return offset[:stop], size[:stop]
 
     def ranges(self) -> list[tuple[int, int]]:
-        """(offset, size) of each sample: chunks by stsc, then sizes in turn."""
-        out, sample = [], 0
-        for k, (first, each, _) in enumerate(self.runs):
-            stop = self.runs[k + 1][0] if k + 1 < len(self.runs) else len(self.chunks) + 1
-            for chunk in range(first, stop):
-                at = self.chunks[chunk - 1]
-                for _ in range(each):
-                    if sample >= len(self.sizes):
-                        return out
-                    out.append((at, self.sizes[sample]))
-                    at += self.sizes[sample]
-                    sample += 1
-        return out
+        """(offset, size) of each sample; the first one outside the container ends the list."""
+        offset, size = self._places()
+        return [*zip(offset.tolist(), size.tolist(), strict=True), *((f[0], f[1]) for f in self.fragments)]
 
     def keyframes(self) -> list[tuple[int, int]]:
-        ranges = self.ranges()
-        return ranges if self.keys is None else [ranges[k - 1] for k in self.keys if 0 < k <= len(ranges)]
-
-
-def walk(data: bytes, lo: int = 0, hi: int | None = None) -> Iterator[tuple[bytes, int, int]]:
-    """(kind, body start, body end) of each box, outer ones first.  Broken sizes end the walk."""
-    hi = len(data) if hi is None else hi
-    while lo + 8 <= hi:
+        """(offset, size) of keyframes; where all samples are keyframes (no stss), of what lies without a gap."""
+        offset, size = self._places()
+        if self.keys is None:
+            new = np.append(True, offset[1:] != (offset + size)[:-1]) if len(offset) else np.zeros(0, bool)
+            start = np.flatnonzero(new)
+            out = list(zip(offset[start].tolist(), np.add.reduceat(size, start).tolist() if len(start) else [], strict=True))
+        else:
+            keys = self.keys[(self.keys >= 1) & (self.keys <= len(offset))] - 1
+            out = list(zip(offset[keys].tolist(), size[keys].tolist(), strict=True))
+        return out + [(f[0], f[1]) for f in self.fragments if f[3]]
+
+
+def walk(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
+    """(kind, start, body start, end) of each box, outer ones first, to any depth.  A broken size ends its level."""
+    levels = [(0, len(data))]
+    while levels:
+        lo, hi = levels.pop()
+        if lo + 8 > hi:
+            continue
         size, kind = struct.unpack_from(">I4s", data, lo)
         body = lo + 8
         if size == 1:
             if lo + 16 > hi:
-                return
+                continue
             size, body = struct.unpack_from(">Q", data, body)[0], lo + 16
         elif size == 0:
             size = hi - lo
         if size < body - lo or lo + size > hi:
-            return
-        yield kind, body, lo + size
+            continue
+        yield kind, lo, body, lo + size
+        levels.append((lo + size, hi))
         if kind in CONTAINERS:
-            yield from walk(data, body, lo + size)
-        lo += size
+            levels.append((body, lo + size))
 
 
-def _table(data: bytes, at: int, form: str) -> list[tuple]:
+def _table(data: bytes, at: int, end: int, kind: str, columns: int = 1) -> np.ndarray:
+    """The entries of a full box's table as rows, as many as the box has room for."""
     n = struct.unpack_from(">I", data, at + 4)[0]
-    size = struct.calcsize(form)
-    return list(struct.iter_unpack(form, data[at + 8 : at + 8 + n * size]))
+    width = np.dtype(kind).itemsize * columns
+    n = min(n, max(0, end - at - 8) // width)
+    return np.frombuffer(data, kind, n * columns, at + 8).astype(np.int64).reshape(n, columns)
+
+
+def _sample_sizes(data: bytes, kind: bytes, at: int, end: int) -> np.ndarray | tuple[int, int]:
+    if kind == b"stsz":
+        each, n = struct.unpack_from(">II", data, at + 4)
+        return (each, n) if each else np.frombuffer(data, ">u4", min(n, max(0, end - at - 12) // 4), at + 12).astype(np.int64)
+    bits, n = struct.unpack_from(">BI", data, at + 7)
+    if bits not in (4, 8, 16):
+        raise struct.error("stz2")
+    raw = np.frombuffer(data, ">u2" if bits == 16 else np.uint8, min(n * bits // 8 + 1, max(0, end - at - 12)) // (2 if bits == 16 else 1), at + 12).astype(np.int64)
+    return (np.stack([raw >> 4, raw & 15], 1).reshape(-1) if bits == 4 else raw)[:n]
+
+
+def _fields(data: bytes, at: int, flags: int, wanted: list[tuple[int, str]]) -> tuple[list[int | None], int]:
+    """The optional fields of a full box whose flag is set, in their order; and where they end."""
+    out: list[int | None] = []
+    for bit, kind in wanted:
+        if flags & bit:
+            out.append(struct.unpack_from(kind, data, at)[0])
+            at += struct.calcsize(kind)
+        else:
+            out.append(None)
+    return out, at
+
+
+class _Fragment:
+    """State of a moof: where its runs of samples lie."""
+
+    def __init__(self, start: int):
+        self.start, self.track, self.next, self.defaults = start, None, start, (0, 0, 0)
+
+    def header(self, data: bytes, at: int, tracks: dict[int, Track], extends: dict[int, tuple[int, int, int]]) -> None:
+        flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+        number = struct.unpack_from(">I", data, at + 4)[0]
+        (base, _, duration, size, mark), _ = _fields(data, at + 8, flags, [(1, ">Q"), (2, ">I"), (8, ">I"), (0x10, ">I"), (0x20, ">I")])
+        known = extends.get(number, (0, 0, 0))
+        self.track, self.base = tracks.get(number), self.start if base is None else base
+        self.next = self.base
+        self.defaults = tuple(k if x is None else x for x, k in zip((duration, size, mark), known, strict=True))
+
+    def run(self, data: bytes, at: int, end: int) -> None:
+        flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
+        n = struct.unpack_from(">I", data, at + 4)[0]
+        (offset, first), at = _fields(data, at + 8, flags, [(1, ">i"), (4, ">I")])
+        if self.track is None:
+            return
+        place = self.next if offset is None else self.base + offset
+        duration, size, mark = self.defaults
+        each = [(0x100, ">I"), (0x200, ">I"), (0x400, ">I"), (0x800, ">I")]
+        width = 4 * sum(bool(flags & bit) for bit, _ in each)
+        # a run's samples have entries of their own, or a size that fills the container
+        n = min(n, max(0, end - at) // width if width else self.track.length // size if size else 0)
+        for k in range(n):
+            (d, s, m, _), at = _fields(data, at, flags, each)
+            d, s, m = duration if d is None else d, size if s is None else s, m if m is not None else first if first is not None and not k else mark
+            if place < 0 or place + s > self.track.length:
+                break
+            self.track.fragments.append((place, s, d, not m & 0x10000))
+            place += s
+        self.next = place
 
 
 def probe(data: bytes) -> list[Track]:
-    """The tracks of a container; [] for anything that is not one."""
+    """The tracks of a container; [] for anything that is not one.
+
+    Fragments (moof) add their samples to the tracks.  Tables that say more than their box holds
+    are read as far as it goes; a box too short for its fixed fields makes the whole unreadable.
+    """
     tracks: list[Track] = []
+    by_number: dict[int, Track] = {}
+    extends: dict[int, tuple[int, int, int]] = {}
+    fragment = None
     try:
-        for kind, at, _ in walk(data):
+        for kind, start, at, end in walk(data):
             if kind == b"trak":
-                tracks.append(Track())
+                tracks.append(Track(length=len(data)))
+            elif kind == b"trex":
+                number, _, *rest = struct.unpack_from(">IIIII", data, at + 4)
+                extends[number] = tuple(rest)
+            elif kind == b"moof":
+                fragment, by_number = _Fragment(start), {t.number: t for t in tracks}
+            elif kind == b"tfhd" and fragment:
+                fragment.header(data, at, by_number, extends)
+            elif kind == b"trun" and fragment:
+                fragment.run(data, at, end)
             t = tracks[-1] if tracks else None
-            if t is None:
+            if t is None or fragment:
                 continue
-            if kind == b"mdhd":
+            if kind == b"tkhd":
+                t.number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+            elif kind == b"mdhd":
                 t.timescale, t.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
             elif kind == b"hdlr":
-                t.handler = data[at + 8 : at + 12].decode("latin-1")
+                t.handler = struct.unpack_from(">4s", data, at + 8)[0].decode("latin-1")
             elif kind == b"stsd":
                 t.codec = data[at + 12 : at + 16].decode("latin-1")
             elif kind == b"stts":
-                t.deltas = _table(data, at, ">II")
+                t.deltas = [tuple(r) for r in _table(data, at, end, ">u4", 2).tolist()]
             elif kind == b"stss":
-                t.keys = [k for (k,) in _table(data, at, ">I")]
+                t.keys = _table(data, at, end, ">u4")[:, 0]
             elif kind == b"stsc":
-                t.runs = _table(data, at, ">III")
-            elif kind == b"stsz":
-                each, n = struct.unpack_from(">II", data, at + 4)
-                t.sizes = [each] * n if each else list(struct.unpack_from(f">{n}I", data, at + 12))
+                t.runs = [tuple(r) for r in _table(data, at, end, ">u4", 3).tolist()]
+            elif kind in (b"stsz", b"stz2"):
+                t.sizes = _sample_sizes(data, kind, at, end)
             elif kind == b"stco":
-                t.chunks = [k for (k,) in _table(data, at, ">I")]
+                t.chunks = _table(data, at, end, ">u4")[:, 0]
             elif kind == b"co64":
-                t.chunks = [k for (k,) in _table(data, at, ">Q")]
-    except (struct.error, IndexError):
+                t.chunks = _table(data, at, end, ">u8")[:, 0]
+    except (struct.error, IndexError, ValueError):
         return []
     return tracks
 
@@ -187,7 +304,8 @@ def media_columns(df: DataFrame, content: str) -> DataFrame:
     """Adds ``media``: the tracks of a BINARY column, read from boxes without decoding payloads.
 
     Null, empty and foreign bytes give an empty array.  Rows and other columns stay as they
-    are; a column of the name media is replaced.
+    are; a column of the name media is replaced.  A malformed container never fails: it gives
+    what its boxes still say, or an empty array.
     """
     from pyspark.sql import functions as F
 
@@ -195,7 +313,7 @@ def media_columns(df: DataFrame, content: str) -> DataFrame:
 
     @F.udf(kind, useArrow=True)
     def run(data):
-        return [(t.handler, t.codec, t.duration / t.timescale if t.timescale else None, len(t.sizes), [tuple(r) for r in t.keyframes()]) for t in probe(bytes(data or b""))]
+        return [(t.handler, t.codec, t.seconds(), t.samples(), t.keyframes()) for t in probe(bytes(data or b""))]
 
     return df.withColumn("media", run(F.col(content)))
 
@@ -218,7 +336,7 @@ def store_texts(df: DataFrame) -> DataFrame:
                     (track,) = probe(movie)
                     back = read_samples(movie, track)
                     keys = track.keyframes()
-                    feature = f"codec={track.codec.strip()};seconds={track.duration / track.timescale:.6f};samples={len(track.sizes)};keyframes=" + ",".join(f"{a}+{n}" for a, n in keys)
+                    feature = f"codec={track.codec.strip()};seconds={track.seconds():.6f};samples={track.samples()};keyframes=" + ",".join(f"{a}+{n}" for a, n in keys)
                     rows.append((doc_id, len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(movie), hashlib.sha256(movie).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()], strict=True)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

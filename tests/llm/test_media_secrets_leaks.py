@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 
 from bandloom.llm import secrets_scan
 from bandloom.llm.decontaminate import clean, common_subsequence, leaks
-from bandloom.llm.media import media_columns, pad, probe, read_samples, store_texts, write_movie
+from bandloom.llm.media import box, full, media_columns, pad, probe, read_samples, store_texts, write_movie
 
 
 @pytest.mark.parametrize("size", [0, 1, 64, 65, 4096, 4097, 40000, 300001])
@@ -20,7 +21,7 @@ def test_movie_round_trip(size):
     assert read_samples(movie, track) == payload
     assert track.codec == "raw " and track.handler == "vide"
     assert sum(n * d for n, d in track.deltas) == track.duration == len(payload)
-    assert len(track.keyframes()) == -(-len(track.sizes) // 8)
+    assert len(track.keyframes()) == -(-track.samples() // 8)
     assert all(0 <= a and a + n <= len(movie) for a, n in track.ranges())
 
 
@@ -31,6 +32,55 @@ def test_broken_containers():
         probe(movie[:cut])
 
 
+def test_fuzzed_containers():
+    """Bytes changed at random: no error, no endless work, ranges inside the container."""
+    rng, movie = random.Random(2), write_movie(pad(b"x" * 40000))
+    end = movie.index(b"mdat")
+    for _ in range(1500):
+        data = bytearray(movie)
+        for _ in range(rng.choice([1, 2, 8])):
+            data[rng.randrange(end)] = rng.choice([0, 1, 255, rng.randrange(256)])
+        for t in probe(bytes(data)):
+            assert all(0 <= a and a + n <= len(data) for a, n in t.ranges() + t.keyframes())
+    deep = b""
+    for _ in range(3000):
+        deep = box(b"moov", deep)
+    assert probe(deep) == []
+    track = probe(movie.replace(b"stsz" + bytes(8) + (10).to_bytes(4, "big"), b"stsz" + bytes(4) + (1).to_bytes(4, "big") + b"\xff" * 4))[0]
+    assert track.samples() == 2**32 - 1 and len(track.ranges()) <= len(movie)
+
+
+def test_fragments():
+    """A fragmented movie: sizes, durations and keyframes by trex, tfhd and trun."""
+    movie = write_movie(pad(b""))
+    at = movie.index(b"moov") - 4
+    moov = movie[at : at + int.from_bytes(movie[at : at + 4], "big")]
+    trex = full(b"trex", struct.pack(">IIIII", 1, 1, 100, 7, 0x10000))
+    body = moov[8:] + box(b"mvex", trex)
+    start = box(b"ftyp", b"isom") + box(b"moov", body)
+
+    def moof(offset):
+        own = box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), full(b"trun", struct.pack(">IiI", 3, offset, 0), flags=5), full(b"trun", struct.pack(">IIIII", 2, 50, 5, 60, 9), flags=0x300))
+        other = box(b"traf", full(b"tfhd", struct.pack(">I", 9)), full(b"trun", struct.pack(">I", 4)))
+        return box(b"moof", full(b"mfhd", bytes(4)), own, other)
+
+    head = moof(0)
+    data = start + moof(len(head) + 8) + box(b"mdat", bytes(range(35)))
+    (track,) = probe(data)
+    first = len(start) + len(head) + 8
+    assert track.fragments == [(first, 7, 100, True), (first + 7, 7, 100, False), (first + 14, 7, 100, False), (first + 21, 5, 50, False), (first + 26, 9, 60, False)]
+    assert track.keyframes()[-1] == (first, 7) and track.samples() == 6
+    for cut in range(len(data)):
+        probe(data[:cut])
+
+
+def test_compact_sizes():
+    for bits, sizes, raw in ((4, [1, 2, 15], b"\x12\xf0"), (8, [3, 200], b"\x03\xc8"), (16, [300], b"\x01\x2c")):
+        body = bytes(7) + bytes([bits]) + len(sizes).to_bytes(4, "big") + raw
+        (track,) = probe(box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", box(b"stz2", body)))))))
+        assert track.sizes.tolist() == sizes
+
+
 def test_media_columns_and_texts(spark):
     movie = write_movie(pad(b"abc"))
     df = spark.createDataFrame([(1, movie), (2, None), (3, b"junk")], "id int, content binary")
