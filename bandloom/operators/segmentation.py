@@ -13,11 +13,9 @@ from pyspark.sql import functions as F
 from bandloom.model import Seed, Segmentation
 from bandloom.operators.scaling import normalise
 from bandloom.operators.stats import zonal_stats
-from bandloom.operators.topology import components, label_mask
+from bandloom.operators.topology import BLOCK, ONE_TASK, components, label_mask
 from bandloom.storage import materialise
 
-#: Rasters of up to this many pixels are grown by one task; larger ones by joins of blocks.
-ONE_TASK = 1 << 20
 METRICS = ("euclidean", "manhattan", "chebyshev")
 
 
@@ -50,9 +48,15 @@ def band_distance(bands: list[str], values: list[float], metric: str) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, [g * g for g in gaps]))
 
 
-def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[Seed], width: int, block: int = 512) -> DataFrame:
-    """(row, col, mask): components of normalised >= threshold with a positive and without a negative seed."""
+def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[Seed], width: int, block: int = BLOCK, height: int | None = None) -> DataFrame:
+    """(row, col, mask): components of normalised >= threshold with a positive and without a negative seed.
+
+    With the raster's height, one of at most ``ONE_TASK`` pixels is done by one task.
+    """
     spark = index_map.sparkSession
+    if height is not None and height * width <= ONE_TASK and block >= BLOCK:
+        flagged = normalise(index_map.select("row", "col", value), value, "_n").select(F.lit(0).alias("raster"), "row", "col", (F.col("_n") >= threshold).alias("candidate"))
+        return flagged.groupBy("raster").applyInArrow(_mask_in_one_task(seeds, height, width), "row int, col int, mask tinyint")
     marked = normalise(index_map.select("row", "col", value), value, "_n").select("row", "col", (F.col("_n") >= threshold).alias("_c"))
     marked = materialise(marked, "region-candidates")
     parts = components(marked.where("_c"), width, 4, block)
@@ -62,6 +66,19 @@ def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[
     return marked.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("_k", F.lit(0)).cast("tinyint").alias("mask"))
 
 
+def _mask_in_one_task(seeds: list[Seed], height: int, width: int):
+    def run(table: pa.Table) -> pa.Table:
+        r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
+        candidate = np.zeros((height, width), bool)
+        candidate[r, c] = table.column("candidate").to_numpy(zero_copy_only=False)
+        labels = label_mask(candidate, 4)
+        at = {kind: {int(labels[s.row, s.col]) for s in seeds if s.kind == kind and 0 <= s.row < height and 0 <= s.col < width} - {-1} for kind in ("pos", "neg")}
+        mask = np.isin(labels, sorted(at["pos"] - at["neg"]))
+        return pa.table({"row": table.column("row"), "col": table.column("col"), "mask": pa.array(mask[r, c].astype(np.int8))})
+
+    return run
+
+
 @dataclass(frozen=True)
 class RegionGrowing:
     """Ordered growing from seeds.  A pixel joins a seed's region if it is connected to it by pixels

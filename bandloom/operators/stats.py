@@ -6,14 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bandloom.functions.arith import finite
-from bandloom.operators.scaling import with_scalars
+from bandloom.storage import plan_bytes
+
+
+#: A table of at most this many bytes may have its percentiles in one aggregate buffer.
+SMALL_BYTES = 64 << 20
+
+
+def percentile_row(df: DataFrame, values: dict[str, Column], fractions: list[float], small: int = SMALL_BYTES) -> DataFrame:
+    """One row with an array of exact, linearly interpolated percentiles for each name; null without values.
+
+    Of large tables values are counted first, the counts are summed up in order by ranges (see
+    ``running_sum``), and the two values around each rank are picked; no task holds all values.
+    """
+    if plan_bytes(df) <= small:
+        return df.agg(*[F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias(n) for n, v in values.items()])
+    out = None
+    for name, value in values.items():
+        counts = df.select(value.cast("double").alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+        ranked = running_sum(counts, "s", "n", "before").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("rows"))))
+        places = [(F.col("rows") - 1) * F.lit(f) for f in fractions]
+        at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("s")))
+        each = ranked.agg(F.max("rows").alias("rows"), *[x for k, p in enumerate(places) for x in (at(F.floor(p)).alias(f"a{k}"), at(F.ceil(p)).alias(f"b{k}"))])
+        mixed = [F.when(F.floor(p) == F.ceil(p), F.col(f"a{k}")).otherwise((F.ceil(p) - p) * F.col(f"a{k}") + (p - F.floor(p)) * F.col(f"b{k}")) for k, p in enumerate(places)]
+        one = each.select(F.when(F.col("rows").isNotNull(), F.array(*mixed)).alias(name))
+        out = one if out is None else out.crossJoin(F.broadcast(one))
+    return out
 
 
 def value_stats(pixels: DataFrame, value: str, low: float = 2.0, high: float = 98.0, by: list[str] = ()) -> DataFrame:
     """min, max, p_low, p_high over finite values (exact, linear); 0, 1, 0, 1 if there is none."""
     v = finite(F.col(value).cast("double"))
-    p = F.percentile(v, F.array(F.lit(low / 100.0), F.lit(high / 100.0)))
-    out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), p.alias("_p"))
+    fractions = [low / 100.0, high / 100.0]
+    if by:
+        out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias("_p"))
+    elif plan_bytes(pixels) <= SMALL_BYTES:
+        out = pixels.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias("_p"))
+    else:
+        out = pixels.agg(F.min(v).alias("min"), F.max(v).alias("max")).crossJoin(F.broadcast(percentile_row(pixels, {"_p": v}, fractions)))
     return out.select(*by, *[F.coalesce(c, F.lit(d)).alias(n) for n, c, d in (("min", F.col("min"), 0.0), ("max", F.col("max"), 1.0), ("p_low", F.get(F.col("_p"), 0), 0.0), ("p_high", F.get(F.col("_p"), 1), 1.0))])
 
 
@@ -28,8 +58,8 @@ def stretch(pixels: DataFrame, bands: list[str], low: float = 2.0, high: float =
 
     Where the percentiles coincide the raw value is clipped to 0..255.
     """
-    pct = [F.percentile(F.when(F.col(b) > 0, F.col(b).cast("double")), F.array(F.lit(low / 100.0), F.lit(high / 100.0))).alias(f"_p_{b}") for b in bands]
-    out = with_scalars(pixels, *pct)
+    pct = {f"_p_{b}": F.when(F.col(b) > 0, F.col(b).cast("double")) for b in bands}
+    out = pixels.crossJoin(F.broadcast(percentile_row(pixels, pct, [low / 100.0, high / 100.0])))
 
     def level(b: str) -> Column:
         v, a, z = F.col(b).cast("double"), F.get(F.col(f"_p_{b}"), 0), F.get(F.col(f"_p_{b}"), 1)
@@ -39,9 +69,10 @@ def stretch(pixels: DataFrame, bands: list[str], low: float = 2.0, high: float =
     return out.select(*[c for c in pixels.columns if c not in bands], *[level(b).alias(b) for b in bands])
 
 
-def overlap_scores(pairs: DataFrame, pred: Column, truth: Column, by: list[str] = (), epsilon: float = 0.0) -> DataFrame:
-    """iou and f1 of two boolean columns; 0 where undefined."""
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+def overlap_scores(pairs: DataFrame, pred: Column, truth: Column, by: list[str] = (), epsilon: float = 0.0, weight: Column | None = None) -> DataFrame:
+    """iou and f1 of two boolean columns, of rows that stand for ``weight`` rows each; 0 where undefined."""
+    each = F.lit(1).cast("bigint") if weight is None else weight
+    one = lambda c: F.sum(F.when(c, each).otherwise(0))
     out = pairs.groupBy(*by).agg(one(pred & truth).alias("tp"), one(pred & ~truth).alias("fp"), one(~pred & truth).alias("fn"))
     union = F.col("tp") + F.col("fp") + F.col("fn")
     iou = F.when(union > 0, F.col("tp") / (union + F.lit(epsilon))).otherwise(0.0)

@@ -29,11 +29,6 @@ RAMPS: dict[str, tuple[str, list[Stop]]] = {
     "sequential": ("Sequential (Terrain)", [Stop(0.0, "#0e2f2a"), Stop(0.45, "#3b8a5a"), Stop(0.75, "#a8c686"), Stop(1.0, "#f2d492")]),
     "mask": ("Mask (Accent)", [Stop(0.0, "#000000", 0.0), Stop(1.0, "#f26522", 0.9)]),
 }
-#: Defaults by index (fixed values): a range where it is fixed, else percentiles.
-_FIXED = {(-1.0, 1.0): "ndvi ndwi gndvi ngrdi vari arvi arvi2 wdrvi rdvi nli gemi", (0.0, 1.0): "ipvi", (0.0, 1.5): "tndvi"}
-_PERCENTILE = {"sequential": "evi evi2 savi osavi msavi dvi rvi sipi cvi mcari mtvi2 tvi wbi pwi", "diverging": "logr"}
-
-
 @dataclass(frozen=True)
 class Style:
     ramp: str = "sequential"
@@ -41,8 +36,37 @@ class Style:
     range: tuple[float, float] | None = None
 
 
-STYLES: dict[str, Style] = {n: Style("diverging" if r[0] < 0 else "sequential", "fixed", r) for r, names in _FIXED.items() for n in names.split()}
-STYLES |= {n: Style(ramp) for ramp, names in _PERCENTILE.items() for n in names.split()}
+#: Defaults by index (fixed values).
+STYLES: dict[str, Style] = {
+    "ndvi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "ndwi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "gndvi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "ngrdi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "vari": Style("diverging", "fixed", (-1.0, 1.0)),
+    "arvi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "arvi2": Style("diverging", "fixed", (-1.0, 1.0)),
+    "wdrvi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "rdvi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "nli": Style("diverging", "fixed", (-1.0, 1.0)),
+    "gemi": Style("diverging", "fixed", (-1.0, 1.0)),
+    "ipvi": Style("sequential", "fixed", (0.0, 1.0)),
+    "tndvi": Style("sequential", "fixed", (0.0, 1.5)),
+    "evi": Style("sequential", "percentile"),
+    "evi2": Style("sequential", "percentile"),
+    "savi": Style("sequential", "percentile"),
+    "osavi": Style("sequential", "percentile"),
+    "msavi": Style("sequential", "percentile"),
+    "dvi": Style("sequential", "percentile"),
+    "rvi": Style("sequential", "percentile"),
+    "sipi": Style("sequential", "percentile"),
+    "cvi": Style("sequential", "percentile"),
+    "mcari": Style("sequential", "percentile"),
+    "mtvi2": Style("sequential", "percentile"),
+    "tvi": Style("sequential", "percentile"),
+    "wbi": Style("sequential", "percentile"),
+    "pwi": Style("sequential", "percentile"),
+    "logr": Style("diverging", "percentile"),
+}
 
 
 def style_of(index: str) -> Style:

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 from bandloom.graph import connected_components, join_labels
 
 BLOCK = 512
+#: Rasters of up to this many pixels are labelled by one task, without links between blocks.
+ONE_TASK = 1 << 20
 STEPS = {4: [(0, 1), (1, 0)], 8: [(0, 1), (1, 0), (1, 1), (1, -1)]}
 
 
@@ -47,9 +49,15 @@ def _label_block(connectivity: int, width: int):
     return run
 
 
-def components(pixels: DataFrame, width: int, connectivity: int = 4, block: int = BLOCK) -> DataFrame:
-    """(row, col, component) of the given pixels; component is the least row * width + col."""
+def components(pixels: DataFrame, width: int, connectivity: int = 4, block: int = BLOCK, height: int | None = None) -> DataFrame:
+    """(row, col, component) of the given pixels; component is the least row * width + col.
+
+    With the raster's height, one of at most ``ONE_TASK`` pixels is one block.
+    """
     n = 8 if connectivity == 8 else 4
+    if height is not None and height * width <= ONE_TASK and block >= BLOCK:
+        whole = pixels.select("row", "col").groupBy(F.lit(0).alias("raster")).applyInArrow(_label_block(n, width), "row int, col int, local bigint")
+        return whole.withColumnRenamed("local", "component")
     div = lambda c: F.floor(F.col(c) / block).cast("int")
     local = pixels.select("row", "col").groupBy(div("row").alias("br"), div("col").alias("bc")).applyInArrow(_label_block(n, width), "row int, col int, local bigint")
     edge = lambda c: (F.col(c) % block == 0) | (F.col(c) % block == block - 1)

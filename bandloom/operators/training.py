@@ -9,17 +9,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bandloom.functions.arith import clip, finite
-from bandloom.operators.scaling import with_scalars
-from bandloom.operators.stats import overlap_scores, roc_auc
+from bandloom.operators.stats import overlap_scores, percentile_row, roc_auc
 from bandloom.storage import materialise
 
 THRESHOLDS = [float(t) for t in np.linspace(0.1, 0.9, 17)]
 PER_CLASS = 25_000
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def mix_key(pid: Column) -> Column:
@@ -44,25 +45,24 @@ def balanced_sample(df: DataFrame, pid: Column, label: str = "label", per_class:
 
 def robust_parameters(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """(median, quartile range) of each feature; a range of 0 counts as 1."""
-    row = df.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f) for f in features]).first()
+    row = percentile_row(df, {f: F.col(f) for f in features}, QUARTILES).first()
     return {f: (row[f][1], (row[f][2] - row[f][0]) or 1.0) for f in features}
 
 
 def robust_scale(df: DataFrame, features: list[str]) -> DataFrame:
     """(x - median) / (q75 - q25) as columns, with the scalars joined as one row."""
-    p = {f: F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_p_{f}") for f in features}
-    out = with_scalars(df, *p.values())
+    out = df.crossJoin(F.broadcast(percentile_row(df, {f"_p_{f}": F.col(f) for f in features}, QUARTILES)))
     span = lambda f: F.coalesce(F.nullif(F.get(f"_p_{f}", 2) - F.get(f"_p_{f}", 0), F.lit(0.0)), F.lit(1.0))
     return out.withColumns({f: (F.col(f) - F.get(f"_p_{f}", 1)) / span(f) for f in features}).drop(*[f"_p_{f}" for f in features])
 
 
 def clip_and_impute(train: DataFrame, other: DataFrame, features: list[str], low: float = 1.0, high: float = 99.0) -> tuple[DataFrame, DataFrame]:
     """Both clipped to percentiles of ``train``, missing values set to its median after clipping."""
-    cut = train.agg(*[F.percentile(finite(F.col(f)), F.array(F.lit(low / 100), F.lit(high / 100))).alias(f) for f in features]).first()
+    cut = percentile_row(train, {f: finite(F.col(f)) for f in features}, [low / 100, high / 100]).first()
     limit = lambda f: clip(finite(F.col(f)), *cut[f]) if cut[f] else F.col(f)
     train, other = (d.withColumns({f: limit(f) for f in features}) for d in (train, other))
-    middle = train.agg(*[F.percentile(f, F.lit(0.5)).alias(f) for f in features]).first()
-    fill = {f: F.coalesce(F.col(f), F.lit(middle[f])) for f in features}
+    middle = percentile_row(train, {f: F.col(f) for f in features}, [0.5]).first()
+    fill = {f: F.coalesce(F.col(f), F.lit(middle[f][0] if middle[f] else None)) for f in features}
     return train.withColumns(fill), other.withColumns(fill)
 
 
@@ -95,10 +95,16 @@ def probability(features: list[str], coef: list[float], intercept: float) -> Col
 
 
 def threshold_scores(scored: DataFrame, prob: str, label: str = "label") -> DataFrame:
-    """(threshold, tp, fp, fn, iou, f1) for 17 thresholds, by one join with 17 rows."""
-    grid = scored.sparkSession.createDataFrame([(k, t) for k, t in enumerate(THRESHOLDS)], "k int, threshold double")
-    crossed = scored.select(prob, label).crossJoin(F.broadcast(grid))
-    return overlap_scores(crossed, F.col(prob) >= F.col("threshold"), F.col(label) == 1, ["k", "threshold"])
+    """(k, threshold, tp, fp, fn, iou, f1) for 17 thresholds; rows without a score or a label don't count.
+
+    Scores are counted by the number of thresholds that they reach, so what meets the
+    thresholds are at most 18 rows of counts for each class.
+    """
+    reached = sum((F.when(F.col(prob) >= t, 1).otherwise(0) for t in THRESHOLDS), F.lit(0))
+    one = F.when(F.col(label) == 1, True).otherwise(False)
+    counts = scored.where(F.col(prob).isNotNull() & F.col(label).isNotNull()).groupBy(reached.alias("reached"), one.alias("one")).agg(F.count(F.lit(1)).alias("n"))
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k, t in enumerate(THRESHOLDS)]))
+    return overlap_scores(counts.select("reached", "one", "n", grid.alias("g")).select("reached", "one", "n", "g.*"), F.col("reached") > F.col("k"), F.col("one"), ["k", "threshold"], weight=F.col("n"))
 
 
 def best_threshold(scored: DataFrame, prob: str, label: str = "label") -> tuple[float, float, float]:
@@ -193,7 +199,7 @@ def learn_formula(maps: DataFrame, names: list[str], label: str, pid: Column, k_
             scores.append({"name": m, "iou": iou, "f1": f1, "suggested_threshold": at, "suggested_threshold_normalized": (at - span[f"lo_{m}"]) / wide if at is not None and wide else None})
             if iou > best_iou:
                 best, best_iou = m, iou
-        except Exception as e:  # one index that cannot be fitted leaves the others' scores
+        except (ArithmeticError, ValueError, IllegalArgumentException) as e:  # one index that cannot be fitted leaves the others' scores
             scores.append({"name": m, "iou": 0.0, "f1": 0.0, "suggested_threshold": None, "suggested_threshold_normalized": None, "error": str(e)[:200]})
     mean = lambda x: sum(x) / len(x)
     return empty | {"best_index": best, "best_single_iou": best_iou, "combined_iou": combined, "mean_cv_f1": mean(f1s), "mean_cv_iou": mean(aucs), "mean_cv_auc": mean(aucs), "coef": coef, "intercept": intercept, "importance": importance(coef), "per_index_scores": scores}

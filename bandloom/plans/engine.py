@@ -15,7 +15,7 @@ from bandloom.operators import resample, roi, scaling, segmentation, stats, symb
 from bandloom.operators.projection import from_lonlat, to_lonlat, transform_bounds
 from bandloom.plans import registry
 from bandloom.plans.cache import IndexCache, TileCache, tile_key
-from bandloom.sources import png, rasters, tiff
+from bandloom.sources import png, rasters
 from bandloom.storage import materialise
 
 PREVIEW_SIDE = 2048
@@ -54,10 +54,12 @@ class Engine:
     # loading
 
     def load(self, path: str) -> dict:
-        """Load a file; caches of the raster before are cleared."""
-        path = rasters.resolve_path(path, self.folders)
-        with open(path, "rb") as f:
-            raster = tiff.header(f.read(), path)
+        """Load a file: a local one, looked for in the folders too, or any URL that Spark opens.
+
+        Caches of the raster before are cleared.
+        """
+        path = path if "://" in path or path.startswith("file:") else rasters.resolve_path(path, self.folders)
+        raster = rasters.header(self.spark, path)
         bands = [d.lower() or f"band_{k + 1}" for k, d in enumerate(raster.descriptions)]
         pixels = rasters.scan(self.spark, path, bands).drop("raster_id")
         return self.use(raster, materialise(pixels, "raster"))
@@ -231,7 +233,7 @@ class Engine:
         """(row, col, mask) at full resolution."""
         self._check_seeds(request.seeds)
         values, grid = self.index_map(request.index_name)
-        return segmentation.region_mask(values, request.index_name, request.threshold, request.seeds, grid.width)
+        return segmentation.region_mask(values, request.index_name, request.threshold, request.seeds, grid.width, height=grid.height)
 
     def segment_picture(self, request: IndexRequest) -> bytes:
         mask = materialise(self.segment(request), "mask")
@@ -265,7 +267,7 @@ class Engine:
         mask, best, total = None, 0, raster.width * raster.height
         tried = list(dict.fromkeys(round(t, 4) for t in [threshold, *(0.05 + 0.05 * k for k in range(19))]))
         for k, t in enumerate(tried):
-            found = materialise(segmentation.region_mask(maps, known[0], t, seeds, raster.width), "training-mask")
+            found = materialise(segmentation.region_mask(maps, known[0], t, seeds, raster.width, height=raster.height), "training-mask")
             on = found.where("mask = 1").count()
             if min(on, total - on) > best:
                 mask, best = found, min(on, total - on)

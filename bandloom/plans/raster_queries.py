@@ -300,8 +300,9 @@ def read_window(spark, sf_dir):
 @query("WITH b AS (" + _BOX + ") SELECT id, greatest(l, -13300000.0) AS l, greatest(b, 4200000.0) AS b, least(r, -12900000.0) AS r, least(t, 4450000.0) AS t FROM b WHERE NOT (r < -13300000.0 OR l > -12900000.0 OR t < 4200000.0 OR b > 4450000.0)")
 def tile_overlap(spark, sf_dir):
     box = roi.Bounds(-13300000.0, 4200000.0, -12900000.0, 4450000.0)
-    f = _boxes(spark, sf_dir).where(~((F.col("right") < box.left) | (F.col("left") > box.right) | (F.col("top") < box.bottom) | (F.col("bottom") > box.top)))
-    return f.select("id", F.greatest("left", F.lit(box.left)).alias("l"), F.greatest("bottom", F.lit(box.bottom)).alias("b"), F.least("right", F.lit(box.right)).alias("r"), F.least("top", F.lit(box.top)).alias("t"))
+    boxes = [(r["id"], roi.Bounds(r["left"], r["bottom"], r["right"], r["top"])) for r in _boxes(spark, sf_dir).collect()]  # 25 tiles
+    met = [(k, tile.clip(box)) for k, tile in boxes if not tile.disjoint(box)]
+    return spark.createDataFrame([(k, t.left, t.bottom, t.right, t.top) for k, t in met], "id int, l double, b double, r double, t double")
 
 
 @query("SELECT n_nationkey AS id, CAST(floor((20.0 - (10.0 + n_regionkey)) / 10.0 * 499 + 0.5) AS INTEGER) AS row, CAST(floor((n_nationkey - 0.0) / 30.0 * 799 + 0.5) AS INTEGER) AS col FROM nation")
@@ -351,13 +352,13 @@ _SEED_ROWS = ", ".join(f"({k}, {s.row}, {s.col}, '{s.kind}')" for k, s in enumer
 
 @query(f"WITH RECURSIVE seeds(id, row, col, kind) AS (VALUES {_SEED_ROWS}), {_FLOOD}, bad AS (SELECT DISTINCT f.row, f.col FROM f JOIN seeds s USING (id) WHERE s.kind = 'neg'), good AS (SELECT DISTINCT f.row, f.col FROM f JOIN seeds s USING (id) WHERE s.kind = 'pos') SELECT n.row, n.col, CAST(CASE WHEN g.row IS NOT NULL AND b.row IS NULL THEN 1 ELSE 0 END AS TINYINT) AS mask FROM norm n LEFT JOIN good g USING (row, col) LEFT JOIN bad b USING (row, col)")
 def region_grow(spark, sf_dir):
-    return segmentation.region_mask(index_map(spark, sf_dir, "ndvi"), "ndvi", 0.45, SEEDS, WIDTH)
+    return segmentation.region_mask(index_map(spark, sf_dir, "ndvi"), "ndvi", 0.45, SEEDS, WIDTH, height=order_raster(spark, sf_dir).height)
 
 
 @query(f"WITH RECURSIVE {NORM}, cand AS MATERIALIZED (SELECT row, col, row * 100 + col AS pid FROM norm WHERE n >= 0.8), f AS (SELECT row, col, pid AS root FROM cand UNION SELECT c.row, c.col, f.root FROM f, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc), cand c WHERE c.row = f.row + d.dr AND c.col = f.col + d.dc), l AS (SELECT row, col, min(root) AS root FROM f GROUP BY 1, 2) SELECT size, count(*) AS components FROM (SELECT root, count(*) AS size FROM l GROUP BY 1) GROUP BY 1")
 def components_sizes(spark, sf_dir):
     cand = scaling.candidates(index_map(spark, sf_dir, "ndvi"), "ndvi", 0.8)
-    return topology.components(cand, WIDTH, 4, block=32).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
+    return topology.components(cand, WIDTH, 4, height=order_raster(spark, sf_dir).height).groupBy("component").agg(F.count(F.lit(1)).alias("size")).groupBy("size").agg(F.count(F.lit(1)).alias("components"))
 
 
 def _grow_sql(bands: list[str], threshold: float, steps: str) -> str:
@@ -520,3 +521,100 @@ def warp_wgs84(spark, sf_dir):
     width, height = roi.warp_shape(box, 256)
     return resample.warp(order_pixels(spark, sf_dir, ["nir"]), raster, box, height, width)
 
+
+
+_TERRAIN = [symbology.Stop(0.0, "#0e2f2a"), symbology.Stop(0.45, "#3b8a5a"), symbology.Stop(0.75, "#a8c686"), symbology.Stop(1.0, "#f2d492")]
+
+
+@query(f"WITH {NDVI}, q AS (SELECT quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM ndvi), x AS (SELECT row, col, CASE WHEN v IS NOT NULL THEN least(greatest((v - lo) / (hi - lo), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) END AS x FROM ndvi, q) SELECT row, col, {_ramp_sql(_TERRAIN, 'x')} FROM x")
+def png_pixels(spark, sf_dir):
+    """The pixels of the image that ``png_render`` draws, decoded."""
+    from bandloom.sources.png import pixels
+
+    return pixels(png_render(spark, sf_dir), "png")
+
+
+@query(f"WITH {REFL} SELECT row, col, " + ", ".join(f"round({sql}, 9) AS {n}" for n, sql in INDEX_SQL.items() if n in ("ndvi", "gndvi", "ndwi", "evi2", "dvi", "rvi", "gli", "vari")) + " FROM refl")
+def precompute_indices(spark, sf_dir):
+    """The maps that precomputing leaves in the index cache."""
+    engine = _engine(spark, sf_dir)
+    engine.precompute()
+    names = ["ndvi", "gndvi", "ndwi", "evi2", "dvi", "rvi", "gli", "vari"]
+    maps = [engine.index_map(n, 2048)[0] for n in names if engine.index_status()]
+    out = maps[0]
+    for more in maps[1:]:
+        out = out.join(more, ["row", "col"])
+    return out.select("row", "col", *[F.round(n, 9).alias(n) for n in names])
+
+
+def _engine(spark, sf_dir):
+    from bandloom.plans.engine import Engine
+
+    engine = Engine(spark)
+    engine.use(order_raster(spark, sf_dir), order_pixels(spark, sf_dir))
+    return engine
+
+
+@query(f"WITH {PIX} SELECT row, col, CAST(CASE WHEN nir = 0 THEN 0 ELSE CAST(nir AS FLOAT) END AS DOUBLE) AS nir FROM pixels")
+def geotiff_roundtrip(spark, sf_dir):
+    """A band written as GeoTIFF and scanned again."""
+    from bandloom.sources import rasters
+    from bandloom.storage import new_path
+
+    path = new_path(spark, "roundtrip") + ".tif"
+    rasters.write_geotiff(order_pixels(spark, sf_dir, ["nir"]), "nir", order_raster(spark, sf_dir), path)
+    return rasters.scan(spark, path, ["nir"]).drop("raster_id")
+
+
+@query(f"WITH {PIX} SELECT CAST(l.level AS INTEGER) AS level, CAST(row // l.level AS INTEGER) AS row, CAST(col // l.level AS INTEGER) AS col, round(avg(nir), 6) AS nir FROM pixels, (VALUES (1), (4)) l(level) GROUP BY 1, 2, 3")
+def pyramid_roundtrip(spark, sf_dir):
+    """Levels of a pyramid, written and read again."""
+    from bandloom.sources import rasters
+    from bandloom.storage import new_path
+
+    path = new_path(spark, "pyramid")
+    rasters.write_pyramid(order_pixels(spark, sf_dir, ["nir"]), ["nir"], path, levels=(1, 4))
+    one, four = (rasters.read_pyramid(spark, path, k).select(F.lit(k).alias("level"), "row", "col", F.round("nir", 6).alias("nir")) for k in (1, 4))
+    return one.union(four)
+
+
+_MERCATOR = Affine(100.0, 0.0, 1000000.0, 0.0, -100.0, 6000000.0)
+_DEGREES = roi.Bounds(9.0, 47.4, 9.2, 47.6)
+
+
+@query(
+    f"WITH {PIX}, size AS (SELECT max(row) + 1 AS height FROM pixels), g AS (SELECT CAST(i // 64 AS INTEGER) AS row, CAST(i % 64 AS INTEGER) AS col FROM range(64 * 48) t(i)), "
+    "p AS (SELECT row, col, radians(9.0 + (col + 0.5) * (CAST(9.2 AS DOUBLE) - 9.0) / 64) * 6378137.0 AS x, ln(tan(pi() / 4 + radians(CAST(47.6 AS DOUBLE) - (row + 0.5) * (CAST(47.6 AS DOUBLE) - 47.4) / 48) / 2)) * 6378137.0 AS y FROM g), "
+    "s AS (SELECT row, col, CAST(floor((6000000.0 - y) / 100) AS INTEGER) AS sr, CAST(floor((x - 1000000.0) / 100) AS INTEGER) AS sc FROM p) "
+    "SELECT s.row, s.col, coalesce(pixels.nir, 0) AS nir FROM s LEFT JOIN pixels ON pixels.row = s.sr AND pixels.col = s.sc"
+)
+def warp_mercator(spark, sf_dir):
+    """A raster in Web Mercator on a grid of degrees, by nearest pixels."""
+    from bandloom.model import Raster
+
+    raster = Raster("orders", WIDTH, order_raster(spark, sf_dir).height, _MERCATOR, "EPSG:3857", 0.0)
+    return resample.warp(order_pixels(spark, sf_dir, ["nir"]), raster, _DEGREES, 48, 64)
+
+
+@query()
+def tile_png(spark, sf_dir):
+    """A map tile in the raster's middle, with the borders of a region."""
+    from bandloom.operators.projection import transform_bounds
+
+    engine = _engine(spark, sf_dir)
+    left, bottom, right, top = transform_bounds("EPSG:32645", "EPSG:3857", engine.raster.bounds)
+    x, y = (int(v) for v in spark.range(1).select(F.floor((F.lit((left + right) / 2) + 20037508.343) / (40075016.686 / 2**15)), F.floor((20037508.343 - F.lit((bottom + top) / 2)) / (40075016.686 / 2**15))).first())
+    return spark.createDataFrame([(15, x, y, engine.tile(15, x, y, [Seed(100, 100)]))], "z int, x int, y int, png binary")
+
+
+@query()
+def preview_png(spark, sf_dir):
+    return spark.createDataFrame([(_engine(spark, sf_dir).preview(256),)], "png binary")
+
+
+@query()
+def kfold_iou(spark, sf_dir):
+    data = _training_maps(spark, sf_dir).where("nir is not null").withColumn("label", F.col("mask"))
+    sample = training.balanced_sample(data, (F.col("row") * 100 + F.col("col")).cast("bigint"), per_class=500)
+    found = training.kfold_iou(sample, ["ndvi", "gli"], (F.col("row") * 100 + F.col("col")).cast("bigint"), k=2)
+    return spark.createDataFrame([(found["mean_iou"], found["mean_f1"], found["mean_threshold"], found["n_splits"])], "mean_iou double, mean_f1 double, mean_threshold double, n_splits int")

@@ -54,19 +54,17 @@ def band_for_wavelength(nm: int) -> str:
     return WAVELENGTH_BANDS.get(nm) or min(BANDS, key=lambda b: abs(BANDS[b][1] - nm))
 
 
+#: Keys that name no band, and what to say of them (fixed value).
+NO_BAND = {"swir": "SWIR not available"}
+
+
 def resolve(required: tuple[str, ...]) -> list[tuple[str, bool]]:
-    """(band, whether it is an approximation by wavelength) for each key."""
-    out = []
-    for key in required:
-        if key in DIRECT:
-            out.append((key, False))
-        elif key.isdigit():
-            out.append((band_for_wavelength(int(key)), True))
-        elif key == "swir":
-            raise ValueError("SWIR not available")
-        else:
-            raise ValueError(f"Band not found: {key}")
-    return out
+    """(band, whether it is an approximation by wavelength) for each key: a band's name or a wavelength in nm."""
+    known = {key: (key, False) for key in DIRECT} | {key: (band_for_wavelength(int(key)), True) for key in required if key.isdigit()}
+    missing = [key for key in required if key not in known]
+    if missing:
+        raise ValueError(NO_BAND.get(missing[0], f"Band not found: {missing[0]}"))
+    return [known[key] for key in required]
 
 
 _formulas: dict[str, Formula] = {}

@@ -65,3 +65,16 @@ def images(colours: DataFrame, height: int, width: int, by: list[str] = ()) -> D
     rows = rows.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).select(*keys, "row", "col", *"rgba")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys) + ", png binary"
     return rows.groupBy(*keys).applyInArrow(draw, schema)
+
+
+def pixels(pictures: DataFrame, column: str) -> DataFrame:
+    """(row, col, r, g, b, a) of the pictures of a BINARY column."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                rgba = decode_png(data)
+                row, col = np.divmod(np.arange(rgba.shape[0] * rgba.shape[1]), rgba.shape[1])
+                yield pa.record_batch({"row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), **{c: pa.array(rgba[..., k].reshape(-1).astype(np.int32)) for k, c in enumerate("rgba")}})
+
+    return pictures.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "row int, col int, r int, g int, b int, a int")

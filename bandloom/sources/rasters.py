@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from bandloom.model import BANDS, RASTER_SCHEMA, Raster
+from bandloom.model import BANDS, RASTER_SCHEMA, Affine, Raster
 from bandloom.sources import tiff
+from bandloom.storage import write_bytes
 
 
 def header_row(r: Raster) -> tuple:
@@ -43,6 +44,14 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RASTER_SCHEMA)
 
 
+def header(spark: SparkSession, path: str) -> Raster:
+    """The header of one file, read by a task: the driver doesn't open it."""
+    r = catalog(spark, path).first()
+    if r is None:
+        raise FileNotFoundError(path)
+    return Raster(r["raster_id"], r["width"], r["height"], Affine(*r["transform"]), r["crs"], r["nodata"], tuple(r["descriptions"]), r["dtype"], r["path"])
+
+
 def _rows(raster_id: str, block: np.ndarray, row0: int, col0: int, names: list[str]) -> pa.RecordBatch:
     n, h, w = block.shape
     rows, cols = np.divmod(np.arange(h * w), w)
@@ -152,8 +161,7 @@ def write_geotiff(pixels: DataFrame, band: str, raster: Raster, path: str, mask:
     nodata = 0.0 if mask else raster.nodata if raster.nodata is not None else float("nan")
     data = to_arrays(pixels, [band], raster.height, raster.width, nodata).astype("u1" if mask else "f4")
     out = Raster(raster.raster_id, raster.width, raster.height, raster.transform, raster.crs, nodata, (band,))
-    with open(path, "wb") as f:
-        f.write(tiff.encode_tiff(data, out, compress))
+    write_bytes(pixels.sparkSession, path, tiff.encode_tiff(data, out, compress))
 
 
 def write_pyramid(pixels: DataFrame, bands: list[str], path: str, levels: tuple[int, ...] = (1, 2, 4, 8, 16), block: int = 512) -> None:

@@ -77,6 +77,18 @@ def make_dirs(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A whole small file, on any file system that Spark can open."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def rename(spark: SparkSession, source: str, target: str) -> bool:
     """Atomic on file systems with an atomic directory rename."""
     a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))

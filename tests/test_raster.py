@@ -360,3 +360,35 @@ def test_engine(spark, tmp_path):
     assert info["pixels_segmented"] > 0 and out.count() == 18 * 24
     engine.register_views()
     assert spark.sql("SELECT count(*) FROM pixels WHERE nir >= 9000").first()[0] == 48
+
+
+def test_percentiles_of_large_tables_are_the_same(spark):
+    import random
+
+    from bandloom.operators.stats import percentile_row
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, float(rng.randint(0, 30)), rng.random()]), None) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    values = {"a": F.col("a"), "twice": F.col("a") * 2, "none": F.col("b")}
+    fractions = [0.0, 0.02, 0.25, 0.5, 0.333, 0.98, 1.0]
+    small, large = (percentile_row(df, values, fractions, small=s).first() for s in (1 << 62, -1))
+    want = df.agg(F.percentile("a", F.array(*[F.lit(f) for f in fractions]))).first()[0]
+    assert large["none"] is None and small["none"] is None
+    assert large["a"] == pytest.approx(want, abs=1e-12) and large["twice"] == pytest.approx([2 * x for x in want], abs=1e-12)
+
+
+def test_masks_in_one_task_and_by_blocks(spark):
+    import random
+
+    from bandloom.model import Seed
+    from bandloom.operators.segmentation import region_mask
+    from bandloom.operators.topology import components
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(r, c, rng.random()) for r in range(40) for c in range(30)], "row int, col int, v double")
+    seeds = [Seed(r, r % 30, "neg" if r % 9 == 0 else "pos") for r in range(0, 40, 3)] + [Seed(500, 1)]
+    one = {tuple(r) for r in region_mask(df, "v", 0.5, seeds, 30, height=40).collect()}
+    assert one == {tuple(r) for r in region_mask(df, "v", 0.5, seeds, 30, block=16).collect()} and 0 < sum(m for _, _, m in one) < 1200
+    near = df.where("v > 0.4")
+    assert sorted(components(near, 30, 8, height=40).collect()) == sorted(components(near, 30, 8, block=8).collect())
