@@ -467,7 +467,7 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     while near < bits:
         coarse, near = near, min(bits, near + LEVEL)
         runs = runs.repartition(1 << coarse, "bucket").mapInArrow(_finer(near), "bucket int, run binary, flags binary")
-    shared = runs.groupBy("bucket").applyInArrow(_find_shared, "shared binary").mapInArrow(_to_homes(homes), "home int, shared binary")
+    shared = runs.repartition(1 << max(0, bits - 1), "bucket").groupBy("bucket").applyInArrow(_find_shared, "shared binary").mapInArrow(_to_homes(homes), "home int, shared binary")
     ids = docs.where("n > 0 and doc_id is not null").distinct()
     homed = ids.select(_home_column(F.col("doc_id"), homes).alias("home"), "doc_id", "n").groupBy("home")
     live = homed.cogroup(shared.groupBy("home")).applyInArrow(_gather_sets(num, den), "doc_id bigint, n bigint, grams binary, prefix array<bigint>")
