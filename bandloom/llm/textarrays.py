@@ -70,7 +70,7 @@ class Words:
     """Words of a batch.  start, end: byte places; first: index of each text's first word, with a last entry."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SEPARATORS):
-        self.data, self.offsets = data, offsets
+        self.data, self.offsets, self.separators = data, offsets, separators
         inside = ~separators[data]
         before = np.empty_like(inside)
         before[1:] = inside[:-1]
@@ -100,13 +100,14 @@ class Words:
         begin = int(self.start[0])
         data = self.data[begin:]
         gaps = np.diff(np.append(self.start, len(self.data)))
-        place = np.arange(begin, len(self.data)) - np.repeat(self.start, gaps)
-        np.minimum(place, longest, out=place)
-        place[place >= np.repeat(self.end - self.start, gaps)] = longest  # what follows the word
-        times = _place_multipliers(longest + 1, family).copy()
-        times[longest] = 0
-        value = _BYTE_VALUE[family]
-        value = (value[_LOWER] if lower else value)[data] * times[place]
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        place = np.arange(len(data), dtype=kind) - np.repeat((self.start - begin).astype(kind), gaps)
+        if int(gaps.max()) > longest + 64:  # a long stretch between words needs no multipliers
+            np.minimum(place, longest, out=place)
+        times = _place_multipliers(min(int(gaps.max()), longest + 64) + 1, family)
+        value = _BYTE_VALUE[family][_LOWER] if lower else _BYTE_VALUE[family].copy()
+        value[self.separators] = 0  # what follows a word doesn't count
+        value = value[data] * times[place]
         return mix(np.add.reduceat(value, self.start - begin) + (self.end - self.start).astype(np.uint64) * _STEP)
 
 
