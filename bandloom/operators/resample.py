@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.model import Affine, Raster
@@ -10,17 +10,57 @@ from bandloom.operators.projection import add_coordinates, to_lonlat
 from bandloom.operators.roi import Bounds
 
 
+def _shares(place: str, src: int, dst: int, reach: str) -> Column:
+    """ARRAY<STRUCT<at, w>>: the output places that a source place contributes to, and its weights.
+
+    ``area``: the length that both cover, in source units.  ``triangle``: a triangle around the
+    output's centre, as wide as the greater of a source and an output pixel.
+    """
+    scale = src / dst
+    i = F.col(place).cast("double")
+    if reach == "area":
+        first, last = F.floor(i / F.lit(scale)), F.ceil((i + 1) / F.lit(scale)) - 1
+        weight = lambda x: F.least(i + 1, (x + 1) * F.lit(scale)) - F.greatest(i, x * F.lit(scale))
+    else:
+        wide = max(scale, 1.0)
+        first, last = F.ceil((i + 0.5 - F.lit(wide)) / F.lit(scale) - 0.5), F.floor((i + 0.5 + F.lit(wide)) / F.lit(scale) - 0.5)
+        weight = lambda x: F.lit(1.0) - F.abs(i + 0.5 - (x + 0.5) * F.lit(scale)) / F.lit(wide)
+    places = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(dst - 1)).cast("int"))
+    each = F.transform(places, lambda x: F.struct(x.alias("at"), weight(x).alias("w")))
+    return F.filter(each, lambda e: e["w"] > 1e-12)
+
+
+def _spread(pixels: DataFrame, bands: list[str], src: tuple[int, int], dst: tuple[int, int], reach: str) -> DataFrame:
+    """(row, col, w, bands): each source pixel in the output pixels that it has a part in."""
+    rows = pixels.select("col", F.explode(_shares("row", src[0], dst[0], reach)).alias("r"), *bands)
+    return rows.select(F.col("r.at").alias("row"), F.col("r.w").alias("v"), F.explode(_shares("col", src[1], dst[1], reach)).alias("c"), *bands).select("row", F.col("c.at").alias("col"), (F.col("v") * F.col("c.w")).alias("w"), *bands)
+
+
 def downsample_average(pixels: DataFrame, bands: list[str], src: tuple[int, int], dst: tuple[int, int], nodata: float | None = None, integers: bool = True) -> DataFrame:
-    """Averages of the source pixels that fall in each output pixel; nodata is left out.
+    """Averages of the source pixels that an output pixel covers, by the area covered; nodata is left out.
 
-    ``src`` and ``dst`` are (height, width).  Exact for integer ratios; for others a source
-    pixel counts where its upper left corner falls.  Integer rasters are rounded half to even.
+    ``src`` and ``dst`` are (height, width), of which only whole ratios need no weights.  Integer
+    rasters are rounded half to even.
     """
-    row, col = F.floor(F.col("row") * F.lit(dst[0]) / F.lit(src[0])).cast("int"), F.floor(F.col("col") * F.lit(dst[1]) / F.lit(src[1])).cast("int")
-    mean = lambda b: F.avg(F.when(F.lit(nodata is None) | (F.col(b) != F.lit(nodata if nodata is not None else 0)), F.col(b)))
+    real = lambda b: F.when(F.lit(nodata is None) | (F.col(b) != F.lit(nodata if nodata is not None else 0)), F.col(b))
     fill = (lambda c: F.coalesce(c, F.lit(float(nodata)))) if nodata is not None else (lambda c: c)
     cut = (lambda c: F.bround(c, 0)) if integers else (lambda c: c)
-    return pixels.groupBy(row.alias("row"), col.alias("col")).agg(*[fill(cut(mean(b))).alias(b) for b in bands])
+    if any(s % d for s, d in zip(src, dst, strict=True)):
+        spread = _spread(pixels, bands, src, dst, "area")
+        mean = lambda b: F.sum(real(b) * F.col("w")) / F.nullif(F.sum(F.when(real(b).isNotNull(), F.col("w"))), F.lit(0.0))
+        return spread.groupBy("row", "col").agg(*[fill(cut(mean(b))).alias(b) for b in bands])
+    row, col = F.expr(f"row div {src[0] // dst[0]}").cast("int"), F.expr(f"col div {src[1] // dst[1]}").cast("int")
+    return pixels.groupBy(row.alias("row"), col.alias("col")).agg(*[fill(cut(F.avg(real(b)))).alias(b) for b in bands])
+
+
+def resize_bilinear(pixels: DataFrame, bands: list[str], src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:
+    """Maps on a grid of another size, by triangles around the output's centres (an anti-aliased bilinear resize).
+
+    So a map at full resolution is laid on the grid of maps that were computed on a smaller one.
+    An output pixel is NULL if any source pixel that it takes from is.
+    """
+    whole = lambda b: F.when(F.count(b) == F.count(F.lit(1)), F.sum(F.col(b) * F.col("w")) / F.sum("w"))
+    return _spread(pixels, bands, src, dst, "triangle").groupBy("row", "col").agg(*[whole(b).alias(b) for b in bands])
 
 
 def downsample_nearest(pixels: DataFrame, src: tuple[int, int], dst: tuple[int, int]) -> DataFrame:

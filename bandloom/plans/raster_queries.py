@@ -332,6 +332,29 @@ def downsample_avg(spark, sf_dir):
     return resample.downsample_average(order_pixels(spark, sf_dir, ["nir"]), ["nir"], (5, 5), (1, 1), NODATA)
 
 
+_part = lambda c: f"unnest(range(CAST(floor({c} / (CAST(10 AS DOUBLE) / 3)) AS BIGINT), CAST(ceil(({c} + 1) / (CAST(10 AS DOUBLE) / 3)) AS BIGINT)))"
+_cover = lambda c, o: f"least({c} + 1.0, ({o} + 1) * (CAST(10 AS DOUBLE) / 3)) - greatest({c}, {o} * (CAST(10 AS DOUBLE) / 3))"
+
+
+@query(f"WITH {PIX}, r AS (SELECT row, col, nir, {_part('row')} AS y FROM pixels WHERE row < (SELECT (max(row) + 1) // 10 * 10 FROM pixels)), c AS (SELECT *, {_part('col')} AS x FROM r), w AS (SELECT y, x, nir, ({_cover('row', 'y')}) * ({_cover('col', 'x')}) AS w FROM c) SELECT CAST(y AS INTEGER) AS row, CAST(x AS INTEGER) AS col, round(sum(w * nir) FILTER (nir <> 0) / sum(w) FILTER (nir <> 0), 6) AS nir FROM w WHERE w > 1e-12 GROUP BY 1, 2")
+def downsample_area(spark, sf_dir):
+    """Ten pixels to three: averages by area."""
+    h = order_raster(spark, sf_dir).height // 10 * 10
+    out = resample.downsample_average(order_pixels(spark, sf_dir, ["nir"]).where(F.col("row") < h), ["nir"], (h, WIDTH), (h // 10 * 3, WIDTH // 10 * 3), NODATA, integers=False)
+    return out.select("row", "col", F.round("nir", 6).alias("nir"))
+
+
+_tri = lambda c, o: f"1.0 - abs({c} + 0.5 - ({o} + 0.5) * 2.5) / 2.5"
+
+
+@query(f"WITH {NDVI}, h AS (SELECT (max(row) + 1) // 5 * 5 AS h FROM ndvi), o AS (SELECT y, x FROM (SELECT unnest(range(0, (SELECT h FROM h) // 5 * 2)) AS y), (SELECT unnest(range(0, 40)) AS x)), s AS (SELECT y, x, v, ({_tri('row', 'y')}) * ({_tri('col', 'x')}) AS w FROM o JOIN ndvi ON abs(row + 0.5 - (y + 0.5) * 2.5) < 2.5 AND abs(col + 0.5 - (x + 0.5) * 2.5) < 2.5 WHERE row < (SELECT h FROM h)) SELECT CAST(y AS INTEGER) AS row, CAST(x AS INTEGER) AS col, round(CASE WHEN count(v) = count(*) THEN sum(v * w) / sum(w) END, 6) AS ndvi FROM s WHERE w > 1e-12 GROUP BY 1, 2")
+def resize_bilinear(spark, sf_dir):
+    """A map on a grid of two fifths of its size."""
+    h = order_raster(spark, sf_dir).height // 5 * 5
+    out = resample.resize_bilinear(index_map(spark, sf_dir, "ndvi").where(F.col("row") < h), ["ndvi"], (h, WIDTH), (h // 5 * 2, WIDTH // 5 * 2))
+    return out.select("row", "col", F.round("ndvi", 6).alias("ndvi"))
+
+
 @query(f"WITH {PIX} SELECT CAST((row - 2) // 5 AS INTEGER) AS row, CAST((col - 2) // 5 AS INTEGER) AS col, red FROM pixels WHERE row % 5 = 2 AND col % 5 = 2")
 def downsample_nearest(spark, sf_dir):
     h = order_raster(spark, sf_dir).height
