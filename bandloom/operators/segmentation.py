@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from functools import reduce
 
@@ -104,9 +105,11 @@ class RegionGrowing:
             labels = self._in_one_task(pixels, bands, seeds, height, width)
         else:
             labels = self._by_blocks(pixels, bands, seeds, width, block)
+        start = time.perf_counter()
         labels = materialise(labels, "grown")
+        info = {"compute_seconds": time.perf_counter() - start}
         stats = zonal_stats(labels.join(pixels, ["row", "col"]), bands)
-        return Segmentation(labels, seeds, stats)
+        return Segmentation(labels, seeds, stats, info)
 
     def _in_one_task(self, pixels: DataFrame, bands: list[str], seeds: list[Seed], height: int, width: int) -> DataFrame:
         connectivity, threshold, metric = (8 if self.connectivity == 8 else 4), self.intensity_threshold, self.spectral_distance_metric

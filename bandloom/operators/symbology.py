@@ -91,7 +91,8 @@ def range_aggregates(value: str, mode: str, default: tuple[float, float] | None,
     if mode in ("auto", "fixed") and default is not None:
         return const(default)
     if mode in ("auto", "percentile"):
-        a, b = F.percentile(v, F.lit(low / 100.0)), F.percentile(v, F.lit(high / 100.0))
+        both = F.percentile(v, F.array(F.lit(low / 100.0), F.lit(high / 100.0)))  # one aggregate for the two
+        a, b = F.get(both, 0), F.get(both, 1)
     else:
         a, b = F.min(v), F.max(v)
     return F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(1.0))
