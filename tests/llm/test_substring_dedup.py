@@ -48,7 +48,7 @@ def test_against_brute_force(spark):
 def test_number_of_batches_does_not_matter(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert all({tuple(r) for r in remove_repeats(df, batches=s).collect()} == brute(rows) for s in (1, 2, 5))
+    assert all({tuple(r) for r in remove_repeats(df, batches=s).collect()} == brute(rows) for s in (1, 5))
 
 
 def test_index_batches_and_compaction(spark, tmp_path):
@@ -75,12 +75,13 @@ def thue_morse(n, letters="ab"):
     return "".join(letters[k.bit_count() % 2] for k in range(n))
 
 
-@pytest.mark.parametrize("n", [1024, 4096])
-def test_structured_words_do_not_collide(spark, n):
-    tail = " ".join(f"w{k}" for k in range(12))
-    rows = [(1, f"{thue_morse(n)} {tail}"), (2, f"{thue_morse(n, 'ba')} {tail}"), (3, f"{thue_morse(n)} {tail} more")]
+def test_structured_words_do_not_collide(spark):
+    rows = []
+    for n in (1024, 4096):
+        tail = " ".join(f"w{n}x{k}" for k in range(12))
+        rows += [(n + 1, f"{thue_morse(n)} {tail}"), (n + 2, f"{thue_morse(n, 'ba')} {tail}"), (n + 3, f"{thue_morse(n)} {tail} more")]
     got = {tuple(r) for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), batches=1).collect()}
-    assert got == brute(rows) and [r[2] for r in sorted(got)] == [0, 0, 13]
+    assert got == brute(rows) and [r[2] for r in sorted(got)] == [0, 0, 13] * 2
 
 
 @pytest.mark.parametrize("batches", [1, 3])
