@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from bandloom.llm.textarrays import slices
+from bandloom.llm.textarrays import slices, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG_PIECE = 128
@@ -230,7 +230,7 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: t
                 yield pa.record_batch({"key": part.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), "decoded": pa.array(decoded, pa.binary())})
 
     out = df.select(df[key].cast("bigint").alias("key"), df[text].cast("string").alias("text"))
-    return out.mapInArrow(run, "key bigint, ids array<int>, decoded binary").withColumnRenamed("key", key)
+    return out.mapInArrow(tidy(run), "key bigint, ids array<int>, decoded binary").withColumnRenamed("key", key)
 
 
 def digests(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -250,7 +250,7 @@ def digests(df: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFra
                     b.append(hashlib.sha256(bpe.decode(one)).hexdigest())
                 yield pa.record_batch({"doc_id": part.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a), "decoded_sha256": pa.array(b)})
 
-    return df.select(df["doc_id"].cast("bigint").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(df["doc_id"].cast("bigint").alias("doc_id"), df["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_checked(df: DataFrame, carry: list[str], vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -273,7 +273,7 @@ def encode_checked(df: DataFrame, carry: list[str], vocabulary: tuple[str, str]
                 yield pa.RecordBatch.from_arrays([*others, pa.array(np.diff(offsets), pa.int64()), lists, pa.array(same, pa.bool_())], names)
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
-    return rows.mapInArrow(run, schema).toDF("doc_id", *carry, "n_tokens", "ids", "round_trip")
+    return rows.mapInArrow(tidy(run), schema).toDF("doc_id", *carry, "n_tokens", "ids", "round_trip")
 
 
 def token_counts(df: DataFrame, carry: list[str], vocabulary: tuple[str, str] | None = None) -> DataFrame:
@@ -292,7 +292,7 @@ def token_counts(df: DataFrame, carry: list[str], vocabulary: tuple[str, str] |
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(np.diff(offsets), pa.int64())], names)
 
     schema = T.StructType([f for f in rows.schema.fields if f.name != "text"] + [T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(run, schema).toDF("doc_id", *carry, "n_tokens")
+    return rows.mapInArrow(tidy(run), schema).toDF("doc_id", *carry, "n_tokens")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

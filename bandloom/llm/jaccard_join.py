@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from bandloom.bounded import join_groups
 from bandloom.graph import connected_components
 from bandloom.llm.runs import pack, unpack
-from bandloom.llm.textarrays import Words, flat, grams, mix, slices
+from bandloom.llm.textarrays import Words, flat, grams, mix, slices, tidy
 from bandloom.storage import materialise, release, text_bytes
 
 FLUSH = 1_000_000
@@ -398,7 +398,7 @@ def components(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10
 def linked(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """The columns of ``components`` and n_links: the number of other rows that link to the row, of its own set or another."""
     docs, classes, tiles = _candidate_tiles(documents, width, num, den)
-    found = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_link_tiles(num, den), "a bigint, b bigint, links bigint")
+    found = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(tidy(_link_tiles(num, den)), "a bigint, b bigint, links bigint")
     found = materialise(found, "jaccard-links")
     joined = connected_components(found.select("a", "b")).select(F.col("id").alias("rep"), F.col("component"))
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
@@ -419,7 +419,7 @@ def pairs(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
     the square of a group of near copies.
     """
     docs, classes, tiles = _candidate_tiles(documents, width, num, den)
-    links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(_pair_tiles(num, den), "a bigint, b bigint, common bigint")
+    links = tiles.groupBy("cluster", "row", "a", "b").applyInArrow(tidy(_pair_tiles(num, den)), "a bigint, b bigint, common bigint")
     members = join_groups(docs.where("doc_id is not null").distinct(), classes, ["k1", "k2", "n"], "class_size").select("doc_id", "rep")
     return links, members
 
@@ -427,7 +427,7 @@ def pairs(documents: DataFrame, width: int = 5, num: int = 8, den: int = 10) ->
 def _candidate_tiles(documents: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with keys, classes of equal sets, tiles in which all links between classes lie)."""
     rows = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    docs = materialise(rows.mapInArrow(_measure(width), "doc_id bigint, n bigint, k1 bigint, k2 bigint"), "jaccard-documents")
+    docs = materialise(rows.mapInArrow(tidy(_measure(width)), "doc_id bigint, n bigint, k1 bigint, k2 bigint"), "jaccard-documents")
     classes = docs.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("class_size"))
     classes = materialise(classes, "jaccard-classes")
     live = _live_sets(rows, docs, width, num, den)
@@ -463,14 +463,14 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
     """
     bits = max(2, (text_bytes(rows) // BUCKET_BYTES).bit_length())
     homes, near = 1 << bits, min(bits, LEVEL)
-    runs = rows.where("doc_id is not null").mapInArrow(_runs(width, near), "bucket int, run binary, flags binary")
+    runs = rows.where("doc_id is not null").mapInArrow(tidy(_runs(width, near)), "bucket int, run binary, flags binary")
     while near < bits:
         coarse, near = near, min(bits, near + LEVEL)
-        runs = runs.repartition(1 << coarse, "bucket").mapInArrow(_finer(near), "bucket int, run binary, flags binary")
-    shared = runs.repartition(1 << max(0, bits - 1), "bucket").groupBy("bucket").applyInArrow(_find_shared, "shared binary").mapInArrow(_to_homes(homes), "home int, shared binary")
+        runs = runs.repartition(1 << coarse, "bucket").mapInArrow(tidy(_finer(near)), "bucket int, run binary, flags binary")
+    shared = runs.repartition(1 << max(0, bits - 1), "bucket").groupBy("bucket").applyInArrow(tidy(_find_shared), "shared binary").mapInArrow(tidy(_to_homes(homes)), "home int, shared binary")
     ids = docs.where("n > 0 and doc_id is not null").distinct()
     homed = ids.select(_home_column(F.col("doc_id"), homes).alias("home"), "doc_id", "n").groupBy("home")
-    live = homed.cogroup(shared.groupBy("home")).applyInArrow(_gather_sets(num, den), "doc_id bigint, n bigint, grams binary, prefix array<bigint>")
+    live = homed.cogroup(shared.groupBy("home")).applyInArrow(tidy(_gather_sets(num, den)), "doc_id bigint, n bigint, grams binary, prefix array<bigint>")
     return materialise(live, "jaccard-live")
 
 

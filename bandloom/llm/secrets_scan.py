@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm.sampling import by_hash
-from bandloom.llm.textarrays import slices
+from bandloom.llm.textarrays import slices, tidy
 
 #: The fixed patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -232,7 +232,7 @@ def scan(documents: DataFrame, scorer: MarkovScorer) -> DataFrame:
                 yield pa.record_batch({"doc_id": part.column(0), "n_assign": pa.array(counts[0], pa.int64()), "n_access": pa.array(counts[1], pa.int64()), "n_hex": pa.array(counts[2], pa.int64()), "base_sha256": pa.array(digests, pa.string()), "spans": pa.array(texts, pa.string()), "n_markov": pa.array(counts[3], pa.int64())})
 
     rows = documents.select(documents["doc_id"].cast("bigint").alias("doc_id"), documents["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_markov bigint")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_markov bigint")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from bandloom.bounded import split_by_ids
 from bandloom.llm.runs import pack, unpack
-from bandloom.llm.textarrays import Words, flat, gram_places, grams, mix, slices
+from bandloom.llm.textarrays import Words, flat, gram_places, grams, mix, slices, tidy
 from bandloom.storage import exists, list_dirs, materialise, new_path, release, remove, text_bytes
 
 WINDOW = 13
@@ -138,10 +138,10 @@ def window_runs(documents: DataFrame, window: int, bits: int, hash_bits: int = 6
 
         return run_finer
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, RUN_SCHEMA)
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), RUN_SCHEMA)
     while near < bits:
         coarse, near = near, min(bits, near + LEVEL)
-        rows = rows.repartition(1 << coarse, "bucket").mapInArrow(finer(near), RUN_SCHEMA)
+        rows = rows.repartition(1 << coarse, "bucket").mapInArrow(tidy(finer(near)), RUN_SCHEMA)
     return rows
 
 
@@ -258,14 +258,14 @@ class FingerprintIndex:
         """
         older = self.runs()
         rows = window_runs(documents, self.window, self.bits, self.hash_bits).repartition(self.files, "bucket")
-        new = self._write(rows.groupBy("bucket").applyInArrow(_merge_batch, RUN_SCHEMA), 0)
+        new = self._write(rows.groupBy("bucket").applyInArrow(tidy(_merge_batch), RUN_SCHEMA), 0)
         release(self.spark)
         own = self._table(new)
         flags = own.select("flags")
         for run in older:
-            flags = flags.union(own.select("bucket", "run").groupBy("bucket").cogroup(self._table(run).select("bucket", "run").groupBy("bucket")).applyInArrow(_merge_join, "flags binary"))
-        homes = flags.where("flags is not null").mapInArrow(_homes(self.bits), "home int, flags binary")
-        ranges = materialise(homes.groupBy("home").applyInArrow(_to_ranges, "doc_id bigint, ranges binary"), "substring-ranges")
+            flags = flags.union(own.select("bucket", "run").groupBy("bucket").cogroup(self._table(run).select("bucket", "run").groupBy("bucket")).applyInArrow(tidy(_merge_join), "flags binary"))
+        homes = flags.where("flags is not null").mapInArrow(tidy(_homes(self.bits)), "home int, flags binary")
+        ranges = materialise(homes.groupBy("home").applyInArrow(tidy(_to_ranges), "doc_id bigint, ranges binary"), "substring-ranges")
         release(self.spark)
         self.compact()
         return ranges
@@ -281,7 +281,7 @@ class FingerprintIndex:
                 return
             level, (a, b) = pair
             sides = [self._table(r).select("bucket", "run").groupBy("bucket") for r in (a, b)]
-            self._write(sides[0].cogroup(sides[1]).applyInArrow(_compact, RUN_SCHEMA), level + 1)
+            self._write(sides[0].cogroup(sides[1]).applyInArrow(tidy(_compact), RUN_SCHEMA), level + 1)
             self._drop(a)
             self._drop(b)
 
@@ -357,7 +357,7 @@ def refuted_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     by_source = materialise(by_source, "substring-claims")
     _, near = split_by_ids(sources.select("doc_id", "text"), by_source.select("src"))
     met = by_source.join(near, F.col("src") == F.col("doc_id"), "left").select("src", "text", "claims")
-    checked = met.mapInArrow(_check, "src bigint, lo int, hi int, digest binary, holds boolean")
+    checked = met.mapInArrow(tidy(_check), "src bigint, lo int, hi int, digest binary, holds boolean")
     return checked.groupBy("src", "lo", "hi", "digest").agg(F.max("holds").alias("holds")).where("not holds").drop("holds")
 
 
@@ -380,9 +380,9 @@ def _spell(window: int):
 def exact_ranges(some: DataFrame, everything: DataFrame, window: int) -> DataFrame:
     """(doc_id, ranges) of the documents ``some``, by the words of their windows; for the few whose hashes deceive."""
     kinds = "key bigint, doc_id bigint, pos int, words binary"
-    own = materialise(some.select("doc_id", "text").mapInArrow(_spell(window), kinds), "substring-spelled")
+    own = materialise(some.select("doc_id", "text").mapInArrow(tidy(_spell(window)), kinds), "substring-spelled")
     keys = materialise(own.select("key").distinct(), "substring-keys")
-    near = split_by_ids(everything.where("doc_id is not null").select("doc_id", "text").mapInArrow(_spell(window), kinds), keys, "key")[1]
+    near = split_by_ids(everything.where("doc_id is not null").select("doc_id", "text").mapInArrow(tidy(_spell(window)), kinds), keys, "key")[1]
     first = near.join(keys, "key", "left_semi").groupBy("words").agg(F.min("doc_id").alias("first"))
     hits = own.join(first, "words").where("doc_id > first").groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("pos"))
 
@@ -394,16 +394,16 @@ def exact_ranges(some: DataFrame, everything: DataFrame, window: int) -> DataFra
                 packed.append(pack([one, np.ones_like(one), np.zeros(len(one), np.int64), one]))
             yield pa.record_batch({"doc_id": batch.column(0), "ranges": pa.array(packed, pa.binary())})
 
-    return hits.mapInArrow(ranges, "doc_id bigint, ranges binary")
+    return hits.mapInArrow(tidy(ranges), "doc_id bigint, ranges binary")
 
 
 def _resolve(rows: DataFrame, ranges: DataFrame, sources: DataFrame, window: int) -> DataFrame:
     """The results of ``rows`` (doc_id, text) with their ranges, each verified on the sources' words."""
     ranges = ranges.select(F.col("doc_id").alias("id"), "ranges")
     without, near = split_by_ids(rows, ranges.select("id"))
-    plain = without.select("doc_id", "text", F.lit(None).cast("binary").alias("ranges")).mapInArrow(_apply(window), CLAIMED)
+    plain = without.select("doc_id", "text", F.lit(None).cast("binary").alias("ranges")).mapInArrow(tidy(_apply(window)), CLAIMED)
     near = near.join(ranges, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "ranges")
-    done = materialise(near.mapInArrow(_apply(window), CLAIMED), "substring-applied")
+    done = materialise(near.mapInArrow(tidy(_apply(window)), CLAIMED), "substring-applied")
     release(rows.sparkSession)
     claims = done.where("src is not null").select("doc_id", "src", "lo", "hi", "digest")
     refuted = materialise(refuted_claims(claims, sources), "substring-refuted")
@@ -414,7 +414,7 @@ def _resolve(rows: DataFrame, ranges: DataFrame, sources: DataFrame, window: int
         some = rows.join(doubtful, "doc_id", "left_semi")
         exact = exact_ranges(some, sources, window).withColumnRenamed("doc_id", "id")
         again = some.join(exact, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "ranges")
-        results = results.join(doubtful, "doc_id", "left_anti").union(again.mapInArrow(_apply(window), CLAIMED).where("src is null").select(*names))
+        results = results.join(doubtful, "doc_id", "left_anti").union(again.mapInArrow(tidy(_apply(window)), CLAIMED).where("src is null").select(*names))
     return plain.select(*names).union(results)
 
 

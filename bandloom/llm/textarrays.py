@@ -6,7 +6,9 @@ bytes inside a character, so words of the bytes are the words of the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,43 @@ def _place_multipliers(n: int, family: int) -> np.ndarray:
     return _multipliers[family, :n]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches, or over a group's tables, with freed memory given back when it ends.
+
+    Spark keeps Python workers for later tasks, and an idle one shouldn't hold what a task once needed.
+    """
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    def over_group(table):
+        try:
+            return run(table)
+        finally:
+            _give_back()
+
+    def over_pair(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _give_back()
+
+    if inspect.isgeneratorfunction(run):
+        return over_batches
+    return over_pair if len(inspect.signature(run).parameters) == 2 else over_group
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most_bytes`` of text; a longer text is a slice alone."""
     if not batch.num_rows:
         return
