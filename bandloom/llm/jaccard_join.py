@@ -476,3 +476,33 @@ def _live_sets(rows: DataFrame, docs: DataFrame, width: int, num: int, den: int)
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS pos FROM d WHERE len(w) >= 1
+), k AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[pos : pos + 2], ' ')) AS key FROM p
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS size, md5(string_agg(key, '' ORDER BY key)) AS same FROM k GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM k a JOIN k b ON a.key = b.key AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS MATERIALIZED (
+  SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 90 * (x.size + y.size - common)
+), links AS MATERIALIZED (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, links.b FROM r JOIN links ON links.a = r.b
+), m AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+), g AS (
+  SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a
+), s AS (
+  SELECT same, count(*) AS class_size FROM n GROUP BY same
+)
+SELECT d.doc_id, coalesce(n.size, 0) AS n_shingles, coalesce(m.component_id, d.doc_id) AS component_id,
+       coalesce(s.class_size, 1) AS class_size, coalesce(g.n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN s ON s.same = n.same
+"""

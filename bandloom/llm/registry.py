@@ -4,13 +4,13 @@ from functools import wraps
 
 from bandloom.llm.byte_bpe import op7_byte_bpe
 from bandloom.llm.decontaminate import op5_benchmark_decontamination
-from bandloom.llm.jaccard_join import op1_ngram_jaccard_join
+from bandloom.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard_join
 from bandloom.llm.language_id import op4_language_id
 from bandloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from bandloom.llm.media import op8_media_columns
 from bandloom.llm.secrets_scan import op2_secret_scan
 from bandloom.llm.shard_balance import op3_sharding
-from bandloom.llm.substring_dedup import op10_substring_dedup
+from bandloom.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from bandloom.llm.token_rollup import op6_token_counts
 
 BATCH_ROWS = 1000
@@ -33,4 +33,4 @@ def _with_small_batches(function):
 
 
 QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
-ORACLES: dict[str, str] = {"op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}

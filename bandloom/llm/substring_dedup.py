@@ -450,3 +450,25 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, index: Fingerprin
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d WHERE len(w) >= 13
+), k AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos : pos + 12], ' ')) AS key FROM p
+), f AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY key) AS first FROM k
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM f WHERE first < doc_id
+), e AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+), s AS (
+  SELECT e.doc_id, count(g.pos) AS n_removed, string_agg(CASE WHEN g.pos IS NULL THEN e.word END, ' ' ORDER BY e.pos) AS kept
+  FROM e LEFT JOIN g ON e.doc_id = g.doc_id AND e.pos = g.pos GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(s.n_removed, 0) AS n_removed, sha256(coalesce(s.kept, '')) AS kept_sha256
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""

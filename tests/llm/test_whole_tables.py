@@ -86,3 +86,19 @@ def test_very_long_texts(spark):
     models = language_id.train(spark.createDataFrame([(k, "the text is long and here it ends now", "en") for k in range(9)], "doc_id bigint, text string, lang string"))
     assert len(language_id.identify(df, models).collect()) == 7
     assert {r.n_bytes for r in media.store_texts(df).collect()} == {len(t.encode()) for _, t in rows}
+
+
+def test_sql_of_the_queries(spark, sf_dir):
+    import duckdb
+
+    from bandloom.llm.registry import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert set(ORACLES) == {"op1_ngram_jaccard_join", "op9_line_dedup", "op10_substring_dedup"}
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, sf_dir).toArrow()
+        columns = sorted(got.column_names)
+        want = con.execute(sql).fetch_arrow_table()
+        rows = lambda t: Counter(zip(*(t.column(c).to_pylist() for c in columns), strict=True))
+        assert sorted(want.column_names) == columns and rows(got) == rows(want)
