@@ -437,9 +437,9 @@ def _candidate_tiles(documents: DataFrame, width: int, num: int, den: int) -> tu
     named = join_groups(docs.where("doc_id is not null").distinct(), classes, ["k1", "k2", "n"], "class_size")
     chosen = live.select("doc_id", "n").join(named.select("doc_id", "n", "rep", "class_size"), ["doc_id", "n"]).groupBy("rep", "n", "class_size").agg(F.min("doc_id").alias("doc_id"))
     chosen = materialise(chosen, "jaccard-chosen")
-    met = live.select("doc_id", "n", F.explode("prefix").alias("gram")).join(chosen, ["doc_id", "n"]).select("rep", "gram")
-    hubs = met.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("gram", "hub")
-    candidates = met.join(hubs, "gram").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    met = materialise(live.select("doc_id", "n", F.explode("prefix").alias("gram")).join(chosen, ["doc_id", "n"]).select("rep", "gram"), "jaccard-prefixes")
+    hubs = met.groupBy("gram").agg(F.min("rep").alias("hub"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("rows")).where("hub <> last")
+    candidates = join_groups(met, materialise(hubs.select("gram", "hub", "rows"), "jaccard-hubs"), ["gram"], "rows").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     clusters = connected_components(candidates).select(F.col("id").alias("rep"), F.col("component").alias("cluster"))
     release(documents.sparkSession)
     members = live.select("doc_id", "n", "grams").join(chosen.join(clusters, "rep"), ["doc_id", "n"]).select("rep", "cluster", "n", "class_size", "grams")
