@@ -8,6 +8,7 @@ from bandloom.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard_join
 from bandloom.llm.language_id import op4_language_id
 from bandloom.llm.line_dedup import OP9_SQL, op9_line_dedup
 from bandloom.llm.media import op8_media_columns
+from bandloom.llm.piece_bpe import op11_sentencepiece
 from bandloom.llm.secrets_scan import op2_secret_scan
 from bandloom.llm.shard_balance import op3_sharding
 from bandloom.llm.substring_dedup import OP10_SQL, op10_substring_dedup
@@ -32,5 +33,5 @@ def _with_small_batches(function):
     return run
 
 
-QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup, op11_sentencepiece)}
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
