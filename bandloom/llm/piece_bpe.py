@@ -261,9 +261,11 @@ class PieceBpe:
         if len(said) and self.opens[ids[said[0]]]:  # the dummy prefix goes
             start[said[0]] += 1
             size[said[0]] -= 1
-        data = gather(self.piece_bytes, start, size).tobytes()
+        kinds = self.kind[ids]
+        if (kinds == BYTE).any() and (kinds == CONTROL).any():  # a silent piece keeps bytes apart
+            return self._decode_broken(ids, start, size)
         try:
-            return data.decode()
+            return gather(self.piece_bytes, start, size).tobytes().decode()
         except UnicodeDecodeError:
             return self._decode_broken(ids, start, size)
 
