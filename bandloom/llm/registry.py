@@ -4,6 +4,7 @@ from functools import wraps
 
 from bandloom.llm.byte_bpe import op7_byte_bpe
 from bandloom.llm.decontaminate import op5_benchmark_decontamination
+from bandloom.llm.filter_audit import OP13_SQL, op13_filter_audit
 from bandloom.llm.jaccard_join import OP1_SQL, op1_ngram_jaccard_join
 from bandloom.llm.language_id import op4_language_id
 from bandloom.llm.line_dedup import OP9_SQL, op9_line_dedup
@@ -33,5 +34,5 @@ def _with_small_batches(function):
     return run
 
 
-QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup, op11_sentencepiece)}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup, op11_sentencepiece, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
