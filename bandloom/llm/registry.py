@@ -14,6 +14,7 @@ from bandloom.llm.secrets_scan import op2_secret_scan
 from bandloom.llm.shard_balance import op3_sharding
 from bandloom.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from bandloom.llm.token_rollup import op6_token_counts
+from bandloom.llm.wand import OP12_SQL, op12_wand_search
 
 BATCH_ROWS = 1000
 
@@ -34,5 +35,5 @@ def _with_small_batches(function):
     return run
 
 
-QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup, op11_sentencepiece, op13_filter_audit)}
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op13_filter_audit": OP13_SQL}
+QUERIES = {f.__name__: _with_small_batches(f) for f in (op1_ngram_jaccard_join, op2_secret_scan, op3_sharding, op4_language_id, op5_benchmark_decontamination, op6_token_counts, op7_byte_bpe, op8_media_columns, op9_line_dedup, op10_substring_dedup, op11_sentencepiece, op12_wand_search, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op12_wand_search": OP12_SQL, "op13_filter_audit": OP13_SQL}
