@@ -89,6 +89,12 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it was there.  Of several callers at once one makes it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> bool:
     """Atomic on file systems with an atomic directory rename."""
     a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
