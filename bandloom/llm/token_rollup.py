@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from bandloom.bounded import join_groups
 from bandloom.llm.byte_bpe import token_counts
-from bandloom.storage import list_dirs, make_dirs, materialise, new_path, rename
+from bandloom.storage import create_new, list_dirs, make_dirs, materialise, new_path, rename
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
@@ -69,23 +69,23 @@ class TokenLedger:
 
     def totals(self) -> DataFrame:
         """The sums of all committed batches; those the last version lacks are added on the fly."""
-        return self._sums(self._batches())
+        return self._sums(self._batches(), *self._last())
 
-    def _sums(self, batches: dict[str, str]) -> DataFrame:
-        done, parts = self._last()
+    def _sums(self, batches: dict[str, str], done: set[str], sums: list[DataFrame]) -> DataFrame:
+        """What a version holds, and the deltas of the batches that it lacks."""
         fresh = [folder for b, folder in batches.items() if b not in done]
-        if fresh:
-            parts.append(self.spark.read.schema(SUMS).parquet(*fresh))
+        parts = [*sums, *([self.spark.read.schema(SUMS).parquet(*fresh)] if fresh else [])]
         if not parts:
             return self.spark.createDataFrame([], SUMS)
         rows = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
         return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def _versions(self) -> list[str]:
-        found = [d for d in list_dirs(self.spark, f"{self.path}/totals")]
-        return sorted(found, key=lambda d: (-int(d.split("-")[0]), d))
+        """Folder names of the versions, the last one first."""
+        return sorted(list_dirs(self.spark, f"{self.path}/totals"), key=lambda d: (-int(d.split("-")[0]), d))
 
     def _last(self) -> tuple[set[str], list[DataFrame]]:
+        """(ids, sums) of the last version: both of one folder, found by one listing."""
         versions = self._versions()
         if not versions:
             return set(), []
@@ -93,15 +93,27 @@ class TokenLedger:
         done = {r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{top}/ids").collect()}
         return done, [self.spark.read.schema(SUMS).parquet(f"{top}/sums")]
 
+    def _number(self) -> int:
+        """A version number above all others, claimed by a file that only one caller can make."""
+        number = 1 + max([0, *(int(d.split("-")[0]) for d in self._versions())])
+        make_dirs(self.spark, f"{self.path}/claims")
+        while not create_new(self.spark, f"{self.path}/claims/{number:09d}"):
+            number += 1
+        return number
+
     def refresh(self) -> None:
-        """Write the next version of the totals: of the batches that are there now, and of no later one."""
-        versions = self._versions()
-        number = 1 + int(versions[0].split("-")[0]) if versions else 1
-        batches = self._batches() | dict.fromkeys(self._last()[0], "")
+        """Write the next version of the totals: of the batches that are there now, and of no later one.
+
+        The last version is read once; its ids and its sums go on together.  Versions that are written
+        at the same time have numbers of their own, and each holds the sums of just its ids, so that it
+        makes no difference which one later readers start from.
+        """
+        done, sums = self._last()
+        batches = self._batches()
         draft = new_path(self.spark, "draft-totals")
-        self._sums(batches).write.parquet(f"{draft}/sums")
-        self.spark.createDataFrame([(b,) for b in sorted(batches)], "batch_id string").coalesce(1).write.parquet(f"{draft}/ids")
-        self._place(draft, "totals", f"{number:09d}-{uuid.uuid4().hex}")
+        self._sums(batches, done, sums).write.parquet(f"{draft}/sums")
+        self.spark.createDataFrame([(b,) for b in sorted(done | set(batches))], "batch_id string").coalesce(1).write.parquet(f"{draft}/ids")
+        self._place(draft, "totals", f"{self._number():09d}-{uuid.uuid4().hex}")
 
 
 def counts(documents: DataFrame) -> DataFrame:

@@ -226,6 +226,41 @@ def test_a_commit_during_a_refresh_counts_once(spark, tmp_path):
     assert [tuple(r)[3:] for r in ledger.totals().collect()] == [(2, 20)]
 
 
+def test_another_process_between_any_two_listings(spark, tmp_path, monkeypatch):
+    """At every listing of a refresh or a read another ledger commits and refreshes; each batch counts once."""
+    from bandloom.llm import token_rollup
+
+    insert = spark.createDataFrame([("insert", "s", "en", "t", 10, None)], CHANGES)
+    plain = token_rollup.list_dirs
+    for call in ("refresh", "totals"):
+        for at in range(1, 7):
+            path = f"file://{tmp_path}/ledger-{call}-{at}"
+            ledger, other = TokenLedger(spark, path), TokenLedger(spark, path)
+            ledger.commit("1", insert)
+            ledger.refresh()
+            calls = []
+
+            def list_dirs(*args, at=at, calls=calls, other=other):
+                calls.append(1)
+                if len(calls) == at:
+                    other.commit("2", insert)
+                    other.refresh()
+                return plain(*args)
+
+            monkeypatch.setattr(token_rollup, "list_dirs", list_dirs)
+            seen = [tuple(r)[3:] for r in getattr(ledger, call)().collect()] if call == "totals" else []
+            monkeypatch.setattr(token_rollup, "list_dirs", plain)
+            assert set(seen) <= {(1, 10), (2, 20)}
+            want = [(2, 20)] if len(calls) >= at else [(1, 10)]
+            assert [tuple(r)[3:] for r in ledger.totals().collect()] == want
+            ledger.refresh()
+            assert [tuple(r)[3:] for r in ledger.totals().collect()] == want
+            numbers = [d.split("-")[0] for d in ledger._versions()]
+            assert len(numbers) == len(set(numbers))
+            if len(calls) < at:
+                break
+
+
 def test_one_batch_sent_twice_at_once(spark, tmp_path):
     ledger = TokenLedger(spark, f"file://{tmp_path}/ledger")
     insert = spark.createDataFrame([("insert", "s", "en", "t", 10, None)], CHANGES)
