@@ -89,6 +89,19 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A whole small file; None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 def create_new(spark: SparkSession, path: str) -> bool:
     """Make an empty file; False if it was there.  Of several callers at once one makes it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
