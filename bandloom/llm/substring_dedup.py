@@ -5,7 +5,8 @@ sorted hashes with the least document and place where each window starts.  A run
 table bucketed by that range, so that runs are merge-joined without a shuffle.
 
 1. Tasks sort the window hashes of a batch and deal them out by bucket; what repeats within
-   a task is settled there, so that a window of very many documents leaves a task once.
+   a task is settled there: the first place goes to the window's bucket, and reports of the
+   others go, as rows of their own, to the bucket of their document.
 2. A bucket's parts become the batch's run; windows whose hash is in the run under a smaller
    document are reported, and each older run is merge-joined with the new one.
 3. Reported windows of a document become ranges (place, windows, source, place there).
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from bandloom.bounded import split_by_ids
 from bandloom.llm.runs import pack, unpack
 from bandloom.llm.textarrays import Words, flat, gram_places, grams, mix, slices, tidy
-from bandloom.storage import exists, list_dirs, materialise, new_path, release, remove, text_bytes
+from bandloom.storage import create_new, exists, list_dirs, make_dirs, materialise, new_path, read_bytes, release, remove, text_bytes, write_bytes
 
 WINDOW = 13
 FLUSH = 700_000
@@ -44,6 +46,8 @@ LEVEL = 14
 BLOCK = 64
 #: Batches of a table that comes as a whole: two runs of level 0 are compacted, the third stays.
 BATCHES = 3
+#: What an index is like unless it is told otherwise.
+SHAPE = {"window": WINDOW, "bits": 5, "hash_bits": 64}
 RUN_SCHEMA = "bucket int, run binary, flags binary"
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
@@ -69,14 +73,33 @@ def _in_order(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[np.n
     return keys, docs, pos, np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))
 
 
-def _by_bucket(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, flags: list[np.ndarray] | None, bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, run, flags) of sorted columns; the flags go with the first row."""
+def _by_bucket(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, run, no flags) of sorted columns."""
     edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-    full = [b for b in range(1 << bits) if edges[b] < edges[b + 1]] or ([0] if flags is not None and len(flags[0]) else [])
-    for k, group in enumerate(itertools.batched(full, 64)):
+    for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
         cuts = [slice(edges[b], edges[b + 1]) for b in group]
-        first = [pack(flags)] if not k and flags is not None and len(flags[0]) else [None]
-        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array([pack([keys[s], docs[s], pos[s]]) for s in cuts], pa.binary()), "flags": pa.array(first + [None] * (len(group) - 1), pa.binary())})
+        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array([pack([keys[s], docs[s], pos[s]]) for s in cuts], pa.binary()), "flags": pa.nulls(len(group), pa.binary())})
+
+
+def _home(docs: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(docs.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+
+
+def _by_document(flags: list[np.ndarray], bits: int) -> tuple[np.ndarray, list[bytes]]:
+    """(homes, packed flags): flags dealt out evenly by a hash of their document, those of a home in order."""
+    home = _home(flags[0], bits)
+    order = np.lexsort((flags[1], flags[0], home))
+    home, flags = home[order], [f[order] for f in flags]
+    full, start = np.unique(home, return_index=True)
+    ends = np.append(start, len(home))
+    return full, [pack([f[a:b] for f in flags]) for a, b in itertools.pairwise(ends.tolist())]
+
+
+def _flag_rows(flags: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, no run, flags), the bucket by document."""
+    if len(flags[0]):
+        full, packed = _by_document(flags, bits)
+        yield pa.record_batch({"bucket": pa.array(full, pa.int32()), "run": pa.nulls(len(full), pa.binary()), "flags": pa.array(packed, pa.binary())})
 
 
 def _settle(keys: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -108,7 +131,8 @@ def window_runs(documents: DataFrame, window: int, bits: int, hash_bits: int = 6
 
         def seal():
             kept, flags = _settle(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-            return _by_bucket(*kept, _sorted_by_doc(flags), near)
+            yield from _by_bucket(*kept, near)
+            yield from _flag_rows(flags, near)
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -125,16 +149,20 @@ def window_runs(documents: DataFrame, window: int, bits: int, hash_bits: int = 6
     def finer(have: int):
         def run_finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs, flags, held = [], [], 0
+
+            def deal():
+                yield from _by_bucket(*_in_order(*_joined(runs, _RUN))[:3], have)
+                yield from _flag_rows(_joined(flags, _FLAG), have)
+
             for batch in batches:
                 for r, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                     runs.append(r)
                     flags.append(f)
-                    held += len(r) // 8
+                    held += len(r or f) // 8
                     if held >= FLUSH:
-                        yield from _by_bucket(*_in_order(*_joined(runs, _RUN))[:3], _sorted_by_doc(_joined(flags, _FLAG)), have)
+                        yield from deal()
                         runs, flags, held = [], [], 0
-            if runs:
-                yield from _by_bucket(*_in_order(*_joined(runs, _RUN))[:3], _sorted_by_doc(_joined(flags, _FLAG)), have)
+            yield from deal()
 
         return run_finer
 
@@ -150,7 +178,7 @@ def _merge_batch(table: pa.Table) -> pa.Table:
     run, flags = _settle(*_joined(table.column("run").to_pylist(), _RUN))
     before = _joined(table.column("flags").to_pylist(), _FLAG)
     flags = _sorted_by_doc([np.concatenate(c) for c in zip(flags, before, strict=True)])
-    return pa.table({"bucket": table.column("bucket")[:1], "run": pa.array([pack(run)], pa.binary()), "flags": pa.array([pack(flags) if len(flags[0]) else None], pa.binary())})
+    return pa.table({"bucket": table.column("bucket")[:1], "run": pa.array([pack(run) if len(run[0]) else None], pa.binary()), "flags": pa.array([pack(flags) if len(flags[0]) else None], pa.binary())})
 
 
 def _merge_join(new: pa.Table, old: pa.Table) -> pa.Table:
@@ -159,8 +187,8 @@ def _merge_join(new: pa.Table, old: pa.Table) -> pa.Table:
     if new.num_rows and old.num_rows:
         keys, docs, pos = _joined(new.column("run").to_pylist(), _RUN)
         old_keys, old_docs, old_pos = _joined(old.column("run").to_pylist(), _RUN)
-        at = np.minimum(np.searchsorted(old_keys, keys), len(old_keys) - 1)
-        hit = (old_keys[at] == keys) & (old_docs[at] < docs)
+        at = np.minimum(np.searchsorted(old_keys, keys), max(0, len(old_keys) - 1))
+        hit = (old_keys[at] == keys) & (old_docs[at] < docs) if len(old_keys) else np.zeros(len(keys), bool)
         if hit.any():
             packed = pack(_sorted_by_doc([docs[hit], pos[hit], old_docs[at][hit], old_pos[at][hit]]))
     return pa.table({"flags": pa.array([packed], pa.binary())})
@@ -180,12 +208,8 @@ def _homes(bits: int):
     bits = min(bits, LEVEL)
 
     def deal(flags: list[np.ndarray]) -> pa.RecordBatch:
-        home = (mix(flags[0].view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-        order = np.lexsort((flags[1], flags[0], home))
-        home, flags = home[order], [f[order] for f in flags]
-        full, start = np.unique(home, return_index=True)
-        ends = np.append(start, len(home))
-        return pa.record_batch({"home": pa.array(full, pa.int32()), "flags": pa.array([pack([f[a:b] for f in flags]) for a, b in itertools.pairwise(ends.tolist())], pa.binary())})
+        full, packed = _by_document(flags, bits)
+        return pa.record_batch({"home": pa.array(full, pa.int32()), "flags": pa.array(packed, pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -223,13 +247,27 @@ class FingerprintIndex:
 
     ``bits`` fixes the number of buckets (2**bits) for the life of the index: about ``BUCKET_BYTES``
     of the text that is to be expected for each.  ``hash_bits`` shortens the hashes: smaller runs, but
-    more documents whose ranges fail verification and are decided by their words.  A folder counts when its writing job has
-    committed it (``_SUCCESS``); others, of jobs that failed, are passed over.
+    more documents whose ranges fail verification and are decided by their words.  This shape is stored
+    beside the runs by whoever comes first; an index that is opened again takes it from there, and other
+    values than the stored ones raise ValueError.  A folder counts when its writing job has committed it
+    (``_SUCCESS``); others, of jobs that failed, are passed over.  One writer at a time: batches that are
+    merged at once get runs of their own, but aren't compared with each other.
     """
 
-    def __init__(self, spark: SparkSession, path: str, window: int = WINDOW, bits: int = 5, hash_bits: int = 64):
-        self.spark, self.path, self.window, self.bits, self.hash_bits = spark, path, window, bits, hash_bits
-        self.files = 1 << max(0, bits - 2)  # Spark's reader holds a batch of rows, here a whole file of four buckets
+    def __init__(self, spark: SparkSession, path: str, window: int | None = None, bits: int | None = None, hash_bits: int | None = None):
+        self.spark, self.path = spark, path
+        wanted = {"window": window, "bits": bits, "hash_bits": hash_bits}
+        stored = read_bytes(spark, f"{path}/shape.json")
+        if stored is None:
+            shape = {k: SHAPE[k] if v is None else v for k, v in wanted.items()}
+            write_bytes(spark, f"{path}/shape.json", json.dumps(shape).encode())
+        else:
+            shape = json.loads(stored)
+            other = {k: v for k, v in wanted.items() if v is not None and v != shape[k]}
+            if other:
+                raise ValueError(f"the index in {path} has {shape}, not {other}")
+        self.window, self.bits, self.hash_bits = (shape[k] for k in SHAPE)
+        self.files = 1 << max(0, self.bits - 2)  # Spark's reader holds a batch of rows, here a whole file of four buckets
         self.name = f"runs_{uuid.uuid4().hex[:12]}"
 
     def runs(self) -> list[str]:
@@ -237,11 +275,15 @@ class FingerprintIndex:
 
     def _table(self, run: str) -> DataFrame:
         table = f"{self.name}_{run.replace('-', '_')}"
-        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({RUN_SCHEMA}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{self.path}/{run}'")
+        place = f"{self.path}/{run}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({RUN_SCHEMA}) USING parquet CLUSTERED BY (bucket) INTO {self.files} BUCKETS LOCATION '{place}'")
         return self.spark.read.table(table)
 
     def _write(self, rows: DataFrame, level: int) -> str:
         number = 1 + max([0, *(int(d.split("-")[1]) for d in list_dirs(self.spark, self.path) if d.startswith("run-"))])
+        make_dirs(self.spark, f"{self.path}/claims")
+        while not create_new(self.spark, f"{self.path}/claims/{number:06d}"):
+            number += 1
         run = f"run-{number:06d}-{level}"
         rows.write.format("parquet").bucketBy(self.files, "bucket").option("path", f"{self.path}/{run}").option("parquet.block.size", BLOCK_BYTES).saveAsTable(f"{self.name}_{run.replace('-', '_')}")
         return run

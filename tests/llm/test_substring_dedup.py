@@ -105,6 +105,33 @@ def test_levels_of_buckets_and_history(spark, tmp_path, monkeypatch):
     assert got == {r for r in brute(rows) if r[0] >= 90}
 
 
+def test_an_index_opened_again_keeps_its_shape(spark, tmp_path):
+    rows = corpus(8)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    old, new = df.where("doc_id < 90"), df.where("doc_id >= 90")
+    path = f"file://{tmp_path}/it's an index"
+    FingerprintIndex(spark, path, bits=5).merge_batch(old)
+    for other in ({"bits": 7}, {"window": 12}, {"hash_bits": 32}):
+        with pytest.raises(ValueError, match="the index in"):
+            FingerprintIndex(spark, path, **other)
+    again = FingerprintIndex(spark.newSession(), path)
+    got = {tuple(r) for r in remove_repeats(new, index=again, history=old, batches=1).collect()}
+    assert got == {r for r in brute(rows) if r[0] >= 90} and sum(r[2] for r in got)
+
+
+def test_flags_are_spread_over_the_buckets(spark):
+    """Near copies in few tasks: their reports are dealt out like the windows."""
+    words = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([*words[:40], f"own{k}", *words[40:]])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    size = {}
+    for r in substring_dedup.window_runs(df, 13, 4).collect():
+        for data in (r.run, r.flags):
+            size[r.bucket] = size.get(r.bucket, 0) + (len(substring_dedup.unpack(data)[0]) if data else 0)
+    ordered = sorted(size.values())
+    assert len(size) == 16 and ordered[-1] <= 2 * ordered[8]
+
+
 def test_merge_join_without_shuffle(spark, tmp_path):
     index = FingerprintIndex(spark, f"file://{tmp_path}/index", bits=4)
     df = spark.createDataFrame(corpus(7), "doc_id bigint, text string")
