@@ -16,7 +16,8 @@
 
 Documents with equal sets (128 bits of two independent hashes) are one class from the start;
 copies are never compared.
-No step drops or samples anything: an n-gram in very many documents leaves a task once.
+No step drops or samples anything.  An n-gram that several documents of a task have goes to its
+bucket once; its places go, as rows of their own, to the buckets of their documents.
 """
 
 from __future__ import annotations
@@ -102,13 +103,24 @@ _RUN, _PLACES = (np.uint64, np.int64, np.uint8), (np.uint64, np.int64)
 
 
 def _by_bucket(run: list[np.ndarray], flags: list[np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, run, flags) of columns sorted by hash."""
-    ends = np.arange((1 << bits) + 1, dtype=np.uint64)
-    edges, marks = (np.searchsorted(c[0] >> np.uint64(64 - bits), ends) for c in (run, flags))
+    """Rows (bucket, run, flags): a run, sorted by hash, by ranges of hashes, and flags by document; never both in a row."""
+    edges = np.searchsorted(run[0] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for group in itertools.batched((b for b in range(1 << bits) if edges[b] < edges[b + 1]), 64):
         runs = [pack([c[edges[b] : edges[b + 1]] for c in run]) for b in group]
-        known = [pack([c[marks[b] : marks[b + 1]] for c in flags]) if marks[b] < marks[b + 1] else None for b in group]
-        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.array(known, pa.binary())})
+        yield pa.record_batch({"bucket": pa.array(group, pa.int32()), "run": pa.array(runs, pa.binary()), "flags": pa.nulls(len(group), pa.binary())})
+    if len(flags[0]):
+        full, packed = _by_document(*flags, 1 << bits)
+        yield pa.record_batch({"bucket": full, "run": pa.nulls(len(full), pa.binary()), "flags": packed})
+
+
+def _by_document(keys: np.ndarray, docs: np.ndarray, homes: int) -> tuple[pa.Array, pa.Array]:
+    """(homes, packed places of each home in order of their hash)."""
+    home = _home_array(docs, homes)
+    order = np.lexsort((keys, home))
+    keys, docs, home = keys[order], docs[order], home[order]
+    full, first = np.unique(home, return_index=True)
+    ends = np.append(first, len(home)).tolist()
+    return pa.array(full, pa.int32()), pa.array([pack([keys[a:b], docs[a:b]]) for a, b in itertools.pairwise(ends)], pa.binary())
 
 
 def _in_order(columns: list[np.ndarray]) -> list[np.ndarray]:
@@ -155,7 +167,7 @@ def _finer(bits: int):
         for batch in batches:
             for r, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 held.append((r, f))
-                size += len(r) // 8
+                size += len(r or f) // 8
                 if size >= FLUSH:
                     yield from deal(held)
                     held, size = [], 0
@@ -164,7 +176,7 @@ def _finer(bits: int):
 
     def deal(held: list) -> Iterator[pa.RecordBatch]:
         runs, flags = zip(*held, strict=True)
-        return _by_bucket(_in_order(_joined(runs, _RUN)), _in_order(_joined(flags, _PLACES)), bits)
+        return _by_bucket(_in_order(_joined(runs, _RUN)), _joined(flags, _PLACES), bits)
 
     return run
 
@@ -197,13 +209,8 @@ def _to_homes(homes: int):
             yield deal(held)
 
     def deal(held: list) -> pa.RecordBatch:
-        keys, docs = (np.concatenate(c) for c in zip(*held, strict=True))
-        home = _home_array(docs, homes)
-        order = np.lexsort((keys, home))
-        keys, docs, home = keys[order], docs[order], home[order]
-        full, first = np.unique(home, return_index=True)
-        ends = np.append(first, len(home)).tolist()
-        return pa.record_batch({"home": pa.array(full, pa.int32()), "shared": pa.array([pack([keys[a:b], docs[a:b]]) for a, b in itertools.pairwise(ends)], pa.binary())})
+        full, packed = _by_document(*(np.concatenate(c) for c in zip(*held, strict=True)), homes)
+        return pa.record_batch({"home": full, "shared": packed})
 
     return run
 

@@ -133,3 +133,15 @@ def test_tile_links_equal_exact_links():
         i = len(np.intersect1d(sets[a], sets[b]))
         if 10 * i >= 9 * (sizes[a] + sizes[b] - i):
             assert root(a) == root(b)
+
+
+def test_flags_are_spread_over_the_buckets(spark):
+    """Two n-grams that all documents have: their places go to the documents' buckets."""
+    rows = [(k, f"one common start of it own{k} a{k} b{k} c{k} d{k}") for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    size = {}
+    for r in df.mapInArrow(jaccard_join._runs(3, 4), "bucket int, run binary, flags binary").collect():
+        for data in (r.run, r.flags):
+            size[r.bucket] = size.get(r.bucket, 0) + (len(jaccard_join.unpack(data)[0]) if data else 0)
+    ordered = sorted(size.values())
+    assert len(size) == 16 and ordered[-1] <= 1.5 * ordered[8]
