@@ -103,13 +103,18 @@ class Track:
     chunks: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     keys: np.ndarray | None = None
     length: int = 0  # bytes of the container
-    fragments: list[tuple[int, int, int, bool]] = field(default_factory=list)  # (offset, size, duration, keyframe) of samples in fragments
+    pieces: list[tuple[int, int, int, int, bool, bool]] = field(default_factory=list)  # (offset, size, n, duration, keyframe, keyframes) of n equal samples in fragments: the first, the others
+
+    @property
+    def fragments(self) -> list[tuple[int, int, int, bool]]:
+        """(offset, size, duration, keyframe) of each sample in fragments."""
+        return [(at + k * size, size, duration, others if k else first) for at, size, n, duration, first, others in self.pieces for k in range(n)]
 
     def samples(self) -> int:
-        return (self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)) + len(self.fragments)
+        return (self.sizes[1] if isinstance(self.sizes, tuple) else len(self.sizes)) + sum(p[2] for p in self.pieces)
 
     def seconds(self) -> float | None:
-        total = self.duration or sum(f[2] for f in self.fragments)
+        total = self.duration or sum(p[2] * p[3] for p in self.pieces)
         return total / self.timescale if self.timescale else None
 
     def _places(self) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +138,7 @@ class Track:
         before = np.append(0, np.cumsum(sizes))
         offset = self.chunks[chunk] + before[sample] - before[(ends - each_chunk)[chunk]]
         size = sizes[sample]
-        stop = int(np.argmax(np.append((offset < 0) | (offset + size > self.length), True)))
+        stop = int(np.argmax(np.append((offset < 0) | (offset > self.length - size), True)))
         return offset[:stop], size[:stop]
 
     def ranges(self) -> list[tuple[int, int]]:
@@ -141,17 +146,28 @@ class Track:
         offset, size = self._places()
         return [*zip(offset.tolist(), size.tolist(), strict=True), *((f[0], f[1]) for f in self.fragments)]
 
-    def keyframes(self) -> list[tuple[int, int]]:
-        """(offset, size) of keyframes; where all samples are keyframes (no stss), of what lies without a gap."""
+    def keyframe_arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, sizes) of keyframes; where all samples of a table or of a fragment's run are keyframes, of what lies without a gap."""
         offset, size = self._places()
         if self.keys is None:
             new = np.append(True, offset[1:] != (offset + size)[:-1]) if len(offset) else np.zeros(0, bool)
             start = np.flatnonzero(new)
-            out = list(zip(offset[start].tolist(), np.add.reduceat(size, start).tolist() if len(start) else [], strict=True))
+            offset, size = offset[start], np.add.reduceat(size, start) if len(start) else size
         else:
             keys = self.keys[(self.keys >= 1) & (self.keys <= len(offset))] - 1
-            out = list(zip(offset[keys].tolist(), size[keys].tolist(), strict=True))
-        return out + [(f[0], f[1]) for f in self.fragments if f[3]]
+            offset, size = offset[keys], size[keys]
+        more = []
+        for at, each, n, _, first, others in self.pieces:
+            if first:
+                more.append((at, each * n if others else each))
+            elif others and n > 1:
+                more.append((at + each, each * (n - 1)))
+        extra = np.array(more, np.int64).reshape(-1, 2)
+        return np.append(offset, extra[:, 0]), np.append(size, extra[:, 1])
+
+    def keyframes(self) -> list[tuple[int, int]]:
+        offset, size = self.keyframe_arrays()
+        return list(zip(offset.tolist(), size.tolist(), strict=True))
 
 
 def walk(data: bytes) -> Iterator[tuple[bytes, int, int, int]]:
@@ -211,8 +227,9 @@ def _fields(data: bytes, at: int, flags: int, wanted: list[tuple[int, str]]) ->
 class _Fragment:
     """State of a moof: where its runs of samples lie."""
 
-    def __init__(self, start: int):
+    def __init__(self, start: int, room: int):
         self.start, self.track, self.next, self.defaults = start, None, start, (0, 0, 0)
+        self.room = room  # bytes that runs without entries may still take
 
     def header(self, data: bytes, at: int, tracks: dict[int, Track], extends: dict[int, tuple[int, int, int]]) -> None:
         flags = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF
@@ -233,14 +250,20 @@ class _Fragment:
         duration, size, mark = self.defaults
         each = [(0x100, ">I"), (0x200, ">I"), (0x400, ">I"), (0x800, ">I")]
         width = 4 * sum(bool(flags & bit) for bit, _ in each)
-        # a run's samples have entries of their own, or a size that fills the container
-        n = min(n, max(0, end - at) // width if width else self.track.length // size if size else 0)
-        for k in range(n):
+        if not width:  # equal samples, kept as one piece; those of a container's runs take no more bytes than it has
+            n = min(n, self.room // size, max(0, self.track.length - place) // size) if size and place >= 0 else 0
+            if n:
+                key = not (mark if first is None else first) & 0x10000
+                self.track.pieces.append((place, size, n, duration, key, not mark & 0x10000))
+                self.room -= n * size
+            self.next = place + n * size
+            return
+        for k in range(min(n, max(0, end - at) // width)):
             (d, s, m, _), at = _fields(data, at, flags, each)
             d, s, m = duration if d is None else d, size if s is None else s, m if m is not None else first if first is not None and not k else mark
             if place < 0 or place + s > self.track.length:
                 break
-            self.track.fragments.append((place, s, d, not m & 0x10000))
+            self.track.pieces.append((place, s, 1, d, not m & 0x10000, False))
             place += s
         self.next = place
 
@@ -248,8 +271,10 @@ class _Fragment:
 def probe(data: bytes) -> list[Track]:
     """The tracks of a container; [] for anything that is not one.
 
-    Fragments (moof) add their samples to the tracks.  Tables that say more than their box holds
-    are read as far as it goes; a box too short for its fixed fields makes the whole unreadable.
+    Fragments (moof) add their samples to the tracks; runs of equal samples stay one piece, and all of
+    a container together take no more bytes than it has, so that the work follows its size.  Tables that
+    say more than their box holds are read as far as it goes; a box too short for its fixed fields makes
+    the whole unreadable.
     """
     tracks: list[Track] = []
     by_number: dict[int, Track] = {}
@@ -263,7 +288,7 @@ def probe(data: bytes) -> list[Track]:
                 number, _, *rest = struct.unpack_from(">IIIII", data, at + 4)
                 extends[number] = tuple(rest)
             elif kind == b"moof":
-                fragment, by_number = _Fragment(start), {t.number: t for t in tracks}
+                fragment, by_number = _Fragment(start, fragment.room if fragment else len(data)), {t.number: t for t in tracks}
             elif kind == b"tfhd" and fragment:
                 fragment.header(data, at, by_number, extends)
             elif kind == b"trun" and fragment:
@@ -300,22 +325,42 @@ def read_samples(data: bytes, track: Track) -> bytes:
     return b"".join(data[a : a + n] for a, n in track.ranges())
 
 
+_MEDIA = "array<struct<handler:string,codec:string,seconds:double,samples:bigint,keyframes:array<struct<offset:bigint,size:bigint>>>>"
+
+
+def _media_array(contents: pa.Array) -> pa.Array:
+    """The tracks of each container as an Arrow column, keyframes from numpy arrays."""
+    tracks, ends = [], [0]
+    for data in contents:
+        tracks += probe(data.as_py() or b"")
+        ends.append(len(tracks))
+    keys = [t.keyframe_arrays() for t in tracks]
+    bounds = np.append(0, np.cumsum([len(k[0]) for k in keys], dtype=np.int64))
+    offset, size = (pa.array(np.concatenate([np.zeros(0, np.int64), *(k[j] for k in keys)]), pa.int64()) for j in (0, 1))
+    places = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([offset, size], ["offset", "size"]))
+    columns = [pa.array([t.handler for t in tracks], pa.string()), pa.array([t.codec for t in tracks], pa.string()), pa.array([t.seconds() for t in tracks], pa.float64()), pa.array([t.samples() for t in tracks], pa.int64()), places]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["handler", "codec", "seconds", "samples", "keyframes"]))
+
+
 def media_columns(df: DataFrame, content: str) -> DataFrame:
     """Adds ``media``: the tracks of a BINARY column, read from boxes without decoding payloads.
 
     Null, empty and foreign bytes give an empty array.  Rows and other columns stay as they
     are; a column of the name media is replaced.  A malformed container never fails: it gives
-    what its boxes still say, or an empty array.
+    what its boxes still say, or an empty array; memory and work are in proportion to its bytes.
     """
-    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
 
-    kind = "array<struct<handler:string,codec:string,seconds:double,samples:int,keyframes:array<struct<offset:bigint,size:bigint>>>>"
+    names = [c for c in df.columns if c != "media"]
+    rows = df.select(*names, df[content].cast("binary").alias("_content"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("media", T._parse_datatype_string(_MEDIA))])
 
-    @F.udf(kind, useArrow=True)
-    def run(data):
-        return [(t.handler, t.codec, t.seconds(), t.samples(), t.keyframes()) for t in probe(bytes(data or b""))]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_content"):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _media_array(part.column(part.num_columns - 1))], [*names, "media"])
 
-    return df.withColumn("media", run(F.col(content)))
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def store_texts(df: DataFrame) -> DataFrame:

@@ -74,6 +74,86 @@ def test_fragments():
         probe(data[:cut])
 
 
+def hostile(size):
+    """A container full of runs of equal one-byte samples without entries, each as long as the container."""
+    movie = write_movie(pad(b""))
+    at = movie.index(b"moov") - 4
+    moov = movie[at : at + int.from_bytes(movie[at : at + 4], "big")]
+    start = box(b"ftyp", b"isom") + box(b"moov", moov[8:], box(b"mvex", full(b"trex", struct.pack(">IIIII", 1, 1, 100, 1, 0))))
+    run = full(b"trun", struct.pack(">Ii", 2**31, 0), flags=1)
+    return start + box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">I", 1), flags=0x20000), run * (size // len(run))))
+
+
+def test_runs_without_entries_are_bounded(spark):
+    import tracemalloc
+
+    for size in (2_000, 8_000, 1_000_000):
+        data = hostile(size)
+        tracemalloc.start()
+        (track,) = probe(data)
+        assert track.samples() <= len(data) + 1 and len(track.keyframes()) <= len(data) // 20 + 2
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(data) + 1_000_000
+        tracemalloc.stop()
+    df = spark.createDataFrame([(1, hostile(100_000), "x"), (2, None, None)], "id int, content binary, media string")
+    got = {r.id: r.media for r in media_columns(df, "content").collect()}
+    assert got[2] == [] and got[1][0].samples <= len(hostile(100_000)) + 1
+
+
+def test_offsets_do_not_wrap():
+    movie = write_movie(pad(b"x" * 6400))
+    at = movie.index(b"stco")
+    for place in (2**63 - 10, 2**63, 2**64 - 1, len(movie) + 1):
+        wide = movie[: at - 4] + full(b"co64", struct.pack(">IQ", 1, place))
+        data = wide + movie[at + 16 - 4 :]
+        inner = [b"moov", b"trak", b"mdia", b"minf", b"stbl"]
+        fixed = bytearray(data)
+        for kind in inner:
+            k = data.index(kind) - 4
+            fixed[k : k + 4] = (int.from_bytes(data[k : k + 4], "big") + 4).to_bytes(4, "big")
+        (track,) = probe(bytes(fixed))
+        assert len(track.chunks) == 1 and track.ranges() == [] and track.keyframes() == []
+
+
+def plain_boxes(data, path):
+    """The body of the box at a path, by nothing but sizes and names."""
+    for kind in path:
+        at, found = 0, None
+        while at + 8 <= len(data) and found is None:
+            size = int.from_bytes(data[at : at + 4], "big")
+            found = data[at + 8 : at + size] if data[at + 4 : at + 8] == kind else None
+            at += size
+        data = found
+    return data
+
+
+def test_op8_by_plain_reading(spark, sf_dir):
+    """Features and digests of the query against a container that is read here, box by box."""
+    from bandloom.llm.media import op8_media_columns
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = op8_media_columns(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r.doc_id]
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        movie = write_movie(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(movie), hashlib.sha256(movie).hexdigest())
+        table = [b"moov", b"trak", b"mdia", b"minf", b"stbl"]
+        words = lambda kind, skip: struct.unpack(f">{(len(b) - skip) // 4}I", b[skip:]) if (b := plain_boxes(movie, [*table, kind])) else ()  # noqa: E731, B023
+        sizes, chunks, keys, per_chunk = words(b"stsz", 12), words(b"stco", 8), words(b"stss", 8), words(b"stsc", 8)
+        offsets, sample = [], 0
+        for k, start in enumerate(chunks, 1):
+            n = next(per_chunk[j + 1] for j in range(len(per_chunk) - 3, -1, -3) if per_chunk[j] <= k)
+            for size in sizes[sample : sample + n]:
+                offsets.append(start)
+                start += size
+            sample += n
+        assert b"".join(movie[a : a + n] for a, n in zip(offsets, sizes, strict=True)) == payload
+        want = ",".join(f"{offsets[k - 1]}+{sizes[k - 1]}" for k in keys)
+        assert r.feature == f"codec=raw;seconds={len(payload) / 8000:.6f};samples={len(sizes)};keyframes={want}"
+
+
 def test_compact_sizes():
     for bits, sizes, raw in ((4, [1, 2, 15], b"\x12\xf0"), (8, [3, 200], b"\x03\xc8"), (16, [300], b"\x01\x2c")):
         body = bytes(7) + bytes([bits]) + len(sizes).to_bytes(4, "big") + raw
