@@ -1,13 +1,15 @@
 """Sharding by balanced label propagation, with DataFrame functions only.
 
 Documents are linked through groups: equal texts, and further groups if given.  Labels
-start at random.  Every round joins memberships with labels, counts each group's documents
-by shard, and sums the counts of a document's groups; a document wants to the shard with
-most of its neighbours, among those with room.  Moves are accepted bucket by bucket until
-the room of the shard is used up, so that linked documents never fill a shard beyond its
-quota, all rows / shards.  The labels of the last round stand.  Documents without links
-fill what is left: of a shard that holds too many rows only the surplus moves, documents
-without links first, so that counts are at most one apart.
+start even and at random.  Every round joins memberships with labels, counts each group's
+documents by shard, and sums the counts of a document's groups; a document wants to the
+shard with most of its neighbours, ties being broken alike for a whole group, so that it
+moves as one.  Shards exchange documents: for each ordered pair of shards a histogram of
+gains says how many want to go; as many go each way, in pairs and in rings of three, and
+free room takes more.  Those who gain most go first.  So linked documents never fill a shard
+beyond its quota, all rows / shards, and full shards still trade.  The labels of the last
+round stand.  Documents without links fill what is left: of a shard that holds too many rows
+only the surplus moves, documents without links first, so that counts are at most one apart.
 
 Groups are only ever counted.  The counts of a group with more than ``HOT_SHARE`` of all
 memberships come by a broadcast of fewer than 4096 rows; ranks come from a histogram of
@@ -23,10 +25,12 @@ from pyspark.sql.window import Window
 from bandloom.storage import materialise
 
 SHARDS = 8
-ROUNDS = 4
+ROUNDS = 8
 HOT_SHARE = 1 / 4096
-#: Buckets in which moves are accepted as a whole.
-MOVES = 1024
+#: Buckets of a pair of shards and a class of gains, in which moves are accepted as a whole; and the classes, by powers of two.
+MOVES, GAINS = 1024, 16
+#: Buckets of documents that are dealt out evenly at the start.
+STARTS = 4096
 #: Rows in a bucket of the last ranking, about, and the greatest number of buckets of a class.
 BUCKET_ROWS, MOST_BUCKETS = 50_000, 1 << 14
 #: The order in which a shard keeps its rows.
@@ -71,31 +75,86 @@ def cut_links(member: DataFrame, labels: DataFrame, shards: int = SHARDS) -> int
 
 
 def start_labels(member: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(uid, g, hot, label) of the linked documents: a random label, and the group that they move with."""
-    own = member.groupBy("uid").agg(F.min("grp").alias("g"), F.max("hot").alias("hot"))
-    return materialise(own.withColumn("label", _start(shards)), "shard-labels")
+    """(uid, g, hot, label) of the linked documents: an even random label, and the group that they move with."""
+    own = materialise(member.groupBy("uid").agg(F.min("grp").alias("g"), F.max("hot").alias("hot")), "shard-linked")
+    part = F.pmod(F.xxhash64(F.lit("start"), "uid"), F.lit(STARTS)).cast("int")
+    held, home = [0] * shards, []
+    sizes = own.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most STARTS rows
+    for r in sorted(sizes, key=lambda r: (-r["n"], r["part"])):
+        s = held.index(min(held))
+        held[s] += r["n"]
+        home.append((r["part"], s))
+    dealt = own.sparkSession.createDataFrame(home, "part int, label int")
+    return materialise(own.withColumn("part", part).join(F.broadcast(dealt), "part").select("uid", "g", "hot", "label"), "shard-labels")
+
+
+def exchanges(wish: list[list[int]], room: list[int]) -> list[list[int]]:
+    """How many of the ``wish[s][t]`` documents that want from s to t may go: pairs, rings of three, then free room."""
+    shards = range(len(room))
+    left, go, room = [row[:] for row in wish], [[0] * len(room) for _ in shards], room[:]
+
+    def take(steps: list[tuple[int, int]], k: int) -> None:
+        for s, t in steps:
+            left[s][t] -= k
+            go[s][t] += k
+
+    for s in shards:
+        for t in range(s):
+            take([(s, t), (t, s)], min(left[s][t], left[t][s]))
+    for a in shards:
+        for b in shards:
+            for c in shards:
+                if len({a, b, c}) == 3:
+                    take([(a, b), (b, c), (c, a)], min(left[a][b], left[b][c], left[c][a]))
+    moving = True
+    while moving:  # whoever leaves makes room
+        moving = False
+        for t in shards:
+            for s in shards:
+                k = min(room[t], left[s][t])
+                if k > 0:
+                    take([(s, t)], k)
+                    room[t] -= k
+                    room[s] += k
+                    moving = True
+    return go
 
 
 def one_round(member: DataFrame, labels: DataFrame, quota: int, shards: int = SHARDS) -> tuple[DataFrame, int]:
-    """(labels after a round, number of moves).  No move enters a shard that has ``quota`` linked documents."""
+    """(labels after a round, number of moves).  No shard gets beyond ``quota`` linked documents, or beyond what it had."""
     held = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     room = [max(0, quota - held.get(s, 0)) for s in range(shards)]
     counts = materialise(group_counts(member, labels, shards), "shard-counts")
     near = _met(member, counts).groupBy("uid").agg(*[F.sum(f"c{s}").alias(f"c{s}") for s in range(shards)])
     met = near.join(labels, "uid")
     turn = lambda s: F.pmod(F.xxhash64("g") + s, F.lit(shards))  # noqa: E731  # ties go the same way for a whole group
-    seats = [F.when(F.lit(room[s] > 0) | (F.col("label") == s), F.struct(F.col(f"c{s}").alias("c"), turn(s).alias("t"), F.lit(s).alias("s"))) for s in range(shards)]
+    best = F.greatest(*[F.struct(F.col(f"c{s}").alias("c"), turn(s).alias("t"), F.lit(s).alias("s")) for s in range(shards)])
     part = F.pmod(F.xxhash64("g", F.when(F.col("hot"), F.col("uid"))), F.lit(MOVES)).cast("int")
-    wanted = materialise(met.select("uid", "g", "hot", "label", F.greatest(*seats)["s"].alias("target"), part.alias("part")), "shard-moves")
-    come = wanted.where("target <> label").groupBy("target", "part").agg(F.count(F.lit(1)).alias("n"))
-    # at most shards * MOVES rows
-    upto = come.withColumn("upto", F.sum("n").over(Window.partitionBy("target").orderBy("part")))
-    rooms = F.create_map(*[F.lit(x) for s in range(shards) for x in (s, room[s])])
-    accepted = upto.where(F.col("upto") <= rooms[F.col("target")]).select("target", "part", "n")
-    moved = accepted.agg(F.sum("n")).first()[0] or 0
-    taken = wanted.join(F.broadcast(accepted.select("target", "part", F.lit(True).alias("ok"))), ["target", "part"], "left")
-    label = F.when(F.col("ok") & (F.col("target") != F.col("label")), F.col("target")).otherwise(F.col("label"))
-    return materialise(taken.select("uid", "g", "hot", label.alias("label")), "shard-labels"), int(moved)
+    gain = best["c"] - sum((F.when(F.col("label") == s, F.col(f"c{s}")).otherwise(0) for s in range(shards)), F.lit(0))
+    rank = GAINS - 1 - F.least(F.lit(GAINS - 1), F.floor(F.log2(gain + 1.0))).cast("int")
+    wanted = materialise(met.select("uid", "g", "hot", "label", best["s"].alias("target"), (rank * MOVES + part).alias("turn")), "shard-moves")
+    pair = ["label", "target"]
+    # at most shards**2 * GAINS * MOVES rows
+    come = materialise(wanted.where("target <> label").groupBy(*pair, "turn").agg(F.count(F.lit(1)).alias("n")), "shard-wishes")
+    wish = [[0] * shards for _ in range(shards)]
+    for r in come.groupBy(*pair).agg(F.sum("n").alias("n")).collect():
+        wish[r["label"]][r["target"]] = r["n"]
+    go = exchanges(wish, room)
+    moved = sum(map(sum, go))
+    if not moved:
+        return labels, 0
+    caps = labels.sparkSession.createDataFrame([(s, t, go[s][t]) for s in range(shards) for t in range(shards) if go[s][t]], "label int, target int, cap bigint")
+    upto = come.withColumn("upto", F.sum("n").over(Window.partitionBy(*pair).orderBy("turn")))
+    # the first bucket of each pair that doesn't go as a whole; none where all go
+    edge = upto.join(F.broadcast(caps), pair).where("upto > cap").groupBy(*pair).agg(F.min_by(F.struct("turn", (F.col("cap") - F.col("upto") + F.col("n")).alias("rest")), "turn").alias("e"))
+    limits = materialise(caps.join(edge, pair, "left").select(*pair, F.col("e.turn").alias("last"), F.col("e.rest").alias("rest")), "shard-limits")
+    met = wanted.join(F.broadcast(limits.withColumn("some", F.lit(True))), pair, "left")
+    split = F.coalesce(F.col("turn") == F.col("last"), F.lit(False))
+    goes = F.coalesce(F.col("some"), F.lit(False)) & (F.col("last").isNull() | (F.col("turn") < F.col("last")))
+    whole = met.where(~split).select("uid", "g", "hot", F.when(goes, F.col("target")).otherwise(F.col("label")).alias("label"))
+    place = F.row_number().over(Window.partitionBy(*pair).orderBy("g", "uid"))
+    parted = met.where(split).withColumn("place", place).select("uid", "g", "hot", F.when(F.col("place") <= F.col("rest"), F.col("target")).otherwise(F.col("label")).alias("label"))
+    return materialise(whole.unionByName(parted), "shard-labels"), moved
 
 
 def propagate(member: DataFrame, rows: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:

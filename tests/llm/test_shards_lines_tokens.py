@@ -64,6 +64,50 @@ def test_rounds_lower_the_cut(spark):
     assert max(counts.values()) - min(counts.values()) <= 1
 
 
+def test_full_shards_exchange(spark):
+    """All rows linked, in groups of four: no free room, yet most groups come together and quotas hold."""
+    nodes = spark.range(20_000).select(F.col("id").alias("uid"), F.col("id").alias("doc_id"), F.xxhash64(F.col("id") % 5000).alias("grp"))
+    member = shard_balance.memberships(nodes)
+    labels = start_labels(member)
+    start = cut = cut_links(member, labels)
+    for _ in range(3):
+        labels, moved = one_round(member, labels, 2500)
+        now = cut_links(member, labels)
+        held = Counter(r.label for r in labels.collect())
+        assert now <= cut and max(held.values()) <= 2501 and sum(held.values()) == 20_000
+        cut = now
+    assert cut < start / 8
+    got = shard(nodes.select("doc_id", (F.col("doc_id") % 5000).cast("string").alias("text"))).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.doc_id % 5000].add(r.shard)
+    assert sum(len(h) == 1 for h in homes.values()) >= 4000
+    assert set(Counter(r.shard for r in got).values()) == {2500}
+
+
+def test_exchanges_keep_counts():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(50):
+        n = rng.choice([2, 3, 8])
+        wish = [[0 if s == t else rng.randrange(40) for t in range(n)] for s in range(n)]
+        room = [rng.choice([0, 0, 5]) for _ in range(n)]
+        go = shard_balance.exchanges(wish, room)
+        assert all(0 <= go[s][t] <= wish[s][t] for s in range(n) for t in range(n))
+        for t in range(n):
+            assert sum(go[s][t] for s in range(n)) - sum(go[t]) <= room[t]
+    assert shard_balance.exchanges([[0, 3], [5, 0]], [0, 0]) == [[0, 3], [3, 0]]
+
+
+def test_op3_by_plain_code(spark, sf_dir):
+    """Sizes, checksums, counts and slots of the query, computed again from the texts."""
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = op3_sharding(spark, sf_dir).collect()
+    assert {(r.doc_id, r.size, r.text_crc32, r.law, r.grown_shard) for r in got} == {(i, len(t) + 1, zlib.crc32(t), "rows", None) for i, t in texts.items()}
+    assert Counter((r.shard, r.slot) for r in got) == Counter((s, k) for s in range(8) for k in range(len(texts) // 8 + (s < len(texts) % 8)))
+
+
 def test_sharding_of_the_whole_table(spark, sf_dir):
     got = op3_sharding(spark, sf_dir).collect()
     assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
