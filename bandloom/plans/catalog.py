@@ -1,5 +1,6 @@
 """All queries of the raster engine and the SQL that gives the same rows."""
 
+from bandloom.plans import file_queries  # noqa: F401  (registers its queries)
 from bandloom.plans.raster_queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

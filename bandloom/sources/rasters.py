@@ -1,16 +1,19 @@
 """Rasters in files as DataFrames: headers, pixels by block, sinks, sidecar metadata.
 
-``scan`` reads files through Spark's own file systems (binaryFile), so any path that Spark
-can open works; a file is decoded in one task, so files are limited to 2 GB.  The data
-source ``bandloom_tiff`` is for larger files on a mounted file system: each row of blocks
-is a partition, and a window given as an option keeps all other blocks unread.
+Files are read by byte ranges (see ``ranged``): a header costs a few of them whatever the size
+of the file, and a block is read when it is wanted.  The data source ``bandloom_tiff`` plans
+rectangles of blocks as partitions; a window keeps all blocks outside unplanned and unread.  (The
+window is an option and not a pushed filter: Spark 4.1 keeps what ``pushFilters`` notes in a state
+that all uses of one DataFrame share, so that a union of two windows of it would read one of them
+twice.)  Sinks are in ``tiled``.
 """
 
 from __future__ import annotations
 
-import mmap
+import json
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
 import numpy as np
@@ -21,7 +24,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from bandloom.model import BANDS, RASTER_SCHEMA, Affine, Raster
 from bandloom.sources import tiff
-from bandloom.storage import write_bytes
+from bandloom.sources.ranged import Ranged, local_path
+from bandloom.storage import materialise, write_bytes
+
+#: Bytes of decoded blocks in a partition, about.
+PARTITION_BYTES = 32 << 20
+#: Headers that are read at a time while a scan is planned.
+THREADS = 16
 
 
 def header_row(r: Raster) -> tuple:
@@ -29,19 +38,24 @@ def header_row(r: Raster) -> tuple:
     return r.raster_id, r.path, r.crs, r.bounds, r.width, r.height, len(r.descriptions), r.dtype, [t.a, t.b, t.c, t.d, t.e, t.f], r.nodata, list(r.descriptions)
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files under a path, folder or pattern; no content is read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each file: the header."""
+    """A row for each file: the header, read by a few byte ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                row = header_row(tiff.header(content, file))
+            for file in batch.column(0).to_pylist():
+                row = header_row(tiff.header(Ranged(file), file))
                 bounds = dict(zip(("left", "bottom", "right", "top"), row[3], strict=True))
                 names = ["raster_id", "path", "crs", "bounds", "width", "height", "count", "dtype", "transform", "nodata", "descriptions"]
                 kinds = [pa.string(), pa.string(), pa.string(), pa.struct([(k, pa.float64()) for k in bounds]), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.list_(pa.string())]
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*row[:3], bounds, *row[4:]], kinds, strict=True)], names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, RASTER_SCHEMA)
+    return list_files(spark, path).select("path").mapInArrow(run, RASTER_SCHEMA)
 
 
 def header(spark: SparkSession, path: str) -> Raster:
@@ -72,31 +86,28 @@ def _wanted(descriptions: tuple[str, ...], count: int, bands: list[str] | None)
     return out
 
 
-def scan(spark: SparkSession, path: str, bands: list[str]) -> DataFrame:
-    """(raster_id, row, col, bands) of all files under ``path``; bands by description, or band_1, band_2..."""
+def scan(spark: SparkSession, path: str, bands: list[str], window: tuple[int, int, int, int] | None = None, level: int = 0) -> DataFrame:
+    """(raster_id, row, col, bands) of all files under ``path``; bands by description, or band_1, band_2...
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head, page = tiff.header(content, file), tiff.read_pages(content)[0]
-                pick = _wanted(head.descriptions, page.count, bands)
-                bh, bw = page.block_shape()
-                for r, c in np.ndindex(*page.grid()):
-                    block = tiff.read_block(content, page, r, c)[[k for _, k in pick]]
-                    yield _rows(head.raster_id, block, r * bh, c * bw, [b for b, _ in pick])
+    ``window`` (row0, col0, row1, col1; the ends excluded) reads only blocks that touch it and gives only
+    its pixels.  ``level`` reads an overview (1: the first); rows and columns are then the overview's."""
+    files = [r["path"] for r in list_files(spark, path).select("path").collect()]
+    spark.dataSource.register(TiffDataSource)
+    source = spark.read.format(TiffDataSource.name()).option("paths", json.dumps(files)).option("bands", ",".join(bands)).option("level", level)
+    if window:
+        source = source.option("window", ",".join(str(x) for x in window))
+    return source.load()
 
-    schema = "raster_id string, row int, col int, " + ", ".join(f"`{b}` double" for b in bands)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
 
+class _Blocks(InputPartition):
+    """Blocks of a file in rows [row0, row1) and columns [col0, col1) of its grid of blocks."""
 
-class _BlockRow(InputPartition):
-    def __init__(self, path: str, row: int):
-        super().__init__(row)
-        self.path, self.row = path, row
+    def __init__(self, path: str, row0: int, row1: int, col0: int, col1: int):
+        super().__init__((path, row0, row1, col0, col1))
 
 
 class TiffDataSource(DataSource):
-    """Options: path, bands (comma-separated), window (row0,col0,row1,col1)."""
+    """Options: path or paths (a JSON list), bands (comma-separated), window (row0,col0,row1,col1), level."""
 
     @classmethod
     def name(cls) -> str:
@@ -109,38 +120,57 @@ class TiffDataSource(DataSource):
         return "raster_id string, row int, col int, " + ", ".join(f"`{b}` double" for b in self._bands())
 
     def reader(self, schema) -> DataSourceReader:
-        return _TiffReader(self.options["path"], self._bands(), [int(x) for x in self.options["window"].split(",")] if "window" in self.options else None)
+        paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
+        window = [int(x) for x in self.options["window"].split(",")] if "window" in self.options else [0, 0, *[1 << 31] * 2]
+        return _TiffReader(paths, self._bands(), window, int(self.options.get("level", 0)))
 
 
 class _TiffReader(DataSourceReader):
-    def __init__(self, path: str, bands: list[str], window: list[int] | None):
-        self.path, self.bands, self.window = path, bands, window
-
-    def _open(self, path: str):
-        with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    def __init__(self, paths: list[str], bands: list[str], window: list[int], level: int):
+        self.paths, self.bands, self.window, self.level = paths, bands, window, level
+
+    def _page(self, data) -> tiff.TiffPage:
+        pages = tiff.read_pages(data)
+        if not 0 <= self.level < len(pages):
+            raise ValueError(f"no level {self.level}: the file has {len(pages)}")
+        return pages[self.level]
+
+    def _plan(self, path: str) -> list[InputPartition]:
+        data = Ranged(path)
+        page = self._page(data)
+        _wanted(tiff.header(data, path).descriptions, page.count, self.bands)
+        (bh, bw), (rows, cols) = page.block_shape(), page.grid()
+        row0, col0, row1, col1 = self.window
+        first, last, left, right = max(0, row0) // bh, min(rows, -(-row1 // bh)), max(0, col0) // bw, min(cols, -(-col1 // bw))
+        each = bh * bw * max(page.dtype.itemsize * page.count, 8 * len(self.bands))
+        wide = max(1, min(right - left, PARTITION_BYTES // each))
+        high = max(1, PARTITION_BYTES // (each * wide))
+        data.close()
+        return [_Blocks(path, r, min(last, r + high), c, min(right, c + wide)) for r in range(first, last, high) for c in range(left, right, wide)]
 
     def partitions(self) -> list[InputPartition]:
-        page = tiff.read_pages(self._open(self.path))[0]
-        high = page.block_shape()[0]
-        rows = range(page.grid()[0])
-        if self.window:
-            rows = [r for r in rows if r * high < self.window[2] and (r + 1) * high > self.window[0]]
-        return [_BlockRow(self.path, r) for r in rows]
-
-    def read(self, partition: _BlockRow) -> Iterator[pa.RecordBatch]:
-        data = self._open(partition.path)
-        head, page = tiff.header(data, partition.path), tiff.read_pages(data)[0]
+        with ThreadPoolExecutor(THREADS) as pool:
+            found = [p for plan in pool.map(self._plan, self.paths) for p in plan]
+        return found or [_Blocks(self.paths[0] if self.paths else "", 0, 0, 0, 0)]  # a scan needs a partition
+
+    def read(self, partition: _Blocks) -> Iterator[pa.RecordBatch]:
+        path, first, last, left, right = partition.value
+        if first >= last:
+            return
+        data = Ranged(path)
+        head, page = tiff.header(data, path), self._page(data)
         pick = _wanted(head.descriptions, page.count, self.bands)
         bh, bw = page.block_shape()
-        row0, col0, row1, col1 = self.window or (0, 0, page.height, page.width)
-        for c in range(page.grid()[1]):
-            if c * bw >= col1 or (c + 1) * bw <= col0:
-                continue
-            block = tiff.read_block(data, page, partition.row, c)[[k for _, k in pick]]
-            r, x = partition.row * bh, c * bw
-            a, y = max(0, row0 - r), max(0, col0 - x)
-            yield _rows(head.raster_id, block[:, a : max(a, row1 - r), y : max(y, col1 - x)], r + a, x + y, [b for b, _ in pick])
+        row0, col0, row1, col1 = self.window
+        for br in range(first, last):
+            for bc in range(left, right):
+                block = tiff.read_block(data, page, br, bc, [k for _, k in pick])
+                r, x = br * bh, bc * bw
+                a, y = max(0, row0 - r), max(0, col0 - x)
+                part = block[:, a : max(a, row1 - r), y : max(y, col1 - x)]
+                if part.size:
+                    yield _rows(head.raster_id, part, r + a, x + y, [b for b, _ in pick])
+        data.close()
 
 
 def to_arrays(pixels: DataFrame, bands: list[str], height: int, width: int, fill: float = 0.0) -> np.ndarray:
@@ -157,19 +187,40 @@ def to_arrays(pixels: DataFrame, bands: list[str], height: int, width: int, fill
 
 
 def write_geotiff(pixels: DataFrame, band: str, raster: Raster, path: str, mask: bool = False, compress: str = "lzw") -> None:
-    """One float32 band, or a uint8 mask with nodata 0; for images that fit on the driver."""
+    """One float32 band, or a uint8 mask with nodata 0: one file, its tiles written by tasks.
+
+    On stores without a mount only images that fit on the driver can be written."""
+    from bandloom.sources import tiled
+
     nodata = 0.0 if mask else raster.nodata if raster.nodata is not None else float("nan")
-    data = to_arrays(pixels, [band], raster.height, raster.width, nodata).astype("u1" if mask else "f4")
     out = Raster(raster.raster_id, raster.width, raster.height, raster.transform, raster.crs, nodata, (band,))
+    if local_path(path):
+        tiled.write_tiled(pixels, [band], out, path, "uint8" if mask else "float32", compress=compress)
+        return
+    data = to_arrays(pixels, [band], raster.height, raster.width, nodata).astype("u1" if mask else "f4")
     write_bytes(pixels.sparkSession, path, tiff.encode_tiff(data, out, compress))
 
 
 def write_pyramid(pixels: DataFrame, bands: list[str], path: str, levels: tuple[int, ...] = (1, 2, 4, 8, 16), block: int = 512) -> None:
-    """Parquet by level and block row: averages of level x level pixels, so a scan of a window reads few files."""
-    each = F.explode(F.array(*[F.lit(x) for x in levels]))
-    grown = pixels.withColumn("level", each)
-    row, col = F.expr("row div level").cast("int"), F.expr("col div level").cast("int")
-    small = grown.groupBy("level", row.alias("row"), col.alias("col")).agg(*[F.avg(b).alias(b) for b in bands])
+    """Parquet by level and block row: averages of level x level pixels, so a scan of a window reads few files.
+
+    Each level comes from the sums and counts of the finest earlier one that divides it, so that the
+    pixels are read once for the first level and not again for those above it."""
+    done: dict[int, DataFrame] = {}
+    for level in sorted(levels):
+        below = max((k for k in done if level % k == 0), default=0)
+        if below:
+            source, step = done[below], level // below
+            sums = [F.sum(f"{kind}{k}").alias(f"{kind}{k}") for k in range(len(bands)) for kind in "sn"]
+        else:
+            source, step = pixels, level
+            sums = [x for k, b in enumerate(bands) for x in (F.sum(F.col(b).cast("double")).alias(f"s{k}"), F.count(b).alias(f"n{k}"))]
+        row, col = F.expr(f"row div {step}").cast("int"), F.expr(f"col div {step}").cast("int")
+        done[level] = materialise(source.groupBy(row.alias("row"), col.alias("col")).agg(*sums), "pyramid-sums")
+    small = None
+    for level, sums in done.items():
+        one = sums.select(F.lit(level).alias("level"), "row", "col", *[F.when(F.col(f"n{k}") > 0, F.col(f"s{k}") / F.col(f"n{k}")).alias(b) for k, b in enumerate(bands)])
+        small = one if small is None else small.unionByName(one)
     keyed = small.withColumn("block_row", F.expr(f"row div {block}").cast("int")).withColumn("block_col", F.expr(f"col div {block}").cast("int"))
     keyed.repartition("level", "block_row", "block_col").sortWithinPartitions("level", "block_row", "row", "col").write.partitionBy("level", "block_row").parquet(path)
 

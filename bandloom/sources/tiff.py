@@ -1,7 +1,8 @@
 """GeoTIFF without outside libraries: header, windows by block, and a writer.
 
-Read: strips and tiles, one or more bands (chunky or planar), uint8/16/32, int16/32,
-float32/64; no compression, LZW or deflate; predictor 2 for integers.  Written: tiles, one
+Read: classic and big files, strips and tiles, one or more bands (chunky or planar), uint8/16/32,
+int16/32, float32/64; no compression, LZW or deflate; predictor 2 for integers.  Tags are read when
+they are asked for, so that a header or a block costs a few ranges of the file.  Written: tiles, one
 plane for each band, the same compressions, and overviews by average.  Georeference: pixel scale and
 tie point, EPSG code, nodata and band descriptions.
 """
@@ -90,17 +91,32 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _unpack(data, form: str, at: int) -> tuple:
+    return struct.unpack(form, bytes(data[at : at + struct.calcsize(form)]))
+
+
 @dataclass
 class TiffPage:
-    tags: dict[int, tuple]
+    """A page of ``data``; tags hold (type code, count, place of the values)."""
+
+    tags: dict[int, tuple[str, int, int]]
     order: str
+    data: object
 
     def get(self, tag: int, default=None):
-        v = self.tags.get(tag, default)
-        return v[0] if isinstance(v, tuple) and len(v) == 1 else v
+        v = self.many(tag)
+        return default if tag not in self.tags else v[0] if len(v) == 1 else v
 
     def many(self, tag: int) -> tuple:
-        return tuple(self.tags.get(tag, ()))
+        if tag not in self.tags:
+            return ()
+        code, count, at = self.tags[tag]
+        return _unpack(self.data, f"{self.order}{count}s" if code == "s" else self.order + code * count, at)
+
+    def one(self, tag: int, k: int) -> int:
+        """Value ``k`` of a tag, without the others."""
+        code, _, at = self.tags[tag]
+        return _unpack(self.data, self.order + code, at + k * struct.calcsize("<" + code))[0]
 
     @property
     def width(self) -> int:
@@ -119,6 +135,11 @@ class TiffPage:
         fmt = self.many(339) or (1,)
         return np.dtype(self.order + KIND[fmt[0], self.many(258)[0]])
 
+    @property
+    def nodata(self) -> float | None:
+        text = self.get(42113, b"").rstrip(b"\0").decode()
+        return float(text) if text.strip() else None
+
     def block_shape(self) -> tuple[int, int]:
         if 322 in self.tags:
             return self.get(323), self.get(322)
@@ -130,27 +151,31 @@ class TiffPage:
 
 
 def read_pages(data) -> list[TiffPage]:
-    """The pages of a file (bytes, or a memory map): the full image and its overviews."""
+    """The pages of a file (bytes, a memory map or ``Ranged``): the full image and its overviews."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-    if not order or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    pages, at = [], struct.unpack_from(order + "I", data, 4)[0]
+    kind = _unpack(data, order + "H", 2)[0] if order else 0
+    if kind not in (42, 43):
+        raise ValueError("not a TIFF file")
+    big = kind == 43
+    # the widths of counts of tags, and of counts and places of values
+    many, place, width = ("Q", "Q", 8) if big else ("H", "I", 4)
+    entry, lead = 4 + 2 * width, struct.calcsize("<" + many)
+    pages, at = [], _unpack(data, order + place, 8 if big else 4)[0]
     while at:
-        n = struct.unpack_from(order + "H", data, at)[0]
+        n = _unpack(data, order + many, at)[0]
         tags = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            code = FIELD.get(kind)
+            start = at + lead + entry * k
+            tag, form, count = _unpack(data, order + "HH" + place, start)
+            code = FIELD.get(form)
             if code is None:
                 continue
-            form = f"{order}{count}s" if kind == 2 else order + code * count
-            size = struct.calcsize(form)
-            where = at + 2 + 12 * k + 8
-            if size > 4:
-                where = struct.unpack_from(order + "I", data, where)[0]
-            tags[tag] = struct.unpack_from(form, data, where)
-        pages.append(TiffPage(tags, order))
-        at = struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
+            where = start + 4 + width
+            if struct.calcsize("<" + code) * count > width:
+                where = _unpack(data, order + place, where)[0]
+            tags[tag] = (code, count, where)
+        pages.append(TiffPage(tags, order, data))
+        at = _unpack(data, order + place, at + lead + entry * n)[0]
     return pages
 
 
@@ -165,21 +190,24 @@ def header(data, path: str = "") -> Raster:
             crs = f"EPSG:{keys[k + 3]}"
     text = lambda tag: page.get(tag, b"").rstrip(b"\0").decode()
     names = {int(n): unescape(d) for n, d in re.findall(r'<Item name="DESCRIPTION" sample="(\d+)"[^>]*>([^<]*)</Item>', text(42112))}
-    nodata = float(text(42113)) if text(42113).strip() else None
-    return Raster(path.rsplit("/", 1)[-1], page.width, page.height, transform, crs, nodata, tuple(names.get(k, "") for k in range(page.count)), page.dtype.newbyteorder("=").name, path)
+    return Raster(path.rsplit("/", 1)[-1], page.width, page.height, transform, crs, page.nodata, tuple(names.get(k, "") for k in range(page.count)), page.dtype.newbyteorder("=").name, path)
 
 
-def read_block(data, page: TiffPage, row: int, col: int) -> np.ndarray:
-    """(bands, h, w) of one block, cut to the image."""
+def read_block(data, page: TiffPage, row: int, col: int, bands: list[int] | None = None) -> np.ndarray:
+    """(bands, h, w) of one block, cut to the image; of planes of their own only the wanted ones are read."""
     bh, bw = page.block_shape()
     rows, cols = page.grid()
     planar, n = page.get(284, 1) == 2, page.count
-    offsets, counts = (page.many(324), page.many(325)) if 322 in page.tags else (page.many(273), page.many(279))
+    offsets, counts = (324, 325) if 322 in page.tags else (273, 279)
     h, w = min(bh, page.height - row * bh), min(bw, page.width - col * bw)
     out = np.empty((n, h, w), page.dtype.newbyteorder("="))
-    for plane in range(n if planar else 1):
+    for plane in (range(n) if bands is None else sorted(set(bands))) if planar else [0]:
         at = (plane * rows + row) * cols + col
-        raw = bytes(data[offsets[at] : offsets[at] + counts[at]])
+        place, size = page.one(offsets, at), page.one(counts, at)
+        if not size:  # a block that was never written
+            out[plane if planar else slice(None)] = page.nodata or 0
+            continue
+        raw = bytes(data[place : place + size])
         kind = page.get(259, NONE)
         if kind == LZW:
             raw = lzw_decode(raw)
@@ -200,7 +228,7 @@ def read_block(data, page: TiffPage, row: int, col: int) -> np.ndarray:
             out[plane] = part[0]
         else:
             out[:] = part
-    return out
+    return out if bands is None else out[bands]
 
 
 def read_window(data, row0: int, col0: int, row1: int, col1: int, bands: list[int] | None = None, out_shape: tuple[int, int] | None = None) -> np.ndarray:
@@ -231,6 +259,78 @@ def _average(bands: np.ndarray) -> np.ndarray:
     return (np.rint(small) if bands.dtype.kind in "iu" else small).astype(bands.dtype)
 
 
+def page_tags(raster: Raster, dtype: np.dtype, shape: tuple[int, int], n: int, tile: int, compress: str, overview: bool, predictor: bool = False) -> list[tuple[int, int, tuple | bytes]]:
+    """(tag, type, values) of a tiled page with a plane for each band, but for the places of its tiles."""
+    (h, w), t, kind = shape, raster.transform, {"u": 1, "i": 2, "f": 3}[dtype.kind]
+    sx, sy = t.a * raster.width / w, t.e * raster.height / h
+    tags: list[tuple[int, int, tuple | bytes]] = [
+        (254, 4, (int(overview),)), (256, 4, (w,)), (257, 4, (h,)), (258, 3, (dtype.itemsize * 8,) * n), (259, 3, (COMPRESSION[compress],)),
+        (262, 3, (1,)), (277, 3, (n,)), (284, 3, (2,)), (317, 3, (2 if predictor and kind < 3 else 1,)), (322, 3, (tile,)), (323, 3, (tile,)),
+        (339, 3, (kind,) * n), (33550, 12, (sx, -sy, 0.0)), (33922, 12, (0.0, 0.0, 0.0, t.c, t.f, 0.0)),
+    ]
+    if raster.crs.startswith("EPSG:"):
+        code = int(raster.crs[5:])
+        flat = code == 4326
+        tags.append((34735, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, code)))
+    items = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{escape(d)}</Item>' for k, d in enumerate(raster.descriptions[:n]) if d)
+    if items:
+        tags.append((42112, 2, f"<GDALMetadata>{items}</GDALMetadata>\0".encode()))
+    if raster.nodata is not None:
+        tags.append((42113, 2, f"{raster.nodata:.17g}\0".encode()))
+    return tags
+
+
+def compress_block(block: np.ndarray, compress: str) -> bytes:
+    raw = block.tobytes()
+    return lzw_encode(raw) if compress == "lzw" else zlib.compress(raw) if compress == "deflate" else raw
+
+
+@dataclass
+class Layout:
+    """Where things lie in a tiled file whose tiles are written by many tasks.
+
+    ``parts``: (place, bytes) of the header and the pages; ``tables``: for each page the places of its
+    tables of tile offsets and tile sizes, whose entries are ``width`` bytes; tiles begin at ``data``.
+    """
+
+    parts: list[tuple[int, bytes]]
+    tables: list[tuple[int, int]]
+    data: int
+    width: int
+
+
+def tiled_layout(raster: Raster, dtype: np.dtype, shapes: list[tuple[int, int]], n: int, tile: int, compress: str, big: bool) -> Layout:
+    """The layout of pages of ``shapes``, the first the full image; ``big`` for files of 4 GB and more."""
+    many, place, width, form = ("Q", "Q", 8, 16) if big else ("H", "I", 4, 4)
+    at = 16 if big else 8
+    parts = [(0, b"II+\0\x08\0\0\0" + struct.pack("<Q", at) if big else b"II*\0" + struct.pack("<I", at))]
+    tables = []
+    for number, (h, w) in enumerate(shapes):
+        tiles = n * -(-h // tile) * -(-w // tile)
+        tags = [*page_tags(raster, dtype, (h, w), n, tile, compress, number > 0), (324, form, tiles), (325, form, tiles)]
+        lead = struct.calcsize("<" + many)
+        free = at + lead + (4 + 2 * width) * len(tags) + width
+        page, table = struct.pack("<" + many, len(tags)), []
+        for k, (tag, kind, value) in enumerate(sorted(tags, key=lambda x: x[0])):
+            size = tiles * width if isinstance(value, int) else len(value) if kind == 2 else struct.calcsize("<" + FIELD[kind]) * len(value)
+            count = value if isinstance(value, int) else len(value)
+            body = b"" if isinstance(value, int) else value if kind == 2 else struct.pack("<" + FIELD[kind] * count, *value)
+            here = at + lead + (4 + 2 * width) * k + 4 + width  # where short values stand
+            if size > width:
+                here, free = free, free + size + size % 2
+                if body:
+                    parts.append((here, body))
+                body = struct.pack("<" + place, here)
+            page += struct.pack("<HH" + place, tag, kind, count) + body.ljust(width, b"\0")
+            if isinstance(value, int):
+                table.append(here)
+        last = number == len(shapes) - 1
+        parts.append((at, page + struct.pack("<" + place, 0 if last else free)))
+        tables.append(tuple(table))
+        at = free
+    return Layout(parts, tables, at, width)
+
+
 def encode_tiff(bands: np.ndarray, raster: Raster, compress: str = "lzw", tile: int = 512, predictor: bool = False, overviews: int = 0) -> bytes:
     """A tiled GeoTIFF of (bands, H, W); ``overviews`` halves the size so many times, by average."""
     pages, level = [bands], bands
@@ -250,27 +350,12 @@ def encode_tiff(bands: np.ndarray, raster: Raster, compress: str = "lzw", tile:
                     block[: part.shape[0], : part.shape[1]] = part
                     if predictor and block.dtype.kind in "iu":
                         block[:, 1:] -= block[:, :-1].copy()
-                    raw = block.tobytes()
-                    raw = lzw_encode(raw) if compress == "lzw" else zlib.compress(raw) if compress == "deflate" else raw
+                    raw = compress_block(block, compress)
                     offsets.append(len(out))
                     counts.append(len(raw))
                     out += raw + b"\0" * (len(raw) % 2)
-        t, kind = raster.transform, {"u": 1, "i": 2, "f": 3}[image.dtype.kind]
-        sx, sy = t.a * raster.width / w, t.e * raster.height / h
-        tags: list[tuple[int, int, tuple | bytes]] = [
-            (254, 4, (int(number > 0),)), (256, 4, (w,)), (257, 4, (h,)), (258, 3, (image.dtype.itemsize * 8,) * n), (259, 3, (COMPRESSION[compress],)),
-            (262, 3, (1,)), (277, 3, (n,)), (284, 3, (2,)), (317, 3, (2 if predictor and kind < 3 else 1,)), (322, 3, (tile,)), (323, 3, (tile,)),
-            (324, 4, tuple(offsets)), (325, 4, tuple(counts)), (339, 3, (kind,) * n), (33550, 12, (sx, -sy, 0.0)), (33922, 12, (0.0, 0.0, 0.0, t.c, t.f, 0.0)),
-        ]
-        if raster.crs.startswith("EPSG:"):
-            code = int(raster.crs[5:])
-            flat = code == 4326
-            tags.append((34735, 3, (1, 1, 0, 3, 1024, 0, 1, 2 if flat else 1, 1025, 0, 1, 1, 2048 if flat else 3072, 0, 1, code)))
-        items = "".join(f'<Item name="DESCRIPTION" sample="{k}" role="description">{escape(d)}</Item>' for k, d in enumerate(raster.descriptions[:n]) if d)
-        if items:
-            tags.append((42112, 2, f"<GDALMetadata>{items}</GDALMetadata>\0".encode()))
-        if raster.nodata is not None:
-            tags.append((42113, 2, f"{raster.nodata:g}\0".encode()))
+        tags = page_tags(raster, image.dtype, (h, w), n, tile, compress, number > 0, predictor)
+        tags += [(324, 4, tuple(offsets)), (325, 4, tuple(counts))]
         entries = []
         for tag, form, value in sorted(tags):
             body = value if form == 2 else struct.pack("<" + FIELD[form] * len(value), *value)
