@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.model import Seed, Segmentation
+from bandloom.operators import layers
 from bandloom.operators.scaling import normalise
 from bandloom.operators.stats import zonal_stats
 from bandloom.operators.topology import BLOCK, ONE_TASK, components, label_mask
@@ -37,13 +39,13 @@ def array_distance(a: Column, b: Column, metric: str = "euclidean") -> Column:
 
 def band_distance(bands: list[str], values: list[float], metric: str) -> Column:
     """Distance of band columns from constants; one band is compared by its difference, whatever the metric."""
-    gaps = [F.abs(F.col(b).cast("double") - F.lit(float(v))) for b, v in zip(bands, values, strict=True)]
+    gaps = [F.abs(F.col(b).cast("double") - F.lit(v).cast("double")) for b, v in zip(bands, values, strict=True)]
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}: {', '.join(METRICS)}")
     if len(gaps) == 1:
         return gaps[0]
-    if metric == "chebyshev":
-        return F.greatest(*gaps)
+    if metric == "chebyshev":  # greatest() passes over nulls, a distance doesn't
+        return F.when(reduce(lambda a, b: a & b, [g.isNotNull() for g in gaps]), F.greatest(*gaps))
     if metric == "manhattan":
         return reduce(lambda a, b: a + b, gaps)
     return F.sqrt(reduce(lambda a, b: a + b, [g * g for g in gaps]))
@@ -80,6 +82,11 @@ def _mask_in_one_task(seeds: list[Seed], height: int, width: int):
     return run
 
 
+def _gaps(gap: np.ndarray, metric: str) -> np.ndarray:
+    """Distances from absolute differences (bands first)."""
+    return gap[0] if len(gap) == 1 else gap.max(0) if metric == "chebyshev" else gap.sum(0) if metric == "manhattan" else np.sqrt((gap * gap).sum(0))
+
+
 @dataclass(frozen=True)
 class RegionGrowing:
     """Ordered growing from seeds.  A pixel joins a seed's region if it is connected to it by pixels
@@ -106,8 +113,13 @@ class RegionGrowing:
         else:
             labels = self._by_blocks(pixels, bands, seeds, width, block)
         start = time.perf_counter()
-        labels = materialise(labels, "grown")
-        info = {"compute_seconds": time.perf_counter() - start}
+        # the figures are counted while the labels are written
+        seen = Observation("growing")
+        counted = labels.observe(seen, F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("label") > 0).alias("labelled"), F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col("label"), F.lit(62)))).alias("_bits"))
+        labels = materialise(counted, "grown")
+        figures = seen.get
+        regions = bin((figures["_bits"] or 0) >> 1).count("1") if len(seeds) <= 61 else labels.where("label > 0").select("label").distinct().count()
+        info = {"compute_seconds": time.perf_counter() - start, "pixels": figures["pixels"], "pixels_labelled": figures["labelled"], "regions": regions, "bytes": figures["pixels"] * (8 * len(bands) + 12)}
         stats = zonal_stats(labels.join(pixels, ["row", "col"]), bands)
         return Segmentation(labels, seeds, stats, info)
 
@@ -124,8 +136,7 @@ class RegionGrowing:
                 if labels[s.row, s.col]:
                     continue
                 gap = np.abs(cube - cube[:, s.row, s.col][:, None, None])
-                far = gap[0] if len(bands) == 1 else gap.max(0) if metric == "chebyshev" else gap.sum(0) if metric == "manhattan" else np.sqrt((gap * gap).sum(0))
-                may = (far <= threshold) & (labels == 0)
+                may = (_gaps(gap, metric) <= threshold) & (labels == 0)
                 may[s.row, s.col] = True
                 part = label_mask(may, connectivity)
                 labels[part == part[s.row, s.col]] = k
@@ -134,15 +145,36 @@ class RegionGrowing:
         return pixels.select(F.lit(0).alias("raster"), "row", "col", *bands).groupBy("raster").applyInArrow(run, "row int, col int, label int")
 
     def _by_blocks(self, pixels: DataFrame, bands: list[str], seeds: list[Seed], width: int, block: int) -> DataFrame:
-        spark = pixels.sparkSession
-        values = {(r["row"], r["col"]): [r[b] for b in bands] for r in pixels.join(F.broadcast(seed_frame(spark, seeds).select("row", "col").distinct()), ["row", "col"]).select("row", "col", *bands).collect()}
+        """All seeds in two passes over the blocks (see ``layers``): a layer of near pixels for each."""
+        connectivity, threshold, metric = (8 if self.connectivity == 8 else 4), self.intensity_threshold, self.spectral_distance_metric
+        values = self._seed_values(pixels, bands, seeds)
+        known = [(k, s, np.array([np.nan if x is None else float(x) for x in values[s.row, s.col]])) for k, s in enumerate(seeds, 1) if (s.row, s.col) in values]
+
+        def masks(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+            r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
+            cube = np.stack([table.column(b).to_numpy(zero_copy_only=False).astype(float) for b in bands])
+            for k, s, value in known:
+                near = (r == s.row) & (c == s.col) | (_gaps(np.abs(cube - value[:, None]), metric) <= threshold)
+                if near.any():
+                    yield k, near
+
+        blocks = materialise(layers.by_block(pixels.select("row", "col", *bands), block), "growing")
+        labels = layers.in_order(layers.seed_regions(blocks, masks, seeds, width, connectivity, block), seeds, width, connectivity, block)
+        return self._one_by_one(pixels, bands, seeds, width, block) if labels is None else labels
+
+    def _seed_values(self, pixels: DataFrame, bands: list[str], seeds: list[Seed]) -> dict[tuple[int, int], list]:
+        at = F.broadcast(seed_frame(pixels.sparkSession, seeds).select("row", "col").distinct())
+        return {(r["row"], r["col"]): [r[b] for b in bands] for r in pixels.join(at, ["row", "col"]).select("row", "col", *bands).collect()}
+
+    def _one_by_one(self, pixels: DataFrame, bands: list[str], seeds: list[Seed], width: int, block: int) -> DataFrame:
+        values = self._seed_values(pixels, bands, seeds)
         state = materialise(pixels.select("row", "col", *bands, F.lit(0).alias("label")), "growing")
         for k, s in enumerate(seeds, 1):
             here = (F.col("row") == s.row) & (F.col("col") == s.col)
             mine = state.where(here).select("label").first()
             if mine is None or mine["label"]:
                 continue
-            near = band_distance(bands, values[s.row, s.col], self.spectral_distance_metric) <= self.intensity_threshold
+            near = F.coalesce(band_distance(bands, values[s.row, s.col], self.spectral_distance_metric) <= self.intensity_threshold, F.lit(False))
             parts = materialise(components(state.where("label = 0").where(near | here), width, self.connectivity, block), "growing-parts")
             root = parts.where(here).select("component")
             region = parts.join(F.broadcast(root), "component", "left_semi").select("row", "col", F.lit(k).alias("_k"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.model import Raster, Seed, Segmentation
-from bandloom.operators import resample, roi, scaling, segmentation, stats, symbology, topology, training
+from bandloom.operators import layers, resample, roi, scaling, segmentation, stats, symbology, topology, training
 from bandloom.operators.projection import from_lonlat, to_lonlat, transform_bounds
 from bandloom.plans import registry
 from bandloom.plans.cache import IndexCache, TileCache, tile_key
@@ -264,15 +264,17 @@ class Engine:
             raise ValueError("none of the indices is known")
         bands = sorted({b for n in known for b in registry.get_formula(n).bands()})
         maps = materialise(registry.add_indices(scaling.scale_reflectance(pixels.select("row", "col", *bands), bands, raster.nodata), known), "training-maps")
-        mask, best, total = None, 0, raster.width * raster.height
-        tried = list(dict.fromkeys(round(t, 4) for t in [threshold, *(0.05 + 0.05 * k for k in range(19))]))
-        for k, t in enumerate(tried):
-            found = materialise(segmentation.region_mask(maps, known[0], t, seeds, raster.width, height=raster.height), "training-mask")
-            on = found.where("mask = 1").count()
-            if min(on, total - on) > best:
-                mask, best = found, min(on, total - on)
-            if k == 0 and best:
-                break
+        total = raster.width * raster.height
+        mask = materialise(segmentation.region_mask(maps, known[0], threshold, seeds, raster.width, height=raster.height), "training-mask")
+        if not 0 < mask.where("mask = 1").count() < total:
+            tried = list(dict.fromkeys(round(t, 4) for t in [threshold, *(0.05 + 0.05 * k for k in range(19))]))
+            depths, steps = layers.sweep(maps, known[0], tried, seeds, raster.width)
+            depths = materialise(depths, "training-sweep")
+            on = layers.balances(depths, steps)
+            # of equal balances the one tried first
+            choice = max(tried, key=lambda t: (min(on[t], total - on[t]), -tried.index(t)))
+            k = steps.index(choice)
+            mask = depths.select("row", "col", ((F.col("pos") > k) & (F.col("neg") <= k)).cast("tinyint").alias("mask")) if 0 < on[choice] < total else None
         if mask is None:
             frame = segmentation.seed_frame(self.spark, seeds)
             disc = topology.dilate(frame.where("kind = 'pos'").select("row", "col"), 2, raster.height, raster.width, frame.where("kind = 'neg'"))
