@@ -82,8 +82,15 @@ def grid(spark: SparkSession, height: int, width: int) -> DataFrame:
 
 def source_places(out: DataFrame, target: Affine, target_crs: str, raster: Raster) -> DataFrame:
     """Fractional source places (_r, _c) of the centres of output pixels."""
-    x, y = target.to_geo(F.col("row") + 0.5, F.col("col") + 0.5)
-    lon, lat = to_lonlat(target_crs, x, y)
+    return places_at(out, *target.to_geo(F.col("row") + 0.5, F.col("col") + 0.5), target_crs, raster)
+
+
+def places_at(out: DataFrame, x: Column, y: Column, crs: str, raster: Raster) -> DataFrame:
+    """``out`` with the fractional source places (_r, _c) of coordinates of ``crs``."""
+    if crs == raster.crs:
+        r, c = raster.transform.to_pixel(x, y)
+        return out.withColumn("_r", r).withColumn("_c", c)
+    lon, lat = to_lonlat(crs, x, y)
     places = add_coordinates(out.withColumn("_lon", lon).withColumn("_lat", lat), raster.crs, "_lon", "_lat", "_x", "_y")
     r, c = raster.transform.to_pixel(F.col("_x"), F.col("_y"))
     return places.withColumn("_r", r).withColumn("_c", c).drop("_lon", "_lat", "_x", "_y")
@@ -104,10 +111,14 @@ def warp(pixels: DataFrame, raster: Raster, box: Bounds, height: int, width: int
         keyed = places.withColumn("_sr", F.floor("_r").cast("int")).withColumn("_sc", F.floor("_c").cast("int"))
         joined = keyed.join(source, ["_sr", "_sc"], "left")
         return joined.select("row", "col", *[F.coalesce(b, F.lit(0)).alias(b) for b in bands])
-    r0, c0 = F.floor(F.col("_r") - 0.5), F.floor(F.col("_c") - 0.5)
-    fr, fc = F.col("_r") - 0.5 - r0, F.col("_c") - 0.5 - c0
-    corners = [F.struct((r0 + i).cast("int").alias("_sr"), (c0 + j).cast("int").alias("_sc"), ((fr if i else F.lit(1.0) - fr) * (fc if j else F.lit(1.0) - fc)).alias("_w")) for i in (0, 1) for j in (0, 1)]
-    keyed = places.withColumn("k", F.explode(F.array(*corners))).select("row", "col", "k.*")
+    keyed = places.withColumn("k", F.explode(corners())).select("row", "col", "k.*")
     joined = keyed.join(source, ["_sr", "_sc"], "left")
     mean = lambda b: F.sum(F.when(F.col(b).isNotNull(), F.col(b) * F.col("_w"))) / F.nullif(F.sum(F.when(F.col(b).isNotNull(), F.col("_w"))), F.lit(0.0))
     return joined.groupBy("row", "col").agg(*[F.coalesce(mean(b), F.lit(0.0)).alias(b) for b in bands])
+
+
+def corners() -> Column:
+    """ARRAY<STRUCT<_sr, _sc, _w>>: the four source pixels around (_r, _c) and their bilinear weights."""
+    r0, c0 = F.floor(F.col("_r") - 0.5), F.floor(F.col("_c") - 0.5)
+    fr, fc = F.col("_r") - 0.5 - r0, F.col("_c") - 0.5 - c0
+    return F.array(*[F.struct((r0 + i).cast("int").alias("_sr"), (c0 + j).cast("int").alias("_sc"), ((fr if i else F.lit(1.0) - fr) * (fc if j else F.lit(1.0) - fc)).alias("_w")) for i in (0, 1) for j in (0, 1)])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.model import Raster, Seed, Segmentation
-from bandloom.operators import layers, resample, roi, scaling, segmentation, stats, symbology, topology, training
+from bandloom.operators import layers, resample, roi, scaling, segmentation, stats, symbology, tiles, topology, training
 from bandloom.operators.projection import from_lonlat, to_lonlat, transform_bounds
 from bandloom.plans import registry
 from bandloom.plans.cache import IndexCache, TileCache, tile_key
@@ -160,7 +160,7 @@ class Engine:
         box = roi.Bounds(*transform_bounds(grid.crs, "EPSG:4326", grid.bounds))
         width, height = roi.warp_shape(box, longest)
         warped = resample.warp(coloured.select("row", "col", *"rgba"), grid, box, height, width)
-        return bytes(png.images(warped, height, width).first()["png"])
+        return png.picture(warped, height, width)
 
     def render(self, request: RenderRequest) -> bytes:
         """An index, or a band by its number from 1, in colours."""
@@ -186,7 +186,12 @@ class Engine:
         box = roi.Bounds(*transform_bounds(raster.crs, "EPSG:4326", raster.bounds))
         width, height = roi.warp_shape(box, max_size)
         warped = materialise(resample.warp(pixels.select("row", "col", *bands), raster, box, height, width, bilinear=True), "preview")
-        return bytes(png.images(self._true_colour(warped, bands), height, width).first()["png"])
+        return png.picture(self._true_colour(warped, bands), height, width)
+
+    def tile_matrix(self, zooms: list[int]) -> DataFrame:
+        """(z, x, y, png): all tiles of the raster at these zooms, by one job."""
+        raster, pixels = self._need()
+        return tiles.tile_matrix(pixels, raster, zooms, [c for c in pixels.columns if c not in ("row", "col")][:3])
 
     def _true_colour(self, values: DataFrame, bands: list[str]) -> DataFrame:
         three = [bands[0], bands[min(1, len(bands) - 1)], bands[2] if len(bands) > 2 else bands[0]]

@@ -1,4 +1,9 @@
-"""PNG images from colour columns, with the standard library only."""
+"""PNG images from colour columns, with the standard library only.
+
+Tiles and other small pictures are drawn as groups.  Pictures of any size are made of strips:
+a strip of rows is deflated by itself and ends on a byte (a full flush), so that strips are
+chunks of one stream, whose checksum is combined from theirs.
+"""
 
 from __future__ import annotations
 
@@ -13,16 +18,40 @@ from pyspark.sql import functions as F
 TILE = 256
 
 
+#: Rows of a strip, and the modulus of Adler-32 (a fixed value).
+STRIP = 64
+ADLER = 65521
+SIGNATURE = b"\x89PNG\r\n\x1a\n"
+
+
+def chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+
+def header_chunk(height: int, width: int) -> bytes:
+    return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0))
+
+
+def combine_adler(first: int, second: int, length: int) -> int:
+    """The Adler-32 of two stretches of bytes, the second ``length`` long, from theirs."""
+    a1, b1, a2, b2 = first & 0xFFFF, first >> 16, second & 0xFFFF, second >> 16
+    a = (a1 + a2 - 1) % ADLER
+    b = (b1 + b2 + (a1 - 1) * (length % ADLER)) % ADLER
+    return b << 16 | a
+
+
 def encode_png(rgba: np.ndarray) -> bytes:
     """An (H, W, 4) array of bytes as PNG."""
     h, w, _ = rgba.shape
+    return header_chunk(h, w) + chunk(b"IDAT", zlib.compress(_lines(rgba), 6)) + chunk(b"IEND", b"")
 
-    def chunk(kind: bytes, data: bytes) -> bytes:
-        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
+def _lines(rgba: np.ndarray) -> bytes:
+    """Unfiltered lines: a zero byte before each."""
+    h, w, _ = rgba.shape
     lines = np.zeros((h, w * 4 + 1), np.uint8)
     lines[:, 1:] = np.ascontiguousarray(rgba, np.uint8).reshape(h, w * 4)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
+    return lines.tobytes()
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -67,14 +96,76 @@ def images(colours: DataFrame, height: int, width: int, by: list[str] = ()) -> D
     return rows.groupBy(*keys).applyInArrow(draw, schema)
 
 
-def pixels(pictures: DataFrame, column: str) -> DataFrame:
-    """(row, col, r, g, b, a) of the pictures of a BINARY column."""
+def strips(colours: DataFrame, height: int, width: int, rows: int = STRIP) -> DataFrame:
+    """(strip, data, adler, length): every strip of a picture as an IDAT chunk, the first with the stream's head.
+
+    ``colours`` is (row, col, r, g, b, a); pixels that are missing are transparent, those outside are left out.
+    """
+
+    def draw(wanted: pa.Table, table: pa.Table) -> pa.Table:
+        if not wanted.num_rows:
+            return pa.table({"strip": pa.nulls(0, pa.int32()), "data": pa.nulls(0, pa.binary()), "adler": pa.nulls(0, pa.int64()), "length": pa.nulls(0, pa.int64())})
+        strip = wanted.column("strip")[0].as_py()
+        first = strip * rows
+        rgba = np.zeros((min(rows, height - first), width, 4), np.uint8)
+        at = table.column("row").to_numpy() - first, table.column("col").to_numpy()
+        for k, c in enumerate("rgba"):
+            rgba[at[0], at[1], k] = table.column(c).to_numpy()
+        lines = _lines(rgba)
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        data = packer.compress(lines) + packer.flush(zlib.Z_FULL_FLUSH)
+        data = chunk(b"IDAT", (b"" if strip else b"\x78\x9c") + data)
+        return pa.table({"strip": pa.array([strip], pa.int32()), "data": pa.array([data], pa.binary()), "adler": pa.array([zlib.adler32(lines)], pa.int64()), "length": pa.array([len(lines)], pa.int64())})
+
+    inside = colours.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    keyed = inside.select(F.expr(f"row div {rows}").cast("int").alias("strip"), F.col("row").cast("int"), F.col("col").cast("int"), *"rgba")
+    every = colours.sparkSession.range(-(-height // rows)).select(F.col("id").cast("int").alias("strip"))
+    return every.groupBy("strip").cogroup(keyed.groupBy("strip")).applyInArrow(draw, "strip int, data binary, adler bigint, length bigint")
+
+
+def _ending(parts: list[tuple[int, int]]) -> bytes:
+    """The last chunks, for (adler, length) of the strips in order: an empty final block, the checksum, the end."""
+    adler = 1
+    for one, length in parts:
+        adler = combine_adler(adler, one, length)
+    return chunk(b"IDAT", b"\x03\x00" + struct.pack(">I", adler)) + chunk(b"IEND", b"")
+
+
+def picture(colours: DataFrame, height: int, width: int, rows: int = STRIP) -> bytes:
+    """A picture as bytes; its strips are drawn by tasks, and come to the driver compressed."""
+    drawn = sorted(strips(colours, height, width, rows).collect(), key=lambda r: r["strip"])
+    return header_chunk(height, width) + b"".join(r["data"] for r in drawn) + _ending([(r["adler"], r["length"]) for r in drawn])
+
+
+def write_picture(colours: DataFrame, height: int, width: int, path: str, rows: int = STRIP) -> None:
+    """A picture of any size as a file on a mounted file system; the driver sees 16 bytes for each strip."""
+    from bandloom.operators.stats import running_sum
+    from bandloom.sources.tiled import write_placed
+    from bandloom.storage import materialise
+
+    head = header_chunk(height, width)
+    drawn = materialise(strips(colours, height, width, rows), "png-strips")
+    sums = [(r["adler"], r["length"]) for r in drawn.select("strip", "adler", "length").orderBy("strip").toLocalIterator()]
+    sizes = drawn.select("strip", F.length("data").cast("bigint").alias("size"))
+    total = sizes.agg(F.sum("size")).first()[0]
+    places = running_sum(sizes, "strip", "size", "before").select("strip", (F.col("before") + len(head)).cast("bigint").alias("offset"))
+    rows_ = drawn.join(places, "strip").select(F.lit(0).alias("level"), F.col("strip").cast("bigint").alias("index"), "offset", "data")
+    end = _ending(sums)
+    write_placed(rows_, path, [(0, head), (len(head) + total, end)], [()], 4, len(head) + total + len(end))
+
+
+def pixels(pictures: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
+    """(keys, row, col, r, g, b, a) of the pictures of a BINARY column."""
 
     def run(batches):
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rgba = decode_png(data)
+            for k in range(batch.num_rows):
+                rgba = decode_png(batch.column(0)[k].as_py())
                 row, col = np.divmod(np.arange(rgba.shape[0] * rgba.shape[1]), rgba.shape[1])
-                yield pa.record_batch({"row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), **{c: pa.array(rgba[..., k].reshape(-1).astype(np.int32)) for k, c in enumerate("rgba")}})
+                same = pa.array(np.full(len(row), k))
+                own = {name: batch.column(j + 1).take(same) for j, name in enumerate(keys)}
+                yield pa.record_batch({**own, "row": pa.array(row, pa.int32()), "col": pa.array(col, pa.int32()), **{c: pa.array(rgba[..., j].reshape(-1).astype(np.int32)) for j, c in enumerate("rgba")}})
 
-    return pictures.where(F.col(column).isNotNull()).select(column).mapInArrow(run, "row int, col int, r int, g int, b int, a int")
+    rows = pictures.where(F.col(column).isNotNull()).select(column, *keys)
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(run, kinds + "row int, col int, r int, g int, b int, a int")

@@ -133,12 +133,23 @@ def write_tiled(pixels: DataFrame, bands: list[str], raster: Raster, path: str,
     entries = sum(len(bands) * -(-h // tile) * -(-w // tile) for h, w in shapes)
     layout = tiff.tiled_layout(raster, kind, shapes, len(bands), tile, compress, total + 16 * entries >= big_bytes)
     offsets = running_sum(sizes, "place", "size", "before").select("place", (F.col("before") + layout.data).cast("bigint").alias("offset"))
+    rows = every.join(offsets, "place").select("level", "index", "offset", "data")
+    write_placed(rows, path, layout.parts, layout.tables, layout.width, layout.data + total)
+
+
+def write_placed(rows: DataFrame, path: str, parts: list[tuple[int, bytes]], tables: list[tuple[int, ...]], width: int, size: int) -> None:
+    """One file of ``size`` bytes from rows (level, index, offset, data), and ``parts`` (place, bytes) of the driver.
+
+    ``tables`` holds, for each level, where its tables of offsets and of sizes begin, if it has any; their
+    entries are ``width`` bytes.
+    """
+    target = local_path(path)
+    if target is None:
+        raise ValueError("a file that tasks write together needs a mounted file system")
     os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
     draft = f"{target}.draft-{uuid.uuid4().hex}"
-    head = json.dumps({"parts": [[at, base64.b64encode(part).decode()] for at, part in layout.parts], "tables": layout.tables, "width": layout.width, "size": layout.data + total})
-    spark = pixels.sparkSession
-    spark.dataSource.register(TiledSink)
-    rows = every.join(offsets, "place").select("level", "index", "offset", "data")
+    head = json.dumps({"parts": [[at, base64.b64encode(part).decode()] for at, part in parts], "tables": tables, "width": width, "size": size})
+    rows.sparkSession.dataSource.register(TiledSink)
     rows.write.format(TiledSink.name()).mode("append").option("target", target).option("draft", draft).option("layout", head).save()
 
 
@@ -176,7 +187,7 @@ class _TiledWriter(DataSourceArrowWriter):
                 for k, data in enumerate(batch.column(3)):
                     tile = data.as_py()
                     os.pwrite(file, tile, offset[k])
-                    for table, value in zip(self.layout["tables"][level[k]], (offset[k], len(tile)), strict=True):
+                    for table, value in zip(self.layout["tables"][level[k]], (offset[k], len(tile)), strict=False):
                         os.pwrite(file, struct.pack(form, value), table + index[k] * self.layout["width"])
                     tiles, size = tiles + 1, size + len(tile)
             os.fsync(file)
