@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bandloom.functions.arith import finite
-from bandloom.storage import plan_bytes
+from bandloom.storage import materialise, plan_bytes
 
 
 #: A table of at most this many bytes may have its percentiles in one aggregate buffer.
@@ -34,11 +37,54 @@ def percentile_row(df: DataFrame, values: dict[str, Column], fractions: list[flo
     return out
 
 
+#: Ranges that a group's values are cut into, and the accuracy of the cuts.
+RANGES, ACCURACY = 256, 4096
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: list[float], ranges: int = RANGES) -> DataFrame:
+    """(by, n, p): the number of values and their exact, linearly interpolated percentiles, for each group with values.
+
+    By selection: sketches of bounded size cut each group's values into ranges of about equal
+    counts; the counts of the ranges say in which of them a rank lies; and only the values of those
+    ranges, counted by value, are put in order.  So a group of any size takes no buffer of its size
+    and no task of its own, and most values are never sorted.
+    """
+    ranges, keys = max(2, ranges), [f"_k{k}" for k in range(len(by))]
+    base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], value.cast("double").alias("_v")).where("_v is not null")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    cuts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), ACCURACY).alias("_cuts"))
+    cuts = materialise(cuts, "percentile-cuts")
+    ranged = base.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.*", F.size(F.filter("b._cuts", lambda c: c < F.col("a._v"))).alias("_range"))
+    sums = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in"))
+    order = Window.partitionBy(*keys).orderBy("_range")  # at most ``ranges`` rows for a group
+    sums = sums.withColumn("_lead", F.sum("_in").over(order) - F.col("_in"))
+    place = [(F.col("_n") - 1) * F.lit(f) for f in fractions]
+    wanted = F.explode(F.array_distinct(F.array(*[x.cast("bigint") for p in place for x in (F.floor(p), F.ceil(p))])))
+    ranks = cuts.select(*keys, wanted.alias("_rank"))
+    found = ranks.alias("a").join(sums.alias("b"), same("a", "b") & (F.col("a._rank") >= F.col("b._lead")) & (F.col("a._rank") < F.col("b._lead") + F.col("b._in"))).select("a.*", "b._range", "b._lead")
+    found = materialise(found, "percentile-ranks")
+    few = found.select(*keys, "_range", "_lead").distinct()
+    near = ranged.alias("a").join(few.alias("b"), same("a", "b") & (F.col("a._range") == F.col("b._range"))).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._range").alias("_range"), "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("b._lead").alias("_lead"))
+    inside = Window.partitionBy(*keys, "_range").orderBy("_v")
+    near = near.withColumn("_to", F.col("_lead") + F.sum("_c").over(inside)).withColumn("_from", F.col("_to") - F.col("_c"))
+    exact = found.alias("a").join(near.alias("b"), same("a", "b") & (F.col("a._range") == F.col("b._range")) & (F.col("a._rank") >= F.col("b._from")) & (F.col("a._rank") < F.col("b._to"))).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col("a._rank").alias("_rank"), "b._v")
+    at = exact.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    get = lambda r: F.element_at("_at", r.cast("bigint"))
+    mixed = [F.when(F.floor(p) == F.ceil(p), get(F.floor(p))).otherwise((F.ceil(p) - p) * get(F.floor(p)) + (p - F.floor(p)) * get(F.ceil(p))) for p in place]
+    out = cuts.alias("a").join(at.alias("b"), same("a", "b")).select("a.*", "b._at")
+    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col("_n").alias("n"), F.array(*mixed).alias("p"))
+
+
 def value_stats(pixels: DataFrame, value: str, low: float = 2.0, high: float = 98.0, by: list[str] = ()) -> DataFrame:
     """min, max, p_low, p_high over finite values (exact, linear); 0, 1, 0, 1 if there is none."""
     v = finite(F.col(value).cast("double"))
     fractions = [low / 100.0, high / 100.0]
-    if by:
+    if by and plan_bytes(pixels) > SMALL_BYTES:
+        keys = [f"_by{k}" for k in range(len(by))]
+        pct = group_percentiles(pixels, list(by), v, fractions).select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col("p").alias("_p"))
+        same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in zip(by, keys, strict=True)])
+        out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max")).join(pct, same, "left")
+    elif by:
         out = pixels.groupBy(*by).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias("_p"))
     elif plan_bytes(pixels) <= SMALL_BYTES:
         out = pixels.agg(F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias("_p"))
@@ -98,8 +144,6 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = 2
     Rows are put in ``parts`` ranges by approximate quantiles of the order; sums of ranges are
     a table of at most ``parts`` + 1 rows.
     """
-    from pyspark.sql.window import Window
-
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10000).alias("q"))
     ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter(F.col("q"), lambda x: x < F.col(order)))).drop("q")
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))

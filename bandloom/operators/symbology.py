@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.operators.scaling import with_scalars
+from bandloom.functions.arith import clip, finite
+from bandloom.operators.stats import percentile_row
 
 PERCENTILES = (2.0, 98.0)
 
@@ -82,8 +83,6 @@ def range_aggregates(value: str, mode: str, default: tuple[float, float] | None,
     """(min, max) as aggregates or literals: auto and fixed take the default if there is one;
     fixed takes a complete custom range first; percentile, and auto without a default, take
     percentiles; what is left takes min and max.  Without finite values: 0 and 1."""
-    from bandloom.functions.arith import finite
-
     v = finite(F.col(value).cast("double"))
     const = lambda pair: (F.max(F.lit(float(pair[0]))), F.max(F.lit(float(pair[1]))))
     if mode == "fixed" and None not in custom:
@@ -98,6 +97,16 @@ def range_aggregates(value: str, mode: str, default: tuple[float, float] | None,
     return F.coalesce(a, F.lit(0.0)), F.coalesce(b, F.lit(1.0))
 
 
+def range_row(pixels: DataFrame, value: str, mode: str, default: tuple[float, float] | None, low: float = PERCENTILES[0], high: float = PERCENTILES[1], custom: tuple[float | None, float | None] = (None, None)) -> DataFrame:
+    """One row (_low, _high): the range of ``range_aggregates``; of large maps the percentiles are taken without one buffer."""
+    fixed = mode == "fixed" and None not in custom or mode in ("auto", "fixed") and default is not None
+    if fixed or mode not in ("auto", "percentile"):
+        a, b = range_aggregates(value, mode, default, low, high, custom)
+        return pixels.agg(a.alias("_low"), b.alias("_high"))
+    row = percentile_row(pixels, {"_p": finite(F.col(value).cast("double"))}, [low / 100.0, high / 100.0])
+    return row.select(F.coalesce(F.get("_p", 0), F.lit(0.0)).alias("_low"), F.coalesce(F.get("_p", 1), F.lit(1.0)).alias("_high"))
+
+
 def ramp_channels(x: Column, stops: list[Stop]) -> list[Column]:
     """r, g, b, a for x in [0, 1]: linear between stops, constant outside, truncated."""
     if not stops:
@@ -117,9 +126,12 @@ def ramp_channels(x: Column, stops: list[Stop]) -> list[Column]:
 
 def apply_stops(pixels: DataFrame, value: str, stops: list[Stop], low: Column, high: Column, transparent_zero: bool = False) -> DataFrame:
     """Adds r, g, b, a; all 0 where the value isn't finite; alpha 0 at 0 with ``transparent_zero``."""
-    from bandloom.functions.arith import clip, finite
+    return apply_range(pixels, value, stops, pixels.agg(low.alias("_low"), high.alias("_high")), transparent_zero)
+
 
-    out = with_scalars(pixels, low.alias("_low"), high.alias("_high"))
+def apply_range(pixels: DataFrame, value: str, stops: list[Stop], limits: DataFrame, transparent_zero: bool = False) -> DataFrame:
+    """``apply_stops`` with the range as a table of one row (_low, _high)."""
+    out = pixels.crossJoin(F.broadcast(limits))
     v = finite(F.col(value).cast("double"))
     width = F.when(F.col("_high") == F.col("_low"), F.lit(1.0)).otherwise(F.col("_high") - F.col("_low"))
     out = out.withColumn("_x", clip((v - F.col("_low")) / width, 0.0, 1.0))
@@ -132,5 +144,4 @@ def apply_stops(pixels: DataFrame, value: str, stops: list[Stop], low: Column, h
 def render(pixels: DataFrame, value: str, index: str | None = None, ramp: str | None = None, mode: str = "auto", custom_range: tuple[float | None, float | None] = (None, None), stops: list[Stop] | None = None, transparent_zero: bool = False) -> DataFrame:
     """Colours by the style of an index, a named ramp or own stops."""
     style = style_of(index) if index else Style()
-    low, high = range_aggregates(value, mode, style.range, custom=custom_range)
-    return apply_stops(pixels, value, stops or RAMPS[ramp or style.ramp][1], low, high, transparent_zero)
+    return apply_range(pixels, value, stops or RAMPS[ramp or style.ramp][1], range_row(pixels, value, mode, style.range, custom=custom_range), transparent_zero)
