@@ -94,6 +94,48 @@ def inside_polygon(x: Column, y: Column, rings: list[list[list[float]]]) -> Colu
     return crossings % 2 == 1
 
 
+def polygon_spans(polygons: DataFrame, geojson: str, height: int, width: int, transform: Affine, keys: list[str]) -> DataFrame:
+    """(keys, row, col0, col1): the runs of pixels whose centres lie in each polygon, ends included.
+
+    Scan lines: an edge gives a crossing for each row of centres that it spans, a row's crossings in
+    order bound its runs (even-odd over all rings, so holes are out).  The work follows the heights
+    of the edges, for any number of polygons (a JSON Polygon each); null and broken ones have no runs.
+    """
+    shape = F.from_json(F.col(geojson), "type string, coordinates array<array<array<double>>>")
+    rings = polygons.select(*keys, F.explode(shape["coordinates"]).alias("_ring"))
+    n = F.size("_ring")
+    edge = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("_ring", i).alias("a"), F.get("_ring", (i + 1) % n).alias("b")))
+    at = lambda p: transform.to_pixel(F.get(F.col(f"_e.{p}"), F.lit(0)), F.get(F.col(f"_e.{p}"), F.lit(1)))
+    (r0, c0), (r1, c1) = at("a"), at("b")
+    edges = rings.where(n > 0).select(*keys, F.explode(edge).alias("_e")).select(*keys, r0.alias("_r0"), c0.alias("_c0"), r1.alias("_r1"), c1.alias("_c1"))
+    low, high = F.least("_r0", "_r1"), F.greatest("_r0", "_r1")
+    # rows with low <= row + 0.5 < high
+    first, last = F.greatest(F.ceil(low - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(high - 0.5) - 1, F.lit(height - 1)).cast("int")
+    lines = edges.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("row", F.explode(F.sequence("_first", "_last")))
+    cut = F.col("_c0") + (F.col("row") + 0.5 - F.col("_r0")) * ((F.col("_c1") - F.col("_c0")) / (F.col("_r1") - F.col("_r0")))
+    cuts = lines.groupBy(*keys, "row").agg(F.sort_array(F.collect_list(cut)).alias("_cuts"))
+    pairs = F.transform(F.sequence(F.lit(1), F.expr("size(_cuts) div 2")), lambda i: F.struct(F.get("_cuts", i * 2 - 2).alias("a"), F.get("_cuts", i * 2 - 1).alias("b")))
+    runs = cuts.where("size(_cuts) >= 2").select(*keys, "row", F.explode(pairs).alias("_p"))
+    # columns with a <= col + 0.5 < b
+    left, right = F.greatest(F.ceil(F.col("_p.a") - 0.5), F.lit(0)).cast("int"), F.least(F.ceil(F.col("_p.b") - 0.5) - 1, F.lit(width - 1)).cast("int")
+    return runs.select(*keys, "row", left.alias("col0"), right.alias("col1")).where("col0 <= col1")
+
+
+def polygon_pixels(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, col): the pixels of runs."""
+    return spans.select(*keys, "row", F.explode(F.sequence("col0", "col1")).alias("col"))
+
+
+def polygon_zones(pixels: DataFrame, bands: list[str], polygons: DataFrame, geojson: str, height: int, width: int, transform: Affine, keys: list[str]) -> DataFrame:
+    """(keys, n, and sum, min and max of each band) of the pixels in each polygon; polygons may overlap.
+
+    Only pixels inside meet the raster, by their row and column.
+    """
+    inside = polygon_pixels(polygon_spans(polygons, geojson, height, width, transform, keys), keys)
+    each = [x for b in bands for x in (F.sum(b).alias(f"sum_{b}"), F.min(b).alias(f"min_{b}"), F.max(b).alias(f"max_{b}"))]
+    return inside.join(pixels.select("row", "col", *bands), ["row", "col"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *each)
+
+
 def clip_to_polygon(pixels: DataFrame, bands: list[str], polygon: dict, height: int, width: int, transform: Affine | None = None) -> DataFrame:
     """Bands are 0 where a pixel's centre is outside the polygon.
 

@@ -267,8 +267,9 @@ class Engine:
         known = [n for n in names if n in registry.formula_names()]
         if not known:
             raise ValueError("none of the indices is known")
-        bands = sorted({b for n in known for b in registry.get_formula(n).bands()})
-        maps = materialise(registry.add_indices(scaling.scale_reflectance(pixels.select("row", "col", *bands), bands, raster.nodata), known), "training-maps")
+        maps, grid = self._training_maps(known)
+        seeds = [Seed(min(grid.height - 1, max(0, int(s.row * (grid.height / raster.height)))), min(grid.width - 1, max(0, int(s.col * (grid.width / raster.width)))), s.kind) for s in seeds] if grid is not raster else seeds
+        raster = grid
         total = raster.width * raster.height
         mask = materialise(segmentation.region_mask(maps, known[0], threshold, seeds, raster.width, height=raster.height), "training-mask")
         if not 0 < mask.where("mask = 1").count() < total:
@@ -289,6 +290,28 @@ class Engine:
         pid = (F.col("row").cast("bigint") * raster.width + F.col("col")).cast("bigint")
         return training.learn_formula(maps.join(mask, ["row", "col"]), known, "mask", pid, k_folds)
 
+    def _training_maps(self, names: list[str]) -> tuple[DataFrame, Raster]:
+        """(row, col, names) and its grid: full resolution, or that of the precomputed maps if there are any.
+
+        Maps that were not precomputed are then computed at full resolution and laid on that grid."""
+        raster, pixels = self._need()
+        ready = {n: self.indices.get(raster.raster_id, n) for n in names}
+        ready = {n: m for n, m in ready.items() if m is not None}
+        missing = [n for n in names if n not in ready]
+        bands = sorted({b for n in missing for b in registry.get_formula(n).bands()})
+        computed = registry.add_indices(scaling.scale_reflectance(pixels.select("row", "col", *bands), bands, raster.nodata), missing) if missing else None
+        if not ready:
+            return materialise(computed, "training-maps"), raster
+        w, h = roi.downsampled_shape(raster.width, raster.height, PREVIEW_SIDE)
+        out = None
+        if computed is not None:
+            full = computed.select("row", "col", *missing)
+            out = full if (w, h) == (raster.width, raster.height) else resample.resize_bilinear(full, missing, (raster.height, raster.width), (h, w))
+        for one in ready.values():
+            out = one if out is None else out.join(one, ["row", "col"])
+        grid = raster if (w, h) == (raster.width, raster.height) else Raster(raster.raster_id, w, h, raster.transform.scaled(raster.width / w, raster.height / h), raster.crs, raster.nodata, raster.descriptions, raster.dtype, raster.path)
+        return materialise(out.select("row", "col", *names), "training-maps"), grid
+
     def ranking(self, result: dict) -> DataFrame:
         return training.ranking(self.spark, result)
 
