@@ -57,3 +57,69 @@ def logistic_model(spark, sf_dir):
     row = [*fit["coef"], fit["intercept"], fit["threshold"], fit["train_iou"], fit["train_f1"]]
     names = ["coef_ndvi", "coef_gli", "intercept", "threshold", "train_iou", "train_f1"]
     return spark.createDataFrame([tuple(float(v) for v in row)], ", ".join(f"{n} double" for n in names)).select(*[F.round(n, 4).alias(n) for n in names])
+
+
+_SAMPLE = "sample AS MATERIALIZED (SELECT *, (r - 1) % 2 AS fold FROM (SELECT row, col, x0, x1, y, row_number() OVER (PARTITION BY y ORDER BY ((row * 100 + col) * 7919 + 42) % 1000003, row * 100 + col) AS r FROM maps) WHERE r <= 500)"
+
+
+def _fold_sql(f: int) -> str:
+    """One fold: limits, scaling and model of the others' rows, and the best threshold on its own."""
+    both = ("x0", "x1")
+    return (
+        f"q{f} AS (SELECT {', '.join(f'{_LIMIT(c, 0.01)} AS lo{c}, {_LIMIT(c, 0.99)} AS hi{c}' for c in both)} FROM sample WHERE fold <> {f}), "
+        f"clip{f} AS MATERIALIZED (SELECT fold, y, {', '.join(f'least(greatest({c}, lo{c}), hi{c}) AS {c}' for c in both)} FROM sample, q{f}), "
+        f"s{f} AS (SELECT {', '.join(f'{_LIMIT(c, 0.5)} AS m{c}, {_LIMIT(c, 0.75)} - {_LIMIT(c, 0.25)} AS r{c}' for c in both)} FROM clip{f} WHERE fold <> {f}), "
+        f"scaled{f} AS MATERIALIZED (SELECT fold, y, {', '.join(f'({c} - m{c}) / CASE WHEN r{c} = 0 THEN 1 ELSE r{c} END AS {c}' for c in both)} FROM clip{f}, s{f}), "
+        f"train{f} AS MATERIALIZED (SELECT x0, x1, y FROM scaled{f} WHERE fold <> {f}), {_fit_sql(f'train{f}', f'fit{f}')}, "
+        f"p{f} AS MATERIALIZED (SELECT y, 1 / (1 + exp(-(w2 + x0 * w0 + x1 * w1))) AS p FROM scaled{f}, fit{f} WHERE fold = {f}), "
+        f"c{f} AS (SELECT k, any_value(t) AS t, count(*) FILTER (p >= t AND y = 1) AS tp, count(*) FILTER (p >= t AND y = 0) AS fp, count(*) FILTER (p < t AND y = 1) AS fn FROM p{f}, t GROUP BY k), "
+        f"best{f} AS (SELECT t, tp / (tp + fp + fn) AS iou, 2.0 * tp / (2.0 * tp + fp + fn) AS f1 FROM c{f} ORDER BY iou DESC, k LIMIT 1)"
+    )
+
+
+_GRID = "t AS (SELECT k, 0.1 + k * (CAST(0.9 AS DOUBLE) - 0.1) / 16 AS t FROM range(17) r(k))"
+
+
+@query(
+    f"WITH RECURSIVE {_MAPS}, {_SAMPLE}, {_GRID}, {_fold_sql(0)}, {_fold_sql(1)} "
+    "SELECT round((a.iou + b.iou) / 2, 4) AS mean_iou, round((a.f1 + b.f1) / 2, 4) AS mean_f1, round((a.t + b.t) / 2, 4) AS mean_threshold, 2 AS n_splits FROM best0 a, best1 b"
+)
+def kfold_scores(spark, sf_dir):
+    """Cross-validated scores of two indices on a balanced sample."""
+    pid = (F.col("row") * 100 + F.col("col")).cast("bigint")
+    data = _training_maps(spark, sf_dir).where("nir is not null").withColumn("label", F.col("mask"))
+    found = training.kfold_iou(training.balanced_sample(data, pid, per_class=500), ["ndvi", "gli"], pid, k=2)
+    names = ["mean_iou", "mean_f1", "mean_threshold"]
+    row = spark.createDataFrame([(*[float(found[n]) for n in names], found["n_splits"])], ", ".join(f"{n} double" for n in names) + ", n_splits int")
+    return row.select(*[F.round(n, 4).alias(n) for n in names], "n_splits")
+
+
+_RANKED = ["ndvi", "gndvi", "gli"]
+
+
+def _single_sql(n: str) -> str:
+    """One index by itself: its model, best threshold, and that threshold in its own units and normalised."""
+    return (
+        f"rows_{n} AS MATERIALIZED (SELECT ({n} - m_{n}) / CASE WHEN r_{n} = 0 THEN 1 ELSE r_{n} END AS x0, CAST(0 AS DOUBLE) AS x1, y FROM kept, span), {_fit_sql(f'rows_{n}', f'fit_{n}')}, "
+        f"p_{n} AS MATERIALIZED (SELECT y, 1 / (1 + exp(-(w2 + x0 * w0))) AS p FROM rows_{n}, fit_{n}), "
+        f"c_{n} AS (SELECT k, any_value(t) AS t, count(*) FILTER (p >= t AND y = 1) AS tp, count(*) FILTER (p >= t AND y = 0) AS fp, count(*) FILTER (p < t AND y = 1) AS fn FROM p_{n}, t GROUP BY k), "
+        f"b_{n} AS (SELECT t, tp / (tp + fp + fn) AS iou, 2.0 * tp / (2.0 * tp + fp + fn) AS f1 FROM c_{n} ORDER BY iou DESC, k LIMIT 1), "
+        f"o_{n} AS (SELECT '{n}' AS name, iou, f1, ((ln(t / (1 - t)) - w2) / w0) * CASE WHEN r_{n} = 0 THEN 1 ELSE r_{n} END + m_{n} AS own, lo_{n} AS lo, hi_{n} AS hi FROM b_{n}, fit_{n}, span)"
+    )
+
+
+_KEPT = f"{REFL}, kept AS MATERIALIZED (SELECT {', '.join(f'{INDEX_SQL[n]} AS {n}' for n in _RANKED)}, CASE WHEN nir + green > red + blue THEN 1 ELSE 0 END AS y FROM refl WHERE nir IS NOT NULL)"
+_SPAN = "span AS MATERIALIZED (SELECT " + ", ".join(f"{_LIMIT(n, 0.5)} AS m_{n}, {_LIMIT(n, 0.75)} - {_LIMIT(n, 0.25)} AS r_{n}, min({n}) AS lo_{n}, max({n}) AS hi_{n}" for n in _RANKED) + " FROM kept)"
+
+
+@query(
+    f"WITH RECURSIVE {_KEPT}, {_SPAN}, {_GRID}, {', '.join(_single_sql(n) for n in _RANKED)}, o AS ({' UNION ALL '.join(f'SELECT * FROM o_{n}' for n in _RANKED)}) "
+    "SELECT name, CAST(row_number() OVER (ORDER BY iou DESC, name) AS INTEGER) AS place, round(iou, 4) AS iou, round(f1, 4) AS f1, round(own, 4) AS suggested_threshold, round((own - lo) / (hi - lo), 4) AS normalized FROM o"
+)
+def index_scores(spark, sf_dir):
+    """Each index by itself: scores, suggested thresholds and its place in the ranking."""
+    pid = (F.col("row") * 100 + F.col("col")).cast("bigint")
+    result = training.learn_formula(_training_maps(spark, sf_dir), _RANKED, "mask", pid, 2)
+    rows = [(r["name"], k, r["iou"], r["f1"], r["suggested_threshold"], r["suggested_threshold_normalized"]) for k, r in enumerate(training.ranking(spark, result).collect(), 1)]
+    out = spark.createDataFrame(rows, "name string, place int, iou double, f1 double, suggested_threshold double, normalized double")
+    return out.select("name", "place", *[F.round(c, 4).alias(c) for c in ("iou", "f1", "suggested_threshold", "normalized")])
