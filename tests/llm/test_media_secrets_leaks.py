@@ -312,3 +312,27 @@ def test_held_out_precision_and_recall(spark):
     assert [s for s in KNOWN_IDENTIFIERS if caught(s)] == []
     unseen = secrets_scan.identifiers("mercury voltage harbour lantern bottle quarter silver monkey february leaflet".split(), 600, 77)
     assert sum(map(caught, unseen)) <= 18  # 3 %
+
+
+def test_short_items_are_found_exactly(spark):
+    rng = random.Random(12)
+    words = ["a", "b", "c", "d", "e", "É"]
+    docs = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 14)))) for k in range(120)] + [(500, None), (None, "a b c")]
+    items = [(1, "a"), (2, "b A"), (3, "c, d. e"), (4, "a a b É"), (5, "zz"), (6, ""), (7, None), (8, "d c b a")]
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+
+    def holds(doc, item):
+        w, m = split(doc), split(item)
+        span = -(-3 * len(m) // 2)
+        for at in range(len(w)):
+            left = iter(w[at : at + span])
+            if m and all(t in left for t in m):
+                return True
+        return False
+
+    want = {(d, i, len(split(x))) for d, t in docs for i, x in items if d is not None and holds(t, x)}
+    df, bench = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(items, "item_id bigint, text string")
+    got = leaks(df, bench).collect()
+    assert {(r.doc_id, r.item_id, r.item_tokens) for r in got} == want and len(got) == len(want) and {i for _, i, _ in want} == {1, 2, 3, 4, 8}
+    assert {(r.doc_id, r.item_id) for r in leaks(df, bench, shortest=3).collect()} == {(d, i) for d, i, n in want if n >= 3}
+    assert clean(df, bench).count() == len(docs)
