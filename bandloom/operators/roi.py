@@ -58,6 +58,13 @@ def render_bounds(x: int, y: int, z: int) -> Bounds:
     return Bounds(x * side - RENDER_ORIGIN, RENDER_ORIGIN - (y + 1) * side, (x + 1) * side - RENDER_ORIGIN, RENDER_ORIGIN - y * side)
 
 
+def clip_boxes(boxes: DataFrame, area: Bounds) -> DataFrame:
+    """The boxes (left, bottom, right, top) that meet an area, cut to it; those that only touch it stay as lines or points."""
+    apart = (F.col("right") < area.left) | (F.col("left") > area.right) | (F.col("top") < area.bottom) | (F.col("bottom") > area.top)
+    cut = {"left": F.greatest("left", F.lit(area.left)), "bottom": F.greatest("bottom", F.lit(area.bottom)), "right": F.least("right", F.lit(area.right)), "top": F.least("top", F.lit(area.top))}
+    return boxes.where(~apart).withColumns(cut)
+
+
 def bounds_to_tiles(boxes: DataFrame, zoom: Column, legacy: bool = False) -> DataFrame:
     """A row (x, y, z) for each tile that a box (left, bottom, right, top in metres) meets.
 

@@ -91,3 +91,26 @@ def precompute_stream(spark, sf_dir):
         ingest.precompute_files(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", ["ndvi", "evi2", "gli"]).awaitTermination()
     return ingest.read_maps(spark, f"{base}/out").select("row", "col", *[F.round(n, 9).alias(n) for n in ("ndvi", "evi2", "gli")])
 
+
+
+@query("WITH b AS (SELECT o_orderkey AS id, CAST(o_orderkey % 300 AS DOUBLE) AS l, CAST(o_orderkey % 170 AS DOUBLE) AS b, CAST(o_orderkey % 300 + 1 + o_orderkey % 40 AS DOUBLE) AS r, CAST(o_orderkey % 170 + 1 + o_orderkey % 25 AS DOUBLE) AS t FROM orders) SELECT id, greatest(l, 100.5) AS lft, greatest(b, 60.25) AS bottom, least(r, 180.0) AS rgt, least(t, 120.0) AS top FROM b WHERE NOT (r < 100.5 OR l > 180.0 OR t < 60.25 OR b > 120.0)")
+def clipped_boxes(spark, sf_dir):
+    """A box for each order, cut to an area."""
+    k = F.col("o_orderkey")
+    boxes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), (k % 300).cast("double").alias("left"), (k % 170).cast("double").alias("bottom"), (k % 300 + 1 + k % 40).cast("double").alias("right"), (k % 170 + 1 + k % 25).cast("double").alias("top"))
+    return roi.clip_boxes(boxes, roi.Bounds(100.5, 60.25, 180.0, 120.0)).withColumnsRenamed({"left": "lft", "right": "rgt"})
+
+
+@query(
+    "WITH w AS (SELECT o_orderkey AS id, CAST(400 + o_orderkey % 600 AS INTEGER) AS nm FROM orders), "
+    "c(i, name, centre) AS (VALUES (1, 'coastal_blue', 443), (2, 'blue', 490), (3, 'green_i', 531), (4, 'green', 565), (5, 'yellow', 610), (6, 'red', 665), (7, 'rededge', 705), (8, 'nir', 865)), "
+    "f(nm, name) AS (VALUES (430, 'coastal_blue'), (445, 'coastal_blue'), (490, 'blue'), (531, 'green_i'), (550, 'green'), (565, 'green'), (610, 'yellow'), (670, 'red'), (680, 'red'), (700, 'rededge'), (705, 'rededge'), (750, 'rededge'), (800, 'nir'), (865, 'nir'), (900, 'nir'), (970, 'nir')), "
+    "n AS (SELECT nm, arg_min(name, abs(centre - nm) * 10 + i) AS name FROM (SELECT DISTINCT nm FROM w), c GROUP BY nm) "
+    "SELECT id, w.nm, coalesce(f.name, n.name) AS band FROM w JOIN n ON n.nm = w.nm LEFT JOIN f ON f.nm = w.nm"
+)
+def wavelength_bands(spark, sf_dir):
+    """The band of a wavelength for each order."""
+    from bandloom.plans import registry
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 600 + 400).cast("int").alias("nm"))
+    return orders.withColumn("band", registry.band_column(F.col("nm")))

@@ -54,6 +54,13 @@ def band_for_wavelength(nm: int) -> str:
     return WAVELENGTH_BANDS.get(nm) or min(BANDS, key=lambda b: abs(BANDS[b][1] - nm))
 
 
+def band_column(nm: Column) -> Column:
+    """``band_for_wavelength`` of a column of wavelengths in nm; null for null."""
+    known = F.create_map(*[F.lit(x) for pair in WAVELENGTH_BANDS.items() for x in pair])
+    gaps = F.array(*[F.struct(F.abs(nm - centre).alias("gap"), F.lit(k).alias("place"), F.lit(b).alias("band")) for k, (b, (_, centre)) in enumerate(BANDS.items())])
+    return F.when(nm.isNotNull(), F.coalesce(F.try_element_at(known, nm.cast("int")), F.array_min(gaps)["band"]))
+
+
 #: Keys that name no band, and what to say of them (fixed value).
 NO_BAND = {"swir": "SWIR not available"}
 
