@@ -58,8 +58,8 @@ def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[
     """
     spark = index_map.sparkSession
     if height is not None and height * width <= ONE_TASK and block >= BLOCK:
-        flagged = normalise(index_map.select("row", "col", value), value, "_n").select(F.lit(0).alias("raster"), "row", "col", (F.col("_n") >= threshold).alias("candidate"))
-        return flagged.groupBy("raster").applyInArrow(_mask_in_one_task(seeds, height, width), "row int, col int, mask tinyint")
+        whole = index_map.select(F.lit(0).alias("raster"), "row", "col", F.col(value).cast("double").alias("v"))
+        return whole.groupBy("raster").applyInArrow(_mask_in_one_task(threshold, seeds, height, width), "row int, col int, mask tinyint")
     marked = normalise(index_map.select("row", "col", value), value, "_n").select("row", "col", (F.col("_n") >= threshold).alias("_c"))
     marked = materialise(marked, "region-candidates")
     parts = components(marked.where("_c"), width, 4, block)
@@ -69,11 +69,19 @@ def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[
     return marked.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("_k", F.lit(0)).cast("tinyint").alias("mask"))
 
 
-def _mask_in_one_task(seeds: list[Seed], height: int, width: int):
+def _mask_in_one_task(threshold: float, seeds: list[Seed], height: int, width: int):
+    """``normalise``, threshold and components of a raster that is one group."""
+
     def run(table: pa.Table) -> pa.Table:
         r, c = table.column("row").to_numpy(), table.column("col").to_numpy()
+        v = table.column("v").to_numpy(zero_copy_only=False).astype(float)
+        known = np.isfinite(v)
+        low, high = (v[known].min(), v[known].max()) if known.any() else (0.0, 0.0)
+        level = np.zeros(len(v))
+        if high > low:
+            level[known] = (v[known] - low) / (high - low)
         candidate = np.zeros((height, width), bool)
-        candidate[r, c] = table.column("candidate").to_numpy(zero_copy_only=False)
+        candidate[r, c] = level >= threshold
         labels = label_mask(candidate, 4)
         at = {kind: {int(labels[s.row, s.col]) for s in seeds if s.kind == kind and 0 <= s.row < height and 0 <= s.col < width} - {-1} for kind in ("pos", "neg")}
         mask = np.isin(labels, sorted(at["pos"] - at["neg"]))
