@@ -63,6 +63,26 @@ def warp_lambert(spark, sf_dir):
     return resample.warp(order_pixels(spark, sf_dir, ["nir"]), raster, _BOX, 48, 60)
 
 
+_UTM_SUM = lambda a, b: " + ".join(f"a{k} * {a}({2 * k} * xi) * {b}({2 * k} * eta)" for k in range(1, 5))
+
+
+@query(
+    f"WITH {PIX}, c AS (SELECT n, sqrt(f * (2 - f)) AS e, 6378137.0 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) * 0.9996 AS s, "
+    "n / 2 - n * n * 2 / 3 + n * n * n * 5 / 16 + n * n * n * n * 41 / 180 AS a1, n * n * 13 / 48 - n * n * n * 3 / 5 + n * n * n * n * 557 / 1440 AS a2, n * n * n * 61 / 240 - n * n * n * n * 103 / 140 AS a3, n * n * n * n * 49561 / 161280 AS a4 "
+    "FROM (SELECT f, f / (2 - f) AS n FROM (SELECT CAST(1 AS DOUBLE) / 298.257223563 AS f))), "
+    "g AS (SELECT CAST(i // 40 AS INTEGER) AS row, CAST(i % 40 AS INTEGER) AS col FROM range(40 * 30) t(i)), "
+    "l AS (SELECT row, col, radians(88.3507 + (col + 0.5) * (CAST(0.003 AS DOUBLE) / 40) - 87.0) AS lam, radians(27.1522 - (row + 0.5) * (CAST(0.0004 AS DOUBLE) / 30)) AS phi FROM g), "
+    "t AS (SELECT row, col, lam, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM l, c), "
+    "u AS (SELECT row, col, atan2(t, cos(lam)) AS xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) AS eta FROM t), "
+    f"x AS (SELECT row, col, s * (eta + {_UTM_SUM('cos', 'sinh')}) + 500000 AS x, s * (xi + {_UTM_SUM('sin', 'cosh')}) AS y FROM u, c), "
+    "k AS (SELECT row, col, CAST(floor((3004017.0 - y) / 3) AS INTEGER) AS sr, CAST(floor((x - 633825.0) / 3) AS INTEGER) AS sc FROM x) "
+    "SELECT k.row, k.col, coalesce(pixels.nir, 0) AS nir FROM k LEFT JOIN pixels ON pixels.row = sr AND pixels.col = sc"
+)
+def warp_utm(spark, sf_dir):
+    """The raster in its UTM zone on a grid of degrees, by nearest pixels."""
+    return resample.warp(order_pixels(spark, sf_dir, ["nir"]), order_raster(spark, sf_dir), roi.Bounds(88.3507, 27.1518, 88.3537, 27.1522), 30, 40)
+
+
 _POLAR = Affine(1000.0, 0.0, -50_000.0, 0.0, -1000.0, -1_900_000.0)
 
 
