@@ -41,6 +41,20 @@ def percentile_row(df: DataFrame, values: dict[str, Column], fractions: list[flo
 RANGES, ACCURACY = 256, 4096
 
 
+#: Every so many cuts are looked at first.
+STEP = 16
+
+
+def coarse_cuts(cuts: Column) -> Column:
+    return F.filter(cuts, lambda c, k: k % STEP == STEP - 1)
+
+
+def range_of(value: Column, cuts: Column, coarse: Column) -> Column:
+    """How many of the sorted ``cuts`` are less than the value, found by its place among every ``STEP``-th of them."""
+    lead = F.size(F.filter(coarse, lambda c: c < value)) * STEP
+    return lead + F.size(F.filter(F.slice(cuts, lead + 1, STEP), lambda c: c < value))
+
+
 def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: list[float], ranges: int = RANGES) -> DataFrame:
     """(by, n, p): the number of values and their exact, linearly interpolated percentiles, for each group with values.
 
@@ -53,8 +67,8 @@ def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: li
     base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], value.cast("double").alias("_v")).where("_v is not null")
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
     cuts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), ACCURACY).alias("_cuts"))
-    cuts = materialise(cuts, "percentile-cuts")
-    ranged = base.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.*", F.size(F.filter("b._cuts", lambda c: c < F.col("a._v"))).alias("_range"))
+    cuts = materialise(cuts.withColumn("_coarse", coarse_cuts(F.col("_cuts"))), "percentile-cuts")
+    ranged = base.alias("a").join(cuts.alias("b"), same("a", "b")).select("a.*", range_of(F.col("a._v"), F.col("b._cuts"), F.col("b._coarse")).alias("_range"))
     sums = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_in"))
     order = Window.partitionBy(*keys).orderBy("_range")  # at most ``ranges`` rows for a group
     sums = sums.withColumn("_lead", F.sum("_in").over(order) - F.col("_in"))
@@ -71,7 +85,7 @@ def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: li
     at = exact.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     get = lambda r: F.element_at("_at", r.cast("bigint"))
     mixed = [F.when(F.floor(p) == F.ceil(p), get(F.floor(p))).otherwise((F.ceil(p) - p) * get(F.floor(p)) + (p - F.floor(p)) * get(F.ceil(p))) for p in place]
-    out = cuts.alias("a").join(at.alias("b"), same("a", "b")).select("a.*", "b._at")
+    out = cuts.drop("_coarse").alias("a").join(at.alias("b"), same("a", "b")).select("a.*", "b._at")
     return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col("_n").alias("n"), F.array(*mixed).alias("p"))
 
 
@@ -145,7 +159,8 @@ def running_sum(df: DataFrame, order: str, value: str, name: str, parts: int = 2
     a table of at most ``parts`` + 1 rows.
     """
     cuts = df.agg(F.percentile_approx(order, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 10000).alias("q"))
-    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter(F.col("q"), lambda x: x < F.col(order)))).drop("q")
+    cuts = cuts.withColumn("_coarse", coarse_cuts(F.col("q")))
+    ranged = df.crossJoin(F.broadcast(cuts)).withColumn("_range", range_of(F.col(order), F.col("q"), F.col("_coarse"))).drop("q", "_coarse")
     sums = ranged.groupBy("_range").agg(F.sum(value).alias("_sum"))
     lead = sums.withColumn("_lead", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
     inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
