@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from bandloom.model import Affine, Raster
 from bandloom.operators import symbology, tiles
 from bandloom.operators.symbology import Stop
