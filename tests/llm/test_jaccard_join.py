@@ -145,3 +145,24 @@ def test_flags_are_spread_over_the_buckets(spark):
             size[r.bucket] = size.get(r.bucket, 0) + (len(jaccard_join.unpack(data)[0]) if data else 0)
     ordered = sorted(size.values())
     assert len(size) == 16 and ordered[-1] <= 1.5 * ordered[8]
+
+
+def test_a_common_header_makes_no_cluster(spark):
+    """2,000 texts of two copies each, unlike but for twelve words: only prefixes of rare n-grams meet, so nothing is compared."""
+    header = "permission is hereby granted free of charge to any person obtaining this"
+    rows = [(2 * k + c, f"{header} " + " ".join(f"w{k}x{j}" for j in range(30 + k % 40))) for k in range(2000) for c in (0, 1)]
+    rows += [(9000 + c, f"{header} " + " ".join(f"near{j}" for j in range(60)) + f" end{c}") for c in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    _, _, tiles = jaccard_join._candidate_tiles(df, 5, 8, 10)
+    assert {r.rep for r in tiles.select("rep").collect()} == {9000, 9001, 9002}
+    got = {r.doc_id: (r.component_id, r.n_links) for r in linked(df).collect()}
+    assert got == {i: (9000, 2) if i >= 9000 else (i - i % 2, 1) for i, _ in rows}
+
+
+@pytest.mark.parametrize("counters", [12, 13])
+def test_any_order_of_n_grams_gives_the_same_links(spark, monkeypatch, counters):
+    """Few counters: frequencies are sums over many n-grams."""
+    monkeypatch.setattr(jaccard_join, "COUNTERS", counters)
+    rows = corpus(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in components(df, 3, 90, 100).collect()} == brute(rows, 3, 90, 100)
