@@ -2,14 +2,16 @@
 
 1. Lines get two independent 64-bit hashes.  Of every window of ``run`` lines the least first
    hash is selected (the rightmost of equal ones), so that any repeated run of that many lines
-   has a selected fingerprint in common.  A line that is a run by its length is one itself.
+   has a selected fingerprint in common.  A line that is a run by its length is a fingerprint
+   itself, and windows of nothing but such lines need no other.
 2. Positions of fingerprints meet by hash; those of hashes that stand at one place are put
-   aside, by a filter of bounded size.
-3. Around each position left the match is extended to both sides: every window of lines that
-   has the fingerprint as its minimum is compared, by the 128 bits of its lines' hashes, with
-   the first place in (doc_id, line) order where it stands.  Windows next to each other join
-   into longer runs.
-4. The lines of later runs are deleted.
+   aside, by a filter of bounded size.  Each position left joins the first place, in
+   (doc_id, line) order, of its fingerprint.
+3. The match is extended line by line to both sides, up to the reach of the fingerprint's
+   windows; what lies beyond is reached from the next fingerprint, so long matches join up.
+4. Windows of a fingerprint that the match with its first place does not cover stand there in
+   another context.  They alone meet once more, each with the first place of that window.
+5. The lines of later runs are deleted.
 
 With ``words`` a single line of that many words is a run of its own, and so is a document of
 one line, whatever its length, among such documents.
@@ -20,17 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bandloom.bounded import split_by_ids
+from bandloom.bounded import join_groups, split_by_ids
 from bandloom.storage import materialise
 
 RUN = 2
 #: Words of a line that counts as a run by itself, in the query and the pipeline.
 WORDS = 5
+#: Kinds of fingerprints.
+LINE, SINGLE, WHOLE = 0, 1, 2
 WORD = r"[^\x20\x09-\x0D]+"
-#: A window with more than this share of the rows meets its first place in a broadcast; there are fewer than 4096 such.
-HOT_SHARE = 1 / 4096
-SINGLE, WHOLE = 0, -1
-_AROUND = "array<struct<kind:int,pos:int,k1:bigint,k2:bigint>>"
 
 
 def _lines(text: Column) -> Column:
@@ -42,67 +42,97 @@ def _second(x: Column) -> Column:
     return F.xxhash64(F.lit("second"), x)
 
 
-def fingerprints(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, pos, fp, around): the selected lines of each document and the windows of which they are the minimum.
+def fingerprints(documents: DataFrame, run: int = RUN, words: int | None = None, context: bool = True) -> DataFrame:
+    """(doc_id, pos, kind, fp, check): the selected lines of each document, told by two hashes.
 
-    around: (kind, pos, k1, k2) with the window's size, ``SINGLE`` or ``WHOLE`` as kind, its first
-    line and the 128 bits of its lines.
+    kind is ``LINE``, ``SINGLE`` for a line that is a run by its length (the two meet), or
+    ``WHOLE`` for a short line that is its document (these meet each other).  With ``context``
+    also around, the first lines of the windows of which the line is the minimum, and before and
+    after, the hashes of the ``run`` - 1 lines to both sides, the nearest first.
     """
-    h, g, n = F.col("h"), F.col("g"), F.size("h")
+    h, n = F.col("h"), F.size("h")
     lines = _lines(F.col("text"))
     rows = documents.where("doc_id is not null and text is not null")
     if words is None:
         rows = rows.where(F.size(lines) >= run)
-    rows = rows.select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, _second).alias("g"), *([F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)) >= words).alias("long"), (F.col("text") != "").alias("filled")] if words is not None else []))
+    long = lambda x: F.regexp_count(x, F.lit(WORD)) >= words if words is not None else F.lit(False)
+    rows = rows.select("doc_id", F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, _second).alias("g"), F.transform(lines, long).alias("long"), (F.col("text") != "").alias("filled"))
     none = F.array().cast("array<int>")
 
     def lowest(start: Column) -> Column:
         part = F.slice(h, start + 1, run)
-        return (start + run - F.array_position(F.reverse(part), F.array_min(part))).cast("int")
-
-    def window(kind: int, start: Column, size: int) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), start.cast("int").alias("pos"), F.xxhash64(F.slice(h, start + 1, size)).alias("k1"), _second(F.slice(g, start + 1, size)).alias("k2"))
+        short = F.exists(F.slice("long", start + 1, run), lambda x: ~x)
+        return F.when(short, start + run - F.array_position(F.reverse(part), F.array_min(part))).otherwise(-1).cast("int")
 
     starts = F.when(n >= run, F.sequence(F.lit(0), n - run)).otherwise(none)
     rows = rows.withColumn("low", F.transform(starts, lowest))
-    picked = F.col("low")
+    picked = F.filter("low", lambda i: i >= 0)
     if words is not None:
         alone = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("long"), i) | (n == 1) & F.col("filled"))
         picked = F.concat(picked, alone)
-    # rows of one place each: the windows around it come later, for those that are left
-    first = lambda i: F.greatest(F.lit(0), i - run + 1)
-    last = lambda i: F.least(i, n - run)
-
-    def around(i: Column) -> Column:
-        own = F.when(last(i) >= first(i), F.filter(F.sequence(first(i), last(i)), lambda s: F.get(F.col("low"), s) == i)).otherwise(none)
-        found = F.transform(own, lambda s: window(run, s, run)).cast(_AROUND)
-        if words is None:
-            return found
-        single = F.when(F.get(F.col("long"), i), F.array(window(SINGLE, i, 1))).otherwise(F.array().cast(_AROUND))
-        whole = F.when((n == 1) & F.col("filled"), F.array(window(WHOLE, i, 1))).otherwise(F.array().cast(_AROUND))
-        return F.concat(found, single.cast(_AROUND), whole.cast(_AROUND))
-
     rows = rows.withColumn("picked", F.array_distinct(picked))
-    each = F.transform(F.col("picked"), lambda i: F.struct(i.alias("pos"), F.get(h, i).alias("fp"), around(i).alias("around")))
-    return rows.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.*")
+
+    def side(first: Column, size: Column) -> Column:
+        return F.arrays_zip(F.slice(h, first, size).alias("h"), F.slice("g", first, size).alias("g"))
+
+    def mark(i: Column) -> Column:
+        kind = F.when(F.get(F.col("long"), i), SINGLE).when(n == 1, WHOLE).otherwise(LINE)
+        parts = [i.alias("pos"), kind.alias("kind"), F.get(h, i).alias("fp"), F.get(F.col("g"), i).alias("check")]
+        if context:
+            first, last = F.greatest(F.lit(0), i - run + 1), F.least(i, n - run)
+            own = F.when(last >= first, F.filter(F.sequence(first, last), lambda s: F.get(F.col("low"), s) == i)).otherwise(none)
+            parts += [F.transform(own, lambda s: F.struct(s.alias("pos"))).alias("around"), F.reverse(side(first + 1, i - first)).alias("before"), side(i + 2, F.lit(run - 1)).alias("after")]
+        return F.struct(*parts)
+
+    return rows.select("doc_id", F.explode(F.transform("picked", mark)).alias("e")).select("doc_id", "e.*")
+
+
+def _in_common(a: Column, b: Column) -> Column:
+    """How many entries two arrays share from their start."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    return F.when(F.array_position(same, False) > 0, F.array_position(same, False) - 1).otherwise(F.size(same)).cast("int")
+
+
+def matches(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
+    """(doc_id, pos, size, rest): each later fingerprint's match with the first place of it, extended to both sides.
+
+    size is 0 where the match is no run; rest holds (pos, k1, k2), first line and 128 bits, of the
+    fingerprint's windows that the match does not cover.
+    """
+    ids = ["apart", "fp", "check"]
+    apart = (F.col("kind") == WHOLE).alias("apart")
+    places = fingerprints(documents, run, words, context=False).groupBy(apart, "fp", "check")
+    places = places.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("doc_id", "pos")])
+    several = materialise(places.where("min_doc_id <> max_doc_id or min_pos <> max_pos").select("fp"), "line-fingerprints")
+    _, met = split_by_ids(fingerprints(documents, run, words), several, "fp")
+    met = materialise(met.withColumn("apart", apart), "line-positions")
+    first = met.groupBy(*ids).agg(F.min(F.struct("doc_id", "pos", "before", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = join_groups(met, materialise(first, "line-first-places"), ids, "n").where(F.struct("doc_id", "pos") != F.struct("first.doc_id", "first.pos"))
+    pos, left, right = F.col("pos"), F.col("left"), F.col("right")
+    later = later.withColumn("left", _in_common(F.col("before"), F.col("first.before"))).withColumn("right", _in_common(F.col("after"), F.col("first.after")))
+    long_enough = left + right + 1 >= run
+    start = F.when(long_enough, pos - left).otherwise(pos)
+    size = F.when(long_enough, left + right + 1).when(F.col("kind") != LINE, 1).otherwise(0)
+
+    def window(s: Column) -> Column:
+        own = F.array(F.struct(F.col("fp").alias("h"), F.col("check").alias("g")))
+        held = F.concat(F.reverse(F.slice("before", 1, pos - s)), own, F.slice("after", 1, s + run - 1 - pos))
+        return F.struct(s.alias("pos"), F.xxhash64(F.transform(held, lambda x: x["h"])).alias("k1"), _second(F.transform(held, lambda x: x["g"])).alias("k2"))
+
+    beyond = F.filter("around", lambda w: (w["pos"] < pos - left) | (w["pos"] + run - 1 > pos + right))
+    # a name of its own: in a lambda an alias of the same select would go before the column
+    later = later.select("doc_id", start.alias("start"), size.alias("size"), F.transform(beyond, lambda w: window(w["pos"])).alias("rest"))
+    return later.withColumnRenamed("start", "pos")
 
 
 def repeated_windows(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
-    """(doc_id, pos, size) of the windows that occur earlier in (doc_id, pos) order."""
-    place = F.struct("doc_id", "pos")
-    marks = fingerprints(documents, run, words)
-    several = marks.groupBy("fp").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fp")
-    several = materialise(several, "line-fingerprints")
-    _, met = split_by_ids(marks, several, "fp")
-    windows = materialise(met.select("doc_id", F.explode("around").alias("w")).select("doc_id", "w.*"), "line-windows")
-    keys = ["kind", "k1", "k2"]
-    first = windows.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = materialise(first, "line-first-places")
-    hot = F.col("n") > (first.agg(F.sum("n")).first()[0] or 0) * HOT_SHARE
-    near = windows.join(F.broadcast(first.where(hot).select(*keys, F.col("first").alias("known"))), keys, "left")
-    later = near.where(F.col("known").isNotNull() & (place != F.col("known")))
-    rest = near.where("known is null").join(first.where(~hot).select(*keys, "first"), keys).where(place != F.col("first"))
-    return later.select("doc_id", "pos", "kind").union(rest.select("doc_id", "pos", "kind")).select("doc_id", "pos", F.greatest(F.col("kind"), F.lit(1)).alias("size"))
+    """(doc_id, pos, size) of the runs of lines that occur earlier in (doc_id, pos) order."""
+    place, keys = F.struct("doc_id", "pos"), ["k1", "k2"]
+    found = materialise(matches(documents, run, words), "line-matches")
+    rest = found.select("doc_id", F.explode("rest").alias("w")).select("doc_id", "w.*")
+    first = rest.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = join_groups(rest, materialise(first, "line-first-windows"), keys, "n").where(place != F.col("first"))
+    return found.where("size > 0").select("doc_id", "pos", "size").union(later.select("doc_id", "pos", F.lit(run)))
 
 
 def deduplicate(documents: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:

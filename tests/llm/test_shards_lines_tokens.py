@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from bandloom.llm.line_dedup import deduplicate, fingerprints
+from bandloom.llm.line_dedup import deduplicate, fingerprints, matches
 from bandloom.llm import shard_balance
 from bandloom.llm.shard_balance import cut_links, one_round, op3_sharding, shard, start_labels
 from bandloom.llm.token_rollup import TokenLedger, op6_token_counts
@@ -209,6 +209,37 @@ def brute_lines_and_single(rows, run, words):
     return Counter((i, t if t is None or i is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows)
 
 
+@pytest.mark.parametrize("run", [2, 4])
+def test_both_rules_in_many_contexts(spark, run):
+    """Short and long lines in few orders: a fingerprint's first place often stands in another context."""
+    import random
+
+    rng = random.Random(run + 7)
+    pool = ["a", "b", "", "c d", "one two three four five", "six seven eight nine ten", "v w x y z"]
+    rows = [(k * 5 % 211, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for k in range(150)]
+    rows += [(300 + k, f"own {k}\n" + "\n".join(pool)) for k in range(3)] + [(None, "a\nb"), (400, None)]
+    df = docs(spark, rows).repartition(4)
+    assert Counter((r.doc_id, r.text) for r in deduplicate(df, run, 5).collect()) == brute_lines_and_single(rows, run, 5)
+
+
+def test_matches_are_extended_to_both_sides(spark):
+    """Ten equal lines between others: the matches are of the ten, none goes beyond, and nothing is left to windows but the edges."""
+    block = [f"line {k}" for k in range(10)]
+    rows = [(d, "\n".join([f"p {d}", f"q {d}", *block, f"r {d}", f"s {d}"])) for d in range(4)]
+    got = matches(docs(spark, rows), 4).collect()
+    runs = [(r.doc_id, p) for r in got if r["size"] for p in range(r.pos, r.pos + r["size"])]
+    assert set(runs) == {(d, p) for d in (1, 2, 3) for p in range(2, 12)} and all(r["size"] in (0, 4, 5, 6, 7) for r in got)
+    assert all(w.pos in (0, 1, 9, 10) for r in got for w in r.rest)
+
+
+def test_windows_of_long_lines_need_no_fingerprint(spark):
+    """A fingerprint for each long line, and of windows only where a short line stands."""
+    rows = [(1, "\n".join(f"line of five words {k}" for k in range(50))), (2, "\n".join(f"short {k}" for k in range(50)))]
+    got = fingerprints(docs(spark, rows), 2, 5).collect()
+    assert all(not r.around for r in got if r.doc_id == 1) and sum(r.doc_id == 1 for r in got) == 50
+    assert 25 <= sum(r.doc_id == 2 for r in got) < 40 and sum(len(r.around) for r in got) == 49
+
+
 def test_clashing_columns(spark):
     rows = [(1, "a\nb", 1, 2, 3, 4, 5), (2, "a\nb\nc", 1, 2, 3, 4, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _pos int, _block int, row int, _removed int, n int")
