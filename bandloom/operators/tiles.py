@@ -19,6 +19,8 @@ from bandloom.operators.resample import corners, places_at
 from bandloom.sources.png import TILE, encode_png
 
 LOW, HIGH = 2.0, 98.0
+#: Tiles whose pixels one task lists.
+TILES_A_TASK = 8
 
 
 def tile_list(spark: SparkSession, raster: Raster, zooms: list[int]) -> DataFrame:
@@ -31,8 +33,8 @@ def tile_list(spark: SparkSession, raster: Raster, zooms: list[int]) -> DataFram
 def tile_corners(pixels: DataFrame, raster: Raster, tiles: DataFrame, bands: list[str]) -> DataFrame:
     """(z, x, y, row, col, _w, bands): the source pixels around each tile pixel that are there, with bilinear weights."""
     places = F.sequence(F.lit(0), F.lit(TILE - 1))
-    # a tile's rows and columns come after the shuffle, which deals out bare (z, x, y)
-    each = tiles.repartition("z", "x", "y").withColumn("row", F.explode(places)).withColumn("col", F.explode(places))
+    # a tile's rows and columns come after the shuffle, which deals out bare (z, x, y); a number of parts keeps them apart
+    each = tiles.repartition(-(-tiles.count() // TILES_A_TASK) or 1, "z", "x", "y").withColumn("row", F.explode(places)).withColumn("col", F.explode(places))
     side = F.lit(2 * roi.RENDER_ORIGIN) / F.pow(F.lit(2.0), F.col("z"))
     gx = F.col("x") * side - roi.RENDER_ORIGIN + (F.col("col") + 0.5) * (side / TILE)
     gy = F.lit(roi.RENDER_ORIGIN) - F.col("y") * side - (F.col("row") + 0.5) * (side / TILE)
@@ -40,7 +42,8 @@ def tile_corners(pixels: DataFrame, raster: Raster, tiles: DataFrame, bands: lis
     inside = placed.where((F.col("_r") > -1) & (F.col("_r") < raster.height + 1) & (F.col("_c") > -1) & (F.col("_c") < raster.width + 1))
     keyed = inside.withColumn("k", F.explode(corners())).select("z", "x", "y", "row", "col", "k.*")
     source = pixels.select(F.col("row").alias("_sr"), F.col("col").alias("_sc"), *bands)
-    return keyed.join(source, ["_sr", "_sc"]).drop("_sr", "_sc")
+    # the optimiser takes tiles for small, since it doesn't count what is exploded: neither side may be broadcast
+    return keyed.hint("merge").join(source.hint("merge"), ["_sr", "_sc"]).drop("_sr", "_sc")
 
 
 def _stretched(value: np.ndarray) -> np.ndarray:

@@ -115,3 +115,13 @@ def test_training_on_the_cached_grid(spark, monkeypatch):
     assert r.ndvi > 0.3 and r.savi > 0.2 and maps.where("row = 0 and col = 0").first().savi < 0.1
     result = engine.train(["ndvi", "savi"], [Seed(8, 8), Seed(20, 20, "neg")], 0.5, 2)
     assert result["total_pixels"] == 144 and {s["name"] for s in result["per_index_scores"]} == {"ndvi", "savi"}
+
+
+def test_tiles_meet_their_pixels_without_a_broadcast(spark):
+    from bandloom.operators import tiles
+
+    raster = Raster("r", 10, 400, Affine(100.0, 0.0, 1000000.0, 0.0, -100.0, 6000000.0), "EPSG:3857", 0.0)
+    pixels = spark.range(4000).selectExpr("cast(id div 10 as int) as row", "cast(id % 10 as int) as col", "cast(1 + id % 50 as int) as b0")
+    met = tiles.tile_corners(pixels, raster, tiles.tile_list(spark, raster, [9, 10, 11]), ["b0"])
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan and met.count() > 0
