@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from bandloom.functions.arith import finite
@@ -14,27 +16,64 @@ from bandloom.storage import materialise, plan_bytes
 
 #: A table of at most this many bytes may have its percentiles in one aggregate buffer.
 SMALL_BYTES = 64 << 20
+#: Accuracy of the sketches that say where a rank lies: they are off by one row in so many.
+SKETCH = 10_000
 
 
 def percentile_row(df: DataFrame, values: dict[str, Column], fractions: list[float], small: int = SMALL_BYTES) -> DataFrame:
     """One row with an array of exact, linearly interpolated percentiles for each name; null without values.
 
-    Of large tables values are counted first, the counts are summed up in order by ranges (see
-    ``running_sum``), and the two values around each rank are picked; no task holds all values.
+    Of large tables a sketch of bounded size says between which values each wanted rank lies; one
+    pass for all names counts the rows below and between, and only what lies between is put in
+    order.  A rank that lies elsewhere after all is looked for among all values.
     """
     if plan_bytes(df) <= small:
         return df.agg(*[F.percentile(v, F.array(*[F.lit(f) for f in fractions])).alias(n) for n, v in values.items()])
-    out = None
-    for name, value in values.items():
-        counts = df.select(value.cast("double").alias("s")).where("s is not null").groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-        ranked = running_sum(counts, "s", "n", "before").crossJoin(F.broadcast(counts.agg(F.sum("n").alias("rows"))))
-        places = [(F.col("rows") - 1) * F.lit(f) for f in fractions]
-        at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("s")))
-        each = ranked.agg(F.max("rows").alias("rows"), *[x for k, p in enumerate(places) for x in (at(F.floor(p)).alias(f"a{k}"), at(F.ceil(p)).alias(f"b{k}"))])
-        mixed = [F.when(F.floor(p) == F.ceil(p), F.col(f"a{k}")).otherwise((F.ceil(p) - p) * F.col(f"a{k}") + (p - F.floor(p)) * F.col(f"b{k}")) for k, p in enumerate(places)]
-        one = each.select(F.when(F.col("rows").isNotNull(), F.array(*mixed)).alias(name))
-        out = one if out is None else out.crossJoin(F.broadcast(one))
-    return out
+    names = list(values)
+    base = df.select(*[v.cast("double").alias(f"v{k}") for k, v in enumerate(values.values())])
+    ends = [x for f in fractions for x in (max(0.0, f - 2.0 / SKETCH), min(1.0, f + 2.0 / SKETCH))]
+    sketch = base.agg(*[x for k in range(len(names)) for x in (F.count(f"v{k}").alias(f"n{k}"), F.percentile_approx(f"v{k}", F.array(*[F.lit(e) for e in ends]), SKETCH).alias(f"q{k}"))]).first()
+    wanted = {}  # (column, fraction) -> low, high
+    for k in range(len(names)):
+        if sketch[f"n{k}"]:
+            wanted |= {(k, j): tuple(sketch[f"q{k}"][2 * j : 2 * j + 2]) for j in range(len(fractions))}
+    ranks = {(k, j): ((sketch[f"n{k}"] - 1) * fractions[j]) for k, j in wanted}
+    found = _at_ranks(base, wanted, ranks)
+    missed = {x: None for x in wanted if x not in found}
+    if missed:
+        found |= _at_ranks(base, missed, ranks)
+
+    def mixed(x: tuple[int, int]) -> float:
+        p, (a, b) = ranks[x], found[x]
+        return a if math.floor(p) == math.ceil(p) else (math.ceil(p) - p) * a + (p - math.floor(p)) * b
+
+    row = tuple([mixed((k, j)) for j in range(len(fractions))] if sketch[f"n{k}"] else None for k in range(len(names)))
+    return df.sparkSession.createDataFrame([row], StructType([StructField(n, ArrayType(DoubleType())) for n in names]))
+
+
+def _at_ranks(base: DataFrame, wanted: dict, ranks: dict) -> dict:
+    """The two values around each rank, as far as they lie within its (low, high); None stands for all values."""
+    slots = list(wanted)
+    if not slots:
+        return {}
+
+    def place(x) -> tuple[Column, Column]:
+        v = F.col(f"v{x[0]}")
+        if wanted[x] is None:
+            return F.lit(False), v.isNotNull()
+        low, high = (F.lit(float(e)) for e in wanted[x])
+        return v < low, (v >= low) & (v <= high)
+
+    below = base.agg(*[F.count_if(place(x)[0]).alias(f"b{i}") for i, x in enumerate(slots)]).first()
+    near = F.array_compact(F.array(*[F.when(place(x)[1], F.struct(F.lit(i).alias("slot"), F.col(f"v{x[0]}").alias("v"))) for i, x in enumerate(slots)]))
+    counts = base.select(F.explode(near).alias("e")).groupBy("e.slot", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("slot").orderBy("v")
+    counts = counts.withColumn("to", F.sum("n").over(order)).withColumn("from", F.col("to") - F.col("n"))
+    least = lambda r: [math.floor(r), math.ceil(r)]
+    targets = base.sparkSession.createDataFrame([(i, e, r - below[f"b{i}"]) for i, x in enumerate(slots) for e, r in enumerate(least(ranks[x]))], "slot int, side int, rank bigint")
+    hit = counts.join(F.broadcast(targets), "slot").where("rank >= from and rank < to").select("slot", "side", "v").collect()
+    at = {(r["slot"], r["side"]): r["v"] for r in hit}
+    return {x: (at[i, 0], at[i, 1]) for i, x in enumerate(slots) if (i, 0) in at and (i, 1) in at}
 
 
 #: Ranges that a group's values are cut into, and the accuracy of the cuts.
@@ -55,16 +94,35 @@ def range_of(value: Column, cuts: Column, coarse: Column) -> Column:
     return lead + F.size(F.filter(F.slice(cuts, lead + 1, STEP), lambda c: c < value))
 
 
-def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: list[float], ranges: int = RANGES) -> DataFrame:
+#: Values of a group that may have their percentiles in one aggregate buffer.
+FEW = 100_000
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: list[float], ranges: int = RANGES, few: int = FEW) -> DataFrame:
     """(by, n, p): the number of values and their exact, linearly interpolated percentiles, for each group with values.
 
-    By selection: sketches of bounded size cut each group's values into ranges of about equal
+    Groups of at most ``few`` values are one aggregate; larger ones, of which there are at most the
+    number of rows by ``few``, go by selection (see ``_by_selection``).
+    """
+    keys = [f"_k{k}" for k in range(len(by))]
+    base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], value.cast("double").alias("_v")).where("_v is not null")
+    named = [F.col(k).alias(b) for k, b in zip(keys, by, strict=True)]
+    large = materialise(base.groupBy(*keys).count().where(F.col("count") > few).select(*keys), "percentile-groups")
+    exact = F.percentile("_v", F.array(*[F.lit(f) for f in fractions]))
+    some = large.count()
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], F.lit(True))
+    split = lambda how: base.alias("a").join(F.broadcast(large.alias("b")) if some < 100_000 else large.alias("b"), same, how)
+    small = (split("left_anti") if some else base).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), exact.alias("p")).select(*named, "n", "p")
+    return small.union(_by_selection(split("left_semi"), keys, fractions, ranges).select(*named, "n", "p")) if some else small
+
+
+def _by_selection(base: DataFrame, keys: list[str], fractions: list[float], ranges: int) -> DataFrame:
+    """(keys, n, p) of (keys, _v): sketches of bounded size cut each group's values into ranges of about equal
     counts; the counts of the ranges say in which of them a rank lies; and only the values of those
     ranges, counted by value, are put in order.  So a group of any size takes no buffer of its size
     and no task of its own, and most values are never sorted.
     """
-    ranges, keys = max(2, ranges), [f"_k{k}" for k in range(len(by))]
-    base = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], value.cast("double").alias("_v")).where("_v is not null")
+    ranges = max(2, ranges)
     same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
     cuts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), ACCURACY).alias("_cuts"))
     cuts = materialise(cuts.withColumn("_coarse", coarse_cuts(F.col("_cuts"))), "percentile-cuts")
@@ -86,7 +144,7 @@ def group_percentiles(df: DataFrame, by: list[str], value: Column, fractions: li
     get = lambda r: F.element_at("_at", r.cast("bigint"))
     mixed = [F.when(F.floor(p) == F.ceil(p), get(F.floor(p))).otherwise((F.ceil(p) - p) * get(F.floor(p)) + (p - F.floor(p)) * get(F.ceil(p))) for p in place]
     out = cuts.drop("_coarse").alias("a").join(at.alias("b"), same("a", "b")).select("a.*", "b._at")
-    return out.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col("_n").alias("n"), F.array(*mixed).alias("p"))
+    return out.select(*keys, F.col("_n").alias("n"), F.array(*mixed).alias("p"))
 
 
 def value_stats(pixels: DataFrame, value: str, low: float = 2.0, high: float = 98.0, by: list[str] = ()) -> DataFrame:
