@@ -1,7 +1,8 @@
 """Learning which indices separate a mask: robust scaling, logistic models, thresholds, ranking.
 
-Samples are drawn by a hash of the pixel, at most ``per_class`` of each class, so a fit has
-a fixed size; scores and thresholds are aggregates.
+``learn_formula`` draws samples by a hash of the pixel, at most ``per_class`` of each class, so its
+fits have a fixed size; ``train_logistic`` and ``score_indices`` take all rows.  Fits, scores and
+thresholds are aggregates.
 """
 
 from __future__ import annotations
@@ -69,22 +70,50 @@ def clip_and_impute(train: DataFrame, other: DataFrame, features: list[str], low
 def fit_logistic(df: DataFrame, features: list[str], label: str = "label", iterations: int = 500, c: float = 1.0) -> tuple[list[float], float]:
     """(coefficients, intercept) of 0.5 |w|^2 + C * sum of balanced weights * log loss, the intercept penalised too.
 
-    A row (x, 1) of class y is given as two of half its weight, (x, 1) with y and (-x, -1) with
-    1 - y.  The loss is the same, and the constant becomes a feature with variance, which Spark
-    does not drop.
+    Newton steps: each is one aggregate row over the data (loss, gradient and the upper half of
+    the Hessian), and a handful of steps settle, however many rows there are.  A step that does not
+    lower the loss is halved.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    n = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    n = _classes(df, label)
+    if not n.get(0) or not n.get(1):
+        raise ValueError("two classes are needed")
     total = sum(n.values())
-    weight = F.when(F.col(label) == 1, F.lit(total / (2.0 * n[1]))).otherwise(F.lit(total / (2.0 * n[0])))
-    base = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("_one"), F.col(label).cast("double").alias("_y"), (weight / 2).alias("_w"))
-    mirrored = base.select(*[(-F.col(f)).alias(f) for f in [*features, "_one"]], (F.lit(1.0) - F.col("_y")).alias("_y"), "_w")
-    rows = VectorAssembler(inputCols=[*features, "_one"], outputCol="_x").transform(base.union(mirrored)).select("_x", "_y", "_w")
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", fitIntercept=False, standardization=False, elasticNetParam=0.0, regParam=1.0 / (c * total), maxIter=iterations, tol=1e-10).fit(rows)
-    w = [float(v) for v in model.coefficients]
-    return w[:-1], w[-1]
+    x = [*[F.col(f).cast("double") for f in features], F.lit(1.0)]
+    size = len(x)
+    one = F.col(label) == 1
+    weight = F.when(one, F.lit(c * total / (2.0 * n[1]))).otherwise(F.lit(c * total / (2.0 * n[0])))
+    base = df.select(*[v.alias(f"_x{i}") for i, v in enumerate(x)], F.when(one, 1.0).otherwise(0.0).alias("_y"), weight.alias("_w"))
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        z = sum((F.col(f"_x{i}") * F.lit(float(v)) for i, v in enumerate(w)), F.lit(0.0))
+        # log(1 + exp(z)) without overflow
+        rows = base.withColumn("_z", z).withColumn("_p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_z"))))
+        loss = F.col("_w") * (F.greatest("_z", F.lit(0.0)) + F.log1p(F.exp(-F.abs("_z"))) - F.col("_y") * F.col("_z"))
+        off, bend = F.col("_w") * (F.col("_p") - F.col("_y")), F.col("_w") * F.col("_p") * (F.lit(1.0) - F.col("_p"))
+        pairs = [(i, j) for i in range(size) for j in range(i, size)]
+        sums = [F.sum(loss), *[F.sum(off * F.col(f"_x{i}")) for i in range(size)], *[F.sum(bend * F.col(f"_x{i}") * F.col(f"_x{j}")) for i, j in pairs]]
+        found = [float(v) for v in rows.agg(*[v.alias(f"s{k}") for k, v in enumerate(sums)]).first()]
+        hess = np.eye(size)
+        for (i, j), v in zip(pairs, found[1 + size :], strict=True):
+            hess[i, j] += v
+            if i != j:
+                hess[j, i] += v
+        return found[0] + 0.5 * float(w @ w), np.array(found[1 : 1 + size]) + w, hess
+
+    w = np.zeros(size)
+    loss, grad, hess = look(w)
+    for _ in range(iterations):
+        step = np.linalg.solve(hess, grad)
+        if grad @ step <= 1e-11 * (1.0 + abs(loss)):  # the last step: what it leaves is the square of its error
+            return [float(v) for v in (w - step)[:-1]], float((w - step)[-1])
+        share = 1.0
+        while True:
+            then = look(w - share * step)
+            if then[0] < loss or share < 1e-6:
+                break
+            share /= 2
+        w, (loss, grad, hess) = w - share * step, then
+    return [float(v) for v in w[:-1]], float(w[-1])
 
 
 def probability(features: list[str], coef: list[float], intercept: float) -> Column:
@@ -156,6 +185,33 @@ def importance(coef: list[float]) -> list[float]:
     return [abs(c) / total for c in coef]
 
 
+def single_scores(scaled: DataFrame, names: list[str], scale: dict[str, tuple[float, float]], span: dict[str, tuple[float, float]]) -> list[dict]:
+    """How well each index alone tells the labels of ``scaled`` (label, names), and its threshold in its own units."""
+    scores = []
+    for m in names:
+        try:
+            (w,), b = fit_logistic(scaled, [m])
+            t, iou, f1 = best_threshold(scaled.withColumn("_p", probability([m], [w], b)), "_p")
+            at = ((math.log(t / (1 - t)) - b) / w) * scale[m][1] + scale[m][0] if w and 0 < t < 1 else None
+            wide = span[m][1] - span[m][0]
+            scores.append({"name": m, "iou": iou, "f1": f1, "suggested_threshold": at, "suggested_threshold_normalized": (at - span[m][0]) / wide if at is not None and wide else None})
+        except (ArithmeticError, ValueError, IllegalArgumentException) as e:  # one index that cannot be fitted leaves the others' scores
+            scores.append({"name": m, "iou": 0.0, "f1": 0.0, "suggested_threshold": None, "suggested_threshold_normalized": None, "error": str(e)[:200]})
+    return scores
+
+
+def score_indices(maps: DataFrame, names: list[str], label: str) -> list[dict]:
+    """``single_scores`` over all rows of ``maps`` that have a finite value of every index; nothing is drawn."""
+    clean = maps.select(F.when(F.col(label) > 0, 1).otherwise(0).alias("label"), *[finite(F.col(n).cast("double")).alias(n) for n in names])
+    rows = materialise(clean.dropna(subset=names), "scoring")
+    if len(_classes(rows, "label")) < 2:
+        return []
+    scale = robust_parameters(rows, names)
+    span = rows.agg(*[x for m in names for x in (F.min(m).alias(f"lo_{m}"), F.max(m).alias(f"hi_{m}"))]).first()
+    scaled = materialise(rows.select("label", *[((F.col(f) - m) / s).alias(f) for f, (m, s) in scale.items()]), "scoring-scaled")
+    return single_scores(scaled, names, scale, {m: (span[f"lo_{m}"], span[f"hi_{m}"]) for m in names})
+
+
 def learn_formula(maps: DataFrame, names: list[str], label: str, pid: Column, k_folds: int = 5) -> dict:
     """Rank indices by how well each alone, and all together, tell label > 0 from 0.
 
@@ -189,18 +245,10 @@ def learn_formula(maps: DataFrame, names: list[str], label: str, pid: Column, k_
             f1s.append(overlap_scores(test, F.col("_p") >= 0.5, F.col("label") == 1).first()["f1"])
     combined = overlap_scores(scaled.withColumn("_p", probability(names, coef, intercept)), F.col("_p") >= 0.5, F.col("label") == 1, epsilon=1e-8).first()["iou"]
     span = rows.agg(*[x for m in names for x in (F.min(m).alias(f"lo_{m}"), F.max(m).alias(f"hi_{m}"))]).first()
-    scores, best, best_iou = [], None, 0.0
-    for m in names:
-        try:
-            (w,), b = fit_logistic(scaled, [m])
-            t, iou, f1 = best_threshold(scaled.withColumn("_p", probability([m], [w], b)), "_p")
-            at = ((math.log(t / (1 - t)) - b) / w) * scale[m][1] + scale[m][0] if w and 0 < t < 1 else None
-            wide = span[f"hi_{m}"] - span[f"lo_{m}"]
-            scores.append({"name": m, "iou": iou, "f1": f1, "suggested_threshold": at, "suggested_threshold_normalized": (at - span[f"lo_{m}"]) / wide if at is not None and wide else None})
-            if iou > best_iou:
-                best, best_iou = m, iou
-        except (ArithmeticError, ValueError, IllegalArgumentException) as e:  # one index that cannot be fitted leaves the others' scores
-            scores.append({"name": m, "iou": 0.0, "f1": 0.0, "suggested_threshold": None, "suggested_threshold_normalized": None, "error": str(e)[:200]})
+    scores = single_scores(scaled, names, scale, {m: (span[f"lo_{m}"], span[f"hi_{m}"]) for m in names})
+    # of equal scores the first one's
+    best = max(scores, key=lambda x: x["iou"])
+    best, best_iou = (best["name"], best["iou"]) if best["iou"] > 0 else (None, 0.0)
     mean = lambda x: sum(x) / len(x)
     return empty | {"best_index": best, "best_single_iou": best_iou, "combined_iou": combined, "mean_cv_f1": mean(f1s), "mean_cv_iou": mean(aucs), "mean_cv_auc": mean(aucs), "coef": coef, "intercept": intercept, "importance": importance(coef), "per_index_scores": scores}
 

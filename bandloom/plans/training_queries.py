@@ -118,8 +118,7 @@ _SPAN = "span AS MATERIALIZED (SELECT " + ", ".join(f"{_LIMIT(n, 0.5)} AS m_{n},
 )
 def index_scores(spark, sf_dir):
     """Each index by itself: scores, suggested thresholds and its place in the ranking."""
-    pid = (F.col("row") * 100 + F.col("col")).cast("bigint")
-    result = training.learn_formula(_training_maps(spark, sf_dir), _RANKED, "mask", pid, 2)
+    result = {"per_index_scores": training.score_indices(_training_maps(spark, sf_dir), _RANKED, "mask")}
     rows = [(r["name"], k, r["iou"], r["f1"], r["suggested_threshold"], r["suggested_threshold_normalized"]) for k, r in enumerate(training.ranking(spark, result).collect(), 1)]
     out = spark.createDataFrame(rows, "name string, place int, iou double, f1 double, suggested_threshold double, normalized double")
     return out.select("name", "place", *[F.round(c, 4).alias(c) for c in ("iou", "f1", "suggested_threshold", "normalized")])
