@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import threading
 from collections import OrderedDict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 
@@ -66,6 +67,7 @@ class IndexCache:
             self._total[raster_id] = total
 
     def put(self, raster_id: str, name: str, df: DataFrame) -> None:
+        """Keep the table that holds a map as one of its columns."""
         with self._lock:
             self._maps[raster_id, name] = df
 
@@ -74,7 +76,17 @@ class IndexCache:
             self._errors[raster_id, name] = error
 
     def get(self, raster_id: str, name: str) -> DataFrame | None:
-        return self._maps.get((raster_id, name))
+        table = self._maps.get((raster_id, name))
+        return None if table is None else table.select("row", "col", name)
+
+    def get_all(self, raster_id: str, names: list[str]) -> DataFrame:
+        """(row, col, names) of maps that are there; those of one table are read at once, others are joined."""
+        tables: dict[int, tuple[DataFrame, list[str]]] = {}
+        for n in names:
+            table = self._maps[raster_id, n]
+            tables.setdefault(id(table), (table, []))[1].append(n)
+        parts = [table.select("row", "col", *own) for table, own in tables.values()]
+        return reduce(lambda a, b: a.join(b, ["row", "col"]), parts).select("row", "col", *names)
 
     def clear_for(self, raster_id: str) -> None:
         with self._lock:

@@ -137,18 +137,18 @@ class Engine:
             return ready, grid
         return scaling.scale_reflectance(pixels, bands, raster.nodata).select("row", "col", formula.column().alias(name)), grid
 
-    def precompute(self) -> dict:
-        """All formulas without parameters in one projection over one scan, written once."""
+    def precompute(self, longest: int | None = None) -> dict:
+        """All formulas without parameters in one projection over one scan, written once, on a grid of ``longest`` (``PREVIEW_SIDE``) pixels a side."""
         raster, pixels = self._need()
         have = set(pixels.columns)
         names = [n for n in registry.ready_names() if set(registry.get_formula(n).bands()) <= have]
         self.indices.begin(raster.raster_id, len(registry.ready_names()))
         bands = sorted({b for n in names for b in registry.get_formula(n).bands()})
-        small, _ = self._preview(bands, PREVIEW_SIDE)
+        small, _ = self._preview(bands, longest or PREVIEW_SIDE)
         table = materialise(registry.add_indices(scaling.scale_reflectance(small, bands, raster.nodata), names), "indices")
         for n in registry.ready_names():
             if n in names:
-                self.indices.put(raster.raster_id, n, table.select("row", "col", n))
+                self.indices.put(raster.raster_id, n, table)
             else:
                 self.indices.fail(raster.raster_id, n, "a band is missing")
         return self.index_status()
