@@ -155,7 +155,8 @@ def deduplicate(documents: DataFrame, run: int = RUN, words: int | None = None)
     count = lambda text: F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(_lines(text)), F.lit(0)))
     whole = whole.withColumn("_lines", count(F.col("text"))).withColumn("_removed", F.lit(0))
     places = places.select(F.col("doc_id").alias("id"), "at")
-    met = cut.select(F.struct("*").alias("row")).join(places, F.col("row.doc_id").cast("bigint") == F.col("id"), "left")
+    # never a broadcast, however small: its plan is that of large tables, whose places no task could hold
+    met = cut.select(F.struct("*").alias("row")).join(places.hint("merge"), F.col("row.doc_id").cast("bigint") == F.col("id"), "left")
     text = F.col("row.text").cast("string")
     gone = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p["pos"], p["pos"] + p["size"] - 1))))
     met = met.select("row", count(text).alias("n"), gone.alias("gone"), _lines(text).alias("all"))

@@ -370,3 +370,11 @@ def test_token_counts_against_tiktoken(spark, tmp_path, sf_dir):
         else:
             want[s, lang, "byte_bpe_multi_50k"], want[s, lang, "utf8_bytes"]
     assert {tuple(r)[:3]: list(r)[3:] for r in op6_token_counts(spark, f"file://{tmp_path}/t").collect()} == dict(want)
+
+
+def test_line_dedup_plan_is_that_of_large_tables(spark):
+    docs = spark.createDataFrame([(k, "the same line of five words\nline %d" % k) for k in range(20)], "doc_id bigint, text string")
+    from bandloom.llm.line_dedup import deduplicate
+
+    plan = deduplicate(docs, words=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
