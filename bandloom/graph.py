@@ -3,7 +3,8 @@
 Each round is two aggregations by node and two joins back; nothing is collected.  A graph
 of at most ``SMALL`` links, counted first, is done by one task with a union-find.
 Aggregations combine before the shuffle, and the joins are ordinary equi-joins, so
-adaptive skew handling applies to nodes with very many links.
+adaptive skew handling applies to nodes with very many links.  They are never broadcasts: each
+would send its side through the driver, round by round.
 """
 
 from __future__ import annotations
@@ -46,13 +47,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where("b > a").join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    near = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    near = down.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return near.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 

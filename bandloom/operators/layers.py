@@ -82,7 +82,7 @@ def border_links(rim: DataFrame, connectivity: int, keys: list[str] = ()) -> Dat
     """(a, b): distinct pairs of nodes of neighbouring rim pixels with equal ``keys``; ``rim`` has row, col, node."""
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in STEPS[connectivity]])
     shifted = rim.withColumn("s", F.explode(steps)).select(*keys, (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("node").alias("a"))
-    return shifted.join(rim, [*keys, "row", "col"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return shifted.join(rim.hint("merge"), [*keys, "row", "col"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def reached(blocks: DataFrame, masks: Masks, seeds: list[Seed], all_layers: bool, width: int, connectivity: int, block: int) -> DataFrame:
@@ -99,10 +99,10 @@ def reached(blocks: DataFrame, masks: Masks, seeds: list[Seed], all_layers: bool
     rim = nodes.where("seed < 0").select(F.shiftright("node", PIXEL_BITS).alias("layer"), "row", "col", "node")
     merged = materialise(connected_components(border_links(rim, connectivity, ["layer"])), "layer-components")
     kinds = nodes.sparkSession.createDataFrame([(k, int(s.kind != "neg"), int(s.kind == "neg")) for k, s in enumerate(seeds, 1)], "seed int, pos int, neg int")
-    sown = nodes.where("seed > 0").join(F.broadcast(kinds), "seed").join(merged, F.col("node") == F.col("id"), "left")
+    sown = nodes.where("seed > 0").join(F.broadcast(kinds), "seed").join(merged.hint("merge"), F.col("node") == F.col("id"), "left")
     flags = sown.groupBy(F.coalesce("component", "node").alias("c")).agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
-    linked = merged.join(flags, F.col("component") == F.col("c")).select(F.col("id").alias("node"), "pos", "neg")
-    alone = flags.join(merged, F.col("c") == F.col("id"), "left_anti").select(F.col("c").alias("node"), "pos", "neg")
+    linked = merged.join(flags.hint("merge"), F.col("component") == F.col("c")).select(F.col("id").alias("node"), "pos", "neg")
+    alone = flags.join(merged.hint("merge"), F.col("c") == F.col("id"), "left_anti").select(F.col("c").alias("node"), "pos", "neg")
     pixel = F.col("node").bitwiseAND(F.lit((1 << PIXEL_BITS) - 1))
     found = linked.union(alone).withColumn("_pixel", pixel)
     return found.select(F.expr(f"(_pixel div {width}) div {block}").cast("int").alias("br"), F.expr(f"(_pixel % {width}) div {block}").cast("int").alias("bc"), "node", "pos", "neg")
@@ -208,7 +208,7 @@ def equal_regions(pixels: DataFrame, value: str, width: int, connectivity: int,
     rows = by_block(pixels.select("row", "col", F.col(value).alias("value")), block)
     local = materialise(rows.groupBy("br", "bc").applyInArrow(run, "row int, col int, value bigint, node bigint"), "equal-blocks")
     merged = connected_components(border_links(local.where(_on_rim(block)).select("value", "row", "col", "node"), connectivity, ["value"]))
-    return local.join(merged, F.col("node") == F.col("id"), "left").select("row", "col", F.col("value").alias(value), F.coalesce("component", "node").alias("region"))
+    return local.join(merged.hint("merge"), F.col("node") == F.col("id"), "left").select("row", "col", F.col("value").alias(value), F.coalesce("component", "node").alias("region"))
 
 
 def _on_rim(block: int):
@@ -247,7 +247,7 @@ def in_order(reach: DataFrame, seeds: list[Seed], width: int, connectivity: int,
         return reach.select("row", "col", F.coalesce(F.get("seeds", F.lit(0)), F.lit(0)).alias("label"))
     some = reach.where(F.size("seeds") > 0).withColumn("_members", F.xxhash64("seeds"))
     regions = materialise(equal_regions(some, "_members", width, connectivity, block), "seed-regions")
-    members = materialise(regions.groupBy("_members", "region").agg(F.min(F.struct("row", "col")).alias("at")).select("region", "at.*").join(some.select("row", "col", "seeds"), ["row", "col"]).select("region", "seeds"), "seed-members")
+    members = materialise(regions.groupBy("_members", "region").agg(F.min(F.struct("row", "col")).alias("at")).select("region", "at.*").join(some.select("row", "col", "seeds").hint("merge"), ["row", "col"]).select("region", "seeds"), "seed-members")
     if members.count() > MOST_REGIONS:
         return None
     spark = reach.sparkSession
@@ -275,5 +275,5 @@ def in_order(reach: DataFrame, seeds: list[Seed], width: int, connectivity: int,
     links = region_borders(regions, connectivity, block)
     one = F.lit(0).alias("all")
     labels = links.groupBy(one).cogroup(members.groupBy(one)).applyInArrow(settle, "region bigint, label int")
-    named = regions.join(labels, "region").select("row", "col", "label")
-    return reach.select("row", "col").join(named, ["row", "col"], "left").select("row", "col", F.coalesce("label", F.lit(0)).alias("label"))
+    named = regions.join(labels.hint("merge"), "region").select("row", "col", "label")
+    return reach.select("row", "col").join(named.hint("merge"), ["row", "col"], "left").select("row", "col", F.coalesce("label", F.lit(0)).alias("label"))

@@ -66,7 +66,7 @@ def region_mask(index_map: DataFrame, value: str, threshold: float, seeds: list[
     at = F.broadcast(seed_frame(spark, seeds))
     hit = parts.join(at, ["row", "col"]).groupBy("component").agg(F.max(F.when(F.col("kind") == "pos", 1).otherwise(0)).alias("p"), F.max(F.when(F.col("kind") == "neg", 1).otherwise(0)).alias("n"))
     kept = parts.join(hit.where("p = 1 and n = 0").select("component"), "component", "left_semi").select("row", "col", F.lit(1).alias("_k"))
-    return marked.select("row", "col").join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("_k", F.lit(0)).cast("tinyint").alias("mask"))
+    return marked.select("row", "col").join(kept.hint("merge"), ["row", "col"], "left").select("row", "col", F.coalesce("_k", F.lit(0)).cast("tinyint").alias("mask"))
 
 
 def _mask_in_one_task(threshold: float, seeds: list[Seed], height: int, width: int):
@@ -128,7 +128,7 @@ class RegionGrowing:
         figures = seen.get
         regions = bin((figures["_bits"] or 0) >> 1).count("1") if len(seeds) <= 61 else labels.where("label > 0").select("label").distinct().count()
         info = {"compute_seconds": time.perf_counter() - start, "pixels": figures["pixels"], "pixels_labelled": figures["labelled"], "regions": regions, "bytes": figures["pixels"] * (8 * len(bands) + 12)}
-        stats = zonal_stats(labels.join(pixels, ["row", "col"]), bands)
+        stats = zonal_stats(labels.join(pixels.hint("merge"), ["row", "col"]), bands)
         return Segmentation(labels, seeds, stats, info)
 
     def _in_one_task(self, pixels: DataFrame, bands: list[str], seeds: list[Seed], height: int, width: int) -> DataFrame:

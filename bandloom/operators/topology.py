@@ -64,9 +64,9 @@ def components(pixels: DataFrame, width: int, connectivity: int = 4, block: int
     rim = local.where(edge("row") | edge("col"))
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in STEPS[n]])
     shifted = rim.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), F.col("local").alias("a"))
-    links = shifted.join(rim, ["row", "col"]).where("a <> local").select("a", F.col("local").alias("b")).distinct()
+    links = shifted.join(rim.hint("merge"), ["row", "col"]).where("a <> local").select("a", F.col("local").alias("b")).distinct()
     merged = connected_components(links).withColumnRenamed("id", "local")
-    return local.join(merged, "local", "left").select("row", "col", F.coalesce("component", "local").alias("component"))
+    return local.join(merged.hint("merge"), "local", "left").select("row", "col", F.coalesce("component", "local").alias("component"))
 
 
 def dilate(points: DataFrame, radius: int, height: int, width: int, without: DataFrame | None = None) -> DataFrame:

@@ -64,3 +64,14 @@ def test_disjoint_seeds_and_none(spark):
     assert {(r.label, r["count"]) for r in got} == {(0, 12), (1, 72), (2, 60)}
     depths, _ = layers.sweep(flat, "v", [0.5], [Seed(0, 0)], 12, block=5)
     assert depths.where("pos > 0 or neg > 0").count() == 0
+
+
+def test_joins_of_pixels_and_regions_are_never_broadcasts(spark):
+    from bandloom.model import Seed
+    from bandloom.operators import layers
+
+    reach = spark.range(400).selectExpr("cast(id div 20 as int) as row", "cast(id % 20 as int) as col", "array(cast(1 as int), cast(2 as int)) as seeds")
+    labels = layers.in_order(reach, [Seed(0, 0), Seed(5, 5)], 20, 4, 8)
+    plan = labels._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 3
+    assert labels.where("label = 1").count() == 400
