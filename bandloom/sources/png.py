@@ -169,3 +169,20 @@ def pixels(pictures: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     rows = pictures.where(F.col(column).isNotNull()).select(column, *keys)
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
     return rows.mapInArrow(run, kinds + "row int, col int, r int, g int, b int, a int")
+
+
+def strip_pixels(drawn: DataFrame, width: int, rows: int = STRIP) -> DataFrame:
+    """(row, col, r, g, b, a) of what ``strips`` drew, each strip inflated by itself; no task holds a picture."""
+
+    def run(batches):
+        for batch in batches:
+            for strip, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                body = data[8 + (0 if strip else 2) : -4]
+                lines = np.frombuffer(zlib.decompressobj(-15).decompress(body), np.uint8).reshape(-1, width * 4 + 1)
+                if lines[:, 0].any():
+                    raise ValueError("only unfiltered lines are read")
+                rgba = lines[:, 1:].reshape(-1, width, 4)
+                row, col = np.divmod(np.arange(len(rgba) * width), width)
+                yield pa.record_batch({"row": pa.array(row + strip * rows, pa.int32()), "col": pa.array(col, pa.int32()), **{c: pa.array(rgba[..., j].reshape(-1).astype(np.int32)) for j, c in enumerate("rgba")}})
+
+    return drawn.select("strip", "data").mapInArrow(run, "row int, col int, r int, g int, b int, a int")

@@ -39,3 +39,10 @@ def test_tiles_cover_the_raster(spark):
     side = {z: 40075016.686 / 2**z / 256 for z in (8, 12)}
     for z in (8, 12):  # the raster and half a pixel around it
         assert abs(opaque[z] - 41 * 31 * 100 * 100 / side[z] ** 2) < 0.12 * opaque[z] + 8
+
+
+def test_strips_are_decoded_one_by_one(spark):
+    df = spark.range(23 * 5).selectExpr("cast(id div 5 as int) row", "cast(id % 5 as int) col", "cast(id as int) r", "cast(id * 2 as int) g", "7 b", "255 a")
+    drawn = png.strips(df, 23, 5, rows=4)
+    assert drawn.count() == 6
+    assert sorted(map(tuple, png.strip_pixels(drawn, 5, rows=4).collect())) == sorted(map(tuple, df.collect()))
