@@ -9,13 +9,12 @@ of orders four to one.  A text gets the language of least cross-entropy for each
 A text is rejected when it looks like none of the languages: the cross-entropy that takes,
 for each character, whichever model likes it best (so that quotations in another language
 do no harm) lies further above its usual value than a margin, which shrinks with the text's
-length and is calibrated on labelled texts by models that have not seen them.
+length and is calibrated on all labelled texts by models that have not seen them.
 """
 
 from __future__ import annotations
 
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,14 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bandloom.llm.runs import pack, unpack
-from bandloom.llm.sampling import by_hash
 from bandloom.llm.textarrays import mix, slices, tidy
+from bandloom.operators.stats import percentile_row
+from bandloom.storage import materialise
 
 ORDER = 4
 BUCKETS = 16
 FLUSH = 400_000
-CALIBRATION_DOCS = 4000
-CALIBRATION_CHARS = 20000
+#: Percentiles of tables of entropies up to this size are one aggregate.
+SMALL_TABLE = 1 << 23
 #: The margin, in distances from the median to the 90 % point of held-out texts: of these up to a tenth may be junk.
 SPREAD = 12.0
 LEAST_MARGIN = 5.0
@@ -228,23 +228,18 @@ class LanguageModels:
         rejected = (sizes == 0) | (self.excess(h, sizes) > self.margin)
         return [self.langs[b] if n else UNDETERMINED for b, n in zip(best, sizes, strict=True)], score, rejected
 
-    def calibrate(self, h: np.ndarray, sizes: np.ndarray) -> None:
-        """The usual cross-entropy, and a margin that nearly all texts of a language keep."""
-        h, sizes = h[sizes > 0], sizes[sizes > 0]
-        if len(h):
-            self.usual = float(np.median(h[:, -1]))
-            self.margin = max(LEAST_MARGIN, SPREAD * float(np.quantile(self.excess(h, sizes), 0.9)))
-
-
-def without(tables: list[tuple[np.ndarray, np.ndarray]], langs: list[str], rows: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The tables of counts as if ``rows`` (lang, text) had not been counted."""
-    out = []
-    for lang, (keys, counts) in zip(langs, tables, strict=True):
-        own, seen = np.unique(grams_of([r["text"] for r in rows if r["lang"] == lang])[0], return_counts=True)
-        left = counts.copy()
-        left[np.searchsorted(keys, own)] -= seen
-        out.append((keys[left > 0], left[left > 0]))
-    return out
+    def calibrate(self, judged: DataFrame) -> None:
+        """The usual cross-entropy, and a margin that nearly all texts of a language keep, from all rows (h, size)."""
+
+        def exact(column: Column, share: float) -> float | None:
+            found = percentile_row(judged, {"p": column}, [share], SMALL_TABLE).first()["p"]
+            return found[0] if found else None
+
+        usual = exact(F.col("h"), 0.5)
+        if usual is not None:
+            self.usual = usual
+            room = F.sqrt(F.least(F.col("size"), F.lit(400)).cast("double"))  # as in ``excess``
+            self.margin = max(LEAST_MARGIN, SPREAD * exact((F.col("h") - F.lit(usual)) * room, 0.9))
 
 
 def _tables(labelled: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -264,26 +259,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def _by_halves(labelled: DataFrame, half: Column) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], list[LanguageModels], DataFrame]:
+    """(counts by half and language, models for each half of the other one's rows, (half, h, size) of every text by these).
+
+    Texts without letters, and those whose other half has no language, are missing in the last.
+    """
+    tables = _tables(labelled.select(F.concat(half.cast("string"), "lang").alias("lang"), "text"))
+    models = [_fit({x[1:]: t for x, t in tables.items() if x[0] == str(1 - k)}) for k in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                halves, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for k, own in enumerate(models):
+                    h, sizes = own.entropies([t for t, x in zip(texts, halves, strict=True) if x == k])
+                    some = np.flatnonzero(sizes > 0) if own.langs else []
+                    if len(some):
+                        yield pa.record_batch({"half": pa.array(np.full(len(some), k), pa.int32()), "h": pa.array(h[some, -1]), "size": pa.array(sizes[some])})
+
+    judged = labelled.select(half.alias("half"), "text").mapInArrow(tidy(run), "half int, h double, size bigint")
+    return tables, models, materialise(judged, "language-entropies")
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    return rows.where("lang is not null and text is not null and doc_id is not null")
+
+
 def train(labelled: DataFrame) -> LanguageModels:
-    """Models of all languages in ``labelled`` (doc_id, lang, text); counts cover every row, whole.
+    """Models of all languages in ``labelled`` (doc_id, lang, text); counts and calibration cover every row, whole.
 
-    Calibration uses about ``CALIBRATION_DOCS`` rows, drawn by hash of doc_id among those of
-    at most ``CALIBRATION_CHARS`` characters.  Each half of them is judged by models of all
-    rows but that half.
+    For the calibration each half of the rows is judged by models of the other half.
     """
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    tables = _tables(labelled)
-    models = _fit(tables)
-    sample = by_hash(labelled.where(F.length("text") <= CALIBRATION_CHARS), CALIBRATION_DOCS).collect()
-    judged = []
-    for half in (0, 1):
-        rows = [r for r in sample if zlib.crc32(str(r["doc_id"]).encode()) >> 8 & 1 == half]
-        rest = {x: t for x, t in zip(tables, without(list(tables.values()), list(tables), rows), strict=True) if len(t[0])}
-        if rows and rest:
-            h, sizes = _fit(rest).entropies([r["text"] for r in rows])
-            judged.append((h[:, -1:], sizes))
-    if judged:
-        models.calibrate(*(np.concatenate(x) for x in zip(*judged, strict=True)))
+    half = F.shiftright(F.crc32(F.col("doc_id").cast("string").cast("binary")), 8).bitwiseAND(F.lit(1)).cast("int")
+    tables, _, judged = _by_halves(_labelled(labelled), half)
+    each: dict[str, list] = {}
+    for name, table in tables.items():
+        each.setdefault(name[1:], []).append(table)
+    models = _fit({x: summed(*(np.concatenate(c) for c in zip(*each[x], strict=True))) for x in sorted(each)})
+    models.calibrate(judged)
     return models
 
 
@@ -292,22 +305,14 @@ def fold(doc_id: Column) -> Column:
 
 
 def train_folds(labelled: DataFrame) -> list[LanguageModels]:
-    """For each of two folds of documents, models of the other fold's rows, calibrated on its own.
+    """For each of two folds of documents, models of the other fold's rows, calibrated on all of its own.
 
     So a document never meets a model that has learnt from it, and a labelled text that is no
     language can be rejected.  Of clean texts some 0.02 % are rejected.
     """
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    marked = labelled.select(F.concat(fold(F.col("doc_id")).cast("string"), "lang").alias("lang"), "text")
-    tables = _tables(marked)
-    sample = by_hash(labelled.where(F.length("text") <= CALIBRATION_CHARS).withColumn("fold", fold(F.col("doc_id"))), CALIBRATION_DOCS).collect()
-    out = []
-    for k in (0, 1):
-        models = _fit({x[1:]: t for x, t in tables.items() if x[0] == str(1 - k)})
-        rows = [r["text"] for r in sample if r["fold"] == k]
-        if rows and models.langs:
-            models.calibrate(*models.entropies(rows))
-        out.append(models)
+    _, out, judged = _by_halves(_labelled(labelled), fold(F.col("doc_id")))
+    for k, models in enumerate(out):
+        models.calibrate(judged.where(F.col("half") == k))
     return out
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from bandloom.llm.language_id import KneserNey, codes, count_grams, grams_of, held_out, identify, op4_language_id, summed, train
+from bandloom.llm.language_id import LEAST_MARGIN, SPREAD, KneserNey, _fit, codes, count_grams, fold, grams_of, held_out, identify, op4_language_id, summed, train, train_folds
 
 EN = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun near the river"
 DE = "der schnelle braune fuchs springt über den faulen hund und schläft dann in der warmen sonne am fluss"
@@ -80,3 +80,28 @@ def test_held_out_accuracy(spark, sf_dir):
 
 def test_held_out_of_null(spark):
     assert spark.createDataFrame([(None,)], "d bigint").select(held_out(__import__("pyspark").sql.functions.col("d"))).first()[0] is False
+
+
+def test_every_labelled_text_calibrates(spark):
+    rng = np.random.default_rng(6)
+    words = {x: [w + chr(97 + k) for w in t.split() for k in range(3)] for x, t in (("de", DE), ("en", EN))}
+    table = [(k, " ".join(rng.choice(words[x], 3 + k % 9)), x, 0) for k in range(4600) for x in [("de", "en")[k % 2]]]
+    table += [(k, " ".join(rng.choice(words["en"], 4000)), "en", 0) for k in range(4600, 4604)]  # over 20,000 characters
+    df = frame(spark, table)
+
+    def fitted(rows):
+        return _fit({x: summed(*(lambda keys: (keys, np.ones(len(keys), np.int64)))(grams_of([r[1] for r in rows if r[2] == x])[0])) for x in ("de", "en")})
+
+    def limits(judged):
+        h, sizes = (np.concatenate(c) for c in zip(*judged, strict=True))
+        usual = np.median(h[:, -1])
+        return usual, max(LEAST_MARGIN, SPREAD * np.quantile((h[:, -1] - usual) * np.sqrt(np.clip(sizes, 1, 400)), 0.9))
+
+    def judge(half):
+        return [fitted([r for r in table if half[r[0]] != k]).entropies([r[1] for r in table if half[r[0]] == k]) for k in (0, 1)]
+
+    models = train(df)
+    assert np.allclose((models.usual, models.margin), limits(judge({r[0]: zlib.crc32(str(r[0]).encode()) >> 8 & 1 for r in table})), rtol=1e-9)
+    judged = judge(dict(df.select("doc_id", fold(df["doc_id"])).collect()))
+    for k, own in enumerate(train_folds(df)):
+        assert np.allclose((own.usual, own.margin), limits(judged[k : k + 1]), rtol=1e-9)
