@@ -12,9 +12,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandloom.sources.ranged import local_path
+
 TILE = 256
 
 
@@ -137,6 +139,19 @@ def picture(colours: DataFrame, height: int, width: int, rows: int = STRIP) -> b
     return header_chunk(height, width) + b"".join(r["data"] for r in drawn) + _ending([(r["adler"], r["length"]) for r in drawn])
 
 
+def parts(colours: DataFrame, height: int, width: int, rows: int = STRIP) -> DataFrame:
+    """(part, png): a picture of any size in pieces, one file when put together in order; nothing holds it whole.
+
+    Part 0 is the header, the last one the end; the driver sees 16 bytes for each strip.
+    """
+    from bandloom.storage import materialise
+
+    drawn = materialise(strips(colours, height, width, rows), "png-strips")
+    sums = [(r["adler"], r["length"]) for r in drawn.select("strip", "adler", "length").orderBy("strip").toLocalIterator()]
+    ends = drawn.sparkSession.createDataFrame([(0, header_chunk(height, width)), (len(sums) + 1, _ending(sums))], "part int, png binary")
+    return ends.union(drawn.select(F.col("strip") + 1, "data"))
+
+
 def write_picture(colours: DataFrame, height: int, width: int, path: str, rows: int = STRIP) -> None:
     """A picture of any size as a file on a mounted file system; the driver sees 16 bytes for each strip."""
     from bandloom.operators.stats import running_sum
@@ -171,6 +186,27 @@ def pixels(pictures: DataFrame, column: str, keys: list[str] = ()) -> DataFrame:
     return rows.mapInArrow(run, kinds + "row int, col int, r int, g int, b int, a int")
 
 
+def file_strips(spark: SparkSession, path: str) -> DataFrame:
+    """(strip, data) of a file by ``write_picture``: the driver walks the heads of its chunks, tasks read them."""
+    places, at = [], len(SIGNATURE)
+    with open(local_path(path), "rb") as file:
+        while head := file.read(8) if file.seek(at) else b"":
+            size, kind = struct.unpack(">I4s", head)
+            if kind == b"IDAT":
+                places.append((len(places), at, size + 12))
+            at += size + 12
+
+    def run(batches):
+        for batch in batches:
+            for strip, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with open(local_path(path), "rb") as file:
+                    file.seek(at)
+                    yield pa.record_batch({"strip": pa.array([strip], pa.int32()), "data": pa.array([file.read(size)], pa.binary())})
+
+    # the last chunk of data is the ending
+    return spark.createDataFrame(places[:-1], "strip int, at bigint, size bigint").mapInArrow(run, "strip int, data binary")
+
+
 def strip_pixels(drawn: DataFrame, width: int, rows: int = STRIP) -> DataFrame:
     """(row, col, r, g, b, a) of what ``strips`` drew, each strip inflated by itself; no task holds a picture."""
 

@@ -46,3 +46,21 @@ def test_strips_are_decoded_one_by_one(spark):
     drawn = png.strips(df, 23, 5, rows=4)
     assert drawn.count() == 6
     assert sorted(map(tuple, png.strip_pixels(drawn, 5, rows=4).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_parts_make_one_picture(spark):
+    rgba = np.random.default_rng(3).integers(0, 256, (150, 7, 4)).astype("u1")
+    df = spark.createDataFrame([(r, c, *map(int, rgba[r, c])) for r in range(150) for c in range(7)], "row int, col int, r int, g int, b int, a int")
+    found = sorted(map(tuple, png.parts(df, 150, 7).collect()))
+    assert [k for k, _ in found] == list(range(5))
+    assert b"".join(bytes(d) for _, d in found) == png.picture(df, 150, 7)
+
+
+def test_png_render_is_no_single_row(spark, sf_dir):
+    from bandloom.plans.catalog import QUERIES
+
+    found = sorted(map(tuple, QUERIES["png_render"](spark, sf_dir).select("part", "png").collect()))
+    rgba = png.decode_png(b"".join(bytes(d) for _, d in found))
+    want = QUERIES["png_pixels"](spark, sf_dir).collect()
+    assert len(found) > 2 and len(want) == rgba.shape[0] * rgba.shape[1]
+    assert all(tuple(rgba[p.row, p.col]) == (p.r, p.g, p.b, p.a) for p in want)
