@@ -155,15 +155,13 @@ class Engine:
 
     # pictures
 
-    def _picture(self, coloured: DataFrame, grid: Raster, longest: int) -> bytes:
-        """Colours (row, col, r, g, b, a) on a grid of degrees, as PNG."""
+    def _on_degrees(self, coloured: DataFrame, grid: Raster, longest: int) -> tuple[DataFrame, int, int]:
+        """Colours (row, col, r, g, b, a) on a grid of degrees, its height and width."""
         box = roi.Bounds(*transform_bounds(grid.crs, "EPSG:4326", grid.bounds))
         width, height = roi.warp_shape(box, longest)
-        warped = resample.warp(coloured.select("row", "col", *"rgba"), grid, box, height, width)
-        return png.picture(warped, height, width)
+        return resample.warp(coloured.select("row", "col", *"rgba"), grid, box, height, width), height, width
 
-    def render(self, request: RenderRequest) -> bytes:
-        """An index, or a band by its number from 1, in colours."""
+    def _rendered(self, request: RenderRequest) -> tuple[DataFrame, int, int]:
         raster, pixels = self._need()
         if request.band is not None:
             if not 1 <= request.band <= len(raster.descriptions):
@@ -177,16 +175,33 @@ class Engine:
             values, grid = self.index_map(name, request.max_size)
             mode, ramp = request.range_mode, request.ramp
         coloured = symbology.render(values, name, index, ramp, mode, (request.range_min, request.range_max), request.custom_ramp)
-        return self._picture(coloured, grid, request.max_size)
+        return self._on_degrees(coloured, grid, request.max_size)
 
-    def preview(self, max_size: int = 1024) -> bytes:
-        """The first three bands (or one as grey), bilinear, stretched between percentiles 2 and 98."""
+    def render(self, request: RenderRequest) -> bytes:
+        """An index, or a band by its number from 1, in colours."""
+        return png.picture(*self._rendered(request))
+
+    def render_strips(self, request: RenderRequest) -> tuple[DataFrame, int]:
+        """What ``render`` draws, at any size: the strips of ``png.strips``, and the picture's width."""
+        drawn = self._rendered(request)
+        return png.strips(*drawn), drawn[2]
+
+    def _previewed(self, max_size: int) -> tuple[DataFrame, int, int]:
         raster, pixels = self._need()
         bands = [c for c in pixels.columns if c not in ("row", "col")][:3]
         box = roi.Bounds(*transform_bounds(raster.crs, "EPSG:4326", raster.bounds))
         width, height = roi.warp_shape(box, max_size)
         warped = materialise(resample.warp(pixels.select("row", "col", *bands), raster, box, height, width, bilinear=True), "preview")
-        return png.picture(self._true_colour(warped, bands), height, width)
+        return self._true_colour(warped, bands), height, width
+
+    def preview(self, max_size: int = 1024) -> bytes:
+        """The first three bands (or one as grey), bilinear, stretched between percentiles 2 and 98."""
+        return png.picture(*self._previewed(max_size))
+
+    def preview_strips(self, max_size: int = 1024) -> tuple[DataFrame, int]:
+        """What ``preview`` draws, at any size: the strips of ``png.strips``, and the picture's width."""
+        drawn = self._previewed(max_size)
+        return png.strips(*drawn), drawn[2]
 
     def tile_matrix(self, zooms: list[int]) -> DataFrame:
         """(z, x, y, png): all tiles of the raster at these zooms, by one job."""
@@ -243,7 +258,7 @@ class Engine:
     def segment_picture(self, request: IndexRequest) -> bytes:
         mask = materialise(self.segment(request), "mask")
         low, high = F.max(F.lit(0.0)), F.max(F.lit(1.0))
-        return self._picture(symbology.apply_stops(mask, "mask", symbology.RAMPS["mask"][1], low, high, True), self._need()[0], request.max_size)
+        return png.picture(*self._on_degrees(symbology.apply_stops(mask, "mask", symbology.RAMPS["mask"][1], low, high, True), self._need()[0], request.max_size))
 
     def segment_progressive(self, request: IndexRequest, region: DataFrame | None = None) -> tuple[DataFrame, dict]:
         self._check_seeds(request.seeds)

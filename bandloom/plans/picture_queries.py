@@ -7,7 +7,6 @@ from bandloom.operators import symbology, tiles
 from bandloom.operators.symbology import Stop
 from bandloom.plans.raster_queries import _FIXED_X, _TERRAIN, NDVI, PIX, WIDTH, _ramp_sql, index_map, query
 from bandloom.sources import png
-from bandloom.sources.ranged import Ranged
 from bandloom.sources.tables import order_pixels, order_raster
 from bandloom.storage import new_path
 
@@ -26,8 +25,7 @@ def png_strips(spark, sf_dir):
     coloured = symbology.apply_stops(index_map(spark, sf_dir, "ndvi"), "ndvi", symbology.RAMPS["sequential"][1], low, high)
     path = new_path(spark, "picture") + ".png"
     png.write_picture(coloured, order_raster(spark, sf_dir).height, WIDTH, path, rows=8)
-    data = Ranged(path)
-    return png.pixels(spark.createDataFrame([(data[0 : len(data)],)], "png binary"), "png")
+    return png.strip_pixels(png.file_strips(spark, path), WIDTH, rows=8)
 
 
 def _engine(spark, sf_dir, transform, crs):
@@ -44,7 +42,7 @@ def render_pixels(spark, sf_dir):
     from bandloom.plans.engine import RenderRequest
 
     engine, height = _engine(spark, sf_dir, EXACT, "EPSG:4326")
-    return png.pixels(spark.createDataFrame([(engine.render(RenderRequest("ndvi", max_size=max(height, WIDTH))),)], "png binary"), "png")
+    return png.strip_pixels(*engine.render_strips(RenderRequest("ndvi", max_size=max(height, WIDTH))))
 
 
 _BAND_X = "CASE WHEN red <> 0 THEN least(greatest((red - lo) / (hi - lo), CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) END AS x"
@@ -56,7 +54,7 @@ def render_band_pixels(spark, sf_dir):
     from bandloom.plans.engine import RenderRequest
 
     engine, height = _engine(spark, sf_dir, EXACT, "EPSG:4326")
-    return png.pixels(spark.createDataFrame([(engine.render(RenderRequest(band=6, max_size=max(height, WIDTH))),)], "png binary"), "png")
+    return png.strip_pixels(*engine.render_strips(RenderRequest(band=6, max_size=max(height, WIDTH))))
 
 
 _FIRST = ["coastal_blue", "blue", "green_i"]
@@ -74,7 +72,7 @@ _SHOWN = ", ".join(f"{_stretched(b, f'lo_{b}', f'hi_{b}')} AS {c}" for b, c in z
 def preview_pixels(spark, sf_dir):
     """What ``Engine.preview`` draws."""
     engine, height = _engine(spark, sf_dir, EXACT, "EPSG:4326")
-    return png.pixels(spark.createDataFrame([(engine.preview(max(height, WIDTH)),)], "png binary"), "png")
+    return png.strip_pixels(*engine.preview_strips(max(height, WIDTH)))
 
 
 _SIDE = "(CAST(40075016.685578488 AS DOUBLE) / (1 << z))"

@@ -64,3 +64,15 @@ def test_png_render_is_no_single_row(spark, sf_dir):
     want = QUERIES["png_pixels"](spark, sf_dir).collect()
     assert len(found) > 2 and len(want) == rgba.shape[0] * rgba.shape[1]
     assert all(tuple(rgba[p.row, p.col]) == (p.r, p.g, p.b, p.a) for p in want)
+
+
+@pytest.mark.parametrize("name", ["preview_pixels", "render_pixels", "render_band_pixels", "png_strips"])
+def test_pictures_are_not_put_together(spark, sf_dir, monkeypatch, name):
+    from bandloom.plans.catalog import QUERIES
+
+    def whole(*_):
+        raise AssertionError("a whole picture")
+
+    monkeypatch.setattr(png, "picture", whole)
+    monkeypatch.setattr(png, "pixels", whole)
+    assert QUERIES[name](spark, sf_dir).count() >= 1500
